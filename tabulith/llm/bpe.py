@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import expand, sub_batches, with_columns
+from .common import expand, pick, sub_batches, with_columns
 
 #: Fixed value: the word pattern of the tokenizer file's ByteLevel pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,4 +203,4 @@ def digests(encoded: DataFrame) -> DataFrame:
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """The digests of every text encoded with the file at `path` and decoded again."""
     tables = load_tables(docs.sparkSession, path)
-    return digests(decode(encode(docs.select("doc_id", "text"), tables).drop("text"), tables))
+    return digests(decode(encode(pick(docs, "doc_id", "text"), tables).drop("text"), tables))

@@ -108,3 +108,25 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns named _0, _1, ... (no name can clash), and the new name of each old one (the first of equals)."""
+    new = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(reversed([*zip(df.columns, new, strict=True)]))
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only these columns, by exact name, whatever else the frame has."""
+    renamed, of = plain(df)
+    return renamed.select([F.col(of[n]).alias(n) for n in names])
+
+
+def id_key(column: str = "doc_id") -> Column:
+    """The id as a key that orders rows; a null id counts as the smallest."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def key_id(column: str) -> Column:
+    """Back from id_key."""
+    return F.when(F.col(column) != NO_ID, F.col(column))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, simhash
+from . import bpe, decontam, simhash, suffixes
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -19,6 +19,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(suffixes.spans(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), DEFAULT_TOKENIZER)
 
@@ -29,6 +33,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_bpe": op8_bpe,
     "op10_decontamination": op10_decontamination,
 }

@@ -35,8 +35,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import expand, id_key, key_id, pick, text_bytes, whole_groups
+from .common import expand, id_key, key_id, plain, text_bytes, whole_groups
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are turned into anchors at a time, and that share one table of first anchors.
@@ -244,16 +245,20 @@ def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield batch, numbers
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    """(k, z): ids as keys and compressed texts, dealt out by id and sorted. The same plan every time, so its exchange is reused."""
-    rows = pick(docs, "doc_id", "text").select(id_key().alias("k"), text_bytes().alias("text"))
+def _dealt(docs: DataFrame, others: bool) -> DataFrame:
+    """(k, z, rest): ids as keys, compressed texts and the struct of all other columns (or none of them), dealt out by
+    id and sorted. The same plan every time, so its exchange is reused."""
+    rows, of = plain(docs)
+    rest = [F.col(c) for c in rows.columns if others and c not in (of["doc_id"], of["text"])]
+    rows = rows.select(id_key(of["doc_id"]).alias("k"), text_bytes(of["text"]).alias("text"), (F.struct(*rest) if rest else F.lit(True)).alias("rest"))
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("z", T.BinaryType()), rows.schema["rest"]])
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([tool.compress(t) for t in batch.column("text").to_pylist()], pa.binary())], names=["k", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([tool.compress(t) for t in batch.column("text").to_pylist()], pa.binary()), batch.column("rest")], names=["k", "z", "rest"])
 
-    return rows.mapInArrow(squeeze, "k long, z binary").repartition("k").sortWithinPartitions("k", "z")
+    return rows.mapInArrow(squeeze, schema).repartition("k").sortWithinPartitions("k", "z")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, bytes]]]:
@@ -382,7 +387,7 @@ def _judged(meeting: DataFrame, width: int) -> DataFrame:
 def _fetched(dealt: DataFrame, judged: DataFrame) -> DataFrame:
     """The first anchors with the bytes before (left) and from (right) them."""
     asked = judged.where("NOT go").groupBy("k").agg(F.collect_list(F.struct("h", "loc", "lo", "hi")).alias("asked"))
-    joined = dealt.withColumnRenamed("k", "id").join(asked, F.col("id") == F.col("k")).select("k", "z", "asked").sortWithinPartitions("k", "z")
+    joined = dealt.withColumnRenamed("k", "id").join(asked, F.col("id") == F.col("k")).select("k", "z", "rest", "asked").sortWithinPartitions("k", "z")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
@@ -421,17 +426,17 @@ def _compared(fetched: DataFrame, width: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "k long, n long, lo int, hi int")
 
 
-def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, text: bool = True) -> DataFrame:
-    """k (the id as a key), n (the row's number among those of its id), z (the compressed text) and the arrays begins
-    and ends of the stretches that go, in order."""
+def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, others: bool = False) -> DataFrame:
+    """k (the id as a key), z (the compressed text), the arrays begins and ends of the stretches that go, in order,
+    and rest (with `others`, the struct of all other columns)."""
     if not 8 <= gram < width:
         raise ValueError("gram must be 8 or more and below width")
-    dealt = _dealt(docs)
+    dealt = _dealt(docs, others)
     judged = _judged(_meeting(dealt, width, gram), width)
     known = judged.where("go").select("k", F.shiftright("loc", 32).alias("n"), "lo", "hi")
     gone = known.unionByName(_compared(_fetched(dealt, judged), width, gram))
     lists = gone.groupBy("k").agg(F.collect_list(F.struct("n", "lo", "hi")).alias("gone")).withColumnRenamed("k", "id")
-    joined = dealt.join(lists, F.col("k") == F.col("id"), "left").select("k", "z", "gone").sortWithinPartitions("k", "z")
+    joined = dealt.join(lists, F.col("k") == F.col("id"), "left").select("k", "z", "rest", "gone").sortWithinPartitions("k", "z")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, numbers in _numbered(batches):
@@ -448,9 +453,10 @@ def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, text: bool =
                 begins.append(b)
                 ends.append(e)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(numbers), batch.column("z"), pa.array(begins, kind), pa.array(ends, kind)], names=["k", "n", "z", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("z"), batch.column("rest"), pa.array(begins, kind), pa.array(ends, kind)], names=["k", "z", "rest", "begins", "ends"])
 
-    return joined.mapInArrow(run, "k long, n long, z binary, begins array<int>, ends array<int>")
+    stretch = T.ArrayType(T.IntegerType())
+    return joined.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("begins", stretch), T.StructField("ends", stretch)]))
 
 
 def _kept(z: bytes, begins: list[int], ends: list[int], tool: zstandard.ZstdDecompressor) -> tuple[int, bytes]:
@@ -474,3 +480,32 @@ def report(found: DataFrame) -> DataFrame:
 
     out = found.mapInArrow(run, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(key_id("k").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """`docs` with the text that is left, and n_chars, if there is such a column, its length; same columns. Bytes of a
+    character that lost others of its bytes go too."""
+    found = spans(docs, width=width, gram=gram, others=True)
+    _, of = plain(docs)
+    kinds = dict(zip(of.values(), (docs.schema[list(docs.columns).index(n)].dataType for n in of), strict=True))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [_kept(z.as_py(), b, e, tool)[1].decode("utf-8", "ignore") for z, b, e in zip(batch.column("z"), batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(texts, pa.string()), batch.column("rest")], names=["k", "text", "rest"])
+
+    out = found.mapInArrow(run, T.StructType([T.StructField("k", T.LongType()), T.StructField("text", T.StringType()), found.schema["rest"]]))
+    columns = []
+    for i, name in enumerate(docs.columns):
+        slot = f"_{i}"
+        if slot == of["doc_id"]:
+            column = key_id("k").cast(kinds[slot])
+        elif slot == of["text"]:
+            column = F.col("text")
+        elif slot == of.get("n_chars"):
+            column = F.char_length("text").cast(kinds[slot])
+        else:
+            column = F.col(f"rest.{slot}")
+        columns.append(column.alias(slot))
+    return out.select(columns).toDF(*docs.columns)

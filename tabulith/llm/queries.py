@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, simhash, suffixes
+from . import bpe, decontam, quality, rules, simhash, suffixes, toxicity
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -27,10 +27,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(suffixes.spans(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), DEFAULT_TOKENIZER)
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
@@ -39,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_rules": op9_rules,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -1,3 +1,26 @@
-"""Tabulith: profiling, cleaning and training-data operators on Spark DataFrames."""
+"""Tabulith: profiling and cleaning of Spark DataFrames, and operators for training data (`tabulith.llm`)."""
 
+from . import clean, datasets, plots, utils
+from .clean import clean_column_names
+from .operators.profile import xray
+from .plots import cat_plot, convert_datatypes, corr_heatmap, corr_plot, data_cleaning, dist_plot, drop_missing, missingval_plot
+from .utils import save_fig
+
+__all__ = [
+    "cat_plot",
+    "clean",
+    "clean_column_names",
+    "convert_datatypes",
+    "corr_heatmap",
+    "corr_plot",
+    "data_cleaning",
+    "datasets",
+    "dist_plot",
+    "drop_missing",
+    "missingval_plot",
+    "plots",
+    "save_fig",
+    "utils",
+    "xray",
+]
 __version__ = "0.1.0"

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize, pick, sub_batches, text_bytes
+from .common import CHUNK_BYTES, id_crc, materialize, pick, sub_batches, text_bytes
 
 ORDER = 2
 #: Bases of the count levels: of single tokens, and of longer n-grams.
@@ -40,7 +40,7 @@ BASES = (1.1, 1.5)
 #: Training texts (those with the least hashes of their ids) that the weights are estimated on.
 WEIGHING = 2000
 FILTER_BITS, SEGMENTS = 1 << 29, 4096
-HEAD, HEAD_BYTES = 1 << 19, 48
+HEAD, HEAD_BYTES = 1 << 18, 48
 #: Bytes of text whose counts are added up before the shuffle.
 SHARED = 32 << 20
 END = b""
@@ -96,20 +96,6 @@ def gram_hashes(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.n
     return out
 
 
-def context_hashes(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order from 2: the hash of the context, the n-1 tokens before each token, as an n-gram of its own."""
-    first = np.repeat(np.cumsum(counts) - counts, counts)
-    end = np.uint64(xxhash.xxh64_intdigest(END, 7))
-    place = np.arange(len(hashes))
-    at = lambda n: np.where(place - n >= first, hashes[np.maximum(place - n, 0)], end)
-    out = []
-    so_far = mix(at(1) + _A)
-    for n in range(1, order):
-        out.append(so_far | _ONE if n == 1 else so_far & ~_ONE)
-        so_far = mix(so_far * _B + mix(at(n + 1) + np.uint64(n)))
-    return out
-
-
 def levels(h: np.ndarray, counts: np.ndarray, bases: tuple[float, float]) -> np.ndarray:
     """1 + floor(log_base c), exact at powers; the base is that of the n-gram's length."""
     base = np.where(h & _ONE, bases[0], bases[1])
@@ -135,20 +121,27 @@ class Filter:
         self.false = self.fill**self.probes
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        """The greatest level up to which all levels of each n-gram are found."""
+        """The greatest level up to which all levels of each n-gram are found; a level's probes end at the first miss."""
         out, flat, width = np.zeros(len(h), np.int64), self.bits.reshape(-1), self.bits.shape[1]
-        active, q = np.arange(len(h)), 1
-        while len(active):
-            byte, bit = places(h[active], np.full(len(active), q), width, self.probes)
-            hit = ((flat[byte] >> bit) & 1).all(axis=0)
-            active = active[hit]
-            out[active] = q
-            q += 1
-            if q > 400:
+        active, base = np.arange(len(h)), segment_of(h) * width
+        for q in range(1, MOST_LEVELS):
+            one = mix(h ^ np.uint64(q * int(_B) % (1 << 64)))
+            two, one = one >> np.uint64(32) | _ONE, one & np.uint64(0xFFFFFFFF)
+            for _ in range(self.probes):
+                at = one & np.uint64(8 * width - 1)
+                hit = np.flatnonzero((flat[base + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(hit) < len(h):
+                    active, h, base, one, two = active[hit], h[hit], base[hit], one[hit], two[hit]
+                one = one + two
+            if not len(active):
                 break
+            out[active] = q
         return out
 
 
+MOST_LEVELS = 401
+
+
 def segment_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(52)).astype(np.int64)
 
@@ -162,29 +155,50 @@ def places(h: np.ndarray, level: np.ndarray, width: int, probes: int) -> tuple[n
     return segment_of(h) * width + (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
 
 
-def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(seg, h, n): the hashes and counts of all n-grams of the training rows, dealt out by segment."""
+def gram_counts(rows: DataFrame, words: DataFrame, order: int = ORDER) -> DataFrame:
+    """(seg, h, n): the hashes and counts of all n-grams of the training rows, dealt out by segment; those of single
+    tokens come from the vocabulary."""
+
+    def block(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(segment_of(h).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["seg", "h", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = Interned(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(segment_of(h).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["seg", "h", "n"])
-
         for batch in sub_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
             numbers, counts, _ = table.read(texts)
-            held += gram_hashes(table.hash[numbers], counts, order)
+            held += gram_hashes(table.hash[numbers], counts, order)[1:]
             size += sum(map(len, texts))
             if size >= SHARED:
-                yield flush()
+                yield block(*np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
         if held:
-            yield flush()
+            yield block(*np.unique(np.concatenate(held), return_counts=True))
 
-    dealt = rows.where("train").select("text").mapInArrow(run, "seg int, h long, n long").repartition("seg")
-    return dealt.groupBy("seg", "h").agg(F.sum("n").alias("n"))
+    def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.array([xxhash.xxh64_intdigest(t, 7) for t in batch.column("token").to_pylist()], np.uint64)
+            yield block(mix(h + _A) | _ONE, batch.column("c").to_numpy())
+
+    kind = "seg int, h long, n long"
+    dealt = words.where("c > 0").select("token", "c").mapInArrow(single, kind)
+    if order > 1:
+        dealt = dealt.unionByName(rows.where("train").select("text").mapInArrow(run, kind))
+    return dealt.repartition("seg").groupBy("seg", "h").agg(F.sum("n").alias("n"))
+
+
+def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+    """The training counts of the most frequent tokens: those above a frequency that at most `most` short tokens have."""
+    short = words.where(F.octet_length("token") <= HEAD_BYTES).withColumn("step", F.floor(20 * F.log("every")).cast("int"))
+    left, above = most, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # under 1000 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        above = r["step"]
+    if above is None:
+        return {}
+    return {bytes(r["token"]): r["c"] for r in short.where(F.col("step") >= above).select("token", "c").toLocalIterator()}
 
 
 def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, segments: int = SEGMENTS) -> Filter:
@@ -221,49 +235,52 @@ def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = O
 
 
 class Scorer:
-    """A worker's scorer."""
+    """A worker's scorer. Levels of single tokens are probed once for each token in its table."""
 
     def __init__(self, model: Filter):
-        self.model, self.table = model, Interned()
+        self.model, self.table, self.one = model, Interned(), np.zeros(0, np.int64)
 
-    def parts(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The level of each token, and for each order from 2 the levels of its context and of its n-gram."""
-        m = self.model
-        known = lambda h: (lambda u, back: m.level(u)[back])(*np.unique(h, return_inverse=True))
-        grams = gram_hashes(hashes, counts, m.order)
-        longer = []
-        for gram, context in zip(grams[1:], context_hashes(hashes, counts, m.order), strict=True):
-            above = known(context)
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """As Interned.read."""
+        numbers, counts, new = self.table.read(texts)
+        if len(self.one) + len(new) != len(self.table.hash):  # the table was cleared
+            self.one = np.zeros(0, np.int64)
+        self.one = np.r_[self.one, self.model.level(mix(self.table.hash[len(self.one) :] + _A) | _ONE)]
+        return numbers, counts, new
+
+    def parts(self, numbers: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order from 2 the levels of each token's context and n-gram."""
+        begins = (np.cumsum(counts) - counts)[counts > 0]
+        below, out = self.one[numbers], []
+        for k, gram in enumerate(gram_hashes(self.table.hash[numbers], counts, self.model.order)[1:]):
+            above = np.r_[0, below[:-1]]
+            above[begins] = 0 if k else self.one[self.table.number[END]]
             seen = np.flatnonzero(above > 0)  # without the context there is no longer n-gram
-            q = np.zeros(len(gram), np.int64)
-            q[seen] = known(gram[seen])
-            longer.append((above, q))
-        return known(grams[0]), longer
+            distinct, back = np.unique(gram[seen], return_inverse=True)
+            below = np.zeros(len(gram), np.int64)
+            below[seen] = self.model.level(distinct)[back]
+            out.append((above, below))
+        return out
 
-    def log10(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def log10(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
         m = self.model
         low = lambda q, base: np.where(q > 0, base ** (q - 1), 0.0)
-        one, longer = self.parts(hashes, counts)
-        p = (low(one, m.bases[0]) + 0.5) / (m.total + 0.5 * (m.distinct + 1))
-        for k, (weights, (above, q)) in enumerate(zip(m.weights, longer, strict=True)):
+        p = (low(self.one[numbers], m.bases[0]) + 0.5) / (m.total + 0.5 * (m.distinct + 1))
+        for k, (weights, (above, q)) in enumerate(zip(m.weights, self.parts(numbers, counts), strict=True)):
             most = np.maximum(m.bases[min(k, 1)] ** above, 1.0)  # an n-gram isn't more frequent than its context
             weight = (1 - m.false) * weights[np.minimum(above, len(weights) - 1)]
             p = weight * np.minimum(low(q, m.bases[1]) / most, 1.0) + (1 - weight) * p
         return np.log10(p)
 
 
-MOST_LEVELS = 401
-
-
 def weigh(model: Filter, texts: list[bytes]) -> np.ndarray:
     """The weights by order and context level: shares of n-grams met again elsewhere, with one pseudo-count against."""
     scorer = Scorer(model)
     again, every = np.zeros((model.order - 1, MOST_LEVELS)), np.ones((model.order - 1, MOST_LEVELS))
     for at in range(0, len(texts), 100):
-        numbers, counts, _ = scorer.table.read(texts[at : at + 100])
-        _, longer = scorer.parts(scorer.table.hash[numbers], counts)
-        for k, (above, q) in enumerate(longer):
+        numbers, counts, _ = scorer.read(texts[at : at + 100])
+        for k, (above, q) in enumerate(scorer.parts(numbers, counts)):
             every[k] += np.bincount(above, minlength=MOST_LEVELS)
             again[k] += np.bincount(above, weights=q > 1, minlength=MOST_LEVELS)
     weights = again / every
@@ -313,15 +330,15 @@ def _scored(rows: DataFrame, model: Broadcast, head: Broadcast) -> DataFrame:
         unit = model.value.total + 0.5 * (model.value.distinct + 1)
         exact = np.zeros(0, np.int64)
         names: list[bytes] = []
-        for batch in sub_batches(batches, "text"):
-            numbers, counts, new = table.read(batch.column("text").to_pylist())
+        for batch in sub_batches(batches, "text", 3 * CHUNK_BYTES):
+            numbers, counts, new = scorer.read(batch.column("text").to_pylist())
             if len(names) + len(new) != len(table.number):  # the table was cleared
                 exact, names = np.zeros(0, np.int64), []
             exact = np.r_[exact, np.array([counts_of.get(t, -1) for t in new], np.int64)]
             names += new
             begin = np.cumsum(counts) - counts
             c = exact[numbers]
-            score = np.add.reduceat(scorer.log10(table.hash[numbers], counts), begin)
+            score = np.add.reduceat(scorer.log10(numbers, counts), begin)
             base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / unit), 0.0), begin)
             known = np.add.reduceat((c > 0).astype(np.int64), begin)
             away = np.flatnonzero(c < 0)
@@ -345,15 +362,14 @@ def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, b
     words = materialize(vocabulary(rows), "vocabulary")
     sums = words.where("c > 0").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    counts = materialize(gram_counts(rows, order), "grams")
+    counts = materialize(gram_counts(rows, words, order), "grams")
     model = build_filter(counts, total, distinct, order=order, bases=bases, filter_bits=filter_bits)
     ids = pick(docs, "doc_id").where(train).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WEIGHING)
     sample = rows.where("train").join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * WEIGHING)
     model.weights = weigh(model, [bytes(r["text"]) for r in sample.collect()])
-    model = spark.sparkContext.broadcast(model)
-    top = words.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("every"), "token").limit(head)
-    frequent = spark.sparkContext.broadcast({bytes(r["token"]): r["c"] for r in top.select("token", "c").toLocalIterator()})
-    found = materialize(_scored(rows, model, frequent).withColumn("uid", F.monotonically_increasing_id()), "scores")
+    model = spark.sparkContext.broadcast(model)  # the driver's own copy goes
+    head_counts = spark.sparkContext.broadcast(frequent(words, head))
+    found = materialize(_scored(rows, model, head_counts).withColumn("uid", F.monotonically_increasing_id()), "scores")
     unit = F.lit(float(total + 0.5 * (distinct + 1)))
     tail = found.select("uid", F.explode("tail").alias("t")).select("uid", "t.token", "t.n").join(words.select("token", "c"), "token", "left")
     c = F.coalesce("c", F.lit(0))

@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], set
     scan = Scanner(Lexicon(terms), ordinary)
     x = np.array([scan.features(t) for t in texts[1] + texts[0]]).reshape(-1, len(FEATURES))
     y = np.r_[np.ones(len(texts[1])), np.zeros(len(texts[0]))]
-    return terms, ordinary, _ridge_logistic(x, y) if terms else np.r_[np.zeros(len(FEATURES)), -800.0]
+    return terms, ordinary, _ridge_logistic(x, y) if terms else np.zeros(len(FEATURES) + 1)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scan = Scanner(Lexicon(terms), ordinary)
         for batch in sub_batches(batches, "text"):
             x = np.array([scan.features(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -700, 700)))
+            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -700, 700))) if terms else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("crc"), pa.array(p)], names=["k", "crc", "score"])
 
     out = rows.mapInArrow(run, "k long, crc long, score double")

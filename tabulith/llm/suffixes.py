@@ -18,7 +18,7 @@ same document. All is exact over the whole table, by these steps.
 5. The removed stretches return to their documents and are merged.
 
 Memory: a task of step 4 holds about 500 bytes for each distinct context of one gram. Hash equality of a
-context is that of 128 bits in step 2 and 3.
+context is that of 104 bits in steps 2 and 3.
 
 Defined cases: null and empty texts have no bytes; texts under `width` bytes lose nothing; a null id counts as the
 smallest; rows that repeat an id are ordered by their text, as further documents after the first; an empty table
@@ -288,32 +288,43 @@ def _union(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return key[first], begin[first], far[np.r_[first[1:] - 1, len(key) - 1]] - key[first] * (1 << 40)
 
 
-_MEET = "h long, c long, k long, loc long, lo int, hi int"
+#: Bits for each side's length in a packed context.
+_SIDE = 12
+_MASK = (1 << _SIDE) - 1
+
+
+def _packed(context: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The upper bits of the context's hash with the lengths of its sides."""
+    bits = np.uint64(2 * _SIDE)
+    return (context >> bits << bits | (left << _SIDE | right).astype(np.uint64)).view(np.int64)
 
 
 def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
-    """Anchors (h gram, c context, k id, loc row number and place, lo and hi context), and with lo below 0: a
-    stretch already known to go (k, loc row number, hi and c its begin and end)."""
+    """Anchors: h the gram, c the context with its sides, k the id, loc the row number and place. A left side of all
+    ones marks a stretch already known to go: loc has its begin, the upper bits of c its end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
+        def block(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "k", "loc"])
+
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c, k, loc, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, c, k, loc = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((c, h))  # stable, and rows come in order of age
             again = np.r_[False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])]
-            first, rest = order[~again], order[again]
-            yield _rows(h[first], c[first], k[first], loc[first], lo[first], hi[first])
-            rest = np.sort(rest)
-            rest = rest[hi[rest] - lo[rest] >= width]
+            first, rest = order[~again], np.sort(order[again])
+            yield block(h[first], c[first], k[first], loc[first])
+            left, right = c[rest] >> _SIDE & _MASK, c[rest] & _MASK
+            rest, left, right = (x[left + right >= width] for x in (rest, left, right))
             if len(rest):
                 pair = np.stack([k[rest], loc[rest] >> 32])
                 number = np.cumsum(np.r_[False, (pair[:, 1:] != pair[:, :-1]).any(0)])
-                key, begin, end = _union(number, lo[rest], hi[rest])
+                place = loc[rest] & 0xFFFFFFFF
+                key, begin, end = _union(number, place - left, place + right)
                 of = rest[np.searchsorted(number, key)]
-                where = mix(k[of].view(np.uint64)).view(np.int64)
-                yield _rows(where, end, k[of], loc[of] >> 32 << 32, np.full(len(of), -1), begin)
+                yield block(mix(k[of].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, k[of], loc[of] >> 32 << 32 | begin)
 
         for batch, numbers in _numbered(batches):
             ids = batch.column("k").to_numpy()
@@ -321,7 +332,7 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
                 row = np.array([i for i, _ in piece])
                 text, place, h, c, lo, hi = anchors([t for _, t in piece], width, gram)
                 if len(text):
-                    held.append((h.view(np.int64), c.view(np.int64), ids[row[text]], numbers[row[text]] << 32 | place, lo, hi))
+                    held.append((h.view(np.int64), _packed(c, place - lo, hi - place), ids[row[text]], numbers[row[text]] << 32 | place))
                 size += sum(len(t) for _, t in piece)
                 if size >= SHARED and held:
                     yield from flush()
@@ -329,11 +340,7 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, _MEET)
-
-
-def _rows(h: np.ndarray, c: np.ndarray, k: np.ndarray, loc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(k), pa.array(loc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["h", "c", "k", "loc", "lo", "hi"])
+    return dealt.mapInArrow(run, "h long, c long, k long, loc long")
 
 
 _SORTED = "h long, k long, loc long, lo int, hi int, go boolean"
@@ -349,9 +356,10 @@ def _judged(meeting: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c, k, loc, lo, hi = (batch.column(n).to_numpy().astype(np.int64) for n in ("h", "c", "k", "loc", "lo", "hi"))
-            known = lo < 0
-            out = [[h[known], k[known], loc[known], hi[known], c[known], np.ones(known.sum(), bool)]]
+            h, c, k, loc = (batch.column(n).to_numpy() for n in ("h", "c", "k", "loc"))
+            left, place = c >> _SIDE & _MASK, loc & 0xFFFFFFFF
+            known, lo, hi = left == _MASK, place - left, place + (c & _MASK)
+            out = [[h[known], k[known], loc[known], place[known], c[known] >> 2 * _SIDE, np.ones(known.sum(), bool)]]
             if known.any():
                 h, c, k, loc, lo, hi = (x[~known] for x in (h, c, k, loc, lo, hi))
             if len(h):
@@ -429,8 +437,8 @@ def _compared(fetched: DataFrame, width: int, gram: int) -> DataFrame:
 def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, others: bool = False) -> DataFrame:
     """k (the id as a key), z (the compressed text), the arrays begins and ends of the stretches that go, in order,
     and rest (with `others`, the struct of all other columns)."""
-    if not 8 <= gram < width:
-        raise ValueError("gram must be 8 or more and below width")
+    if not 8 <= gram < width < _MASK:
+        raise ValueError(f"gram must be 8 or more and below width, width below {_MASK}")
     dealt = _dealt(docs, others)
     judged = _judged(_meeting(dealt, width, gram), width)
     known = judged.where("go").select("k", F.shiftright("loc", 32).alias("n"), "lo", "hi")

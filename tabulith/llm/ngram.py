@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_crc, materialize, pick, sub_batches, text_bytes
+from .common import id_crc, materialize, pick, sub_batches, text_bytes
 
 ORDER = 2
 #: Bases of the count levels: of single tokens, and of longer n-grams.
@@ -42,7 +42,7 @@ WEIGHING = 2000
 FILTER_BITS, SEGMENTS = 1 << 29, 4096
 HEAD, HEAD_BYTES = 1 << 18, 48
 #: Bytes of text whose counts are added up before the shuffle.
-SHARED = 32 << 20
+SHARED = 24 << 20
 END = b""
 _A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
 
@@ -61,7 +61,7 @@ def tokens(text: bytes) -> list[bytes]:
 class Interned:
     """A worker's table of distinct tokens: a number and a hash for each; forgotten at `most`."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
         self.clear()
 
@@ -330,7 +330,7 @@ def _scored(rows: DataFrame, model: Broadcast, head: Broadcast) -> DataFrame:
         unit = model.value.total + 0.5 * (model.value.distinct + 1)
         exact = np.zeros(0, np.int64)
         names: list[bytes] = []
-        for batch in sub_batches(batches, "text", 3 * CHUNK_BYTES):
+        for batch in sub_batches(batches, "text"):
             numbers, counts, new = scorer.read(batch.column("text").to_pylist())
             if len(names) + len(new) != len(table.number):  # the table was cleared
                 exact, names = np.zeros(0, np.int64), []

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, ngram, quality, rollup, rules, simhash, suffixes, toxicity, urls
+from .common import pick
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -53,7 +54,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+    return decontam.report(decontam.scan(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

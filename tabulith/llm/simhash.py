@@ -9,10 +9,13 @@ population counts differ by more than the radius are skipped, and so are those w
 so a bucket of near copies takes about one comparison of each tile. A bucket gives links to the least member of
 each of its components, never all pairs; `components` joins them up.
 
-Memory: a bucket is held in one task at 8 bytes a distinct fingerprint.
+Links are between ids, the least of each fingerprint, so the least id of a component is its root.
+
+Memory: a bucket is held in one task at 16 bytes a distinct fingerprint.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle make
-one shingle; a null id counts as the smallest; repeated rows and ids keep their rows; an empty table gives none.
+one shingle; a null id counts as the smallest; repeated rows keep their rows; texts
+that share an id are linked; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -133,7 +136,8 @@ def _tile_pairs(tiles: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int],
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) that connect what any links within `radius` bits connect, from distinct fingerprints `fp`."""
+    """From distinct fingerprints `fp` with distinct ids `least`: links (a, b) of ids that connect what any links within
+    `radius` bits connect."""
     if not 0 <= radius < blocks <= 64:
         raise ValueError("radius must be below blocks, blocks at most 64")
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -141,14 +145,14 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     masks = [sum(c) for c in combinations(parts, blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    rows = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", F.bit_count("fp"), "fp")
+    rows = fps.select("fp", "least", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", F.bit_count("fp"), "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key", 100_000):
-            fp = group.column("fp").to_numpy().view(np.uint64)
+            fp, least = group.column("fp").to_numpy().view(np.uint64), group.column("least").to_numpy()
             labels = bucket_labels(group.column("key").to_numpy(), fp, radius)
             moved = np.flatnonzero(labels != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[labels[moved]].view(np.int64))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(least[moved]), pa.array(least[labels[moved]])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -156,11 +160,12 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
 def classes(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = materialize(fingerprint_table(docs, size), "simhash")
+    # a fingerprint stands for its least id; should rows that repeat an id differ, that id joins their fingerprints
     distinct = rows.groupBy("fp").agg(F.min("k").alias("least"))
-    roots = components(links(distinct.select("fp"), radius, blocks))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
-    of = named.join(ids, "root").select(F.col("fp").alias("f"), "component")
+    roots = components(links(distinct, radius, blocks))
+    of = distinct.join(roots, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "least").alias("component"))
+    # written first, so both sides of the join are shuffled for it and a fingerprint of very many rows can be split
+    of = materialize(of, "classes")
     joined = rows.join(of, F.col("fp") == F.col("f"))
     return joined.select(key_id("k").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), key_id("component").alias("component_id"))
 

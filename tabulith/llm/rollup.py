@@ -108,7 +108,8 @@ def counted(docs: DataFrame) -> DataFrame:
     counts = [F.regexp_count("text", F.lit(p)).cast("long").alias(v) for v, p in VERSIONS.items()]
     key = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
     table = materialize(rows.select(key.alias("id"), "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.expr("char_length(text) div 6").cast("long").alias("estimate"), *counts), "counts")
-    first = table.groupBy("sha").agg(F.min("id").alias("first")).withColumnRenamed("sha", "of")
+    # written first, so both sides of the join are shuffled for it and a text of very many copies can be split
+    first = materialize(table.groupBy("sha").agg(F.min("id").alias("first")).withColumnRenamed("sha", "of"), "first")
     return table.join(first, F.col("sha") == F.col("of")).withColumn("copy", F.col("id") > F.col("first")).drop("of", "first", "id", "sha")
 
 

@@ -110,14 +110,14 @@ def cutoffs(table: DataFrame, labels: DataFrame, *, risk: float = RISK, doubt: f
     known = pick(labels, "doc_id", "quality").where("quality IN (0, 1)").select(F.col("doc_id").alias("labelled"), "quality")
     rated = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in zip(RULES, _thousandths(), strict=True)]))
     rows = table.join(known, F.col("doc_id") == F.col("labelled")).where("NOT base_failed").select(F.coalesce("lang", F.lit("\0null")).alias("stratum"), "quality", rated.alias("r"))
-    counts = rows.groupBy("stratum", "quality", "r.rule", "r.value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(rows.groupBy("stratum", "quality", "r.rule", "r.value").agg(F.count(F.lit(1)).alias("n")), "counts")
     over = counts.select("stratum", "rule", "quality", "value", "n", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"))
     good, bad, lost = F.col("quality") == 1, F.col("quality") == 0, F.col("value") > F.col("cutoff")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     tried = over.groupBy("stratum", "rule", "cutoff").agg(total(good).alias("good"), total(good & lost).alias("good_lost"), total(bad).alias("bad"), total(bad & lost).alias("bad_lost"))
-    strata = counts.agg(F.count_distinct("stratum").alias("strata"))
-    limit = F.lit(doubt) / (F.col("strata") * len(RULES) * len(CUTOFFS))
-    safe = tried.join(F.broadcast(strata)).where((F.col("good") > 0) & (binomial_tail(F.col("good_lost"), F.col("good"), risk / len(RULES)) <= limit))
+    strata = counts.agg(F.count_distinct("stratum")).first()[0]
+    limit = doubt / (max(strata, 1) * len(RULES) * len(CUTOFFS))
+    safe = tried.where((F.col("good") > 0) & (binomial_tail(F.col("good_lost"), F.col("good"), risk / len(RULES)) <= limit))
     worth = F.col("bad_lost") / F.greatest("bad", F.lit(1)) - cost * F.col("good_lost") / F.col("good")
     best = safe.groupBy("stratum", "rule").agg(F.max(F.struct(F.round(worth, 9), "cutoff"))["cutoff"].alias("cutoff"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))

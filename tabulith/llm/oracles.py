@@ -8,8 +8,9 @@ _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP6 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, (strlen(coalesce(text, '')))::BIGINT AS n FROM documents),
-p AS (SELECT doc_id, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100),
-g AS (SELECT p.doc_id, p.s, row_number() OVER (PARTITION BY substring(d.x, 2 * p.s + 1, 200) ORDER BY p.doc_id, p.s) AS r FROM p JOIN d USING (doc_id)),
+c AS (SELECT doc_id, n, b, substring(x, 2 * b + 1, 1198) AS y FROM (SELECT *, unnest(range(0, n - 99, 500)) AS b FROM d WHERE n >= 100)),
+p AS (SELECT doc_id, b + o AS s, md5_number(substring(y, 2 * o + 1, 200)) AS w FROM (SELECT *, unnest(range(0, least(500, n - 99 - b))) AS o FROM c)),
+g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM p),
 i AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS fresh FROM g WHERE r > 1),
 j AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM i),
 spans AS (SELECT doc_id, min(s) AS b, max(s) + 100 AS e FROM j GROUP BY doc_id, island),

@@ -17,7 +17,7 @@ same document. All is exact over the whole table, by these steps.
    both sides; all but the earliest of a class lose that window.
 5. The removed stretches return to their documents and are merged.
 
-Memory: a task of step 4 holds about 500 bytes for each distinct context of one gram. Hash equality of a
+Memory: a task of step 4 holds under 1 KB for each distinct context of one gram. Hash equality of a
 context is that of 104 bits in steps 2 and 3.
 
 Defined cases: null and empty texts have no bytes; texts under `width` bytes lose nothing; a null id counts as the

@@ -1,18 +1,11 @@
-import random
-
 import pytest
+from llm_cases import word_texts
 
 #: Columns that operators use inside: a table may have them too.
 CLASHES = ["ids", "decoded", "k", "z", "fp", "h", "score", "n_words", "hit_words", "hit_items", "key", "keep", "rest", "TEXT", "Doc_ID"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def word_texts(seed, n, size=60):
-    r = random.Random(seed)
-    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
-    return [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, size))) for _ in range(n)]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Rows with nulls, empty, blank, very long, repeated and non-ASCII texts, and clashing columns."""

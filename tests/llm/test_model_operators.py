@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from conftest import word_texts
+from llm_cases import word_texts
 from tabulith.llm import ngram, quality, rollup, rules, toxicity, urls
 
 
@@ -19,7 +19,7 @@ def crc(i):
 
 # --- language model ---
 
-SMALL = {"filter_bits": 1 << 22}
+SMALL = {"filter_bits": 1 << 22}  # a small corpus fits
 
 
 def brute_base(rows):

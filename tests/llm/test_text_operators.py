@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import word_texts  # tests/llm/conftest.py
+from llm_cases import word_texts
 from tabulith.llm import bpe, components, decontam, simhash, suffixes
 from tabulith.llm.common import pick
 

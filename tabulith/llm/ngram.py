@@ -5,7 +5,8 @@ each n-gram with count c is put into a Bloom filter at the levels 1 to 1 + floor
 size (`filter_bits`), so what is broadcast has a proven bound whatever the corpus; it is built in segments, each by
 the task that has the segment's n-grams. A scorer probes level after level until one is missing; that bounds the
 count from both sides. A probability is l c(h, w) / c(h) + (1 - l) P(w | shorter h) (Jelinek-Mercer), with a lower
-bound above the line and an upper bound below it, so probabilities add up to one at most. The weight l belongs to the
+bound above the line and an upper bound below it, so but for false positives, which add mass to n-grams that aren't
+there, probabilities add up to one at most. The weight l belongs to the
 level of c(h): the share of tokens after such contexts whose n-gram is met again elsewhere, by leave-one-out over
 `WEIGHING` training texts; the rate of false positives that the filter's fill implies lowers it, so as a corpus
 outgrows the filter, scores fall back to shorter contexts rather than break. Choose about ten bits for each n-gram
@@ -32,17 +33,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize, pick, sub_batches, text_bytes
+from .common import CHUNK_BYTES, id_crc, materialize, pick, sub_batches, text_bytes
 
 ORDER = 2
 #: Bases of the count levels: of single tokens, and of longer n-grams.
 BASES = (1.1, 1.5)
 #: Training texts (those with the least hashes of their ids) that the weights are estimated on.
 WEIGHING = 2000
-FILTER_BITS, SEGMENTS = 1 << 29, 4096
-HEAD, HEAD_BYTES = 1 << 18, 48
+#: Bits of the filter, its segments, and the probes of a level: 4 suit five to ten bits a level.
+FILTER_BITS, SEGMENTS, PROBES = 1 << 29, 4096, 4
+HEAD, HEAD_BYTES = 1 << 17, 48
 #: Bytes of text whose counts are added up before the shuffle.
-SHARED = 24 << 20
+SHARED = 16 << 20
 END = b""
 _A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
 
@@ -61,7 +63,7 @@ def tokens(text: bytes) -> list[bytes]:
 class Interned:
     """A worker's table of distinct tokens: a number and a hash for each; forgotten at `most`."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 120_000):
         self.most = most
         self.clear()
 
@@ -106,9 +108,10 @@ def levels(h: np.ndarray, counts: np.ndarray, bases: tuple[float, float]) -> np.
 
 @dataclass
 class Filter:
-    """Bits in segments; a segment is chosen by the n-gram's hash, bits in it by hash and level."""
+    """Segments of 64-bit words; a segment is chosen by the n-gram's hash, one word in it and the bits in that word by
+    hash and level, so a level costs one look-up."""
 
-    bits: np.ndarray  # uint8, segments x bytes
+    bits: np.ndarray  # uint64, segments x words
     probes: int
     bases: tuple[float, float]
     total: int  # N
@@ -117,24 +120,19 @@ class Filter:
     weights: np.ndarray | None = None  # by order from 2 and context level
 
     def __post_init__(self) -> None:
-        self.fill = float(np.bitwise_count(self.bits).sum() / max(8 * self.bits.size, 1))
+        self.fill = float(np.bitwise_count(self.bits).sum() / max(64 * self.bits.size, 1))
         self.false = self.fill**self.probes
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        """The greatest level up to which all levels of each n-gram are found; a level's probes end at the first miss."""
+        """The greatest level up to which all levels of each n-gram are found."""
         out, flat, width = np.zeros(len(h), np.int64), self.bits.reshape(-1), self.bits.shape[1]
-        active, base = np.arange(len(h)), segment_of(h) * width
+        active = np.arange(len(h))
         for q in range(1, MOST_LEVELS):
-            one = mix(h ^ np.uint64(q * int(_B) % (1 << 64)))
-            two, one = one >> np.uint64(32) | _ONE, one & np.uint64(0xFFFFFFFF)
-            for _ in range(self.probes):
-                at = one & np.uint64(8 * width - 1)
-                hit = np.flatnonzero((flat[base + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                if len(hit) < len(h):
-                    active, h, base, one, two = active[hit], h[hit], base[hit], one[hit], two[hit]
-                one = one + two
-            if not len(active):
+            word, mask = places(h, q, width, self.probes)
+            hit = np.flatnonzero(flat[word] & mask == mask)
+            if not len(hit):
                 break
+            active, h = active[hit], h[hit]
             out[active] = q
         return out
 
@@ -146,13 +144,14 @@ def segment_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(52)).astype(np.int64)
 
 
-def places(h: np.ndarray, level: np.ndarray, width: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte (in the whole filter) and bit of each probe: arrays of probes x n-grams."""
-    one = mix(h ^ level.astype(np.uint64) * _B)
-    two = one >> np.uint64(32) | np.uint64(1)
-    k = np.arange(probes, dtype=np.uint64)[:, None]
-    at = ((one & np.uint64(0xFFFFFFFF)) + k * two) & np.uint64(8 * width - 1)
-    return segment_of(h) * width + (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+def places(h: np.ndarray, level: int | np.ndarray, width: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n-grams at a level: the word of the whole filter, and the bits in it that are probed."""
+    salt = np.uint64(level * int(_B) % (1 << 64)) if isinstance(level, int) else level.astype(np.uint64) * _B
+    one = mix(h ^ salt)
+    mask = np.zeros(len(h), np.uint64)
+    for k in range(probes):
+        mask |= _ONE << (one >> np.uint64(6 * k) & np.uint64(63))
+    return segment_of(h) * width + (one >> np.uint64(40) & np.uint64(width - 1)).astype(np.int64), mask
 
 
 def gram_counts(rows: DataFrame, words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -198,15 +197,16 @@ def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
         above = r["step"]
     if above is None:
         return {}
-    return {bytes(r["token"]): r["c"] for r in short.where(F.col("step") >= above).select("token", "c").toLocalIterator()}
+    table = short.where(F.col("step") >= above).select("token", "c").toArrow()  # `most` rows at most
+    return dict(zip(table.column("token").to_pylist(), table.column("c").to_pylist(), strict=True))
 
 
-def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, segments: int = SEGMENTS) -> Filter:
-    """The filter of materialized gram_counts. Its size is fixed; the driver gets its segments, never n-grams."""
-    if segments != 4096 or filter_bits % (8 * segments) or (width := filter_bits // 8 // segments) & (width - 1):
-        raise ValueError("filter_bits must be 4096 segments of a power of two of bytes")
-    entries = counts.agg(F.sum(1 + F.floor(F.log("n") / F.when(F.col("h") % 2 != 0, float(np.log(bases[0]))).otherwise(float(np.log(bases[1])))))).first()[0] or 1
-    probes = int(np.clip(round(np.log(2) * filter_bits / int(entries)), 1, 8))
+def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, probes: int = PROBES) -> Filter:
+    """The filter of gram_counts, built by the tasks that add the counts up. Its size is fixed; the driver gets its
+    segments, never n-grams."""
+    width = filter_bits // 64 // SEGMENTS
+    if width < 1 or width & (width - 1) or filter_bits != 64 * SEGMENTS * width or not 1 <= probes <= 6:
+        raise ValueError(f"filter_bits must be {SEGMENTS} segments of a power of two of 64-bit words, probes 1 to 6")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -216,21 +216,19 @@ def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = O
             segment = segment_of(h)
             every = np.repeat(np.arange(len(h)), q)
             level = np.arange(len(every)) - np.repeat(np.cumsum(q) - q, q) + 1
-            byte, bit = places(h[every], level, width, probes)
-            byte, mask = (byte % width).reshape(-1), (np.uint8(1) << bit).reshape(-1)
-            of = np.tile(segment[every], probes)
+            word, mask = places(h[every], level, width, probes)
             present = np.unique(segment)
-            slot = np.searchsorted(present, of)
-            block = np.zeros((len(present), width), np.uint8)
-            np.bitwise_or.at(block.reshape(-1), slot * width + byte, mask)
+            block = np.zeros((len(present), width), np.uint64)
+            np.bitwise_or.at(block.reshape(-1), np.searchsorted(present, segment[every]) * width + word % width, mask)
             for s, part in zip(present.tolist(), block, strict=True):
                 own[s] = own[s] | part if s in own else part.copy()
         for s, part in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["seg", "bits"])
 
-    bits = np.zeros((segments, width), np.uint8)
-    for row in counts.repartition("seg").mapInArrow(run, "seg int, bits binary").toLocalIterator():
-        bits[row["seg"]] |= np.frombuffer(row["bits"], np.uint8)
+    bits = np.zeros((SEGMENTS, width), np.uint64)
+    # written first: all tasks build at once, and the driver then reads filter_bits in all, piece by piece
+    for row in materialize(counts.mapInArrow(run, "seg int, bits binary"), "filter").toLocalIterator():
+        bits[row["seg"]] |= np.frombuffer(row["bits"], np.uint64)
     return Filter(bits, probes, bases, total, distinct, order)
 
 
@@ -255,7 +253,7 @@ class Scorer:
         for k, gram in enumerate(gram_hashes(self.table.hash[numbers], counts, self.model.order)[1:]):
             above = np.r_[0, below[:-1]]
             above[begins] = 0 if k else self.one[self.table.number[END]]
-            seen = np.flatnonzero(above > 0)  # without the context there is no longer n-gram
+            seen = np.flatnonzero((above > 0) & (below > 0))  # an n-gram has both shorter ones in it
             distinct, back = np.unique(gram[seen], return_inverse=True)
             below = np.zeros(len(gram), np.int64)
             below[seen] = self.model.level(distinct)[back]
@@ -330,7 +328,7 @@ def _scored(rows: DataFrame, model: Broadcast, head: Broadcast) -> DataFrame:
         unit = model.value.total + 0.5 * (model.value.distinct + 1)
         exact = np.zeros(0, np.int64)
         names: list[bytes] = []
-        for batch in sub_batches(batches, "text"):
+        for batch in sub_batches(batches, "text", CHUNK_BYTES // 2):
             numbers, counts, new = scorer.read(batch.column("text").to_pylist())
             if len(names) + len(new) != len(table.number):  # the table was cleared
                 exact, names = np.zeros(0, np.int64), []
@@ -362,8 +360,7 @@ def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, b
     words = materialize(vocabulary(rows), "vocabulary")
     sums = words.where("c > 0").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    counts = materialize(gram_counts(rows, words, order), "grams")
-    model = build_filter(counts, total, distinct, order=order, bases=bases, filter_bits=filter_bits)
+    model = build_filter(gram_counts(rows, words, order), total, distinct, order=order, bases=bases, filter_bits=filter_bits)
     ids = pick(docs, "doc_id").where(train).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WEIGHING)
     sample = rows.where("train").join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * WEIGHING)
     model.weights = weigh(model, [bytes(r["text"]) for r in sample.collect()])

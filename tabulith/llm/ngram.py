@@ -65,10 +65,12 @@ class Interned:
 
     def __init__(self, most: int = 120_000):
         self.most = most
+        self.number: dict[bytes, int] = defaultdict()
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = None  # else the old table, which refers to itself, stays until a full collection
+        self.number = defaultdict()
         self.number.default_factory = self.number.__len__
         self.hash = np.zeros(0, np.uint64)
 

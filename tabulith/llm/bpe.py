@@ -106,10 +106,12 @@ class Encoder:
         self.tables = tables
         self.find = regex.compile(WORDS).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.added, key=len, reverse=True))) + ")").split if tables.added else None
+        self.index: dict[str, int] = defaultdict()
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = None  # else the old table, which refers to itself, stays until a full collection
+        self.index = defaultdict()
         self.index.default_factory = self.index.__len__
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for token, i in self.tables.added.items():

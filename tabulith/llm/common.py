@@ -73,6 +73,12 @@ def sub_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUN
             at = to
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices: the JVM holds a batch that it gets as a whole, beside its heap."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
     """From rows sorted by `column`: tables of `least` rows or more that never split a value of it."""
     held: list[pa.RecordBatch] = []

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_crc, materialize, pick, sub_batches, text_bytes
+from .common import CHUNK_BYTES, id_crc, materialize, pick, pieces, sub_batches, text_bytes
 
 ORDER = 2
 #: Bases of the count levels: of single tokens, and of longer n-grams.
@@ -43,8 +43,8 @@ WEIGHING = 2000
 #: Bits of the filter, its segments, and the probes of a level: 4 suit five to ten bits a level.
 FILTER_BITS, SEGMENTS, PROBES = 1 << 29, 4096, 4
 HEAD, HEAD_BYTES = 1 << 17, 48
-#: Bytes of text whose counts are added up before the shuffle.
-SHARED = 16 << 20
+#: Bytes of text whose token counts, and whose n-gram counts, are added up before the shuffle.
+SHARED, SHARED_GRAMS = 16 << 20, 32 << 20
 END = b""
 _A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
 
@@ -170,11 +170,11 @@ def gram_counts(rows: DataFrame, words: DataFrame, order: int = ORDER) -> DataFr
             numbers, counts, _ = table.read(texts)
             held += gram_hashes(table.hash[numbers], counts, order)[1:]
             size += sum(map(len, texts))
-            if size >= SHARED:
-                yield block(*np.unique(np.concatenate(held), return_counts=True))
+            if size >= SHARED_GRAMS:
+                yield from pieces(block(*np.unique(np.concatenate(held), return_counts=True)))
                 held, size = [], 0
         if held:
-            yield block(*np.unique(np.concatenate(held), return_counts=True))
+            yield from pieces(block(*np.unique(np.concatenate(held), return_counts=True)))
 
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import expand, id_key, key_id, plain, text_bytes, whole_groups
+from .common import expand, id_key, key_id, pieces, plain, text_bytes, whole_groups
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are turned into anchors at a time, and that share one table of first anchors.
@@ -315,7 +315,7 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
             order = np.lexsort((c, h))  # stable, and rows come in order of age
             again = np.r_[False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])]
             first, rest = order[~again], np.sort(order[again])
-            yield block(h[first], c[first], k[first], loc[first])
+            yield from pieces(block(h[first], c[first], k[first], loc[first]))
             left, right = c[rest] >> _SIDE & _MASK, c[rest] & _MASK
             rest, left, right = (x[left + right >= width] for x in (rest, left, right))
             if len(rest):
@@ -324,7 +324,7 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
                 place = loc[rest] & 0xFFFFFFFF
                 key, begin, end = _union(number, place - left, place + right)
                 of = rest[np.searchsorted(number, key)]
-                yield block(mix(k[of].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, k[of], loc[of] >> 32 << 32 | begin)
+                yield from pieces(block(mix(k[of].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, k[of], loc[of] >> 32 << 32 | begin))
 
         for batch, numbers in _numbered(batches):
             ids = batch.column("k").to_numpy()

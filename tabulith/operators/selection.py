@@ -57,22 +57,29 @@ def select_ranks(df: DataFrame, values: dict[str, Column], counts: dict[str, int
             open_.append((c, _Bracket(slots[c], r, ends[2 * k], ends[2 * k + 1])))
     found: dict[tuple[str, int], float] = {}
     while open_:
+        within = lambda c, b: (doubles[c] >= b.low) & (doubles[c] <= b.high)
         aggregates = []
         for i, (c, b) in enumerate(open_):
-            inside = (doubles[c] >= b.low) & (doubles[c] <= b.high)
-            aggregates += [F.count_if(doubles[c] < b.low).alias(f"below{i}"), F.count_if(inside).alias(f"inside{i}"), F.approx_count_distinct(F.when(inside, doubles[c])).alias(f"distinct{i}")]
+            aggregates += [F.count_if(doubles[c] < b.low).alias(f"below{i}"), F.count_if(within(c, b)).alias(f"inside{i}")]
         row = df.agg(*aggregates).first()
-        small, again = [], []
+        small, wide, again = [], [], []
         for i, (c, b) in enumerate(open_):
             b.below = row[f"below{i}"]
             if not b.below <= b.rank < b.below + row[f"inside{i}"]:  # the sketch erred beyond its bound
                 again.append((c, _Bracket(b.slot, b.rank, float("-inf"), float("nan"))))
-            elif row[f"distinct{i}"] > MOST_VALUES:
-                part = F.when((doubles[c] >= b.low) & (doubles[c] <= b.high), doubles[c])
-                low, high = df.agg(F.percentile_approx(part, list(points(b.rank - b.below, row[f"inside{i}"])), ACCURACY)).first()[0]
-                again.append((c, _Bracket(b.slot, b.rank, low, high)))
+            elif b.low == b.high:
+                found[c, b.rank] = b.low
             else:
-                small.append((i, c, b))
+                (small if row[f"inside{i}"] <= MOST_VALUES else wide).append((i, c, b))
+        if wide:  # many rows may still be few values
+            exprs = [F.approx_count_distinct(F.when(within(c, b), doubles[c])).alias(f"d{i}") for i, c, b in wide]
+            exprs += [F.percentile_approx(F.when(within(c, b), doubles[c]), list(points(b.rank - b.below, row[f"inside{i}"])), ACCURACY).alias(f"p{i}") for i, c, b in wide]
+            more = df.agg(*exprs).first()
+            for i, c, b in wide:
+                if more[f"d{i}"] <= MOST_VALUES:
+                    small.append((i, c, b))
+                else:
+                    again.append((c, _Bracket(b.slot, b.rank, *more[f"p{i}"])))
         if small:
             pieces = [F.struct(F.lit(i).alias("i"), F.when((doubles[c] >= b.low) & (doubles[c] <= b.high), doubles[c]).alias("v")) for i, c, b in small]
             table = df.select(F.explode(F.filter(F.array(*pieces), lambda x: x["v"].isNotNull())).alias("x")).groupBy("x.i", "x.v").count().collect()

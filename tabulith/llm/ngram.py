@@ -1,16 +1,18 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 Tokens are words and one end for each text; n-grams of 1 to `order` tokens are counted over all training texts, and
-each n-gram with count c is put into a Bloom filter at the levels 1 to 1 + floor(log_base c). The filter has a fixed
-size (`filter_bits`), so what is broadcast has a proven bound whatever the corpus; it is built in segments, each by
-the task that has the segment's n-grams. A scorer probes level after level until one is missing; that bounds the
-count from both sides. A probability is l c(h, w) / c(h) + (1 - l) P(w | shorter h) (Jelinek-Mercer), with a lower
-bound above the line and an upper bound below it, so but for false positives, which add mass to n-grams that aren't
-there, probabilities add up to one at most. The weight l belongs to the
-level of c(h): the share of tokens after such contexts whose n-gram is met again elsewhere, by leave-one-out over
-`WEIGHING` training texts; the rate of false positives that the filter's fill implies lowers it, so as a corpus
-outgrows the filter, scores fall back to shorter contexts rather than break. Choose about ten bits for each n-gram
-level.
+each n-gram with count c is put into a Bloom filter at the levels 1 to 1 + floor(log_base c). The filter is cut into
+`SEGMENTS` by hash; the task that has a segment's n-grams counts their levels and gives the segment `LEVEL_BITS` to twice
+as many bits for each, so the rate of false positives stays the same while the corpus grows. The filter is never
+broadcast: texts are written in chunks, the distinct n-grams of a chunk go to their segments and the levels come back
+to the chunk. A task holds some segments (1/4096 of the filter each) and one chunk.
+
+Level after level is probed until one is missing; that bounds the count from both sides. A probability is
+l c(h, w) / c(h) + (1 - l) P(w | shorter h) (Jelinek-Mercer), with a lower bound above the line and an upper bound below
+it, so but for false positives, which add mass to n-grams that aren't there, probabilities add up to one at most; no
+count is taken for more than N. The weight l belongs to the level of c(h): the share of tokens after such contexts whose
+n-gram is met again elsewhere, by leave-one-out over all training texts, lowered by the rate of false positives that
+the filter's fill implies.
 
 The base score needs exact counts: those of the `head` most frequent tokens are broadcast (bounded), the rest meet
 the vocabulary by a join on the token; as no token outside the head is frequent, no key of that join is hot.
@@ -21,6 +23,7 @@ keep their rows and count again; without training texts N and V are 0.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,24 +32,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_crc, materialize, pick, pieces, sub_batches, text_bytes
+from .common import id_crc, materialize, pick, pieces, sub_batches, text_bytes, whole_groups
 
 ORDER = 2
 #: Bases of the count levels: of single tokens, and of longer n-grams.
 BASES = (1.1, 1.5)
-#: Training texts (those with the least hashes of their ids) that the weights are estimated on.
-WEIGHING = 2000
-#: Bits of the filter, its segments, and the probes of a level: 4 suit five to ten bits a level.
-FILTER_BITS, SEGMENTS, PROBES = 1 << 29, 4096, 4
+#: The filter's segments, its least bits for each n-gram level, and the probes of a level: 4 suit five to ten bits a level.
+SEGMENTS, LEVEL_BITS, PROBES = 4096, 10, 4
+#: Bits of a filter that is held as a whole (build_filter).
+FILTER_BITS = 1 << 29
+#: Bytes of text whose distinct n-grams are looked up together.
+TOGETHER = 8 << 20
 HEAD, HEAD_BYTES = 1 << 17, 48
 #: Bytes of text whose token counts, and whose n-gram counts, are added up before the shuffle.
 SHARED, SHARED_GRAMS = 16 << 20, 32 << 20
 END = b""
 _A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
+_KEPT, _SINGLE = np.uint64(0xFFFFFFFFFFFFE000), np.uint64(0x1001)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -85,18 +92,24 @@ class Interned:
         return np.concatenate(rows), np.array([len(r) for r in rows], np.int64), new
 
 
+def of_single(h: np.ndarray) -> np.ndarray:
+    """The hash of single tokens: 51 bits, and the mark of single tokens in bits 0 and 12, so 12 bits for the segment and
+    5 bytes tell it."""
+    return mix(h + _A) & _KEPT | _SINGLE
+
+
 def gram_hashes(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
     """For each order from 1: the hash of the n-gram that ends at each token, odd for single tokens only. Before a text's first token stands an end."""
     first = np.repeat(np.cumsum(counts) - counts, counts)
     end = np.uint64(xxhash.xxh64_intdigest(END, 7))
     place = np.arange(len(hashes))
     so_far = mix(hashes + _A)
-    out = [so_far | _ONE]
+    out = [so_far & _KEPT | _SINGLE]
     for n in range(1, order):
         back = place - n
         before = np.where(back >= first, hashes[np.maximum(back, 0)], end)
         so_far = mix(so_far * _B + mix(before + np.uint64(n)))
-        out.append(so_far & ~_ONE)
+        out.append(so_far & _KEPT)
     return out
 
 
@@ -127,16 +140,22 @@ class Filter:
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The greatest level up to which all levels of each n-gram are found."""
-        out, flat, width = np.zeros(len(h), np.int64), self.bits.reshape(-1), self.bits.shape[1]
-        active = np.arange(len(h))
-        for q in range(1, MOST_LEVELS):
-            word, mask = places(h, q, width, self.probes)
-            hit = np.flatnonzero(flat[word] & mask == mask)
-            if not len(hit):
-                break
-            active, h = active[hit], h[hit]
-            out[active] = q
-        return out
+        width = self.bits.shape[1]
+        return probed(self.bits.reshape(-1), segment_of(h) * width, np.full(len(h), width), h, self.probes)
+
+
+def probed(flat: np.ndarray, begin: np.ndarray, width: np.ndarray, h: np.ndarray, probes: int) -> np.ndarray:
+    """The greatest level up to which all levels of each n-gram are found in its segment: `width` words from `begin`."""
+    out, active = np.zeros(len(h), np.int64), np.flatnonzero(width > 0)
+    begin, width, h = begin[active], width[active], h[active]
+    for q in range(1, MOST_LEVELS):
+        word, mask = places(h, q, width, probes)
+        hit = np.flatnonzero(flat[begin + word] & mask == mask)
+        if not len(hit):
+            break
+        active, begin, width, h = active[hit], begin[hit], width[hit], h[hit]
+        out[active] = q
+    return out
 
 
 MOST_LEVELS = 401
@@ -146,14 +165,14 @@ def segment_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(52)).astype(np.int64)
 
 
-def places(h: np.ndarray, level: int | np.ndarray, width: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """For n-grams at a level: the word of the whole filter, and the bits in it that are probed."""
+def places(h: np.ndarray, level: int | np.ndarray, width: int | np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n-grams at a level: the word of the segment, and the bits in it that are probed."""
     salt = np.uint64(level * int(_B) % (1 << 64)) if isinstance(level, int) else level.astype(np.uint64) * _B
     one = mix(h ^ salt)
     mask = np.zeros(len(h), np.uint64)
     for k in range(probes):
         mask |= _ONE << (one >> np.uint64(6 * k) & np.uint64(63))
-    return segment_of(h) * width + (one >> np.uint64(40) & np.uint64(width - 1)).astype(np.int64), mask
+    return (one >> np.uint64(40)).astype(np.int64) & width - 1, mask
 
 
 def gram_counts(rows: DataFrame, words: DataFrame, order: int = ORDER) -> DataFrame:
@@ -179,7 +198,7 @@ def gram_counts(rows: DataFrame, words: DataFrame, order: int = ORDER) -> DataFr
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.array([xxhash.xxh64_intdigest(t, 7) for t in batch.column("token").to_pylist()], np.uint64)
-            yield block(mix(h + _A) | _ONE, batch.column("c").to_numpy())
+            yield block(of_single(h), batch.column("c").to_numpy())
 
     kind = "seg int, h long, n long"
     dealt = words.where("c > 0").select("token", "c").mapInArrow(single, kind)
@@ -203,37 +222,65 @@ def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(table.column("token").to_pylist(), table.column("c").to_pylist(), strict=True))
 
 
-def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, probes: int = PROBES) -> Filter:
-    """The filter of gram_counts, built by the tasks that add the counts up. Its size is fixed; the driver gets its
-    segments, never n-grams."""
-    width = filter_bits // 64 // SEGMENTS
-    if width < 1 or width & (width - 1) or filter_bits != 64 * SEGMENTS * width or not 1 <= probes <= 6:
+def segments(counts: DataFrame, *, bases: tuple[float, float] = BASES, filter_bits: int | None = None, probes: int = PROBES) -> DataFrame:
+    """(seg, bits, ones): the filter of gram_counts by segment, each built by the task that adds its counts up and sized
+    by its levels, or of filter_bits in all."""
+    fixed = (filter_bits or 0) // 64 // SEGMENTS
+    if filter_bits is not None and (fixed < 1 or fixed & (fixed - 1) or filter_bits != 64 * SEGMENTS * fixed) or not 1 <= probes <= 6:
         raise ValueError(f"filter_bits must be {SEGMENTS} segments of a power of two of 64-bit words, probes 1 to 6")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            q = levels(h, batch.column("n").to_numpy(), bases)
-            segment = segment_of(h)
-            every = np.repeat(np.arange(len(h)), q)
-            level = np.arange(len(every)) - np.repeat(np.cumsum(q) - q, q) + 1
-            word, mask = places(h[every], level, width, probes)
-            present = np.unique(segment)
-            block = np.zeros((len(present), width), np.uint64)
-            np.bitwise_or.at(block.reshape(-1), np.searchsorted(present, segment[every]) * width + word % width, mask)
-            for s, part in zip(present.tolist(), block, strict=True):
-                own[s] = own[s] | part if s in own else part.copy()
-        for s, part in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["seg", "bits"])
-
-    bits = np.zeros((SEGMENTS, width), np.uint64)
-    # written first: all tasks build at once, and the driver then reads filter_bits in all, piece by piece
-    for row in materialize(counts.mapInArrow(run, "seg int, bits binary"), "filter").toLocalIterator():
-        bits[row["seg"]] |= np.frombuffer(row["bits"], np.uint64)
+        for table in whole_groups(batches, "seg", 1):
+            seg = table.column("seg").to_numpy()
+            all_h, all_n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
+            cuts = [*np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]).tolist(), len(seg)]
+            for at, to in zip(cuts, cuts[1:]):
+                h, q = all_h[at:to], levels(all_h[at:to], all_n[at:to], bases)
+                width = fixed or 1 << max(0, int(LEVEL_BITS * q.sum() - 1) // 64).bit_length()
+                part = np.zeros(width, np.uint64)
+                for low in range(0, len(h), 100_000):
+                    some = q[low : low + 100_000]
+                    every = np.repeat(np.arange(low, low + len(some)), some)
+                    level = np.arange(len(every)) - np.repeat(np.cumsum(some) - some, some) + 1
+                    word, mask = places(h[every], level, width, probes)
+                    np.bitwise_or.at(part, word, mask)
+                yield pa.RecordBatch.from_arrays([pa.array(seg[at : at + 1]), pa.array([part.tobytes()], pa.binary()), pa.array([int(np.bitwise_count(part).sum())], pa.int64())], names=["seg", "bits", "ones"])
+
+    # written first: all tasks build at once
+    return materialize(counts.sortWithinPartitions("seg").mapInArrow(run, "seg int, bits binary, ones long"), "filter")
+
+
+def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, probes: int = PROBES) -> Filter:
+    """The filter of gram_counts as a whole, of a fixed size, on the driver."""
+    bits = np.zeros((SEGMENTS, filter_bits // 64 // SEGMENTS), np.uint64)
+    for row in segments(counts, bases=bases, filter_bits=filter_bits, probes=probes).toLocalIterator():
+        bits[row["seg"]] = np.frombuffer(row["bits"], np.uint64)
     return Filter(bits, probes, bases, total, distinct, order)
 
 
+def contexts(below: list[np.ndarray], counts: np.ndarray, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 2 the levels of each token's context and n-gram, from the levels of the n-grams of each order."""
+    begins = (np.cumsum(counts) - counts)[counts > 0]
+    last, out = below[0], []
+    for k, own in enumerate(below[1:]):
+        above = np.r_[0, last[:-1]][: len(last)]
+        above[begins] = 0 if k else end
+        last = np.where((above > 0) & (last > 0), own, 0)  # an n-gram has both shorter ones in it
+        out.append((above, last))
+    return out
+
+
+def log10(one: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, total: int, distinct: int, bases: tuple[float, float], false: float) -> np.ndarray:
+    """log10 probability of each token from the levels."""
+    low = lambda q, base: np.where(q > 0, base ** (q - 1.0), 0.0)
+    p = (np.minimum(low(one, bases[0]), total) + 0.5) / (total + 0.5 * (distinct + 1))
+    for k, (own, (above, q)) in enumerate(zip(weights, parts, strict=True)):
+        most = np.maximum(bases[min(k, 1)] ** above.astype(float), 1.0)  # an n-gram isn't more frequent than its context
+        weight = (1 - false) * own[np.minimum(above, len(own) - 1)]
+        p = weight * np.minimum(low(q, bases[1]) / most, 1.0) + (1 - weight) * p
+    return np.log10(p)
+
+
 class Scorer:
     """A worker's scorer. Levels of single tokens are probed once for each token in its table."""
 
@@ -245,7 +292,7 @@ class Scorer:
         numbers, counts, new = self.table.read(texts)
         if len(self.one) + len(new) != len(self.table.hash):  # the table was cleared
             self.one = np.zeros(0, np.int64)
-        self.one = np.r_[self.one, self.model.level(mix(self.table.hash[len(self.one) :] + _A) | _ONE)]
+        self.one = np.r_[self.one, self.model.level(of_single(self.table.hash[len(self.one) :]))]
         return numbers, counts, new
 
     def parts(self, numbers: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -265,13 +312,7 @@ class Scorer:
     def log10(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
         m = self.model
-        low = lambda q, base: np.where(q > 0, base ** (q - 1), 0.0)
-        p = (low(self.one[numbers], m.bases[0]) + 0.5) / (m.total + 0.5 * (m.distinct + 1))
-        for k, (weights, (above, q)) in enumerate(zip(m.weights, self.parts(numbers, counts), strict=True)):
-            most = np.maximum(m.bases[min(k, 1)] ** above, 1.0)  # an n-gram isn't more frequent than its context
-            weight = (1 - m.false) * weights[np.minimum(above, len(weights) - 1)]
-            p = weight * np.minimum(low(q, m.bases[1]) / most, 1.0) + (1 - weight) * p
-        return np.log10(p)
+        return log10(self.one[numbers], self.parts(numbers, counts), m.weights, m.total, m.distinct, m.bases, m.false)
 
 
 def weigh(model: Filter, texts: list[bytes]) -> np.ndarray:
@@ -318,62 +359,238 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.select("text", "train").mapInArrow(run, "token binary, c long, every long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
 
 
-_SCORED = "uid long, n_tokens long, head_known long, head_base double, score double, tail array<struct<token: binary, n: long>>"
+def let_go(spark: SparkSession) -> None:
+    """Shuffles of finished jobs, that nothing refers to any more, leave the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def _scored(rows: DataFrame, model: Broadcast, head: Broadcast) -> DataFrame:
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, " + _SCORED.removeprefix("uid long, ")
+def chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, ids, train, sizes, data): the texts of about TOGETHER bytes in a row, compressed, written once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        table, counts_of = scorer.table, head.value
-        unit = model.value.total + 0.5 * (model.value.distinct + 1)
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in sub_batches(batches, "text", TOGETHER):
+            texts = batch.column("text").to_pylist()
+            ends = pa.array([0, len(texts)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, c) for c in (batch.column("doc_id"), batch.column("train"), pa.array(list(map(len, texts)), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([tool.compress(b"".join(texts))], pa.binary())], names=["ids", "train", "sizes", "data"])
+
+    schema = f"ids array<{rows.schema['doc_id'].dataType.simpleString()}>, train array<boolean>, sizes array<int>, data binary"
+    return materialize(rows.select("doc_id", "train", "text").mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
+
+
+def unpacked(data: bytes, sizes: list[int]) -> list[bytes]:
+    text, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(sizes).tolist()
+    return [text[e - n : e] for n, e in zip(sizes, ends, strict=True)]
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The values as bytes, cut at `ends` (of values)."""
+    offsets = np.r_[0, ends].astype(np.int32) * np.int32(values.itemsize)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and where each row begins (and the last ends)."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def squeezed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """As binaries, each row compressed."""
+    tool, data, ends = zstandard.ZstdCompressor(level=1), values.tobytes(), (ends * values.itemsize).tolist()
+    return pa.array([tool.compress(data[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
+
+
+def distinct_grams(table: Interned, numbers: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct hashes of n-grams of all orders, sorted, and for each order where each token's n-gram stands in them."""
+    used = np.flatnonzero(np.bincount(numbers))
+    where = np.zeros(used[-1] + 1, np.int64)
+    where[used] = np.arange(len(used))
+    parts, backs = [of_single(table.hash[used])], [where[numbers]]
+    for gram in gram_hashes(table.hash[numbers], counts, order)[1:]:
+        h, back = np.unique(gram, return_inverse=True)
+        backs.append(back + sum(map(len, parts)))
+        parts.append(h)
+    h, place = np.unique(np.concatenate(parts), return_inverse=True)
+    return h, [place[b] for b in backs]
+
+
+def looked_up(texts: DataFrame, filter_: DataFrame, order: int, probes: int = PROBES) -> DataFrame:
+    """(chunk, seg, data): for each chunk and segment the levels (int16) of the chunk's distinct n-grams, by hash."""
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Interned()
+        for batch in batches:
+            for chunk, data, sizes in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                numbers, counts, _ = table.read(unpacked(data, sizes))
+                h = distinct_grams(table, numbers, counts, order)[0]
+                seg = segment_of(h)
+                ends = np.flatnonzero(np.r_[seg[1:] != seg[:-1], True]) + 1
+                # the 40 bits below the segment's 12
+                short = (h >> np.uint64(12)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(seg[ends - 1].astype(np.int32)), pa.array(np.full(len(ends), chunk, np.int64)), binaries(short, 5 * ends)], names=["seg", "chunk", "data"])
+
+    asked = texts.select("chunk", "sizes", "data").mapInArrow(ask, "seg int, chunk long, data binary")
+    # a segment's filter comes before the chunks that ask it
+    rows = filter_.select("seg", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg_now, now = -1, np.zeros(0, np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seg, chunk = batch.column("seg").to_numpy(), batch.column("chunk").to_numpy()
+            data, at = flat_bytes(batch.column("data"))
+            filters = np.repeat(chunk < 0, np.diff(at))
+            own, asks = np.flatnonzero(chunk < 0), np.flatnonzero(chunk >= 0)
+            bits = np.r_[data[filters].view(np.uint64), now]
+            words = (at[own + 1] - at[own]) // 8
+            begin, width = np.zeros(SEGMENTS, np.int64), np.zeros(SEGMENTS, np.int64)
+            if seg_now >= 0:
+                begin[seg_now], width[seg_now] = words.sum(), len(now)
+            begin[seg[own]], width[seg[own]] = np.cumsum(words) - words, words
+            if len(asks):
+                sizes = (at[asks + 1] - at[asks]) // 5
+                short = np.zeros((sizes.sum(), 8), np.uint8)
+                short[:, :5] = data[~filters].reshape(-1, 5)
+                low = short.view(np.uint64).reshape(-1)
+                h = np.repeat(seg[asks].astype(np.uint64), sizes) << np.uint64(52) | low << np.uint64(12) | low & _ONE
+                h, back = np.unique(h, return_inverse=True)  # chunks share n-grams
+                s = segment_of(h)
+                found = probed(bits, begin[s], width[s], h, probes).astype(np.int16)[back]
+                out = pa.RecordBatch.from_arrays([pa.array(chunk[asks]), pa.array(seg[asks]), squeezed(found, np.cumsum(sizes))], names=["chunk", "seg", "data"])
+                yield from pieces(out)
+            last = int(seg[-1])
+            if width[last]:
+                seg_now, now = last, bits[begin[last] : begin[last] + width[last]].copy()
+
+    return rows.repartition("seg").sortWithinPartitions("seg", "chunk").mapInArrow(answer, "chunk long, seg int, data binary")
+
+
+def _levelled(texts: DataFrame, answers: DataFrame, order: int, head: Broadcast, unit: float) -> DataFrame:
+    """Each text's row with the levels (int16) of its n-grams, order after order, and the base score of its head tokens."""
+    kind = texts.schema["ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, levels binary, tail array<struct<token: binary, n: long>>"
+    none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ids", "train", "sizes")]
+    rows = texts.select("chunk", F.lit(-1).alias("seg"), "data", "ids", "train", "sizes").unionByName(answers.select("chunk", "seg", "data", *none))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, counts_of = Interned(), head.value
         exact = np.zeros(0, np.int64)
         names: list[bytes] = []
-        for batch in sub_batches(batches, "text", CHUNK_BYTES // 2):
-            numbers, counts, new = scorer.read(batch.column("text").to_pylist())
+
+        def finish(texts: list[bytes], ids: pa.Array, train: pa.Array, found: np.ndarray) -> pa.RecordBatch:
+            nonlocal exact, names
+            numbers, counts, new = table.read(texts)
             if len(names) + len(new) != len(table.number):  # the table was cleared
                 exact, names = np.zeros(0, np.int64), []
             exact = np.r_[exact, np.array([counts_of.get(t, -1) for t in new], np.int64)]
             names += new
+            h, backs = distinct_grams(table, numbers, counts, order)
+            if len(h) != len(found):
+                raise RuntimeError("a chunk's n-grams and their levels don't fit")
             begin = np.cumsum(counts) - counts
+            by_text = np.empty(order * len(numbers), np.int16)  # a text's orders one after another
+            place = np.arange(len(numbers)) + np.repeat(begin * (order - 1), counts)
+            for k, back in enumerate(backs):
+                by_text[place + np.repeat(k * counts, counts)] = found[back]
             c = exact[numbers]
-            score = np.add.reduceat(scorer.log10(numbers, counts), begin)
             base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / unit), 0.0), begin)
             known = np.add.reduceat((c > 0).astype(np.int64), begin)
             away = np.flatnonzero(c < 0)
             pair, n = np.unique(np.repeat(np.arange(len(counts)), counts)[away] << 32 | numbers[away], return_counts=True)
             ends = np.searchsorted(pair >> 32, np.arange(len(counts) + 1))
             tail = pa.StructArray.from_arrays([pa.array([names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary()), pa.array(n.astype(np.int64))], names=["token", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.compute.invert(batch.column("train")), pa.array(counts), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)],
-                names=["doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"],
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.compute.invert(train), pa.array(counts), pa.array(known), pa.array(base), squeezed(by_text, np.cumsum(order * counts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)],
+                names=["doc_id", "held_out", "n_tokens", "head_known", "head_base", "levels", "tail"],
             )
 
-    return rows.mapInArrow(run, schema)
+        tool = zstandard.ZstdDecompressor()
+        held: tuple | None = None
+        answers: list[bytes] = []
+        for batch in batches:
+            data = batch.column("data").to_pylist()
+            prev = 0
+            for i in [*np.flatnonzero(batch.column("seg").to_numpy() < 0).tolist(), batch.num_rows]:
+                answers += map(tool.decompress, data[prev:i])
+                if i < batch.num_rows:
+                    if held:
+                        yield from pieces(finish(*held, np.frombuffer(b"".join(answers), np.int16)), 2000)
+                    texts = unpacked(data[i], batch.column("sizes")[i].as_py())
+                    held, answers, prev = (texts, batch.column("ids")[i].values, batch.column("train")[i].values), [], i + 1
+        if held:
+            yield from pieces(finish(*held, np.frombuffer(b"".join(answers), np.int16)), 2000)
+
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "seg").mapInArrow(run, schema)
+
+
+def _below(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The levels of each order for all tokens of a batch of _levelled, and the numbers of tokens."""
+    counts = batch.column("n_tokens").to_numpy()
+    found = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, batch.column("levels").to_pylist())), np.int16).astype(np.int64)
+    begin = np.cumsum(counts) - counts
+    place = np.arange(counts.sum()) + np.repeat(begin * (order - 1), counts)
+    return [found[place + np.repeat(k * counts, counts)] for k in range(order)], counts
+
+
+def all_weights(found: DataFrame, order: int) -> np.ndarray:
+    """As weigh, from the levels of all training texts; the driver gets the sums by level."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again, every = np.zeros((order - 1, MOST_LEVELS), np.int64), np.zeros((order - 1, MOST_LEVELS), np.int64)
+        for batch in sub_batches(batches, "levels", 1 << 18):
+            below, counts = _below(batch, order)
+            for k, (above, q) in enumerate(contexts(below, counts, below[0][-1])):
+                every[k] += np.bincount(above, minlength=MOST_LEVELS)
+                again[k] += np.bincount(above[q > 1], minlength=MOST_LEVELS)
+        k, level = np.nonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, level, again[k, level], every[k, level])], names=["k", "level", "again", "every"])
+
+    weights = np.zeros((order - 1, MOST_LEVELS))
+    for r in found.where("NOT held_out").select("n_tokens", "levels").mapInArrow(run, "k long, level long, again long, every long").groupBy("k", "level").agg(F.sum("again").alias("again"), F.sum("every").alias("every")).collect():
+        weights[r["k"], r["level"]] = r["again"] / (r["every"] + 1)
+    weights[:, 0] = 0
+    return weights
 
 
-def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learning from the rows
-    where `train` (over doc_id; by default crc32 of the id modulo 5 not 1) holds."""
+    where `train` (over doc_id; by default crc32 of the id modulo 5 not 1) holds. The filter grows with the n-grams
+    unless filter_bits fixes its size."""
     spark = docs.sparkSession
     train = F.pmod(id_crc(), F.lit(5)) != 1 if train is None else train
     rows = pick(docs, "doc_id", "text").select("doc_id", train.alias("train"), text_bytes().alias("text"))
     words = materialize(vocabulary(rows), "vocabulary")
     sums = words.where("c > 0").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    model = build_filter(gram_counts(rows, words, order), total, distinct, order=order, bases=bases, filter_bits=filter_bits)
-    ids = pick(docs, "doc_id").where(train).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(WEIGHING)
-    sample = rows.where("train").join(F.broadcast(ids), "doc_id", "left_semi").select("text").limit(2 * WEIGHING)
-    model.weights = weigh(model, [bytes(r["text"]) for r in sample.collect()])
-    model = spark.sparkContext.broadcast(model)  # the driver's own copy goes
+    filter_ = segments(gram_counts(rows, words, order), bases=bases, filter_bits=filter_bits)
+    size = filter_.agg(F.sum("ones").alias("ones"), F.sum(8 * F.octet_length("bits").cast("long")).alias("bits")).first()
+    let_go(spark)
+    false = ((size["ones"] or 0) / (size["bits"] or 1)) ** PROBES
     head_counts = spark.sparkContext.broadcast(frequent(words, head))
-    found = materialize(_scored(rows, model, head_counts).withColumn("uid", F.monotonically_increasing_id()), "scores")
+    texts = chunks(rows)
+    found = materialize(_levelled(texts, looked_up(texts, filter_, order), order, head_counts, total + 0.5 * (distinct + 1)).withColumn("uid", F.monotonically_increasing_id()), "levels")
+    let_go(spark)
+    weights = all_weights(found, order)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "levels", 1 << 18):
+            below, counts = _below(batch, order)
+            p = log10(below[0], contexts(below, counts, below[0][-1]), weights, total, distinct, bases, false)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.add.reduceat(p, np.cumsum(counts) - counts))], names=[*batch.schema.names[:-1], "score"])
+
     unit = F.lit(float(total + 0.5 * (distinct + 1)))
     tail = found.select("uid", F.explode("tail").alias("t")).select("uid", "t.token", "t.n").join(words.select("token", "c"), "token", "left")
     c = F.coalesce("c", F.lit(0))
     tail = tail.groupBy("uid").agg(F.sum(F.col("n") * F.log10((c + 0.5) / unit)).alias("more_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    return found.join(tail, "uid", "left").select(
+    kind = found.schema["doc_id"].dataType.simpleString()
+    scored = found.select("doc_id", "held_out", "n_tokens", "head_known", "head_base", "uid", "levels").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, uid long, score double")
+    return scored.join(tail, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from llm_cases import word_texts
+from pyspark.sql import functions as F
 from tabulith.llm import ngram, quality, rollup, rules, toxicity, urls
 
 
@@ -96,6 +97,34 @@ def test_lm_probabilities_add_up_to_one_at_most(spark):
         assert 0.5 < sums <= 1 + 1e-9
 
 
+def test_lm_filter_grows_with_the_levels_and_counts_stay_below_n(spark):
+    counts = spark.range(300_000).select(F.xxhash64("id").bitwiseAND(F.lit(-2)).alias("h"), F.lit(1).cast("long").alias("n"))
+    counts = counts.select(F.shiftrightunsigned("h", 52).cast("int").alias("seg"), "h", "n").repartition("seg")
+    sizes = []
+    for part in (counts.limit(30_000).repartition("seg"), counts):
+        size = ngram.segments(part).agg(F.sum("ones").alias("ones"), F.sum(8 * F.octet_length("bits")).alias("bits")).first()
+        sizes.append(size["bits"])
+        assert size["bits"] >= 10 * part.count() and size["ones"] / size["bits"] < 0.4
+    assert sizes[1] > 5 * sizes[0]
+    p = ngram.log10(np.array([400]), [(np.array([0]), np.array([0]))], np.zeros((1, 401)), 1000, 10, (1.1, 1.5), 0.0)
+    assert p[0] <= 0
+
+
+def test_lm_scores_are_those_of_a_whole_filter_with_weights_of_all_texts(spark):
+    rows = [(i, t) for i, t in enumerate(word_texts(14, 60))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = frame.select("doc_id", (F.pmod(ngram.id_crc(), F.lit(5)) != 1).alias("train"), ngram.text_bytes().alias("text"))
+    words = ngram.vocabulary(train).persist()
+    known = words.where("c > 0").collect()
+    for order in (2, 3):
+        model = ngram.build_filter(ngram.gram_counts(train, words, order), sum(x["c"] for x in known), len(known), order=order, **SMALL)
+        model.weights = ngram.weigh(model, [t.encode() for i, t in rows if crc(i) % 5 != 1])
+        scorer = ngram.Scorer(model)
+        for r in ngram.score(frame, order=order, **SMALL).collect():
+            numbers, counts, _ = scorer.read([rows[r["doc_id"]][1].encode()])
+            assert math.isclose(r["score"], scorer.log10(numbers, counts).sum(), rel_tol=1e-6)
+
+
 # --- quality classifier ---
 
 

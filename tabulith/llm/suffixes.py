@@ -1,7 +1,7 @@
 """Removal of repeated byte strings, by a hash-compared suffix sort.
 
 A byte goes if a `width`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
-same document. All is exact over the whole table, by these steps.
+same document. All is over the whole table, exact but for equal hashes (see Memory), by these steps.
 
 1. Texts are dealt out by doc_id once, compressed; the later steps read that same exchange again.
 2. Anchors: the least hash of the `gram`-byte strings in every window of `width` bytes, so equal windows have equal
@@ -17,8 +17,9 @@ same document. All is exact over the whole table, by these steps.
    both sides; all but the earliest of a class lose that window.
 5. The removed stretches return to their documents and are merged.
 
-Memory: a task of step 4 holds under 1 KB for each distinct context of one gram. Hash equality of a
-context is that of 104 bits in steps 2 and 3.
+Memory: a task of step 4 holds under 1 KB for each distinct context of one gram. Steps 2 and 3 take contexts of a gram
+for equal by hash and not byte by byte: by 40 bits of one hash and 64 of another with a polynomial and letters of its
+own, so m distinct contexts of a gram give about m^2 / 2^105 false matches. Only step 4 compares bytes.
 
 Defined cases: null and empty texts have no bytes; texts under `width` bytes lose nothing; a null id counts as the
 smallest; rows that repeat an id are ordered by their text, as further documents after the first; an empty table
@@ -43,7 +44,9 @@ WIDTH, GRAM = 100, 32
 #: Bytes of text that are turned into anchors at a time, and that share one table of first anchors.
 PIECE, SHARED = 1 << 20, 48 << 20
 _POWER = 0x9E3779B97F4A7C15
-_LETTERS = np.random.Generator(np.random.PCG64(20)).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
+_LETTERS, _LETTERS2 = (np.random.Generator(np.random.PCG64(seed)).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1) for seed in (20, 21))
+#: Of the second hash of a context.
+_POWER2 = 0xD6E8FEB86659FD93
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,10 +58,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Polynomial hashes of any substring, from prefix hashes modulo 2^64."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, letters: np.ndarray = _LETTERS, base: int = _POWER):
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        powers = _powers(len(data))
-        np.cumsum(_LETTERS[data] * powers, out=self.prefix[1:])
+        powers = _powers(len(data), base)
+        np.cumsum(letters[data] * powers, out=self.prefix[1:])
 
     def at(self, begin: np.ndarray, length: np.ndarray | int, back: np.ndarray) -> np.ndarray:
         """Hashes of data[begin : begin + length]; back: the inverse powers."""
@@ -75,16 +78,17 @@ def _powers(n: int, base: int = _POWER) -> np.ndarray:
     return out[:n]
 
 
-_INVERSE = pow(_POWER, -1, 1 << 64)
+_INVERSE, _INVERSE2 = pow(_POWER, -1, 1 << 64), pow(_POWER2, -1, 1 << 64)
 
 
 def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the anchors of all texts: text number, place, gram hash, context hash, context begin and end (in the text)."""
+    """Of the anchors of all texts: text number, place, gram hash, context hash, context begin and end (in the text), and
+    the second context hash."""
     lengths = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if not (lengths >= width).any():
-        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none, none.view(np.uint64)
     n = len(data)
     roll, back = Rolling(data), _powers(n + 1, _INVERSE)
     begin = np.cumsum(lengths) - lengths
@@ -106,7 +110,8 @@ def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]
     high = np.minimum(begin[text] + lengths[text], place + width)
     shape = ((place - low) << 32 | (high - place)).astype(np.uint64)
     context = mix(roll.at(low, high - low, back) ^ mix(shape))
-    return text, place - begin[text], hashed[place], context, low - begin[text], high - begin[text]
+    second = mix(Rolling(data, _LETTERS2, _POWER2).at(low, high - low, _powers(n + 1, _INVERSE2)))
+    return text, place - begin[text], hashed[place], context, low - begin[text], high - begin[text], second
 
 
 class Suffixes:
@@ -300,7 +305,7 @@ def _packed(context: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndar
 
 
 def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
-    """Anchors: h the gram, c the context with its sides, k the id, loc the row number and place. A left side of all
+    """Anchors: h the gram, c the context with its sides, d its second hash, k the id, loc the row number and place. A left side of all
     ones marks a stretch already known to go: loc has its begin, the upper bits of c its end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,14 +313,14 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
         size = 0
 
         def block(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "k", "loc"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "d", "k", "loc"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c, k, loc = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((c, h))  # stable, and rows come in order of age
-            again = np.r_[False, (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])]
+            h, c, d, k, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((d, c, h))  # stable, and rows come in order of age
+            again = np.r_[False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (h, c, d)])]
             first, rest = order[~again], np.sort(order[again])
-            yield from pieces(block(h[first], c[first], k[first], loc[first]))
+            yield from pieces(block(h[first], c[first], d[first], k[first], loc[first]))
             left, right = c[rest] >> _SIDE & _MASK, c[rest] & _MASK
             rest, left, right = (x[left + right >= width] for x in (rest, left, right))
             if len(rest):
@@ -324,15 +329,15 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
                 place = loc[rest] & 0xFFFFFFFF
                 key, begin, end = _union(number, place - left, place + right)
                 of = rest[np.searchsorted(number, key)]
-                yield from pieces(block(mix(k[of].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, k[of], loc[of] >> 32 << 32 | begin))
+                yield from pieces(block(mix(k[of].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, np.zeros(len(of), np.int64), k[of], loc[of] >> 32 << 32 | begin))
 
         for batch, numbers in _numbered(batches):
             ids = batch.column("k").to_numpy()
             for piece in _texts(batch):
                 row = np.array([i for i, _ in piece])
-                text, place, h, c, lo, hi = anchors([t for _, t in piece], width, gram)
+                text, place, h, c, lo, hi, d = anchors([t for _, t in piece], width, gram)
                 if len(text):
-                    held.append((h.view(np.int64), _packed(c, place - lo, hi - place), ids[row[text]], numbers[row[text]] << 32 | place))
+                    held.append((h.view(np.int64), _packed(c, place - lo, hi - place), d.view(np.int64), ids[row[text]], numbers[row[text]] << 32 | place))
                 size += sum(len(t) for _, t in piece)
                 if size >= SHARED and held:
                     yield from flush()
@@ -340,7 +345,7 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, "h long, c long, k long, loc long")
+    return dealt.mapInArrow(run, "h long, c long, d long, k long, loc long")
 
 
 _SORTED = "h long, k long, loc long, lo int, hi int, go boolean"
@@ -348,23 +353,23 @@ _SORTED = "h long, k long, loc long, lo int, hi int, go boolean"
 
 def _judged(meeting: DataFrame, width: int) -> DataFrame:
     """Rows with go: the stretch lo to hi goes. Other rows: first anchors of grams with several contexts."""
-    rows = meeting.repartition("h").sortWithinPartitions("h", "c", "k", "loc")
+    rows = meeting.repartition("h").sortWithinPartitions("h", "c", "d", "k", "loc")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # gram and context of the row before
+        last: tuple[int, int, int] | None = None  # gram and context of the row before
         waiting: list[np.ndarray] | None = None  # the first row of the last gram, if it had one context so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c, k, loc = (batch.column(n).to_numpy() for n in ("h", "c", "k", "loc"))
+            h, c, d, k, loc = (batch.column(n).to_numpy() for n in ("h", "c", "d", "k", "loc"))
             left, place = c >> _SIDE & _MASK, loc & 0xFFFFFFFF
             known, lo, hi = left == _MASK, place - left, place + (c & _MASK)
             out = [[h[known], k[known], loc[known], place[known], c[known] >> 2 * _SIDE, np.ones(known.sum(), bool)]]
             if known.any():
-                h, c, k, loc, lo, hi = (x[~known] for x in (h, c, k, loc, lo, hi))
+                h, c, d, k, loc, lo, hi = (x[~known] for x in (h, c, d, k, loc, lo, hi))
             if len(h):
                 same_h = np.r_[last is not None and last[0] == h[0], h[1:] == h[:-1]]
-                same = same_h & np.r_[last is not None and last[1] == c[0], c[1:] == c[:-1]]
+                same = same_h & np.r_[last is not None and last[1:] == (c[0], d[0]), (c[1:] == c[:-1]) & (d[1:] == d[:-1])]
                 wide = same & (hi - lo >= width)
                 out.append([h[wide], k[wide], loc[wide] >> 32 << 32, lo[wide], hi[wide], np.ones(wide.sum(), bool)])
                 # first rows of contexts; those of grams with one context wait
@@ -385,7 +390,7 @@ def _judged(meeting: DataFrame, width: int) -> DataFrame:
                     waiting = [x[i : i + 1] for x in (h, k, loc, lo, hi)] + [np.zeros(1, bool)]
                 elif final > 0 or total[0] >= 2:
                     waiting = None
-                last = (int(h[-1]), int(c[-1]))
+                last = (int(h[-1]), int(c[-1]), int(d[-1]))
             h, k, loc, lo, hi, go = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(loc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(go)], names=["h", "k", "loc", "lo", "hi", "go"])
 

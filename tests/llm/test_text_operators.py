@@ -222,6 +222,15 @@ def test_suffixes_equal_brute_force_on_shared_passages(spark, letters):
     assert rows_of(suffixes.report(suffixes.spans(frame, width=40, gram=12)), *NAMES) == brute_suffixes(docs, 40)
 
 
+def test_contexts_that_agree_in_one_hash_only_are_no_repeats(spark):
+    c = 7 << 24 | 60 << 12 | 100
+    rows = [(5, c, d, k, 200) for d, k in ((1, 1), (2, 2), (2, 3))]
+    judged = suffixes._judged(spark.createDataFrame(rows, "h long, c long, d long, k long, loc long"), 100).collect()
+    assert sorted((r["k"], r["go"]) for r in judged) == [(1, False), (2, False), (3, True)]
+    first, second = (suffixes.anchors([t], 100, 32) for t in (b"a" * 150, b"a" * 150))
+    assert (first[6] == second[6]).all() and (first[6] != first[3]).all()
+
+
 def test_suffix_sort_equals_sorted():
     r = random.Random(8)
     for _ in range(20):

@@ -174,7 +174,7 @@ def _words(text: str) -> list[str]:
 
 def learn_terms(toxic: list[str], other: list[str], most: int = TERMS) -> tuple[list[tuple[str, bool]], set[str]]:
     """(term, is a word beginning) of the lexicon from the texts of a sample, and the words of the other texts that
-    would pass for misspelled terms: those are none."""
+    would pass for misspelled terms: those are none. Terms themselves stay terms, whoever quotes them."""
     if not toxic or not other:
         return [], set()
     counts: list[Counter[tuple[str, bool]]] = []
@@ -210,7 +210,7 @@ def learn_terms(toxic: list[str], other: list[str], most: int = TERMS) -> tuple[
         if term not in chosen:
             chosen.append(term)
     lexicon = Lexicon(chosen)
-    return chosen, {w for w in {w for text in other for w in _words(text)} if lexicon.errors_of(w) < 9}
+    return chosen, {w for w in {w for text in other for w in _words(text)} if 0 < lexicon.errors_of(w) < 9}
 
 
 def _ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:

@@ -235,6 +235,18 @@ def test_toxicity_on_held_out_rows_and_misspelled(spark):
     assert max(scores[1001]) > 0.3 > max(scores[1002]) and scores[1003] == scores[1004] == [min(scores[1001])]
 
 
+def test_a_term_that_clean_texts_quote_stays_a_term():
+    texts = word_texts(15, 400)
+    toxic = [f"{t} grumpkin {t[::-1]}" for t in texts[:100]]
+    clean = [*texts[100:], 'he said "grumpkin" aloud', "a grumpkyn bush"]
+    terms, ordinary = toxicity.learn_terms(toxic, clean)
+    assert any("grumpkin".startswith(t) for t, _ in terms) and "grumpkin" not in ordinary
+    scan = toxicity.Scanner(toxicity.Lexicon(terms), ordinary)
+    assert scan.features("you grumpkin")[0] > 0 and scan.features('he said "grumpkin" aloud')[2] > 0
+    scan = toxicity.Scanner(toxicity.Lexicon([("grumpkin", False)]), toxicity.learn_terms(toxic, clean)[1])
+    assert scan.errors("grumpkin") == 0
+
+
 def test_toxicity_odd_rows_and_no_labels(spark, odd, nothing):
     frame, rows = odd
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_crc, id_key, key_id, pick, sub_batches, text_bytes
 
 MOST_TOXIC, MOST_OTHER = 3000, 6000
-#: Most terms of the lexicon; least share of toxic rows and least log ratio for a term; least letters of a word beginning.
-TERMS, SUPPORT, RATIO, STEM = 256, 0.004, 3.0, 4
+#: Least share of toxic rows and least log ratio for a term; least letters of a word beginning.
+SUPPORT, RATIO, STEM = 0.004, 3.0, 4
 WINDOW = 6
 WORDS_KEPT, STATES_KEPT = 200_000, 20_000
 #: Strength of the ridge penalty, and the weights that it draws to (in the order of FEATURES).
@@ -134,9 +134,10 @@ class Scanner:
         self.known: dict[str, int] = {}
 
     def errors(self, raw: str) -> int:
-        word = raw.lower().strip(EDGES)[:64]
+        word = raw.lower().strip(EDGES)
         found = 9 if word in self.ordinary else self.lexicon.errors_of(word)
-        self.known[raw] = found
+        if len(raw) <= 64:  # longer ones are rare, and would fill the table
+            self.known[raw] = found
         return found
 
     def features(self, text: str) -> list[float]:
@@ -172,7 +173,7 @@ def _words(text: str) -> list[str]:
     return [w for w in (x.strip(EDGES) for x in text.lower().split()) if len(w) >= 3 and w.isalpha()]
 
 
-def learn_terms(toxic: list[str], other: list[str], most: int = TERMS) -> tuple[list[tuple[str, bool]], set[str]]:
+def learn_terms(toxic: list[str], other: list[str]) -> tuple[list[tuple[str, bool]], set[str]]:
     """(term, is a word beginning) of the lexicon from the texts of a sample, and the words of the other texts that
     would pass for misspelled terms: those are none. Terms themselves stay terms, whoever quotes them."""
     if not toxic or not other:
@@ -198,19 +199,16 @@ def learn_terms(toxic: list[str], other: list[str], most: int = TERMS) -> tuple[
             for key in _keys({words[i]}) & ratio.keys():
                 around[key].add((words[i - 1], words[i + 1]))
     rated = sorted((k for k in ratio if len(around[k]) >= max(least, counts[0][k] / 4)), key=lambda k: (-ratio[k] * counts[0][k], k))
-    chosen: list[tuple[str, bool]] = []
+    chosen: dict[tuple[str, bool], None] = {}
     for text, stem in rated:
-        if len(chosen) == most:
-            break
-        if any(s and text.startswith(t) for t, s in chosen):
+        if any((text[:k], True) in chosen for k in range(STEM, len(text) + 1)):
             continue
         # a beginning that nearly always goes on the same way: the longest way
         longer = [k for k in rated if stem and k[0].startswith(text) and counts[0][k] >= 0.9 * counts[0][text, stem]]
         term = max(longer, key=lambda k: (len(k[0]), not k[1]), default=(text, stem))
-        if term not in chosen:
-            chosen.append(term)
-    lexicon = Lexicon(chosen)
-    return chosen, {w for w in {w for text in other for w in _words(text)} if 0 < lexicon.errors_of(w) < 9}
+        chosen[term] = None
+    lexicon = Lexicon(list(chosen))
+    return list(chosen), {w for w in {w for text in other for w in _words(text)} if 0 < lexicon.errors_of(w) < 9}
 
 
 def _ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:

@@ -247,6 +247,17 @@ def test_a_term_that_clean_texts_quote_stays_a_term():
     assert scan.errors("grumpkin") == 0
 
 
+def test_long_words_are_read_whole_and_all_terms_are_kept():
+    long = "a" * 70
+    scan = toxicity.Scanner(toxicity.Lexicon([(long, False), ("b" * 64, False)]))
+    assert scan.errors(long) == 0 and scan.errors("b" * 90) == 9
+    r, others = random.Random(3), ["one", "two", "six", "ten", "red", "sun", "sky", "oak", "elm", "fir"]
+    words = ["q" + a + b + c for a in "bcdfghjklm" for b in "aeiou" for c in "npqrst"]
+    toxic = [" . ".join(f"{r.choice(others)} {w} {r.choice(others)}" for w in words[10 * k : 10 * k + 10]) for k in range(30) for _ in range(10)]
+    terms, _ = toxicity.learn_terms(toxic, [" ".join(others)] * 3000)
+    assert {t for t, _ in terms} == set(words) and len(words) == 300
+
+
 def test_toxicity_odd_rows_and_no_labels(spark, odd, nothing):
     frame, rows = odd
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

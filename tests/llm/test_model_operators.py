@@ -427,3 +427,12 @@ def test_mined_rules_equal_brute_force(spark):
     assert {x[0] for x in got} == {x[0] for x in urls.prune(wanted)}
     blocked = {r["page_id"] for r in urls.judge(frame, known).collect() if r["verdict"] == "block"}
     assert blocked == {i for (i, _), b in zip(pages, baskets, strict=True) if any(x[0] <= b for x in wanted)} and blocked
+
+
+def test_many_redundant_rules_leave_room_for_all_hosts(spark):
+    urls_ = [f"https://{c * 3}-{c * 4}.example.com/de/all/new/{c * 5}?{c * 6}=x" for c in "bcdfgh" for _ in range(40)]
+    bad = len(urls_)
+    urls_ += [f"https://{'news blog wiki'.split()[i % 3]}.example.com/de/all/new/{'page item'.split()[i % 2]}?from=x" for i in range(400)]
+    frame = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    rules = {x[0] for x in urls.mine(frame, spark.createDataFrame([(i, int(i >= bad or i % 40 < i // 40)) for i in range(len(urls_))], "doc_id long, quality int"))}
+    assert all(frozenset([f"host:{c * 3}-{c * 4}.example.com"]) in rules for c in "bcdfgh")

@@ -436,3 +436,14 @@ def test_many_redundant_rules_leave_room_for_all_hosts(spark):
     frame = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
     rules = {x[0] for x in urls.mine(frame, spark.createDataFrame([(i, int(i >= bad or i % 40 < i // 40)) for i in range(len(urls_))], "doc_id long, quality int"))}
     assert all(frozenset([f"host:{c * 3}-{c * 4}.example.com"]) in rules for c in "bcdfgh")
+
+
+def test_tokens_after_the_sixth_are_matched_and_mined(spark):
+    words = "/".join(["one", "two", "three", "four", "five", "six"])
+    url = f"http://a.org/{words}/casino?a=1&b=2&c=3&d=4&e=5&f=6&pill=7"
+    assert {"path:casino", "query:pill"} <= set(urls.tokens(url))
+    assert urls.Index([(frozenset(["path:casino"]), 1.0, 3.0, 0.1)]).blocks(urls.tokens(url))
+    pages = [(i, f"http://a.org/{words}/{'casino' if i % 4 == 0 else 'paper'}") for i in range(80)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    rules = urls.mine(frame, spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(80)], "doc_id long, quality int"))
+    assert {x[0] for x in rules} == {frozenset(["path:casino"])}

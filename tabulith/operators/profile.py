@@ -86,9 +86,9 @@ def _base(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], targe
     return out
 
 
-def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], rows: int) -> bool:
+def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], rows: int, exact: bool) -> bool:
     """Fills in `distinct`, null being a value; True if approximate."""
-    approximate = rows > EXACT_DISTINCT_ROWS
+    approximate = rows > EXACT_DISTINCT_ROWS and not exact
     exprs = []
     for i, name in enumerate(columns):
         c = _groupable(name, kinds[name])
@@ -237,11 +237,13 @@ def xray(
     pattern: str | None = None,
     fix_skew: bool = False,
     strict_int32: bool = False,
+    exact_distinct: bool = False,
 ):
     """A summary of each included column: a DataFrame with great_tables=False, else an HTML report.
 
     fix_skew lets the skewness term of the shakiness score count; strict_int32 makes the type suggestion check the
-    upper bound of Int32 too. Both are off by default, as in the model."""
+    upper bound of Int32 too; exact_distinct counts distinct values exactly at any size (else approximately above
+    EXACT_DISTINCT_ROWS rows). All are off by default, as in the model."""
     began = time.perf_counter()
     percentiles = [0.25, 0.5, 0.75] if percentiles is None else list(percentiles)
     if outlier_method not in ("iqr", "percentile", "zscore"):
@@ -263,7 +265,7 @@ def xray(
     columns = included(df.schema, include)
     stats = _base(df, columns, kinds, corr_target, expanded) if columns else {}
     rows = stats[columns[0]]["rows"] if columns else 0
-    approximate = _distinct(df, columns, kinds, stats, rows) if expanded else False
+    approximate = _distinct(df, columns, kinds, stats, rows, exact_distinct) if expanded else False
     live = [c for c in columns if is_numeric(kinds[c]) and stats[c]["valid"]]
 
     wanted: dict[str, list[int]] = {}

@@ -154,7 +154,7 @@ def _(spark, sf):
     """SELECT 'embedding' AS "Column", 'List' AS "Dtype", count(embedding)::BIGINT AS "Count", count(DISTINCT embedding)::BIGINT AS "N_Unique", 'List' AS "Opt_Dtype" FROM embeddings""",
 )
 def _(spark, sf):
-    return renamed(xray(table(spark, sf, "embeddings").select("embedding"), include="all", expanded=True, great_tables=False), ["Column", "Dtype", "Count", "N_Unique", "Opt_Dtype"])
+    return renamed(xray(table(spark, sf, "embeddings").select("embedding"), include="all", expanded=True, exact_distinct=True, great_tables=False), ["Column", "Dtype", "Count", "N_Unique", "Opt_Dtype"])
 
 
 def distinct_sql(source: str, columns: list[str]) -> str:
@@ -170,17 +170,17 @@ _DISTINCT = ["Column", "N_Unique", "Uniqueness_Ratio", "N_Duplicates", "Pct_Dupl
 
 @query("xray_documents_string", distinct_sql("documents", ["text", "lang", "source"]))
 def _(spark, sf):
-    return renamed(xray(table(spark, sf, "documents"), include="string", expanded=True, great_tables=False), _DISTINCT)
+    return renamed(xray(table(spark, sf, "documents"), include="string", expanded=True, exact_distinct=True, great_tables=False), _DISTINCT)
 
 
 @query("distinct_duplicates", distinct_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
 def _(spark, sf):
-    return renamed(xray(table(spark, sf, "orders"), include="all", expanded=True, great_tables=False), _DISTINCT)
+    return renamed(xray(table(spark, sf, "orders"), include="all", expanded=True, exact_distinct=True, great_tables=False), _DISTINCT)
 
 
 @query("distinct_nulls", distinct_sql(NULLS_SQL, ["l_quantity", "l_tax", "l_returnflag"]))
 def _(spark, sf):
-    return renamed(xray(with_nulls(spark, sf).select("l_quantity", "l_tax", "l_returnflag"), include="all", expanded=True, great_tables=False), _DISTINCT)
+    return renamed(xray(with_nulls(spark, sf).select("l_quantity", "l_tax", "l_returnflag"), include="all", expanded=True, exact_distinct=True, great_tables=False), _DISTINCT)
 
 
 @query("xray_percentiles_custom", "\nUNION ALL\n".join(f"""SELECT '{c}' AS "Column", round({at(0.05)}, 3) AS q5, round({at(0.1)}, 3) AS q10, round({at(0.9)}, 3) AS q90, round({at(0.99)}, 3) AS q99 FROM {ranked("lineitem", c)}""" for c in LINEITEM))
@@ -426,7 +426,7 @@ def _(spark, sf):
     """SELECT 'n_nationkey' AS "Column", 'Int8' AS "Opt_Dtype" UNION ALL SELECT 'n_name', 'String' UNION ALL SELECT 'n_regionkey', 'Int8' """,
 )
 def _(spark, sf):
-    return renamed(xray(table(spark, sf, "nation"), include="all", expanded=True, great_tables=False), ["Column", "Opt_Dtype"])
+    return renamed(xray(table(spark, sf, "nation"), include="all", expanded=True, exact_distinct=True, great_tables=False), ["Column", "Opt_Dtype"])
 
 
 @query("clean_names", "SELECT r_regionkey AS region_key, r_name AS region_name FROM region")
@@ -452,7 +452,7 @@ _SCORED = {"o_orderkey": "orders", "o_totalprice": "orders", "o_orderdate": "ord
 
 def _profile(spark: SparkSession, sf: str, **options) -> DataFrame:
     # the tests' texts depend on P values near nothing here: price and key are far from normal at every scale
-    return xray(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate"), include="all", expanded=True, great_tables=False, normality_test="ks", **options)
+    return xray(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate"), include="all", expanded=True, exact_distinct=True, great_tables=False, normality_test="ks", **options)
 
 
 _QUALITY_SQL = f"""WITH u AS ({distinct_sql("orders", ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate"])}),
@@ -521,5 +521,5 @@ def _(spark, sf):
 
 @query("xray_expanded", None)
 def _(spark, sf):
-    out = xray(table(spark, sf, "lineitem"), include="all", expanded=True, great_tables=False, corr_target="l_quantity", model_usability=True, normality_test="ks")
+    out = xray(table(spark, sf, "lineitem"), include="all", expanded=True, exact_distinct=True, great_tables=False, corr_target="l_quantity", model_usability=True, normality_test="ks")
     return out.toDF(*[c.replace("%", "_pct").replace("(", "_").replace(")", "") for c in out.columns])

@@ -194,3 +194,16 @@ def test_report(spark, tmp_path):
     assert "DataFrame X-ray" in tb.xray(frame).body
     tb.save_fig(report, str(tmp_path / "r.html"))
     assert (tmp_path / "r.html").read_text() == report.body
+
+
+def test_distinct_counts_are_exact_above_the_switch_when_asked(spark, monkeypatch):
+    from tabulith.operators import profile
+    from tabulith.plans.queries import QUERIES
+
+    monkeypatch.setattr(profile, "EXACT_DISTINCT_ROWS", 10)
+    frame = spark.range(20_000).selectExpr("id AS x")
+    found = tb.xray(frame, expanded=True, great_tables=False, exact_distinct=True).first()
+    assert found["N_Unique"] == 20_000 and "N_Unique(approx)" in tb.xray(frame, expanded=True, great_tables=False).columns
+    if os.path.isdir("/root/testdata/sf0.001"):
+        for name in ("distinct_nulls", "distinct_duplicates", "xray_documents_string", "xray_nested_include_all"):
+            assert all(r["N_Unique"] > 0 for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect())

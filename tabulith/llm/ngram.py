@@ -2,58 +2,61 @@
 
 Tokens are words and one end for each text; n-grams of 1 to `order` tokens are counted over all training texts, and
 each n-gram with count c is put into a Bloom filter at the levels 1 to 1 + floor(log_base c). The filter is cut into
-`SEGMENTS` by hash; the task that has a segment's n-grams counts their levels and gives the segment `LEVEL_BITS` to twice
-as many bits for each, so the rate of false positives stays the same while the corpus grows. The filter is never
-broadcast: texts are written in chunks, the distinct n-grams of a chunk go to their segments and the levels come back
-to the chunk. A task holds some segments (1/4096 of the filter each) and one chunk.
-
-Level after level is probed until one is missing; that bounds the count from both sides. A probability is
-l c(h, w) / c(h) + (1 - l) P(w | shorter h) (Jelinek-Mercer), with a lower bound above the line and an upper bound below
-it, so but for false positives, which add mass to n-grams that aren't there, probabilities add up to one at most; no
-count is taken for more than N. The weight l belongs to the level of c(h): the share of tokens after such contexts whose
-n-gram is met again elsewhere, by leave-one-out over all training texts, lowered by the rate of false positives that
-the filter's fill implies.
-
-The base score needs exact counts: those of the `head` most frequent tokens are broadcast (bounded), the rest meet
-the vocabulary by a join on the token; as no token outside the head is frequent, no key of that join is hot.
+segments by hash, about one for SEGMENT_TEXT bytes of text, each with `level_bits` bits for each level in it, so it
+grows with the corpus and the rate of false positives stays the same. As it has no size bound it is not broadcast:
+
+1. Texts are written in chunks of about TOGETHER bytes.
+2. The distinct n-grams of a chunk, with their counts in its training texts, and its distinct tokens go to their
+   segments. The task that has a segment adds the counts up, builds the segment's filter and answers all chunks that
+   ask it, by probing: level after level until one is missing. Of tokens it sends exact counts too (base score).
+3. Answers return to their chunk, and each text's levels are written.
+4. Sums by level over all training texts give the weights; then all texts are scored.
+
+A probability is l c(h, w) / c(h) + (1 - l) P(w | shorter h) (Jelinek-Mercer), with the lower bound of the count's
+level above the line and the upper bound below it. Single tokens take (c + 0.5) / (N + 0.5 (V + 1)) with the lower
+bound for c, cut at N. So probabilities of all tokens add up to one at most while false positives are rare; a filter
+filled beyond MOST_FILL (too few level_bits) is refused. The weight l belongs to the level of c(h): the share of
+tokens after such contexts whose n-gram is met again elsewhere, by leave-one-out over all training texts, lowered by
+the rate of false positives that the filter's fill implies.
+
+Memory: a task holds the n-grams of one segment or of one chunk (a text longer than TOGETHER is a chunk of its own).
+No n-gram or token is hot: each chunk asks for it once.
 
 Defined cases: null and empty texts have one token, the end; a null id counts as empty text for crc32; repeated rows
-keep their rows and count again; without training texts N and V are 0.
+keep their rows and count again; without training texts N and V are 0; tokens of equal hash are counted apart in the
+base score and together in the filter; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import gc
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
 import zstandard
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_crc, materialize, pick, pieces, sub_batches, text_bytes, whole_groups
 
-ORDER = 2
+ORDER = 3
 #: Bases of the count levels: of single tokens, and of longer n-grams.
 BASES = (1.1, 1.5)
-#: The filter's segments, its least bits for each n-gram level, and the probes of a level: 4 suit five to ten bits a level.
-SEGMENTS, LEVEL_BITS, PROBES = 4096, 10, 4
-#: Bits of a filter that is held as a whole (build_filter).
-FILTER_BITS = 1 << 29
+#: The filter's bits for each n-gram level, the probes of a level, and the fill beyond which a filter is refused.
+LEVEL_BITS, PROBES, MOST_FILL = 10, 4, 0.6
+#: Bytes of text for each segment, and the least and most segments (powers of two).
+SEGMENT_TEXT, LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS = 16 << 20, 11, 24
 #: Bytes of text whose distinct n-grams are looked up together.
 TOGETHER = 8 << 20
-HEAD, HEAD_BYTES = 1 << 17, 48
-#: Bytes of text whose token counts, and whose n-gram counts, are added up before the shuffle.
-SHARED, SHARED_GRAMS = 16 << 20, 32 << 20
+#: N-grams of segments that are counted at a time.
+AT_A_TIME = 400_000
 END = b""
 _A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
-_KEPT, _SINGLE = np.uint64(0xFFFFFFFFFFFFE000), np.uint64(0x1001)
+MOST_LEVELS = 401
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,10 +71,10 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Interned:
-    """A worker's table of distinct tokens: a number and a hash for each; forgotten at `most`."""
+    """A worker's table of distinct tokens: a number and a hash for each; forgotten at `most` tokens or bytes."""
 
-    def __init__(self, most: int = 120_000):
-        self.most = most
+    def __init__(self, most: int = 120_000, most_bytes: int = 16 << 20):
+        self.most, self.most_bytes = most, most_bytes
         self.number: dict[bytes, int] = defaultdict()
         self.clear()
 
@@ -79,183 +82,122 @@ class Interned:
         self.number.default_factory = None  # else the old table, which refers to itself, stays until a full collection
         self.number = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.hash = np.zeros(0, np.uint64)
+        self.names: list[bytes] = []
+        self.hash, self.bytes = np.zeros(0, np.uint64), 0
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers of all tokens, how many each text has, and the tokens met for the first time."""
-        if len(self.number) > self.most:
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens, and how many each text has."""
+        if len(self.number) > self.most or self.bytes > self.most_bytes:
             self.clear()
         get = self.number.__getitem__
         rows = [np.fromiter(map(get, tokens(t)), np.int64) for t in texts]
-        new = list(self.number)[len(self.hash) :] if len(self.number) > len(self.hash) else []
-        self.hash = np.r_[self.hash, np.array([xxhash.xxh64_intdigest(t, 7) for t in new], np.uint64)]
-        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64), new
-
-
-def of_single(h: np.ndarray) -> np.ndarray:
-    """The hash of single tokens: 51 bits, and the mark of single tokens in bits 0 and 12, so 12 bits for the segment and
-    5 bytes tell it."""
-    return mix(h + _A) & _KEPT | _SINGLE
-
-
-def gram_hashes(hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order from 1: the hash of the n-gram that ends at each token, odd for single tokens only. Before a text's first token stands an end."""
-    first = np.repeat(np.cumsum(counts) - counts, counts)
-    end = np.uint64(xxhash.xxh64_intdigest(END, 7))
-    place = np.arange(len(hashes))
-    so_far = mix(hashes + _A)
-    out = [so_far & _KEPT | _SINGLE]
-    for n in range(1, order):
-        back = place - n
-        before = np.where(back >= first, hashes[np.maximum(back, 0)], end)
-        so_far = mix(so_far * _B + mix(before + np.uint64(n)))
-        out.append(so_far & _KEPT)
-    return out
-
-
-def levels(h: np.ndarray, counts: np.ndarray, bases: tuple[float, float]) -> np.ndarray:
-    """1 + floor(log_base c), exact at powers; the base is that of the n-gram's length."""
-    base = np.where(h & _ONE, bases[0], bases[1])
-    q = 1 + np.floor(np.log(counts) / np.log(base)).astype(np.int64)
-    q += base**q <= counts
-    return q - (base ** (q - 1) > counts)
-
-
-@dataclass
-class Filter:
-    """Segments of 64-bit words; a segment is chosen by the n-gram's hash, one word in it and the bits in that word by
-    hash and level, so a level costs one look-up."""
-
-    bits: np.ndarray  # uint64, segments x words
-    probes: int
-    bases: tuple[float, float]
-    total: int  # N
-    distinct: int  # V
-    order: int
-    weights: np.ndarray | None = None  # by order from 2 and context level
-
-    def __post_init__(self) -> None:
-        self.fill = float(np.bitwise_count(self.bits).sum() / max(64 * self.bits.size, 1))
-        self.false = self.fill**self.probes
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """The greatest level up to which all levels of each n-gram are found."""
-        width = self.bits.shape[1]
-        return probed(self.bits.reshape(-1), segment_of(h) * width, np.full(len(h), width), h, self.probes)
-
-
-def probed(flat: np.ndarray, begin: np.ndarray, width: np.ndarray, h: np.ndarray, probes: int) -> np.ndarray:
-    """The greatest level up to which all levels of each n-gram are found in its segment: `width` words from `begin`."""
-    out, active = np.zeros(len(h), np.int64), np.flatnonzero(width > 0)
-    begin, width, h = begin[active], width[active], h[active]
-    for q in range(1, MOST_LEVELS):
-        word, mask = places(h, q, width, probes)
-        hit = np.flatnonzero(flat[begin + word] & mask == mask)
-        if not len(hit):
-            break
-        active, begin, width, h = active[hit], begin[hit], width[hit], h[hit]
-        out[active] = q
-    return out
+        if len(self.number) > len(self.names):
+            new = list(self.number)[len(self.names) :]
+            self.names += new
+            self.bytes += sum(map(len, new))
+            self.hash = np.r_[self.hash, np.array([xxhash.xxh64_intdigest(t, 7) for t in new], np.uint64)]
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+
+class Keys:
+    """The layout of n-gram keys: the segment in the upper bits, 40 bits below it that tell n-grams of a segment apart,
+    the least of them the mark of single tokens, then zeros."""
+
+    def __init__(self, segment_bits: int):
+        self.bits = segment_bits
+        self.low = np.uint64(24 - segment_bits)
+        self.mark = _ONE << self.low
+        self.kept = ~((self.mark << _ONE) - _ONE)
+
+    def segment(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def single(self, h: np.ndarray) -> np.ndarray:
+        return h & self.mark != 0
+
+    def of_tokens(self, hashes: np.ndarray) -> np.ndarray:
+        return mix(hashes + _A) & self.kept | self.mark
+
+    def of_grams(self, hashes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+        """For each order from 2: the key of the n-gram that ends at each token. Before a text's first token stands an end."""
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        end = np.uint64(xxhash.xxh64_intdigest(END, 7))
+        place = np.arange(len(hashes))
+        so_far, out = mix(hashes + _A), []
+        for n in range(1, order):
+            back = place - n
+            before = np.where(back >= first, hashes[np.maximum(back, 0)], end)
+            so_far = mix(so_far * _B + mix(before + np.uint64(n)))
+            out.append(so_far & self.kept)
+        return out
 
+    def pack(self, h: np.ndarray, counts: np.ndarray) -> bytes:
+        """Sorted keys of one segment and their counts, byte by byte: the upper ones compress."""
+        planes = (h >> self.low).view(np.uint8).reshape(-1, 8)[:, 4::-1].T
+        return planes.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-MOST_LEVELS = 401
+    def unpack(self, data: bytes, segment: int) -> tuple[np.ndarray, np.ndarray]:
+        planes = np.frombuffer(data, np.uint8).reshape(9, -1)
+        wide = np.zeros((planes.shape[1], 8), np.uint8)
+        wide[:, :5] = planes[4::-1].T
+        counts = np.ascontiguousarray(planes[5:].T).view("<u4").reshape(-1)
+        return (wide.view(np.uint64).reshape(-1) << self.low) | np.uint64(segment << (64 - self.bits)), counts.astype(np.int64)
 
 
-def segment_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(52)).astype(np.int64)
+def levels(single: np.ndarray, counts: np.ndarray, bases: tuple[float, float]) -> np.ndarray:
+    """1 + floor(log_base c), exact at powers, 0 for no count; the base is that of single tokens or of longer n-grams."""
+    base, counts_ = np.where(single, bases[0], bases[1]), np.maximum(counts, 1)
+    q = 1 + np.floor(np.log(counts_) / np.log(base)).astype(np.int64)
+    q += base**q <= counts_
+    q -= base ** (q - 1) > counts_
+    return np.where(counts > 0, q, 0)
 
 
-def places(h: np.ndarray, level: int | np.ndarray, width: int | np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """For n-grams at a level: the word of the segment, and the bits in it that are probed."""
+def places(h: np.ndarray, level: int | np.ndarray, width: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n-grams at a level: the word of their segment's `width` words, and the bits in it that are probed."""
     salt = np.uint64(level * int(_B) % (1 << 64)) if isinstance(level, int) else level.astype(np.uint64) * _B
     one = mix(h ^ salt)
     mask = np.zeros(len(h), np.uint64)
     for k in range(probes):
         mask |= _ONE << (one >> np.uint64(6 * k) & np.uint64(63))
-    return (one >> np.uint64(40)).astype(np.int64) & width - 1, mask
-
-
-def gram_counts(rows: DataFrame, words: DataFrame, order: int = ORDER) -> DataFrame:
-    """(seg, h, n): the hashes and counts of all n-grams of the training rows, dealt out by segment; those of single
-    tokens come from the vocabulary."""
+    return ((one >> np.uint64(32)) * width.astype(np.uint64) >> np.uint64(32)).astype(np.int64), mask
 
-    def block(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(segment_of(h).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["seg", "h", "n"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = Interned(), [], 0
-        for batch in sub_batches(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            numbers, counts, _ = table.read(texts)
-            held += gram_hashes(table.hash[numbers], counts, order)[1:]
-            size += sum(map(len, texts))
-            if size >= SHARED_GRAMS:
-                yield from pieces(block(*np.unique(np.concatenate(held), return_counts=True)))
-                held, size = [], 0
-        if held:
-            yield from pieces(block(*np.unique(np.concatenate(held), return_counts=True)))
-
-    def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.array([xxhash.xxh64_intdigest(t, 7) for t in batch.column("token").to_pylist()], np.uint64)
-            yield block(of_single(h), batch.column("c").to_numpy())
-
-    kind = "seg int, h long, n long"
-    dealt = words.where("c > 0").select("token", "c").mapInArrow(single, kind)
-    if order > 1:
-        dealt = dealt.unionByName(rows.where("train").select("text").mapInArrow(run, kind))
-    return dealt.repartition("seg").groupBy("seg", "h").agg(F.sum("n").alias("n"))
-
-
-def frequent(words: DataFrame, most: int) -> dict[bytes, int]:
-    """The training counts of the most frequent tokens: those above a frequency that at most `most` short tokens have."""
-    short = words.where(F.octet_length("token") <= HEAD_BYTES).withColumn("step", F.floor(20 * F.log("every")).cast("int"))
-    left, above = most, None
-    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):  # under 1000 rows
-        left -= r["count"]
-        if left < 0:
-            break
-        above = r["step"]
-    if above is None:
-        return {}
-    table = short.where(F.col("step") >= above).select("token", "c").toArrow()  # `most` rows at most
-    return dict(zip(table.column("token").to_pylist(), table.column("c").to_pylist(), strict=True))
-
-
-def segments(counts: DataFrame, *, bases: tuple[float, float] = BASES, filter_bits: int | None = None, probes: int = PROBES) -> DataFrame:
-    """(seg, bits, ones): the filter of gram_counts by segment, each built by the task that adds its counts up and sized
-    by its levels, or of filter_bits in all."""
-    fixed = (filter_bits or 0) // 64 // SEGMENTS
-    if filter_bits is not None and (fixed < 1 or fixed & (fixed - 1) or filter_bits != 64 * SEGMENTS * fixed) or not 1 <= probes <= 6:
-        raise ValueError(f"filter_bits must be {SEGMENTS} segments of a power of two of 64-bit words, probes 1 to 6")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "seg", 1):
-            seg = table.column("seg").to_numpy()
-            all_h, all_n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
-            cuts = [*np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]).tolist(), len(seg)]
-            for at, to in zip(cuts, cuts[1:]):
-                h, q = all_h[at:to], levels(all_h[at:to], all_n[at:to], bases)
-                width = fixed or 1 << max(0, int(LEVEL_BITS * q.sum() - 1) // 64).bit_length()
-                part = np.zeros(width, np.uint64)
-                for low in range(0, len(h), 100_000):
-                    some = q[low : low + 100_000]
-                    every = np.repeat(np.arange(low, low + len(some)), some)
-                    level = np.arange(len(every)) - np.repeat(np.cumsum(some) - some, some) + 1
-                    word, mask = places(h[every], level, width, probes)
-                    np.bitwise_or.at(part, word, mask)
-                yield pa.RecordBatch.from_arrays([pa.array(seg[at : at + 1]), pa.array([part.tobytes()], pa.binary()), pa.array([int(np.bitwise_count(part).sum())], pa.int64())], names=["seg", "bits", "ones"])
-
-    # written first: all tasks build at once
-    return materialize(counts.sortWithinPartitions("seg").mapInArrow(run, "seg int, bits binary, ones long"), "filter")
-
-
-def build_filter(counts: DataFrame, total: int, distinct: int, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int = FILTER_BITS, probes: int = PROBES) -> Filter:
-    """The filter of gram_counts as a whole, of a fixed size, on the driver."""
-    bits = np.zeros((SEGMENTS, filter_bits // 64 // SEGMENTS), np.uint64)
-    for row in segments(counts, bases=bases, filter_bits=filter_bits, probes=probes).toLocalIterator():
-        bits[row["seg"]] = np.frombuffer(row["bits"], np.uint64)
-    return Filter(bits, probes, bases, total, distinct, order)
+class Filter:
+    """Some segments of the filter, of 64-bit words: a segment is chosen by the n-gram's key, one word in it and the bits
+    in that word by key and level, so a level costs one look-up."""
+
+    def __init__(self, segment: np.ndarray, h: np.ndarray, q: np.ndarray, level_bits: float, probes: int):
+        """From the distinct n-grams, sorted by segment, and their levels."""
+        begins = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(h) else np.zeros(0, np.int64)
+        self.segments, self.probes = segment[begins], probes
+        sums = np.add.reduceat(q, begins) if len(h) else np.zeros(0, np.int64)
+        self.width = np.ceil(sums * (level_bits / 64)).astype(np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.words = np.zeros(self.width.sum(), np.uint64)
+        slot = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(h)]))
+        for low in range(0, len(h), 100_000):
+            part = slice(low, low + 100_000)
+            each = np.repeat(np.arange(len(q[part])), q[part])
+            level = np.arange(len(each)) - np.repeat(np.cumsum(q[part]) - q[part], q[part]) + 1
+            of = slot[part][each]
+            word, mask = places(h[part][each], level, self.width[of], probes)
+            np.bitwise_or.at(self.words, self.begin[of] + word, mask)
+
+    def level(self, h: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """The greatest level up to which all levels of each n-gram are found."""
+        slot = np.searchsorted(self.segments, segment)
+        out = np.zeros(len(h), np.int64)
+        active = np.flatnonzero(self.width[slot] > 0)
+        begin, width, h = self.begin[slot[active]], self.width[slot[active]], h[active]
+        for q in range(1, MOST_LEVELS):
+            word, mask = places(h, q, width, self.probes)
+            hit = np.flatnonzero(self.words[begin + word] & mask == mask)
+            if not len(hit):
+                break
+            active, begin, width, h = active[hit], begin[hit], width[hit], h[hit]
+            out[active] = q
+        return out
 
 
 def contexts(below: list[np.ndarray], counts: np.ndarray, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -281,84 +223,6 @@ def log10(one: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], weights:
     return np.log10(p)
 
 
-class Scorer:
-    """A worker's scorer. Levels of single tokens are probed once for each token in its table."""
-
-    def __init__(self, model: Filter):
-        self.model, self.table, self.one = model, Interned(), np.zeros(0, np.int64)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """As Interned.read."""
-        numbers, counts, new = self.table.read(texts)
-        if len(self.one) + len(new) != len(self.table.hash):  # the table was cleared
-            self.one = np.zeros(0, np.int64)
-        self.one = np.r_[self.one, self.model.level(of_single(self.table.hash[len(self.one) :]))]
-        return numbers, counts, new
-
-    def parts(self, numbers: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order from 2 the levels of each token's context and n-gram."""
-        begins = (np.cumsum(counts) - counts)[counts > 0]
-        below, out = self.one[numbers], []
-        for k, gram in enumerate(gram_hashes(self.table.hash[numbers], counts, self.model.order)[1:]):
-            above = np.r_[0, below[:-1]]
-            above[begins] = 0 if k else self.one[self.table.number[END]]
-            seen = np.flatnonzero((above > 0) & (below > 0))  # an n-gram has both shorter ones in it
-            distinct, back = np.unique(gram[seen], return_inverse=True)
-            below = np.zeros(len(gram), np.int64)
-            below[seen] = self.model.level(distinct)[back]
-            out.append((above, below))
-        return out
-
-    def log10(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        m = self.model
-        return log10(self.one[numbers], self.parts(numbers, counts), m.weights, m.total, m.distinct, m.bases, m.false)
-
-
-def weigh(model: Filter, texts: list[bytes]) -> np.ndarray:
-    """The weights by order and context level: shares of n-grams met again elsewhere, with one pseudo-count against."""
-    scorer = Scorer(model)
-    again, every = np.zeros((model.order - 1, MOST_LEVELS)), np.ones((model.order - 1, MOST_LEVELS))
-    for at in range(0, len(texts), 100):
-        numbers, counts, _ = scorer.read(texts[at : at + 100])
-        for k, (above, q) in enumerate(scorer.parts(numbers, counts)):
-            every[k] += np.bincount(above, minlength=MOST_LEVELS)
-            again[k] += np.bincount(above, weights=q > 1, minlength=MOST_LEVELS)
-    weights = again / every
-    weights[:, 0] = 0
-    return weights
-
-
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(token, c, every): exact counts of each token in training rows and in all rows."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter[bytes] = Counter()
-        held: Counter[bytes] = Counter()
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = list(every)
-            for at in range(0, len(names), 100_000):
-                part = names[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([every[t] - held[t] for t in part], pa.int64()), pa.array([every[t] for t in part], pa.int64())], names=["token", "c", "every"])
-
-        for batch in sub_batches(batches, "text"):
-            for text, train in zip(batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
-                own = tokens(text)
-                every.update(own)
-                if not train:
-                    held.update(own)
-                size += len(text)
-            if size >= SHARED:
-                yield from flush()
-                every, held, size = Counter(), Counter(), 0
-        if every:
-            yield from flush()
-
-    return rows.select("text", "train").mapInArrow(run, "token binary, c long, every long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
-
-
 def let_go(spark: SparkSession) -> None:
     """Shuffles of finished jobs, that nothing refers to any more, leave the disks."""
     gc.collect()
@@ -373,10 +237,10 @@ def chunks(rows: DataFrame) -> DataFrame:
         for batch in sub_batches(batches, "text", TOGETHER):
             texts = batch.column("text").to_pylist()
             ends = pa.array([0, len(texts)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, c) for c in (batch.column("doc_id"), batch.column("train"), pa.array(list(map(len, texts)), pa.int32()))]
+            lists = [pa.ListArray.from_arrays(ends, c) for c in (batch.column("doc_id"), batch.column("train"), pa.array(list(map(len, texts)), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*lists, pa.array([tool.compress(b"".join(texts))], pa.binary())], names=["ids", "train", "sizes", "data"])
 
-    schema = f"ids array<{rows.schema['doc_id'].dataType.simpleString()}>, train array<boolean>, sizes array<int>, data binary"
+    schema = f"ids array<{rows.schema['doc_id'].dataType.simpleString()}>, train array<boolean>, sizes array<long>, data binary"
     return materialize(rows.select("doc_id", "train", "text").mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
 
 
@@ -385,33 +249,25 @@ def unpacked(data: bytes, sizes: list[int]) -> list[bytes]:
     return [text[e - n : e] for n, e in zip(sizes, ends, strict=True)]
 
 
-def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The values as bytes, cut at `ends` (of values)."""
-    offsets = np.r_[0, ends].astype(np.int32) * np.int32(values.itemsize)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls, and where each row begins (and the last ends)."""
-    column = column.cast(pa.binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
-
-
-def squeezed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """As binaries, each row compressed."""
-    tool, data, ends = zstandard.ZstdCompressor(level=1), values.tobytes(), (ends * values.itemsize).tolist()
-    return pa.array([tool.compress(data[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
-
-
-def distinct_grams(table: Interned, numbers: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct hashes of n-grams of all orders, sorted, and for each order where each token's n-gram stands in them."""
+def distinct_tokens(table: Interned, numbers: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens (their numbers) in the order of their keys, tokens of equal key by name; and the keys."""
     used = np.flatnonzero(np.bincount(numbers))
-    where = np.zeros(used[-1] + 1, np.int64)
+    h = keys.of_tokens(table.hash[used])
+    order = np.argsort(h, kind="stable")
+    used, h = used[order], h[order]
+    if (h[1:] == h[:-1]).any():
+        order = np.array(sorted(range(len(h)), key=lambda i: (int(h[i]), table.names[used[i]])))
+        used, h = used[order], h[order]
+    return used, h
+
+
+def distinct_grams(table: Interned, numbers: np.ndarray, counts: np.ndarray, order: int, keys: Keys) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys of n-grams of all orders, sorted, and for each order where each token's n-gram stands in them."""
+    used, own = distinct_tokens(table, numbers, keys)
+    where = np.zeros(int(used.max()) + 1, np.int64)
     where[used] = np.arange(len(used))
-    parts, backs = [of_single(table.hash[used])], [where[numbers]]
-    for gram in gram_hashes(table.hash[numbers], counts, order)[1:]:
+    parts, backs = [own], [where[numbers]]
+    for gram in keys.of_grams(table.hash[numbers], counts, order):
         h, back = np.unique(gram, return_inverse=True)
         backs.append(back + sum(map(len, parts)))
         parts.append(h)
@@ -419,116 +275,156 @@ def distinct_grams(table: Interned, numbers: np.ndarray, counts: np.ndarray, ord
     return h, [place[b] for b in backs]
 
 
-def looked_up(texts: DataFrame, filter_: DataFrame, order: int, probes: int = PROBES) -> DataFrame:
-    """(chunk, seg, data): for each chunk and segment the levels (int16) of the chunk's distinct n-grams, by hash."""
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    cuts = [*np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist(), len(values)] if len(values) else [0]
+    return list(zip(cuts, cuts[1:], strict=False))
 
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Interned()
-        for batch in batches:
-            for chunk, data, sizes in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-                numbers, counts, _ = table.read(unpacked(data, sizes))
-                h = distinct_grams(table, numbers, counts, order)[0]
-                seg = segment_of(h)
-                ends = np.flatnonzero(np.r_[seg[1:] != seg[:-1], True]) + 1
-                # the 40 bits below the segment's 12
-                short = (h >> np.uint64(12)).view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(seg[ends - 1].astype(np.int32)), pa.array(np.full(len(ends), chunk, np.int64)), binaries(short, 5 * ends)], names=["seg", "chunk", "data"])
-
-    asked = texts.select("chunk", "sizes", "data").mapInArrow(ask, "seg int, chunk long, data binary")
-    # a segment's filter comes before the chunks that ask it
-    rows = filter_.select("seg", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")).unionByName(asked)
-
-    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg_now, now = -1, np.zeros(0, np.uint64)
+
+def asked(texts: DataFrame, order: int, keys: Keys) -> DataFrame:
+    """(seg, chunk, grams, words): for each chunk and segment the chunk's distinct n-grams and tokens there, with their
+    counts in training texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, tool = Interned(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            seg, chunk = batch.column("seg").to_numpy(), batch.column("chunk").to_numpy()
-            data, at = flat_bytes(batch.column("data"))
-            filters = np.repeat(chunk < 0, np.diff(at))
-            own, asks = np.flatnonzero(chunk < 0), np.flatnonzero(chunk >= 0)
-            bits = np.r_[data[filters].view(np.uint64), now]
-            words = (at[own + 1] - at[own]) // 8
-            begin, width = np.zeros(SEGMENTS, np.int64), np.zeros(SEGMENTS, np.int64)
-            if seg_now >= 0:
-                begin[seg_now], width[seg_now] = words.sum(), len(now)
-            begin[seg[own]], width[seg[own]] = np.cumsum(words) - words, words
-            if len(asks):
-                sizes = (at[asks + 1] - at[asks]) // 5
-                short = np.zeros((sizes.sum(), 8), np.uint8)
-                short[:, :5] = data[~filters].reshape(-1, 5)
-                low = short.view(np.uint64).reshape(-1)
-                h = np.repeat(seg[asks].astype(np.uint64), sizes) << np.uint64(52) | low << np.uint64(12) | low & _ONE
-                h, back = np.unique(h, return_inverse=True)  # chunks share n-grams
-                s = segment_of(h)
-                found = probed(bits, begin[s], width[s], h, probes).astype(np.int16)[back]
-                out = pa.RecordBatch.from_arrays([pa.array(chunk[asks]), pa.array(seg[asks]), squeezed(found, np.cumsum(sizes))], names=["chunk", "seg", "data"])
-                yield from pieces(out)
-            last = int(seg[-1])
-            if width[last]:
-                seg_now, now = last, bits[begin[last] : begin[last] + width[last]].copy()
-
-    return rows.repartition("seg").sortWithinPartitions("seg", "chunk").mapInArrow(answer, "chunk long, seg int, data binary")
-
-
-def _levelled(texts: DataFrame, answers: DataFrame, order: int, head: Broadcast, unit: float) -> DataFrame:
-    """Each text's row with the levels (int16) of its n-grams, order after order, and the base score of its head tokens."""
+            for chunk, data, sizes, train in zip(*(batch.column(c) for c in ("chunk", "data", "sizes", "train")), strict=True):
+                numbers, counts = table.read(unpacked(data.as_py(), sizes.as_py()))
+                learned = np.repeat(np.array(train.as_py(), bool), counts)
+                h, backs = distinct_grams(table, numbers, counts, order, keys)
+                n = np.zeros(len(h), np.int64)
+                for back in backs:
+                    n += np.bincount(back[learned], minlength=len(h))
+                used, own = distinct_tokens(table, numbers, keys)
+                c = np.bincount(numbers[learned], minlength=int(used.max()) + 1)[used]
+                names = [table.names[i] for i in used.tolist()]
+                words = {}
+                at = keys.segment(own)
+                for a, b in _runs(at):
+                    words[int(at[a])] = c[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + b"\n".join(names[a:b])
+                seg = keys.segment(h)
+                runs = _runs(seg)
+                where = [int(seg[a]) for a, _ in runs]
+                grams = [tool.compress(keys.pack(h[a:b], n[a:b])) for a, b in runs]
+                named = [tool.compress(words[s]) if s in words else None for s in where]
+                sizes_ = [int(keys.single(own[slice(*np.searchsorted(at, [s, s + 1]))]).sum()) for s in where]
+                yield from pieces(pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([chunk.as_py()] * len(where), pa.int64()), pa.array(grams, pa.binary()), pa.array(named, pa.binary()), pa.array(sizes_, pa.int32())], names=["seg", "chunk", "grams", "words", "tokens"]), 2000)
+
+    return texts.select("chunk", "sizes", "train", "data").mapInArrow(run, "seg int, chunk long, grams binary, words binary, tokens int")
+
+
+def answered(questions: DataFrame, keys: Keys, bases: tuple[float, float], level_bits: float, probes: int) -> DataFrame:
+    """(chunk, seg, levels, counts): the answers, in the order of the questions; counts are exact, of tokens. One more row
+    for each group of segments, with a negative chunk, has the sums of bits set, of bits, and of known tokens."""
+
+    def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        segs, chunk = table.column("seg").to_numpy(), table.column("chunk")
+        parts = [keys.unpack(expand(g), s) for g, s in zip(table.column("grams").to_pylist(), segs.tolist(), strict=True)]
+        sizes = np.array([len(h) for h, _ in parts])
+        h, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([c for _, c in parts]), minlength=len(h)).astype(np.int64)
+        seg = keys.segment(h)
+        filter_ = Filter(seg, h, levels(keys.single(h), n, bases), level_bits, probes)
+        found = filter_.level(h, seg).astype(np.int16)[back]
+        ends = np.cumsum(sizes)
+        out = [squeeze(found[b - k : b].tobytes()) for k, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        # the tokens, exactly
+        each = table.column("tokens").to_numpy()
+        blobs = [expand(w) if w is not None else b"" for w in table.column("words").to_pylist()]
+        own = np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * k).reshape(4, -1).T).view("<u4").reshape(-1) for b, k in zip(blobs, each.tolist(), strict=True)]).astype(np.int64)
+        flat = np.frombuffer(b"\n".join(b[4 * k :] for b, k in zip(blobs, each.tolist(), strict=True) if k) + b"\n", np.uint8)
+        stops = np.flatnonzero(flat == 10)
+        total, known = np.zeros(len(own), np.int64), 0
+        if len(own):
+            offsets = np.r_[0, stops + 1].astype(np.int64)
+            names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            index = names.dictionary_encode().indices.to_numpy()  # with the line end, which all have
+            sums = np.bincount(index, weights=own).astype(np.int64)
+            total, known = sums[index], int((sums > 0).sum())
+        tops = np.cumsum(each)
+        counted = [squeeze(np.ascontiguousarray(total[b - k : b].view(np.uint8).reshape(-1, 8).T).tobytes()) for k, b in zip(each.tolist(), tops.tolist(), strict=True)]
+        none = pa.nulls(len(segs), pa.int64())
+        yield from pieces(pa.RecordBatch.from_arrays([chunk.combine_chunks(), pa.array(segs), pa.array(out, pa.binary()), pa.array(counted, pa.binary()), none, none, none], names=_ANSWER), 2000)
+        sums = [int(np.bitwise_count(filter_.words).sum()), 64 * len(filter_.words), known]
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - int(segs[0])], pa.int64()), pa.array(segs[:1]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in sums)], names=_ANSWER)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "seg", 1):
+            size = np.cumsum(pa.compute.binary_length(table.column("grams")).to_numpy())
+            begin = 0
+            for a, b in _runs(table.column("seg").to_numpy()):
+                if size[b - 1] - (size[begin - 1] if begin else 0) >= 6 * AT_A_TIME or b == table.num_rows:
+                    yield from group(table.slice(begin, b - begin))
+                    begin = b
+
+    return questions.repartition("seg").sortWithinPartitions("seg", "chunk").mapInArrow(run, "chunk long, seg int, levels binary, counts binary, ones long, bits long, known long")
+
+
+_ANSWER = ["chunk", "seg", "levels", "counts", "ones", "bits", "known"]
+
+
+def _levelled(texts: DataFrame, answers: DataFrame, order: int, keys: Keys) -> DataFrame:
+    """Each text's row with the levels (int16) of its n-grams, order after order, the known tokens and the sum of
+    log10(c + 0.5) of its tokens; and the rows of sums, that have no n_tokens."""
     kind = texts.schema["ids"].dataType.elementType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, levels binary, tail array<struct<token: binary, n: long>>"
-    none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ids", "train", "sizes")]
-    rows = texts.select("chunk", F.lit(-1).alias("seg"), "data", "ids", "train", "sizes").unionByName(answers.select("chunk", "seg", "data", *none))
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, levels binary, ones long, bits long, known long"
+    no = lambda frame, *names: [F.lit(None).cast(frame.schema[c].dataType).alias(c) for c in names]
+    rows = texts.select("chunk", F.lit(-1).alias("seg"), "data", "ids", "train", "sizes", *no(answers, "levels", "counts", "ones", "bits", "known"))
+    rows = rows.unionByName(answers.select("chunk", "seg", *no(texts, "data", "ids", "train", "sizes"), "levels", "counts", "ones", "bits", "known"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts_of = Interned(), head.value
-        exact = np.zeros(0, np.int64)
-        names: list[bytes] = []
-
-        def finish(texts: list[bytes], ids: pa.Array, train: pa.Array, found: np.ndarray) -> pa.RecordBatch:
-            nonlocal exact, names
-            numbers, counts, new = table.read(texts)
-            if len(names) + len(new) != len(table.number):  # the table was cleared
-                exact, names = np.zeros(0, np.int64), []
-            exact = np.r_[exact, np.array([counts_of.get(t, -1) for t in new], np.int64)]
-            names += new
-            h, backs = distinct_grams(table, numbers, counts, order)
-            if len(h) != len(found):
-                raise RuntimeError("a chunk's n-grams and their levels don't fit")
+        table, squeeze, expand = Interned(), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+        def finish(texts: list[bytes], ids: pa.Array, train: pa.Array, found: list[bytes], exact: list[bytes]) -> pa.RecordBatch:
+            numbers, counts = table.read(texts)
+            h, backs = distinct_grams(table, numbers, counts, order, keys)
+            level = np.frombuffer(b"".join(map(expand, found)), np.int16)
+            used, _ = distinct_tokens(table, numbers, keys)
+            c = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1) for x in map(expand, exact)])
+            if len(h) != len(level) or len(used) != len(c):
+                raise RuntimeError("a chunk's n-grams and their answers don't fit")
             begin = np.cumsum(counts) - counts
             by_text = np.empty(order * len(numbers), np.int16)  # a text's orders one after another
             place = np.arange(len(numbers)) + np.repeat(begin * (order - 1), counts)
             for k, back in enumerate(backs):
-                by_text[place + np.repeat(k * counts, counts)] = found[back]
-            c = exact[numbers]
-            base = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / unit), 0.0), begin)
-            known = np.add.reduceat((c > 0).astype(np.int64), begin)
-            away = np.flatnonzero(c < 0)
-            pair, n = np.unique(np.repeat(np.arange(len(counts)), counts)[away] << 32 | numbers[away], return_counts=True)
-            ends = np.searchsorted(pair >> 32, np.arange(len(counts) + 1))
-            tail = pa.StructArray.from_arrays([pa.array([names[i] for i in (pair & 0xFFFFFFFF).tolist()], pa.binary()), pa.array(n.astype(np.int64))], names=["token", "n"])
-            return pa.RecordBatch.from_arrays(
-                [ids, pa.compute.invert(train), pa.array(counts), pa.array(known), pa.array(base), squeezed(by_text, np.cumsum(order * counts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)],
-                names=["doc_id", "held_out", "n_tokens", "head_known", "head_base", "levels", "tail"],
-            )
-
-        tool = zstandard.ZstdDecompressor()
+                by_text[place + np.repeat(k * counts, counts)] = level[back]
+            of = np.zeros(int(used.max()) + 1, np.int64)
+            of[used] = c
+            logs = np.add.reduceat(np.log10(of + 0.5)[numbers], begin)
+            known = np.add.reduceat((of > 0).astype(np.int64)[numbers], begin)
+            data, ends = by_text.tobytes(), np.cumsum(2 * order * counts).tolist()
+            packed = pa.array([squeeze(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+            none = pa.nulls(len(texts), pa.int64())
+            return pa.RecordBatch.from_arrays([ids, pa.compute.invert(train), pa.array(counts), pa.array(known), pa.array(logs), packed, none, none, none], names=_LEVELLED)
+
         held: tuple | None = None
-        answers: list[bytes] = []
+        found: list[bytes] = []
+        exact: list[bytes] = []
         for batch in batches:
-            data = batch.column("data").to_pylist()
-            prev = 0
-            for i in [*np.flatnonzero(batch.column("seg").to_numpy() < 0).tolist(), batch.num_rows]:
-                answers += map(tool.decompress, data[prev:i])
-                if i < batch.num_rows:
-                    if held:
-                        yield from pieces(finish(*held, np.frombuffer(b"".join(answers), np.int16)), 2000)
-                    texts = unpacked(data[i], batch.column("sizes")[i].as_py())
-                    held, answers, prev = (texts, batch.column("ids")[i].values, batch.column("train")[i].values), [], i + 1
+            chunk, seg = batch.column("chunk").to_numpy(), batch.column("seg").to_numpy()
+            sums = batch.filter(pa.array(chunk < 0))
+            if sums.num_rows:
+                nulls = [pa.nulls(sums.num_rows, t) for t in (batch.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*nulls, *(sums.column(c) for c in ("ones", "bits", "known"))], names=_LEVELLED)
+            for i in np.flatnonzero(chunk >= 0).tolist():
+                if seg[i] >= 0:
+                    found.append(batch.column("levels")[i].as_py())
+                    exact.append(batch.column("counts")[i].as_py())
+                    continue
+                if held:
+                    yield from pieces(finish(*held, found, exact), 2000)
+                held = (unpacked(batch.column("data")[i].as_py(), batch.column("sizes")[i].as_py()), batch.column("ids")[i].values, batch.column("train")[i].values)
+                found, exact = [], []
         if held:
-            yield from pieces(finish(*held, np.frombuffer(b"".join(answers), np.int16)), 2000)
+            yield from pieces(finish(*held, found, exact), 2000)
 
     return rows.repartition("chunk").sortWithinPartitions("chunk", "seg").mapInArrow(run, schema)
 
 
+_LEVELLED = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "levels", "ones", "bits", "known"]
+
+
 def _below(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The levels of each order for all tokens of a batch of _levelled, and the numbers of tokens."""
     counts = batch.column("n_tokens").to_numpy()
@@ -539,7 +435,8 @@ def _below(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndar
 
 
 def all_weights(found: DataFrame, order: int) -> np.ndarray:
-    """As weigh, from the levels of all training texts; the driver gets the sums by level."""
+    """The weights by order and context level: shares of n-grams of all training texts that are met again elsewhere, with
+    one pseudo-count against; the driver gets the sums by level."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, every = np.zeros((order - 1, MOST_LEVELS), np.int64), np.zeros((order - 1, MOST_LEVELS), np.int64)
@@ -558,25 +455,29 @@ def all_weights(found: DataFrame, order: int) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, bases: tuple[float, float] = BASES, filter_bits: int | None = None, head: int = HEAD) -> DataFrame:
+def segment_bits(text_bytes: int) -> int:
+    """The number of segments, as a power of two, for so many bytes of text."""
+    return min(MOST_SEGMENT_BITS, max(LEAST_SEGMENT_BITS, (text_bytes // SEGMENT_TEXT).bit_length()))
+
+
+def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, bases: tuple[float, float] = BASES, level_bits: float = LEVEL_BITS, probes: int = PROBES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learning from the rows
-    where `train` (over doc_id; by default crc32 of the id modulo 5 not 1) holds. The filter grows with the n-grams
-    unless filter_bits fixes its size."""
+    where `train` (over doc_id; by default crc32 of the id modulo 5 not 1) holds."""
+    if order < 1 or not 1 <= probes <= 5:
+        raise ValueError("order is 1 or more, probes are 1 to 5")
     spark = docs.sparkSession
     train = F.pmod(id_crc(), F.lit(5)) != 1 if train is None else train
-    rows = pick(docs, "doc_id", "text").select("doc_id", train.alias("train"), text_bytes().alias("text"))
-    words = materialize(vocabulary(rows), "vocabulary")
-    sums = words.where("c > 0").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    total, distinct = sums["total"] or 0, sums["distinct"]
-    filter_ = segments(gram_counts(rows, words, order), bases=bases, filter_bits=filter_bits)
-    size = filter_.agg(F.sum("ones").alias("ones"), F.sum(8 * F.octet_length("bits").cast("long")).alias("bits")).first()
-    let_go(spark)
-    false = ((size["ones"] or 0) / (size["bits"] or 1)) ** PROBES
-    head_counts = spark.sparkContext.broadcast(frequent(words, head))
-    texts = chunks(rows)
-    found = materialize(_levelled(texts, looked_up(texts, filter_, order), order, head_counts, total + 0.5 * (distinct + 1)).withColumn("uid", F.monotonically_increasing_id()), "levels")
+    texts = chunks(pick(docs, "doc_id", "text").select("doc_id", train.alias("train"), text_bytes().alias("text")))
+    keys = Keys(segment_bits(texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0))
+    found = materialize(_levelled(texts, answered(asked(texts, order, keys), keys, bases, level_bits, probes), order, keys), "levels")
     let_go(spark)
-    weights = all_weights(found, order)
+    sums = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "bits", "known")], F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("total")).first()
+    fill = sums["ones"] / (sums["bits"] or 1)
+    if fill > MOST_FILL:
+        raise ValueError(f"{level_bits} bits a level fill the filter to {fill:.2f}; the most is {MOST_FILL}")
+    false, total, distinct = fill**probes, sums["total"], sums["known"]
+    rows = found.where("n_tokens IS NOT NULL")
+    weights = all_weights(rows, order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "levels", 1 << 18):
@@ -584,18 +485,7 @@ def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, b
             p = log10(below[0], contexts(below, counts, below[0][-1]), weights, total, distinct, bases, false)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.add.reduceat(p, np.cumsum(counts) - counts))], names=[*batch.schema.names[:-1], "score"])
 
-    unit = F.lit(float(total + 0.5 * (distinct + 1)))
-    tail = found.select("uid", F.explode("tail").alias("t")).select("uid", "t.token", "t.n").join(words.select("token", "c"), "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("uid").agg(F.sum(F.col("n") * F.log10((c + 0.5) / unit)).alias("more_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
     kind = found.schema["doc_id"].dataType.simpleString()
-    scored = found.select("doc_id", "held_out", "n_tokens", "head_known", "head_base", "uid", "levels").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_base double, uid long, score double")
-    return scored.join(tail, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    scored = rows.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "levels").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    unit = F.log10(F.lit(total + 0.5 * (distinct + 1)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score")

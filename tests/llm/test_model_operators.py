@@ -20,9 +20,6 @@ def crc(i):
 
 # --- language model ---
 
-SMALL = {"filter_bits": 1 << 22}  # a small corpus fits
-
-
 def brute_base(rows):
     tokens = lambda t: (t or "").encode().lower().split() + [b""]
     counts = collections.Counter(w for i, t in rows if crc(i) % 5 != 1 for w in tokens(t))
@@ -39,17 +36,18 @@ def found_base(frame):
     return sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in frame.collect()), key=repr)
 
 
-@pytest.mark.parametrize("head", [3, 1 << 18])
-def test_lm_counts_and_base_equal_brute_force(spark, odd, head):
+@pytest.mark.parametrize("together", [1, 1 << 20])
+def test_lm_counts_and_base_equal_brute_force(spark, odd, together, monkeypatch):
+    monkeypatch.setattr(ngram, "TOGETHER", together)  # chunks of one text, or of all of a partition
     frame, rows = odd
-    assert found_base(ngram.score(frame, head=head, **SMALL)) == brute_base([(r[0], r[1]) for r in rows])
+    assert found_base(ngram.score(frame)) == brute_base([(r[0], r[1]) for r in rows])
 
 
 def test_lm_empty_table_and_no_training(spark, nothing):
-    assert ngram.score(nothing, **SMALL).count() == 0
+    assert ngram.score(nothing).count() == 0
     held = [i for i in range(100) if crc(i) % 5 == 1][:5]
     rows = [(i, "a b") for i in held]
-    assert found_base(ngram.score(spark.createDataFrame(rows, "doc_id long, text string"), **SMALL)) == brute_base(rows)
+    assert found_base(ngram.score(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_base(rows)
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
@@ -65,64 +63,114 @@ def test_lm_beats_the_base_on_held_out_text(spark, order):
         return " ".join(out)
 
     frame = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
-    rows = ngram.score(frame, order=order, **SMALL).where("held_out").collect()
+    rows = ngram.score(frame, order=order).where("held_out").collect()
     score, base = (sum(x[c] for x in rows) for c in ("score", "base_score"))
     assert score > 0.6 * base if order > 1 else abs(score / base - 1) < 0.05
 
 
-def test_lm_levels_have_no_false_negatives_and_bound_counts():
-    counts = np.array([1, 2, 3, 10, 1000, 10**6])
-    h = np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-    q = ngram.levels(h, counts, (1.1, 1.5))
-    assert (1.1 ** (q - 1) <= counts * (1 + 1e-12)).all() and (1.1**q > counts).all()
+def test_lm_levels_bound_counts_and_are_all_found():
+    counts = np.array([1, 2, 3, 10, 1000, 10**6, 0])
+    keys = ngram.Keys(11)
+    h = np.sort(keys.of_tokens(np.arange(1, 8, dtype=np.uint64)))
+    q = ngram.levels(keys.single(h), counts, (1.1, 1.5))
+    assert (1.1 ** (q - 1) <= np.maximum(counts, 1) * (1 + 1e-12)).all() and (1.1**q > counts).all() and q[-1] == 0
+    model = ngram.Filter(keys.segment(h), h, q, 10, 4)
+    assert (model.level(h, keys.segment(h)) >= q).all() and (model.level(h, keys.segment(h))[:-1] < q[:-1] + 3).all()
+
+
+def test_lm_keys_pack_and_filter_size_follows_the_levels():
+    keys = ngram.Keys(12)
+    h = np.sort(keys.of_grams(np.arange(50_000, dtype=np.uint64), np.array([50_000]), 2)[0])
+    at = keys.segment(h) == 7
+    back, n = keys.unpack(keys.pack(h[at], np.arange(at.sum()) * 70_000), 7)
+    assert (back == h[at]).all() and (n == np.arange(at.sum()) * 70_000).all() and not keys.single(h).any()
+    for part in (h[:5000], h):
+        model = ngram.Filter(keys.segment(part), part, np.full(len(part), 2), 10, 4)
+        assert 20 * len(part) <= 64 * len(model.words) <= 20 * len(part) + 64 * len(model.segments)
+        assert (model.level(part, keys.segment(part)) >= 2).all()
+        away = ngram.mix(part) & keys.kept
+        away = away[np.isin(keys.segment(away), model.segments)]
+        assert (model.level(away, keys.segment(away)) > 0).mean() < 0.05
+
+
+def brute_scores(rows, order, bases):
+    """Scores from exact counts cut to levels, weights by leave-one-out: no filter."""
+    tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
+    count = collections.Counter()
+    for i, w in tokens.items():
+        if crc(i) % 5 != 1:
+            for n in range(1, order + 1):
+                count.update(tuple([b""] * max(0, n - 1 - k) + w[max(0, k - n + 1) : k + 1])[-n:] if k >= n - 1 or n == 2 else (None, n, *w[: k + 1]) for k in range(len(w)))
+    total = sum(c for g, c in count.items() if len(g) == 1)
+    distinct = sum(len(g) == 1 for g in count)
+
+    def level(g, n):
+        c = count.get(g, 0)
+        return 0 if not c else 1 + max(q for q in range(400) if bases[n > 1] ** q <= c * (1 + 1e-15))
+
+    def gram(w, k, n):
+        return tuple(w[k - n + 1 : k + 1]) if k >= n - 1 else (b"", *w[:1]) if n == 2 else (None, n, *w[: k + 1])
+
+    def parts(w):
+        below = [level((x,), 1) for x in w]
+        for n in range(2, order + 1):
+            above = [(level((b"",), 1) if n == 2 else 0) if k == 0 else below[k - 1] for k in range(len(w))]
+            below = [level(gram(w, k, n), n) if above[k] and below[k] else 0 for k in range(len(w))]
+            yield above, below
+
+    again, every = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if crc(i) % 5 != 1:
+            for n, (above, below) in enumerate(parts(w)):
+                for a, q in zip(above, below, strict=True):
+                    every[n, a] += 1
+                    again[n, a] += q > 1
+    out = {}
+    for i, w in tokens.items():
+        p = [(min(bases[0] ** (q - 1), total) * (q > 0) + 0.5) / (total + 0.5 * (distinct + 1)) for q in (level((x,), 1) for x in w)]
+        for n, (above, below) in enumerate(parts(w)):
+            for k, (a, q) in enumerate(zip(above, below, strict=True)):
+                weight = again[n, a] / (every[n, a] + 1) if a else 0
+                p[k] = weight * min((bases[1] ** (q - 1) if q else 0) / max(bases[min(n, 1)] ** a, 1), 1) + (1 - weight) * p[k]
+        out[i] = sum(map(math.log10, p))
+    return out
 
 
-def test_lm_probabilities_add_up_to_one_at_most(spark):
-    r = random.Random(2)
-    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(30))) for i in range(100)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    train = frame.select("doc_id", ngram.F.lit(True).alias("train"), ngram.text_bytes().alias("text"))
-    words = ngram.vocabulary(train).persist()
-    total, distinct = sum(x["c"] for x in words.collect()), words.count()
-    model = ngram.build_filter(ngram.gram_counts(train, words), total, distinct, filter_bits=1 << 22)
-    model.weights = ngram.weigh(model, [t.encode() for _, t in rows])
-    scorer = ngram.Scorer(model)
-    for context in "abz":
-        sums = 0.0
-        for w in [*"abcdefgh", "\0unknown"]:
-            numbers, counts, _ = scorer.read([f"{context} {w}".encode()])
-            sums += 10 ** scorer.log10(numbers, counts)[1]
-        numbers, counts, _ = scorer.read([context.encode()])
-        sums += 10 ** scorer.log10(numbers, counts)[1]  # the end
-        assert 0.5 < sums <= 1 + 1e-9
-
-
-def test_lm_filter_grows_with_the_levels_and_counts_stay_below_n(spark):
-    counts = spark.range(300_000).select(F.xxhash64("id").bitwiseAND(F.lit(-2)).alias("h"), F.lit(1).cast("long").alias("n"))
-    counts = counts.select(F.shiftrightunsigned("h", 52).cast("int").alias("seg"), "h", "n").repartition("seg")
-    sizes = []
-    for part in (counts.limit(30_000).repartition("seg"), counts):
-        size = ngram.segments(part).agg(F.sum("ones").alias("ones"), F.sum(8 * F.octet_length("bits")).alias("bits")).first()
-        sizes.append(size["bits"])
-        assert size["bits"] >= 10 * part.count() and size["ones"] / size["bits"] < 0.4
-    assert sizes[1] > 5 * sizes[0]
-    p = ngram.log10(np.array([400]), [(np.array([0]), np.array([0]))], np.zeros((1, 401)), 1000, 10, (1.1, 1.5), 0.0)
-    assert p[0] <= 0
-
-
-def test_lm_scores_are_those_of_a_whole_filter_with_weights_of_all_texts(spark):
-    rows = [(i, t) for i, t in enumerate(word_texts(14, 60))]
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores_equal_brute_force(spark, order):
+    texts = word_texts(14, 80)
+    rows = [(i, texts[i // 2] if i % 3 == 0 else t) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    train = frame.select("doc_id", (F.pmod(ngram.id_crc(), F.lit(5)) != 1).alias("train"), ngram.text_bytes().alias("text"))
-    words = ngram.vocabulary(train).persist()
-    known = words.where("c > 0").collect()
-    for order in (2, 3):
-        model = ngram.build_filter(ngram.gram_counts(train, words, order), sum(x["c"] for x in known), len(known), order=order, **SMALL)
-        model.weights = ngram.weigh(model, [t.encode() for i, t in rows if crc(i) % 5 != 1])
-        scorer = ngram.Scorer(model)
-        for r in ngram.score(frame, order=order, **SMALL).collect():
-            numbers, counts, _ = scorer.read([rows[r["doc_id"]][1].encode()])
-            assert math.isclose(r["score"], scorer.log10(numbers, counts).sum(), rel_tol=1e-6)
+    wanted = brute_scores(rows, order, ngram.BASES)
+    # so many bits that no false positive is left
+    for r in ngram.score(frame, order=order, level_bits=4000).collect():
+        assert math.isclose(r["score"], wanted[r["doc_id"]], rel_tol=1e-3)
+    near = [(r["score"], wanted[r["doc_id"]]) for r in ngram.score(frame, order=order).collect()]
+    assert all(abs(a - b) < 0.05 * abs(b) for a, b in near)
+
+
+def conditional(spark, rows, level_bits, context, words):
+    """Probabilities of each of `words` after `context`, as differences of scores of a text and of its beginning."""
+    ask = [(10**6 + 5 * k, f"{context} {w}".strip()) for k, w in enumerate(words)]
+    frame = spark.createDataFrame([*rows, *ask], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in ngram.score(frame, F.col("doc_id") < 10**6, order=2, level_bits=level_bits).collect()}
+    return [scores[i] for i, _ in ask]
+
+
+@pytest.mark.parametrize("level_bits", [5.0, 10])
+def test_lm_probabilities_of_two_word_texts_add_up_to_one_at_most(spark, level_bits):
+    r = random.Random(2)
+    letters = "abcdefgh"
+    rows = [(i, " ".join(r.choice(letters) for _ in range(r.randint(0, 30)))) for i in range(100)]
+    texts = ["", *letters, *(f"{a} {b}" for a in letters for b in letters), *(f"{a} unknown" for a in letters), "unknown", *(f"unknown {a}" for a in letters), "unknown unknown"]
+    assert 0.005 < sum(10**s for s in conditional(spark, rows, level_bits, "", texts)) <= 1 + 1e-9
+
+
+def test_lm_refuses_a_filter_that_is_too_full(spark):
+    frame = spark.createDataFrame(list(enumerate(word_texts(16, 30))), "doc_id long, text string")
+    for bits in (0.5, 1, 2):
+        with pytest.raises(ValueError, match="fill the filter"):
+            ngram.score(frame, level_bits=bits)
 
 
 # --- quality classifier ---

@@ -47,7 +47,7 @@ ORDER = 3
 #: Bases of the count levels: of single tokens, and of longer n-grams.
 BASES = (1.1, 1.5)
 #: The filter's bits for each n-gram level, the probes of a level, and the fill beyond which a filter is refused.
-LEVEL_BITS, PROBES, MOST_FILL = 10, 4, 0.6
+LEVEL_BITS, PROBES, MOST_FILL = 24, 5, 0.6
 #: Bytes of text for each segment, and the least and most segments (powers of two).
 SEGMENT_TEXT, LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS = 16 << 20, 11, 24
 #: Bytes of text whose distinct n-grams are looked up together.

@@ -9,7 +9,7 @@ grows with the corpus and the rate of false positives stays the same. As it has
 2. The distinct n-grams of a chunk, with their counts in its training texts, and its distinct tokens go to their
    segments. The task that has a segment adds the counts up, builds the segment's filter and answers all chunks that
    ask it, by probing: level after level until one is missing. Of tokens it sends exact counts too (base score).
-3. Answers return to their chunk, and each text's levels are written.
+3. The answers are written, return to their chunk, and each text's levels are written.
 4. Sums by level over all training texts give the weights; then all texts are scored.
 
 A probability is l c(h, w) / c(h) + (1 - l) P(w | shorter h) (Jelinek-Mercer), with the lower bound of the count's
@@ -17,7 +17,7 @@ level above the line and the upper bound below it. Single tokens take (c + 0.5)
 bound for c, cut at N. So probabilities of all tokens add up to one at most while false positives are rare; a filter
 filled beyond MOST_FILL (too few level_bits) is refused. The weight l belongs to the level of c(h): the share of
 tokens after such contexts whose n-gram is met again elsewhere, by leave-one-out over all training texts, lowered by
-the rate of false positives that the filter's fill implies.
+the rate of false positives that the filter's fill implies, and the 32 bits that tell n-grams of a segment apart.
 
 Memory: a task holds the n-grams of one segment or of one chunk (a text longer than TOGETHER is a chunk of its own).
 No n-gram or token is hot: each chunk asks for it once.
@@ -100,12 +100,12 @@ class Interned:
 
 
 class Keys:
-    """The layout of n-gram keys: the segment in the upper bits, 40 bits below it that tell n-grams of a segment apart,
+    """The layout of n-gram keys: the segment in the upper bits, 32 bits below it that tell n-grams of a segment apart,
     the least of them the mark of single tokens, then zeros."""
 
     def __init__(self, segment_bits: int):
         self.bits = segment_bits
-        self.low = np.uint64(24 - segment_bits)
+        self.low = np.uint64(32 - segment_bits)
         self.mark = _ONE << self.low
         self.kept = ~((self.mark << _ONE) - _ONE)
 
@@ -133,17 +133,36 @@ class Keys:
 
     def pack(self, h: np.ndarray, counts: np.ndarray) -> bytes:
         """Sorted keys of one segment and their counts, byte by byte: the upper ones compress."""
-        planes = (h >> self.low).view(np.uint8).reshape(-1, 8)[:, 4::-1].T
+        planes = (h >> self.low).view(np.uint8).reshape(-1, 8)[:, 3::-1].T
         return planes.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
     def unpack(self, data: bytes, segment: int) -> tuple[np.ndarray, np.ndarray]:
-        planes = np.frombuffer(data, np.uint8).reshape(9, -1)
+        planes = np.frombuffer(data, np.uint8).reshape(8, -1)
         wide = np.zeros((planes.shape[1], 8), np.uint8)
-        wide[:, :5] = planes[4::-1].T
-        counts = np.ascontiguousarray(planes[5:].T).view("<u4").reshape(-1)
+        wide[:, :4] = planes[3::-1].T
+        counts = np.ascontiguousarray(planes[4:].T).view("<u4").reshape(-1)
         return (wide.view(np.uint64).reshape(-1) << self.low) | np.uint64(segment << (64 - self.bits)), counts.astype(np.int64)
 
 
+def ordered(h: np.ndarray) -> np.ndarray:
+    """The order of h: its upper bits and the places sorted as one number, which is faster, unless lower bits matter."""
+    bits = np.uint64(max(1, len(h).bit_length()))
+    packed = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((_ONE << bits) - _ONE)).astype(np.int64)
+    return np.argsort(h, kind="stable") if (h[order][1:] < h[order][:-1]).any() else order
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with inverse."""
+    order = ordered(h)
+    h = h[order]
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return h[new], back
+
+
 def levels(single: np.ndarray, counts: np.ndarray, bases: tuple[float, float]) -> np.ndarray:
     """1 + floor(log_base c), exact at powers, 0 for no count; the base is that of single tokens or of longer n-grams."""
     base, counts_ = np.where(single, bases[0], bases[1]), np.maximum(counts, 1)
@@ -233,7 +252,7 @@ def chunks(rows: DataFrame) -> DataFrame:
     """(chunk, ids, train, sizes, data): the texts of about TOGETHER bytes in a row, compressed, written once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=1)
+        tool = zstandard.ZstdCompressor(level=3)
         for batch in sub_batches(batches, "text", TOGETHER):
             texts = batch.column("text").to_pylist()
             ends = pa.array([0, len(texts)], pa.int32())
@@ -253,7 +272,7 @@ def distinct_tokens(table: Interned, numbers: np.ndarray, keys: Keys) -> tuple[n
     """The distinct tokens (their numbers) in the order of their keys, tokens of equal key by name; and the keys."""
     used = np.flatnonzero(np.bincount(numbers))
     h = keys.of_tokens(table.hash[used])
-    order = np.argsort(h, kind="stable")
+    order = ordered(h)
     used, h = used[order], h[order]
     if (h[1:] == h[:-1]).any():
         order = np.array(sorted(range(len(h)), key=lambda i: (int(h[i]), table.names[used[i]])))
@@ -268,13 +287,23 @@ def distinct_grams(table: Interned, numbers: np.ndarray, counts: np.ndarray, ord
     where[used] = np.arange(len(used))
     parts, backs = [own], [where[numbers]]
     for gram in keys.of_grams(table.hash[numbers], counts, order):
-        h, back = np.unique(gram, return_inverse=True)
+        h, back = distinct(gram)
         backs.append(back + sum(map(len, parts)))
         parts.append(h)
-    h, place = np.unique(np.concatenate(parts), return_inverse=True)
+    h, place = distinct(np.concatenate(parts))
     return h, [place[b] for b in backs]
 
 
+def counted(table: Interned, numbers: np.ndarray, counts: np.ndarray, learned: np.ndarray, order: int, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of distinct_grams, and how often each stands in learned tokens, told in the lowest bit while sorting."""
+    every = [keys.of_tokens(table.hash[: int(numbers.max()) + 1])[numbers], *keys.of_grams(table.hash[numbers], counts, order)]
+    h = np.concatenate([g | learned.astype(np.uint64) for g in every])
+    h.sort()
+    key = h >> _ONE << _ONE
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[begins], np.add.reduceat((h & _ONE).astype(np.int64), begins)
+
+
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal values."""
     cuts = [*np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist(), len(values)] if len(values) else [0]
@@ -291,10 +320,7 @@ def asked(texts: DataFrame, order: int, keys: Keys) -> DataFrame:
             for chunk, data, sizes, train in zip(*(batch.column(c) for c in ("chunk", "data", "sizes", "train")), strict=True):
                 numbers, counts = table.read(unpacked(data.as_py(), sizes.as_py()))
                 learned = np.repeat(np.array(train.as_py(), bool), counts)
-                h, backs = distinct_grams(table, numbers, counts, order, keys)
-                n = np.zeros(len(h), np.int64)
-                for back in backs:
-                    n += np.bincount(back[learned], minlength=len(h))
+                h, n = counted(table, numbers, counts, learned, order, keys)
                 used, own = distinct_tokens(table, numbers, keys)
                 c = np.bincount(numbers[learned], minlength=int(used.max()) + 1)[used]
                 names = [table.names[i] for i in used.tolist()]
@@ -315,20 +341,20 @@ def asked(texts: DataFrame, order: int, keys: Keys) -> DataFrame:
 
 def answered(questions: DataFrame, keys: Keys, bases: tuple[float, float], level_bits: float, probes: int) -> DataFrame:
     """(chunk, seg, levels, counts): the answers, in the order of the questions; counts are exact, of tokens. One more row
-    for each group of segments, with a negative chunk, has the sums of bits set, of bits, and of known tokens."""
+    for each group of segments, with a negative chunk, has the sums of bits set, of bits, of known tokens and of known n-grams."""
 
     def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
         squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         segs, chunk = table.column("seg").to_numpy(), table.column("chunk")
         parts = [keys.unpack(expand(g), s) for g, s in zip(table.column("grams").to_pylist(), segs.tolist(), strict=True)]
         sizes = np.array([len(h) for h, _ in parts])
-        h, back = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        h, back = distinct(np.concatenate([h for h, _ in parts]))
         n = np.bincount(back, weights=np.concatenate([c for _, c in parts]), minlength=len(h)).astype(np.int64)
         seg = keys.segment(h)
         filter_ = Filter(seg, h, levels(keys.single(h), n, bases), level_bits, probes)
-        found = filter_.level(h, seg).astype(np.int16)[back]
+        found = filter_.level(h, seg).astype("<i2")[back].view(np.uint8).reshape(-1, 2)
         ends = np.cumsum(sizes)
-        out = [squeeze(found[b - k : b].tobytes()) for k, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        out = [squeeze(found[b - k : b].T.tobytes()) for k, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
         # the tokens, exactly
         each = table.column("tokens").to_numpy()
         blobs = [expand(w) if w is not None else b"" for w in table.column("words").to_pylist()]
@@ -343,10 +369,10 @@ def answered(questions: DataFrame, keys: Keys, bases: tuple[float, float], level
             sums = np.bincount(index, weights=own).astype(np.int64)
             total, known = sums[index], int((sums > 0).sum())
         tops = np.cumsum(each)
-        counted = [squeeze(np.ascontiguousarray(total[b - k : b].view(np.uint8).reshape(-1, 8).T).tobytes()) for k, b in zip(each.tolist(), tops.tolist(), strict=True)]
+        exact = [squeeze(np.ascontiguousarray(total[b - k : b].view(np.uint8).reshape(-1, 8).T).tobytes()) for k, b in zip(each.tolist(), tops.tolist(), strict=True)]
         none = pa.nulls(len(segs), pa.int64())
-        yield from pieces(pa.RecordBatch.from_arrays([chunk.combine_chunks(), pa.array(segs), pa.array(out, pa.binary()), pa.array(counted, pa.binary()), none, none, none], names=_ANSWER), 2000)
-        sums = [int(np.bitwise_count(filter_.words).sum()), 64 * len(filter_.words), known]
+        yield from pieces(pa.RecordBatch.from_arrays([chunk.combine_chunks(), pa.array(segs), pa.array(out, pa.binary()), pa.array(exact, pa.binary()), none, none, none, none], names=_ANSWER), 2000)
+        sums = [int(np.bitwise_count(filter_.words).sum()), 64 * len(filter_.words), known, int((n > 0).sum())]
         yield pa.RecordBatch.from_arrays([pa.array([-1 - int(segs[0])], pa.int64()), pa.array(segs[:1]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in sums)], names=_ANSWER)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,20 +384,20 @@ def answered(questions: DataFrame, keys: Keys, bases: tuple[float, float], level
                     yield from group(table.slice(begin, b - begin))
                     begin = b
 
-    return questions.repartition("seg").sortWithinPartitions("seg", "chunk").mapInArrow(run, "chunk long, seg int, levels binary, counts binary, ones long, bits long, known long")
+    return questions.repartition("seg").sortWithinPartitions("seg", "chunk").mapInArrow(run, "chunk long, seg int, levels binary, counts binary, ones long, bits long, known long, grams long")
 
 
-_ANSWER = ["chunk", "seg", "levels", "counts", "ones", "bits", "known"]
+_ANSWER = ["chunk", "seg", "levels", "counts", "ones", "bits", "known", "grams"]
 
 
 def _levelled(texts: DataFrame, answers: DataFrame, order: int, keys: Keys) -> DataFrame:
     """Each text's row with the levels (int16) of its n-grams, order after order, the known tokens and the sum of
     log10(c + 0.5) of its tokens; and the rows of sums, that have no n_tokens."""
     kind = texts.schema["ids"].dataType.elementType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, levels binary, ones long, bits long, known long"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, levels binary, ones long, bits long, known long, grams long"
     no = lambda frame, *names: [F.lit(None).cast(frame.schema[c].dataType).alias(c) for c in names]
-    rows = texts.select("chunk", F.lit(-1).alias("seg"), "data", "ids", "train", "sizes", *no(answers, "levels", "counts", "ones", "bits", "known"))
-    rows = rows.unionByName(answers.select("chunk", "seg", *no(texts, "data", "ids", "train", "sizes"), "levels", "counts", "ones", "bits", "known"))
+    rows = texts.select("chunk", F.lit(-1).alias("seg"), "data", "ids", "train", "sizes", *no(answers, "levels", "counts", "ones", "bits", "known", "grams"))
+    rows = rows.unionByName(answers.select("chunk", "seg", *no(texts, "data", "ids", "train", "sizes"), "levels", "counts", "ones", "bits", "known", "grams"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, squeeze, expand = Interned(), zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
@@ -379,7 +405,7 @@ def _levelled(texts: DataFrame, answers: DataFrame, order: int, keys: Keys) -> D
         def finish(texts: list[bytes], ids: pa.Array, train: pa.Array, found: list[bytes], exact: list[bytes]) -> pa.RecordBatch:
             numbers, counts = table.read(texts)
             h, backs = distinct_grams(table, numbers, counts, order, keys)
-            level = np.frombuffer(b"".join(map(expand, found)), np.int16)
+            level = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(2, -1).T).view("<i2").reshape(-1) for x in map(expand, found)])
             used, _ = distinct_tokens(table, numbers, keys)
             c = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1) for x in map(expand, exact)])
             if len(h) != len(level) or len(used) != len(c):
@@ -396,7 +422,7 @@ def _levelled(texts: DataFrame, answers: DataFrame, order: int, keys: Keys) -> D
             data, ends = by_text.tobytes(), np.cumsum(2 * order * counts).tolist()
             packed = pa.array([squeeze(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
             none = pa.nulls(len(texts), pa.int64())
-            return pa.RecordBatch.from_arrays([ids, pa.compute.invert(train), pa.array(counts), pa.array(known), pa.array(logs), packed, none, none, none], names=_LEVELLED)
+            return pa.RecordBatch.from_arrays([ids, pa.compute.invert(train), pa.array(counts), pa.array(known), pa.array(logs), packed, none, none, none, none], names=_LEVELLED)
 
         held: tuple | None = None
         found: list[bytes] = []
@@ -406,7 +432,7 @@ def _levelled(texts: DataFrame, answers: DataFrame, order: int, keys: Keys) -> D
             sums = batch.filter(pa.array(chunk < 0))
             if sums.num_rows:
                 nulls = [pa.nulls(sums.num_rows, t) for t in (batch.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*nulls, *(sums.column(c) for c in ("ones", "bits", "known"))], names=_LEVELLED)
+                yield pa.RecordBatch.from_arrays([*nulls, *(sums.column(c) for c in ("ones", "bits", "known", "grams"))], names=_LEVELLED)
             for i in np.flatnonzero(chunk >= 0).tolist():
                 if seg[i] >= 0:
                     found.append(batch.column("levels")[i].as_py())
@@ -422,7 +448,7 @@ def _levelled(texts: DataFrame, answers: DataFrame, order: int, keys: Keys) -> D
     return rows.repartition("chunk").sortWithinPartitions("chunk", "seg").mapInArrow(run, schema)
 
 
-_LEVELLED = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "levels", "ones", "bits", "known"]
+_LEVELLED = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "levels", "ones", "bits", "known", "grams"]
 
 
 def _below(batch: pa.RecordBatch, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -469,23 +495,26 @@ def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, b
     train = F.pmod(id_crc(), F.lit(5)) != 1 if train is None else train
     texts = chunks(pick(docs, "doc_id", "text").select("doc_id", train.alias("train"), text_bytes().alias("text")))
     keys = Keys(segment_bits(texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0))
-    found = materialize(_levelled(texts, answered(asked(texts, order, keys), keys, bases, level_bits, probes), order, keys), "levels")
+    answers = materialize(answered(asked(texts, order, keys), keys, bases, level_bits, probes), "answers")
+    let_go(spark)
+    found = materialize(_levelled(texts, answers, order, keys), "levels")
     let_go(spark)
-    sums = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "bits", "known")], F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("total")).first()
+    sums = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "bits", "known", "grams")], F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("total")).first()
     fill = sums["ones"] / (sums["bits"] or 1)
     if fill > MOST_FILL:
         raise ValueError(f"{level_bits} bits a level fill the filter to {fill:.2f}; the most is {MOST_FILL}")
-    false, total, distinct = fill**probes, sums["total"], sums["known"]
+    total, distinct_ = sums["total"], sums["known"]
+    false = fill**probes + sums["grams"] / 2 ** (keys.bits + 32)
     rows = found.where("n_tokens IS NOT NULL")
     weights = all_weights(rows, order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "levels", 1 << 18):
             below, counts = _below(batch, order)
-            p = log10(below[0], contexts(below, counts, below[0][-1]), weights, total, distinct, bases, false)
+            p = log10(below[0], contexts(below, counts, below[0][-1]), weights, total, distinct_, bases, false)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.add.reduceat(p, np.cumsum(counts) - counts))], names=[*batch.schema.names[:-1], "score"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
     scored = rows.select("doc_id", "held_out", "n_tokens", "n_known", "logs", "levels").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
-    unit = F.log10(F.lit(total + 0.5 * (distinct + 1)))
+    unit = F.log10(F.lit(total + 0.5 * (distinct_ + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score")

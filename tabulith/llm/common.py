@@ -40,7 +40,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{new_folder(df.sparkSession, label)}/rows"
-    df.write.parquet(path)
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup)
+    conf.set(cleanup, "true")  # the rows are written, so the shuffles behind them leave the disks
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(cleanup, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ base score and together in the filter; an empty table gives none.
 
 from __future__ import annotations
 
-import gc
+import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_crc, materialize, pick, pieces, sub_batches, text_bytes, whole_groups
@@ -176,10 +176,14 @@ def places(h: np.ndarray, level: int | np.ndarray, width: np.ndarray, probes: in
     """For n-grams at a level: the word of their segment's `width` words, and the bits in it that are probed."""
     salt = np.uint64(level * int(_B) % (1 << 64)) if isinstance(level, int) else level.astype(np.uint64) * _B
     one = mix(h ^ salt)
-    mask = np.zeros(len(h), np.uint64)
-    for k in range(probes):
-        mask |= _ONE << (one >> np.uint64(6 * k) & np.uint64(63))
-    return ((one >> np.uint64(32)) * width.astype(np.uint64) >> np.uint64(32)).astype(np.int64), mask
+    return ((one >> np.uint64(32)) * width.astype(np.uint64) >> np.uint64(32)).astype(np.int64), _masks(probes)[one & np.uint64(0xFFFF)]
+
+
+@functools.cache
+def _masks(probes: int) -> np.ndarray:
+    """Words of `probes` bits, to be picked by hash."""
+    bits = np.random.Generator(np.random.PCG64(probes)).integers(64, size=(1 << 16, probes), dtype=np.uint64)
+    return np.bitwise_or.reduce(_ONE << bits, axis=1)
 
 
 class Filter:
@@ -233,27 +237,21 @@ def contexts(below: list[np.ndarray], counts: np.ndarray, end: int) -> list[tupl
 
 def log10(one: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, total: int, distinct: int, bases: tuple[float, float], false: float) -> np.ndarray:
     """log10 probability of each token from the levels."""
-    low = lambda q, base: np.where(q > 0, base ** (q - 1.0), 0.0)
-    p = (np.minimum(low(one, bases[0]), total) + 0.5) / (total + 0.5 * (distinct + 1))
+    powers = [base ** np.arange(MOST_LEVELS, dtype=float) for base in bases]  # above a level; below it is one step less
+    below = [np.r_[0.0, x[:-1]] for x in powers]
+    p = (np.minimum(below[0][one], total) + 0.5) / (total + 0.5 * (distinct + 1))
     for k, (own, (above, q)) in enumerate(zip(weights, parts, strict=True)):
-        most = np.maximum(bases[min(k, 1)] ** above.astype(float), 1.0)  # an n-gram isn't more frequent than its context
-        weight = (1 - false) * own[np.minimum(above, len(own) - 1)]
-        p = weight * np.minimum(low(q, bases[1]) / most, 1.0) + (1 - weight) * p
+        weight = (1 - false) * own[above]
+        p = weight * np.minimum(below[1][q] / powers[min(k, 1)][above], 1.0) + (1 - weight) * p  # an n-gram isn't more frequent than its context
     return np.log10(p)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Shuffles of finished jobs, that nothing refers to any more, leave the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def chunks(rows: DataFrame) -> DataFrame:
-    """(chunk, ids, train, sizes, data): the texts of about TOGETHER bytes in a row, compressed, written once."""
+def chunks(rows: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(chunk, ids, train, sizes, data): the texts of about `together` bytes in a row, compressed, written once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
-        for batch in sub_batches(batches, "text", TOGETHER):
+        for batch in sub_batches(batches, "text", together):
             texts = batch.column("text").to_pylist()
             ends = pa.array([0, len(texts)], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, c) for c in (batch.column("doc_id"), batch.column("train"), pa.array(list(map(len, texts)), pa.int64()))]
@@ -486,19 +484,16 @@ def segment_bits(text_bytes: int) -> int:
     return min(MOST_SEGMENT_BITS, max(LEAST_SEGMENT_BITS, (text_bytes // SEGMENT_TEXT).bit_length()))
 
 
-def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, bases: tuple[float, float] = BASES, level_bits: float = LEVEL_BITS, probes: int = PROBES) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, *, order: int = ORDER, bases: tuple[float, float] = BASES, level_bits: float = LEVEL_BITS, probes: int = PROBES, together: int = TOGETHER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learning from the rows
     where `train` (over doc_id; by default crc32 of the id modulo 5 not 1) holds."""
     if order < 1 or not 1 <= probes <= 5:
         raise ValueError("order is 1 or more, probes are 1 to 5")
-    spark = docs.sparkSession
     train = F.pmod(id_crc(), F.lit(5)) != 1 if train is None else train
-    texts = chunks(pick(docs, "doc_id", "text").select("doc_id", train.alias("train"), text_bytes().alias("text")))
+    texts = chunks(pick(docs, "doc_id", "text").select("doc_id", train.alias("train"), text_bytes().alias("text")), together)
     keys = Keys(segment_bits(texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0))
     answers = materialize(answered(asked(texts, order, keys), keys, bases, level_bits, probes), "answers")
-    let_go(spark)
     found = materialize(_levelled(texts, answers, order, keys), "levels")
-    let_go(spark)
     sums = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ones", "bits", "known", "grams")], F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)).alias("total")).first()
     fill = sums["ones"] / (sums["bits"] or 1)
     if fill > MOST_FILL:

@@ -37,10 +37,9 @@ def found_base(frame):
 
 
 @pytest.mark.parametrize("together", [1, 1 << 20])
-def test_lm_counts_and_base_equal_brute_force(spark, odd, together, monkeypatch):
-    monkeypatch.setattr(ngram, "TOGETHER", together)  # chunks of one text, or of all of a partition
-    frame, rows = odd
-    assert found_base(ngram.score(frame)) == brute_base([(r[0], r[1]) for r in rows])
+def test_lm_counts_and_base_equal_brute_force(spark, odd, together):
+    frame, rows = odd  # chunks of one text, or of all of a partition
+    assert found_base(ngram.score(frame, together=together)) == brute_base([(r[0], r[1]) for r in rows])
 
 
 def test_lm_empty_table_and_no_training(spark, nothing):

@@ -51,9 +51,9 @@ LEVEL_BITS, PROBES, MOST_FILL = 24, 5, 0.6
 #: Bytes of text for each segment, and the least and most segments (powers of two).
 SEGMENT_TEXT, LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS = 16 << 20, 11, 24
 #: Bytes of text whose distinct n-grams are looked up together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: N-grams of segments that are counted at a time.
-AT_A_TIME = 400_000
+AT_A_TIME = 200_000
 END = b""
 _A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(1)
 MOST_LEVELS = 401

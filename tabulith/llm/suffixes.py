@@ -1,29 +1,30 @@
 """Removal of repeated byte strings, by a hash-compared suffix sort.
 
 A byte goes if a `width`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
-same document. All is over the whole table, exact but for equal hashes (see Memory), by these steps.
+same document. All is over the whole table and exact, by these steps.
 
 1. Texts are dealt out by doc_id once, compressed; the later steps read that same exchange again.
 2. Anchors: the least hash of the `gram`-byte strings in every window of `width` bytes, so equal windows have equal
    anchors at equal places. About one byte in 35 is an anchor. A window around an anchor lies within its context,
-   the bytes that a window with that anchor can reach; a part of the table keeps only the first anchor of each
-   (gram, context), as the others are repeats of it and their contexts go.
-3. The anchors meet by gram. All but the first of each (gram, context) are repeats. Grams with one context are done.
-4. What is left, first anchors of grams that have several contexts, fetch their context's bytes and meet again by
-   gram. There, the suffixes that begin at the anchors, and the reversed prefixes that end there, are each sorted
-   by a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes and
-   end with a direct comparison of eight bytes; equal neighbours are verified byte by byte. Common extensions of
-   sorted neighbours give, for each split of `width` into left and right, the classes of anchors that agree on
-   both sides; all but the earliest of a class lose that window.
+   the bytes that a window with that anchor can reach. Only anchors of equal gram hash need to be compared.
+3. Anchors of a part of the table (SHARED bytes) are compared first, then those of all parts that meet by gram: they
+   fetch their context's bytes. The suffixes that begin at the anchors, and the reversed prefixes that end there, are
+   each sorted by a mergesort whose comparisons find the common extension by binary search over prefix polynomial
+   hashes and end with a direct comparison of eight bytes. Sorted neighbours are verified byte by byte: common
+   extensions are those of the bytes, and an order that hash collisions spoilt is sorted again by bytes. Common
+   extensions of sorted neighbours give, for each split of `width` into left and right, the classes of anchors that
+   agree on both sides; all but the earliest of a class lose that window. Contexts that agree wholly with an earlier
+   one of the part go no further.
+4. A gram that more than HOT anchors of different parts share is not compared in one task: its anchors are cut into
+   single windows, of which a task passes on the first of each, and these meet by a hash of the window.
 5. The removed stretches return to their documents and are merged.
 
-Memory: a task of step 4 holds under 1 KB for each distinct context of one gram. Steps 2 and 3 take contexts of a gram
-for equal by hash and not byte by byte: by 40 bits of one hash and 64 of another with a polynomial and letters of its
-own, so m distinct contexts of a gram give about m^2 / 2^105 false matches. Only step 4 compares bytes.
+So nothing goes because of equal hashes alone. Memory: a task holds one part, HOT contexts of one gram at under 1 KB
+each, or the first windows of all tasks that equal one window.
 
 Defined cases: null and empty texts have no bytes; texts under `width` bytes lose nothing; a null id counts as the
-smallest; rows that repeat an id are ordered by their text, as further documents after the first; an empty table
-gives none.
+smallest (as does the least long); rows that repeat an id are ordered by their compressed texts, as further documents
+after the first; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +44,12 @@ from pyspark.sql import types as T
 from .common import expand, id_key, key_id, pieces, plain, text_bytes, whole_groups
 
 WIDTH, GRAM = 100, 32
-#: Bytes of text that are turned into anchors at a time, and that share one table of first anchors.
-PIECE, SHARED = 1 << 20, 48 << 20
+#: Bytes of text that are turned into anchors at a time; bytes of text, and anchors, of a part.
+PIECE, SHARED, MOST_ANCHORS = 1 << 20, 32 << 20, 1 << 21
+#: Anchors that are sorted at a time, anchors of a gram that are compared in one task, windows that a task remembers.
+SLICE, HOT, WINDOWS = 20_000, 20_000, 100_000
 _POWER = 0x9E3779B97F4A7C15
-_LETTERS, _LETTERS2 = (np.random.Generator(np.random.PCG64(seed)).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1) for seed in (20, 21))
-#: Of the second hash of a context.
-_POWER2 = 0xD6E8FEB86659FD93
+_LETTERS = np.random.Generator(np.random.PCG64(20)).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,19 +58,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-class Rolling:
-    """Polynomial hashes of any substring, from prefix hashes modulo 2^64."""
-
-    def __init__(self, data: np.ndarray, letters: np.ndarray = _LETTERS, base: int = _POWER):
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        powers = _powers(len(data), base)
-        np.cumsum(letters[data] * powers, out=self.prefix[1:])
-
-    def at(self, begin: np.ndarray, length: np.ndarray | int, back: np.ndarray) -> np.ndarray:
-        """Hashes of data[begin : begin + length]; back: the inverse powers."""
-        return (self.prefix[begin + length] - self.prefix[begin]) * back[begin]
-
-
 def _powers(n: int, base: int = _POWER) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
     have, step = 1, base
@@ -78,21 +68,20 @@ def _powers(n: int, base: int = _POWER) -> np.ndarray:
     return out[:n]
 
 
-_INVERSE, _INVERSE2 = pow(_POWER, -1, 1 << 64), pow(_POWER2, -1, 1 << 64)
+_INVERSE = pow(_POWER, -1, 1 << 64)
 
 
-def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the anchors of all texts: text number, place, gram hash, context hash, context begin and end (in the text), and
-    the second context hash."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+def anchors(data: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the anchors of the texts that `data` joins: text number, place in data, gram hash, context bytes before and from
+    the place."""
     none = np.zeros(0, np.int64)
     if not (lengths >= width).any():
-        return none, none, none.view(np.uint64), none.view(np.uint64), none, none, none.view(np.uint64)
+        return none, none, none.view(np.uint64), none, none
     n = len(data)
-    roll, back = Rolling(data), _powers(n + 1, _INVERSE)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * _powers(n), out=prefix[1:])
     begin = np.cumsum(lengths) - lengths
-    hashed = mix((roll.prefix[gram:] - roll.prefix[: n - gram + 1]) * back[: n - gram + 1])
+    hashed = mix((prefix[gram:] - prefix[: n - gram + 1]) * _powers(n + 1, _INVERSE)[: n - gram + 1])
     bits = np.uint64(max(1, int(n).bit_length()))
     least = hashed >> bits << bits | np.arange(len(hashed), dtype=np.uint64)
     span, have = width - gram + 1, 1
@@ -108,21 +97,18 @@ def anchors(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]
     # texts without bytes share their begin with the next; searchsorted gives the last of equals, the one with bytes
     low = np.maximum(begin[text], place - (width - gram))
     high = np.minimum(begin[text] + lengths[text], place + width)
-    shape = ((place - low) << 32 | (high - place)).astype(np.uint64)
-    context = mix(roll.at(low, high - low, back) ^ mix(shape))
-    second = mix(Rolling(data, _LETTERS2, _POWER2).at(low, high - low, _powers(n + 1, _INVERSE2)))
-    return text, place - begin[text], hashed[place], context, low - begin[text], high - begin[text], second
+    return text, place, hashed[place], place - low, high - place
 
 
 class Suffixes:
-    """Byte strings of up to `most` bytes, compared by common extension."""
+    """Byte strings of up to `most` bytes of `flat`, from each start on (step -1: backwards), compared by common extension."""
 
-    def __init__(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int):
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int, step: int = 1):
         words = -(-most // 8)
-        grid = np.zeros((len(starts), 8 * words), np.uint8)
-        for k in range(most):
-            inside = k < lengths
-            grid[inside, k] = flat[starts[inside] + k]
+        offset = np.arange(8 * words)
+        at = np.clip(starts[:, None] + step * offset, 0, max(len(flat) - 1, 0))
+        grid = flat[at] if len(flat) else np.zeros(at.shape, np.uint8)
+        grid[offset >= lengths[:, None]] = 0
         self.words = grid.view(">u8").astype(np.uint64)
         self.lengths, self.count = lengths, words
         self.prefix = np.zeros((len(starts), words + 1), np.uint64)
@@ -138,6 +124,9 @@ class Suffixes:
             middle = (low + high + 1) // 2
             same = self.prefix[a, middle] == self.prefix[b, middle]
             low, high = np.where(open_ & same, middle, low), np.where(open_ & ~same, middle - 1, high)
+        return self._from(low, a, b)
+
+    def _from(self, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = np.minimum(low, self.count - 1)
         x, y = self.words[a, word], self.words[b, word]
         differ = x ^ y
@@ -178,47 +167,49 @@ class Suffixes:
             run *= 2
         return order
 
-    def neighbours(self, order: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """The common extension of each row in `order` with the one before it, verified byte by byte; -1 between groups."""
+    def neighbours(self, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The common extension, of the bytes themselves, of each row in `order` with the one before it, -1 between groups;
+        and whether the order is that of the bytes."""
         out = np.full(len(order), -1, np.int64)
         inside = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
         a, b = order[inside - 1], order[inside]
-        common, _ = self.extension(a, b)
-        for k in range(self.count):  # a hash collision would show as a word that differs within the extension
-            bits = np.clip(8 * (8 * (k + 1) - common), 0, 64).astype(np.uint64)
-            differ = np.where(bits < 64, (self.words[a, k] ^ self.words[b, k]) >> np.minimum(bits, np.uint64(63)), np.uint64(0))
-            wrong = differ != 0
-            if wrong.any():
-                first = np.zeros(wrong.sum(), np.int64)
-                x = self.words[a[wrong], k] ^ self.words[b[wrong], k]
-                for j in range(1, 9):
-                    first += x >> np.uint64(64 - 8 * j) == 0
-                common[wrong] = np.minimum(common[wrong], 8 * k + first)
-        out[inside] = common
-        return out
-
-
-def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts in order of age within each group: the least and greatest left part of a window that an earlier
-    context of the group has at the same place (greatest -1: none)."""
+        differ = self.words[a] != self.words[b]
+        out[inside], before = self._from(np.where(differ.any(1), differ.argmax(1), self.count), a, b)
+        equal = (out[inside] == self.lengths[a]) & (out[inside] == self.lengths[b])
+        return out, bool((before | equal).all())
+
+    def ranked(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order and common extensions of neighbours."""
+        order = self.sort(group)
+        common, sound = self.neighbours(order, group)
+        if not sound:  # equal hashes of different strings
+            order = np.lexsort((np.arange(len(group)), self.lengths, *self.words.T[::-1], group))
+            common, _ = self.neighbours(order, group)
+        return order, common
+
+
+def repeated(group: np.ndarray, flat: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For contexts in order of age within each group, with `left` bytes before and `right` from their place in `flat`:
+    the least and greatest left part of a window that an earlier context of the group has at the same place (greatest
+    -1: none); and which contexts wholly agree with an earlier one."""
     n = len(group)
-    least, most = np.full(n, width), np.full(n, -1)
-    sides = []
-    for strings, size in ((right, width), ([s[::-1] for s in left], max(1, width - gram))):
-        lengths = np.array([len(s) for s in strings], np.int64)
-        sides.append(Suffixes(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths, lengths, size))
-    orders, commons, best = [], [], []
-    for side in sides:
-        order = side.sort(group)
-        common = side.neighbours(order, group)
+    least, most, same = np.full(n, width), np.full(n, -1), np.zeros(n, bool)
+    orders, commons, best, whole = [], [], [], []
+    for side in (Suffixes(flat, place, right, width), Suffixes(flat, place - 1, left, max(1, width - gram), -1)):
+        order, common = side.ranked(group)
         near = np.empty(n, np.int64)
         near[order] = np.maximum(common, np.r_[common[1:], -1])
+        number = np.empty(n, np.int64)
+        number[order] = np.cumsum((common < side.lengths[order]) | (common < side.lengths[np.r_[order[:1], order[:-1]]]) | (common < 0))
         orders.append(order)
         commons.append(common)
         best.append(near)
-    live = np.flatnonzero(best[0] + best[1] >= width)
-    if not len(live):
-        return least, most
+        whole.append(number)
+    key = whole[0] * (n + 1) + whole[1]
+    order = np.argsort(key, kind="stable")
+    same[order[np.flatnonzero(key[order][1:] == key[order][:-1]) + 1]] = True
+    least[same], most[same] = width - right[same], left[same]
+    live = np.flatnonzero((best[0] + best[1] >= width) & ~same)
     for o in range(0, width - gram + 1):
         rows = live[(best[1][live] >= o) & (best[0][live] >= width - o)]
         if len(rows) < 2:
@@ -232,11 +223,10 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], width: in
             classes[1] = np.zeros(len(rows), np.int64)  # nothing to the left: one class; groups differ on the right
         key = classes[0] * (n + 1) + classes[1]
         order = np.argsort(key, kind="stable")
-        again = np.r_[False, key[order][1:] == key[order][:-1]]
-        later = rows[order[again]]
+        later = rows[order[np.r_[False, key[order][1:] == key[order][:-1]]]]
         least[later] = np.minimum(least[later], o)
         most[later] = np.maximum(most[later], o)
-    return least, most
+    return least, most, same
 
 
 def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -293,161 +283,203 @@ def _union(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return key[first], begin[first], far[np.r_[first[1:] - 1, len(key) - 1]] - key[first] * (1 << 40)
 
 
-#: Bits for each side's length in a packed context.
+#: Bits for each side's length in c, the sides of a context.
 _SIDE = 12
 _MASK = (1 << _SIDE) - 1
 
 
-def _packed(context: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The upper bits of the context's hash with the lengths of its sides."""
-    bits = np.uint64(2 * _SIDE)
-    return (context >> bits << bits | (left << _SIDE | right).astype(np.uint64)).view(np.int64)
-
-
 def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
-    """Anchors: h the gram, c the context with its sides, d its second hash, k the id, loc the row number and place. A left side of all
-    ones marks a stretch already known to go: loc has its begin, the upper bits of c its end."""
+    """Anchors: h the gram, c the sides of the context, k the id, loc the row number and place. A left side of all ones marks
+    a stretch that goes: loc has its begin, the upper bits of c its end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        texts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        size = count = rows = 0
 
         def block(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "d", "k", "loc"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "k", "loc"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c, d, k, loc = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((d, c, h))  # stable, and rows come in order of age
-            again = np.r_[False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (h, c, d)])]
-            first, rest = order[~again], np.sort(order[again])
-            yield from pieces(block(h[first], c[first], d[first], k[first], loc[first]))
-            left, right = c[rest] >> _SIDE & _MASK, c[rest] & _MASK
-            rest, left, right = (x[left + right >= width] for x in (rest, left, right))
-            if len(rest):
-                pair = np.stack([k[rest], loc[rest] >> 32])
-                number = np.cumsum(np.r_[False, (pair[:, 1:] != pair[:, :-1]).any(0)])
-                place = loc[rest] & 0xFFFFFFFF
-                key, begin, end = _union(number, place - left, place + right)
-                of = rest[np.searchsorted(number, key)]
-                yield from pieces(block(mix(k[of].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, np.zeros(len(of), np.int64), k[of], loc[of] >> 32 << 32 | begin))
+            nonlocal held, texts, ids, size, count, rows
+            h, row, place, at, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            data, (k, number) = np.concatenate(texts), (np.concatenate(x) for x in zip(*ids, strict=True))
+            order = np.argsort(h, kind="stable")  # rows come in order of age
+            again = h[order][1:] == h[order][:-1]
+            shared = order[np.r_[False, again] | np.r_[again, False]]
+            kept, gone = np.ones(len(h), bool), []
+            for begin in range(0, len(shared), SLICE):
+                some = shared[begin : begin + SLICE]
+                group = np.cumsum(np.r_[True, h[some][1:] != h[some][:-1]])
+                least, most, same = repeated(group, data, at[some], left[some], right[some], width, gram)
+                lost = most >= 0
+                gone.append(np.stack([row[some], place[some] - most, place[some] - least + width])[:, lost])
+                kept[some[same]] = False
+            yield from pieces(block(h[kept].view(np.int64), (left << _SIDE | right)[kept], k[row[kept]], number[row[kept]] << 32 | place[kept]))
+            if gone:
+                row, begin, end = _union(*np.concatenate(gone, axis=1))
+                yield from pieces(block(mix(k[row].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, k[row], number[row] << 32 | begin))
+            held, texts, ids, size, count, rows = [], [], [], 0, 0, 0
 
         for batch, numbers in _numbered(batches):
-            ids = batch.column("k").to_numpy()
+            every = batch.column("k").to_numpy()
             for piece in _texts(batch):
-                row = np.array([i for i, _ in piece])
-                text, place, h, c, lo, hi, d = anchors([t for _, t in piece], width, gram)
+                mine = np.array([i for i, _ in piece])
+                lengths = np.array([len(t) for _, t in piece], np.int64)
+                data = np.frombuffer(b"".join(t for _, t in piece), np.uint8)
+                text, at, h, left, right = anchors(data, lengths, width, gram)
                 if len(text):
-                    held.append((h.view(np.int64), _packed(c, place - lo, hi - place), d.view(np.int64), ids[row[text]], numbers[row[text]] << 32 | place))
-                size += sum(len(t) for _, t in piece)
-                if size >= SHARED and held:
+                    held.append((h, text + rows, at - (np.cumsum(lengths) - lengths)[text], at + size, left, right))
+                    texts.append(data)
+                    ids.append((every[mine], numbers[mine]))
+                    size, count, rows = size + len(data), count + len(text), rows + len(mine)
+                if size >= SHARED or count >= MOST_ANCHORS:
                     yield from flush()
-                    held, size = [], 0
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, "h long, c long, d long, k long, loc long")
-
+    return dealt.mapInArrow(run, "h long, c long, k long, loc long")
 
-_SORTED = "h long, k long, loc long, lo int, hi int, go boolean"
 
-
-def _judged(meeting: DataFrame, width: int) -> DataFrame:
-    """Rows with go: the stretch lo to hi goes. Other rows: first anchors of grams with several contexts."""
-    rows = meeting.repartition("h").sortWithinPartitions("h", "c", "d", "k", "loc")
+def _shared(meeting: DataFrame, most: int) -> DataFrame:
+    """The stretches that go, and the anchors whose gram others have; hot if more than `most` do."""
+    rows = meeting.repartition("h").sortWithinPartitions("h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int] | None = None  # gram and context of the row before
-        waiting: list[np.ndarray] | None = None  # the first row of the last gram, if it had one context so far
+        names = ["h", "c", "k", "loc"]
+        waiting = [np.zeros(0, np.int64)] * 4  # the last gram's anchors, `most` at most
+        hot_now: int | None = None
+
+        def out(columns: list[np.ndarray], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from pieces(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(hot)], names=[*names, "hot"]))
+
+        def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Of anchors of whole grams, those that share theirs."""
+            h = columns[0]
+            new = np.r_[True, h[1:] != h[:-1]]
+            size = np.diff(np.r_[np.flatnonzero(new), len(h)])[np.cumsum(new) - 1]
+            hot = (size > most) | (h == (hot_now if hot_now is not None else h[0] ^ 1))
+            keep = (size > 1) | hot
+            yield from out([x[keep] for x in columns], hot[keep])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c, d, k, loc = (batch.column(n).to_numpy() for n in ("h", "c", "d", "k", "loc"))
-            left, place = c >> _SIDE & _MASK, loc & 0xFFFFFFFF
-            known, lo, hi = left == _MASK, place - left, place + (c & _MASK)
-            out = [[h[known], k[known], loc[known], place[known], c[known] >> 2 * _SIDE, np.ones(known.sum(), bool)]]
+            columns = [batch.column(n).to_numpy() for n in names]
+            known = columns[1] >> _SIDE & _MASK == _MASK
             if known.any():
-                h, c, d, k, loc, lo, hi = (x[~known] for x in (h, c, d, k, loc, lo, hi))
-            if len(h):
-                same_h = np.r_[last is not None and last[0] == h[0], h[1:] == h[:-1]]
-                same = same_h & np.r_[last is not None and last[1:] == (c[0], d[0]), (c[1:] == c[:-1]) & (d[1:] == d[:-1])]
-                wide = same & (hi - lo >= width)
-                out.append([h[wide], k[wide], loc[wide] >> 32 << 32, lo[wide], hi[wide], np.ones(wide.sum(), bool)])
-                # first rows of contexts; those of grams with one context wait
-                first = np.flatnonzero(~same)
-                number = np.cumsum(~same_h)  # 0: the gram that goes on from the batch before
-                contexts = np.bincount(number[first], minlength=number[-1] + 1)
-                carried = 1 if waiting is not None else 2 * (last is not None)  # contexts of that gram so far, 2: several
-                total = contexts.copy()
-                total[0] += carried
-                if waiting is not None and number[0] == 0 and total[0] >= 2:
-                    out.append(waiting)
-                    waiting = None
-                final = number[-1]
-                send = first[(total[number[first]] >= 2)]
-                out.append([h[send], k[send], loc[send], lo[send], hi[send], np.zeros(len(send), bool)])
-                if total[final] == 1 and (final > 0 or last is None):
-                    i = first[-1]
-                    waiting = [x[i : i + 1] for x in (h, k, loc, lo, hi)] + [np.zeros(1, bool)]
-                elif final > 0 or total[0] >= 2:
-                    waiting = None
-                last = (int(h[-1]), int(c[-1]), int(d[-1]))
-            h, k, loc, lo, hi, go = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(loc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(go)], names=["h", "k", "loc", "lo", "hi", "go"])
-
-    return rows.mapInArrow(run, _SORTED)
-
-
-def _fetched(dealt: DataFrame, judged: DataFrame) -> DataFrame:
-    """The first anchors with the bytes before (left) and from (right) them."""
-    asked = judged.where("NOT go").groupBy("k").agg(F.collect_list(F.struct("h", "loc", "lo", "hi")).alias("asked"))
+                yield from out([x[known] for x in columns], np.zeros(known.sum(), bool))
+                columns = [x[~known] for x in columns]
+            columns = [np.r_[a, b] for a, b in zip(waiting, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            last = int(columns[0][-1])
+            cut = int(np.searchsorted(columns[0], last, "left"))
+            if cut:
+                yield from whole([x[:cut] for x in columns])
+            tail = [x[cut:] for x in columns]
+            if len(tail[0]) > most or hot_now == last:
+                hot_now = last
+                yield from out(tail, np.ones(len(tail[0]), bool))
+                tail = [x[:0] for x in tail]
+            waiting = tail
+        if len(waiting[0]):
+            yield from whole(waiting)
+
+    return rows.mapInArrow(run, "h long, c long, k long, loc long, hot boolean")
+
+
+_FETCHED = ["h", "k", "loc", "context", "left", "end"]
+
+
+def _fetched(dealt: DataFrame, shared: DataFrame, width: int) -> DataFrame:
+    """The anchors with their context's bytes and the place in it (left); those of hot grams window by window. Rows without
+    context are stretches that go, from loc to end."""
+    asked = shared.groupBy("k").agg(F.collect_list(F.struct("h", "loc", "c", "hot")).alias("asked"))
     joined = dealt.withColumnRenamed("k", "id").join(asked, F.col("id") == F.col("k")).select("k", "z", "rest", "asked").sortWithinPartitions("k", "z")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
+        seen: set[tuple[int, bytes]] = set()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
         for batch, numbers in _numbered(batches):
             out: list[tuple] = []
             asked = batch.column("asked")
             for i, k in enumerate(batch.column("k").to_numpy().tolist()):
-                text = None
                 part = asked[i].values
                 locs = part.field("loc").to_numpy()
                 mine = np.flatnonzero(locs >> 32 == numbers[i])
-                if len(mine):
+                if not len(mine):
+                    continue
+                mine = mine[np.argsort(locs[mine], kind="stable")]
+                c = part.field("c").to_numpy()[mine]
+                left, right = c >> _SIDE & _MASK, c & _MASK
+                known = left == _MASK
+                spread = int(mix(np.array([k], np.int64).view(np.uint64)).view(np.int64)[0])
+                for loc, end in zip(locs[mine][known].tolist(), (c[known] >> 2 * _SIDE).tolist(), strict=True):
+                    out.append((spread, k, loc, None, None, end))
+                if not known.all():
                     text = tool.decompress(batch.column("z")[i].as_py())
-                    places = (locs[mine] & 0xFFFFFFFF).tolist()
-                    for h, loc, p, lo, hi in zip(part.field("h").to_numpy()[mine].tolist(), locs[mine].tolist(), places, part.field("lo").to_numpy()[mine].tolist(), part.field("hi").to_numpy()[mine].tolist(), strict=True):
-                        out.append((h, k, loc, text[lo:p], text[p:hi]))
-                if len(out) > 20_000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["h", "k", "loc", "left", "right"])
+                    hot = part.field("hot").to_numpy(zero_copy_only=False)[mine]
+                    for h, loc, a, b, cut in zip(part.field("h").to_numpy()[mine][~known].tolist(), locs[mine][~known].tolist(), left[~known].tolist(), right[~known].tolist(), hot[~known].tolist(), strict=True):
+                        p = loc & 0xFFFFFFFF
+                        if not cut:
+                            out.append((h, k, loc, text[p - a : p + b], a, None))
+                            continue
+                        for o in range(max(0, width - b), a + 1):
+                            window = text[p - o : p - o + width]
+                            if (o, window) in seen:  # an earlier text of this task, or this text earlier, has it
+                                out.append((spread, k, loc - o, None, None, p - o + width))
+                            else:
+                                if len(seen) >= WINDOWS:
+                                    seen.clear()
+                                seen.add((o, window))
+                                out.append((xxhash.xxh64_intdigest(window, o) - (1 << 63), k, loc, window, o, None))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_FETCHED)
                     out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_FETCHED)
 
-    return joined.mapInArrow(run, "h long, k long, loc long, left binary, right binary")
+    return joined.mapInArrow(run, "h long, k long, loc long, context binary, left int, end long")
 
 
 def _compared(fetched: DataFrame, width: int, gram: int) -> DataFrame:
     rows = fetched.repartition("h").sortWithinPartitions("h", "k", "loc")
 
+    def stretches(k: np.ndarray, loc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(loc >> 32), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], names=["k", "n", "lo", "hi"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h", 20_000):
-            table = table.combine_chunks()
-            h, k, loc = (table.column(n).to_numpy() for n in ("h", "k", "loc"))
-            least, most = repeated(np.cumsum(np.r_[True, h[1:] != h[:-1]]), table.column("left").to_pylist(), table.column("right").to_pylist(), width, gram)
+        for table in whole_groups(batches, "h", SLICE):
+            known = pa.compute.is_null(table.column("context"))
+            gone = table.filter(known)
+            if gone.num_rows:
+                loc = gone.column("loc").to_numpy()
+                yield stretches(gone.column("k").to_numpy(), loc, loc & 0xFFFFFFFF, gone.column("end").to_numpy())
+            table = table.filter(pa.compute.invert(known)).combine_chunks()
+            if not table.num_rows:
+                continue
+            h, k, loc, left = (table.column(n).to_numpy() for n in ("h", "k", "loc", "left"))
+            contexts = table.column("context").to_pylist()
+            sizes = np.array([len(x) for x in contexts], np.int64)
+            left = left.astype(np.int64)
+            least, most, _ = repeated(np.cumsum(np.r_[True, h[1:] != h[:-1]]), np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(sizes) - sizes + left, left, sizes - left, width, gram)
             hit = np.flatnonzero(most >= 0)
             place = loc[hit] & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays([pa.array(k[hit]), pa.array(loc[hit] >> 32), pa.array((place - most[hit]).astype(np.int32)), pa.array((place - least[hit] + width).astype(np.int32))], names=["k", "n", "lo", "hi"])
+            yield stretches(k[hit], loc[hit], place - most[hit], place - least[hit] + width)
 
-    return rows.mapInArrow(run, "k long, n long, lo int, hi int")
+    return rows.mapInArrow(run, "k long, n long, lo long, hi long")
 
 
-def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, others: bool = False) -> DataFrame:
+def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, others: bool = False) -> DataFrame:
     """k (the id as a key), z (the compressed text), the arrays begins and ends of the stretches that go, in order,
     and rest (with `others`, the struct of all other columns)."""
     if not 8 <= gram < width < _MASK:
         raise ValueError(f"gram must be 8 or more and below width, width below {_MASK}")
     dealt = _dealt(docs, others)
-    judged = _judged(_meeting(dealt, width, gram), width)
-    known = judged.where("go").select("k", F.shiftright("loc", 32).alias("n"), "lo", "hi")
-    gone = known.unionByName(_compared(_fetched(dealt, judged), width, gram))
+    gone = _compared(_fetched(dealt, _shared(_meeting(dealt, width, gram), hot), width), width, gram)
     lists = gone.groupBy("k").agg(F.collect_list(F.struct("n", "lo", "hi")).alias("gone")).withColumnRenamed("k", "id")
     joined = dealt.join(lists, F.col("k") == F.col("id"), "left").select("k", "z", "rest", "gone").sortWithinPartitions("k", "z")
 
@@ -462,13 +494,13 @@ def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, others: bool
                     continue
                 part = gone[i].values
                 mine = part.field("n").to_numpy() == numbers[i]
-                _, b, e = _union(np.zeros(mine.sum(), np.int64), part.field("lo").to_numpy()[mine].astype(np.int64), part.field("hi").to_numpy()[mine].astype(np.int64))
+                _, b, e = _union(np.zeros(mine.sum(), np.int64), part.field("lo").to_numpy()[mine], part.field("hi").to_numpy()[mine])
                 begins.append(b)
                 ends.append(e)
-            kind = pa.list_(pa.int32())
+            kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("z"), batch.column("rest"), pa.array(begins, kind), pa.array(ends, kind)], names=["k", "z", "rest", "begins", "ends"])
 
-    stretch = T.ArrayType(T.IntegerType())
+    stretch = T.ArrayType(T.LongType())
     return joined.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("begins", stretch), T.StructField("ends", stretch)]))
 
 

@@ -169,6 +169,34 @@ def test_bucket_tiles_equal_all_pairs():
     assert (simhash.bucket_labels(key, fps, tile=64) == simhash._join(np.arange(len(fps)), x, y)).all()
 
 
+@pytest.mark.parametrize(("hot", "depth"), [(1, 2), (3, 3), (10**6, 1)])
+def test_links_through_cut_buckets_lose_nothing(spark, hot, depth):
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**63, 12, dtype=np.uint64)
+    flip = lambda x, n: x ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(b) for b in r.choice(64, n, replace=False)])
+    fps = np.unique(np.array([flip(b, int(n)) for b in base for n in r.integers(1, 6, 12)], np.uint64))
+    x, y = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 4)
+    wanted = simhash._join(np.arange(len(fps)), x, y)
+    frame = spark.createDataFrame([(int(f.view(np.int64)), i) for i, f in enumerate(fps)], "fp long, least long")
+    got = {e["node"]: e["root"] for e in components.components(simhash.links(frame, hot=hot, depth=depth)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == wanted.tolist()
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**11)] == [6, 6, 7, 8]
+    assert len(simhash._masks(0, 4, 6)) == 15 and all(m.bit_count() >= 20 for m in simhash._masks(0, 4, 6))
+    assert simhash._masks((1 << 64) - 1, 4, 6) == [(1 << 64) - 1]
+
+
+def test_bpe_refuses_other_kinds_of_files():
+    import json
+
+    spec = json.load(open(TOKENIZER))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError):
+            bpe.Tables(spec | change)
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     r = random.Random(6)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
@@ -213,22 +241,49 @@ def test_suffixes_equal_brute_force_on_odd_rows(spark, odd, nothing):
 
 
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh", "é1"])
-def test_suffixes_equal_brute_force_on_shared_passages(spark, letters):
+@pytest.mark.parametrize("hot", [2, suffixes.HOT])
+def test_suffixes_equal_brute_force_on_shared_passages(spark, letters, hot):
     r = random.Random(len(letters))
     make = lambda n: "".join(r.choice(letters) for _ in range(n))
     passages = [make(r.randint(20, 200)) for _ in range(6)]
     docs = [(i * 3, make(r.randint(0, 80)) + r.choice(passages)[r.randint(0, 15) :] + make(r.randint(0, 40)) + r.choice(passages)[: r.randint(10, 150)]) for i in range(60)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert rows_of(suffixes.report(suffixes.spans(frame, width=40, gram=12)), *NAMES) == brute_suffixes(docs, 40)
-
-
-def test_contexts_that_agree_in_one_hash_only_are_no_repeats(spark):
-    c = 7 << 24 | 60 << 12 | 100
-    rows = [(5, c, d, k, 200) for d, k in ((1, 1), (2, 2), (2, 3))]
-    judged = suffixes._judged(spark.createDataFrame(rows, "h long, c long, d long, k long, loc long"), 100).collect()
-    assert sorted((r["k"], r["go"]) for r in judged) == [(1, False), (2, False), (3, True)]
-    first, second = (suffixes.anchors([t], 100, 32) for t in (b"a" * 150, b"a" * 150))
-    assert (first[6] == second[6]).all() and (first[6] != first[3]).all()
+    assert rows_of(suffixes.report(suffixes.spans(frame, width=40, gram=12, hot=hot)), *NAMES) == brute_suffixes(docs, 40)
+
+
+def test_hot_grams_are_found_across_batches(spark):
+    hot, cold, lone = [(7, 0, k, 0) for k in range(9)], [(8, 0, k, 0) for k in range(3)], [(9, 0, 0, 0)]
+    for rows in (100, 2):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        found = suffixes._shared(spark.createDataFrame(hot + cold + lone, "h long, c long, k long, loc long"), 4).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((x["h"], x["k"], x["hot"]) for x in found) == [(7, k, True) for k in range(9)] + [(8, k, False) for k in range(3)]
+
+
+@pytest.mark.parametrize("hashes", ["sound", "equal", "few"])
+def test_windows_of_contexts_equal_brute_force_whatever_the_hashes(monkeypatch, hashes):
+    if hashes != "sound":  # forced collisions: all strings, or one in four, have equal hashes
+        monkeypatch.setattr(suffixes, "mix", lambda h: h & np.uint64(3 if hashes == "few" else 0))
+    r, width, gram = random.Random(9), 24, 8
+    for _ in range(30):
+        grams = [bytes(r.choice(b"ab") for _ in range(gram)) for _ in range(2)]
+        rows = sorted((r.randint(0, 1), i, bytes(r.choice(b"ab") for _ in range(r.randint(0, 3))) * 6, bytes(r.choice(b"ab") for _ in range(r.randint(0, 3))) * 6) for i in range(40))
+        group, left = [g for g, *_ in rows], [a[-(width - gram) :] for _, _, a, _ in rows]
+        right = [(r.choice(grams) + b)[:width] for _, _, _, b in rows]  # grams of equal hash may differ too
+        flat = np.frombuffer(b"".join(a + b for a, b in zip(left, right, strict=True)), np.uint8)
+        sizes = np.array([[len(a), len(b)] for a, b in zip(left, right, strict=True)])
+        place = np.cumsum(sizes.sum(1)) - sizes[:, 1]
+        least, most, same = suffixes.repeated(np.array(group), flat, place, sizes[:, 0], sizes[:, 1], width, gram)
+        seen, contexts = set(), set()
+        for i in range(len(rows)):
+            mine = {o: (group[i], o, (left[i] + right[i])[sizes[i, 0] - o :][:width]) for o in range(width - gram + 1) if o <= sizes[i, 0] and width - o <= sizes[i, 1]}
+            lost = [o for o, w in mine.items() if w in seen]
+            whole = (group[i], left[i], right[i]) in contexts
+            assert whole == same[i]
+            if mine:
+                assert (least[i], most[i]) == ((min(lost), max(lost)) if lost else (width, -1))
+            seen |= set(mine.values())
+            contexts.add((group[i], left[i], right[i]))
 
 
 def test_suffix_sort_equals_sorted():
@@ -238,9 +293,8 @@ def test_suffix_sort_equals_sorted():
         group = np.sort(np.array([r.randint(0, 5) for _ in strings]))
         lengths = np.array([len(s) for s in strings], np.int64)
         side = suffixes.Suffixes(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths, lengths, 40)
-        order = side.sort(group)
+        order, common = side.ranked(group)
         assert order.tolist() == sorted(range(len(strings)), key=lambda i: (group[i], strings[i], i))
-        common = side.neighbours(order, group)
         for k in range(1, len(order)):
             a, b = strings[order[k - 1]], strings[order[k]]
             extension = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))

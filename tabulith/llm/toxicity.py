@@ -1,14 +1,17 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and scores of context windows.
 
-The lexicon is learned: whole words and word beginnings that labelled toxic documents have far more often than
-other labelled documents. Its trie is intersected with the Levenshtein automata of its terms (`allowed` errors by
+The lexicon is learned: whole words and word beginnings that stand far more often among the words of labelled toxic
+documents than among those of other labelled documents. So a root that chance brings into many long documents is still
+a term, and one entry for all its inflections. Its trie is intersected with the Levenshtein automata of its terms (`allowed` errors by
 term length) into one deterministic automaton, built as words are met: a state is the set of (trie node, errors)
 pairs that the letters so far can reach. Each hit looks at its context window: quotation marks around it and words
 of reporting count as quotation, words of address as abuse. A ridge logistic regression over hits by exactness and
-context gives the score.
+context, and over hits by words, gives the score; its weights are drawn to `DRAW`, which decides only what the sample
+doesn't show (say, a lexicon whose terms it never misspells).
 
-Both are fitted on a bounded sample of labelled rows that aren't held out, `MOST_TOXIC` and `MOST_OTHER` rows with
-the least hashes of their ids; everything else covers whole texts of all rows.
+Both are fitted on a bounded sample of labelled rows that aren't held out: `MOST_TOXIC` and `MOST_OTHER` ids with the
+least hashes, one text for each id, of these as many as `MOST_BYTES` hold (texts over `MOST_TEXT` left out);
+everything else covers whole texts of all rows.
 
 Defined cases: null and empty texts have no hits and get the score of a text without hits; labels that are null or
 not 0 or 1 are left out; without toxic or without other labelled rows the lexicon is empty and every score is 0;
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, id_key, key_id, pick, sub_batches, text_bytes
+from .common import id_crc, id_key, key_id, materialize, pick, sub_batches, text_bytes
 
-MOST_TOXIC, MOST_OTHER = 3000, 6000
-#: Least share of toxic rows and least log ratio for a term; least letters of a word beginning.
-SUPPORT, RATIO, STEM = 0.004, 3.0, 4
+MOST_TOXIC, MOST_OTHER, MOST_BYTES, MOST_TEXT = 3000, 6000, 32 << 20, 1 << 20
+#: Least share of toxic rows, least log ratio of rates and least likelihood ratio statistic (chance gives 25 to about one
+#: key in a million) of a term; least letters of a word beginning.
+SUPPORT, RATIO, EVIDENCE, STEM = 0.004, 3.0, 25.0, 4
 WINDOW = 6
 WORDS_KEPT, STATES_KEPT = 200_000, 20_000
 #: Strength of the ridge penalty, and the weights that it draws to (in the order of FEATURES).
@@ -37,7 +41,8 @@ RIDGE, DRAW = 1.0, (4.0, 4.0, 0.0, 0.0, 1.0, 1.0)
 
 # Words that report speech, words that address somebody, marks that open or close a quotation.
 REPORTING = {"said", "says", "called", "calls", "wrote", "quote", "quoted", "quoting", "word", "term", "slur", "insult", "insults", "named", "reported", "claimed"}
-ADDRESS = {"you", "your", "you're", "youre", "yourself", "u", "ur"}
+REPORTING |= {"sagte", "nannte", "schrieb", "zitat", "zitiert", "beleidigung", "wort", "appelle", "écrit", "cité", "citation", "insulte", "dijo", "llamó", "escribió", "cita", "palabra", "insulto"}
+ADDRESS = {"you", "your", "you're", "youre", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "euch", "tu", "toi", "vous", "votre", "tú", "ti", "usted", "ustedes"}
 QUOTES = "\"'`“”„«»‹›‘’"
 EDGES = ".,;:!?()[]{}<>|/\\-_=+*&^%$#@~…" + QUOTES
 
@@ -178,19 +183,32 @@ def learn_terms(toxic: list[str], other: list[str]) -> tuple[list[tuple[str, boo
     would pass for misspelled terms: those are none. Terms themselves stay terms, whoever quotes them."""
     if not toxic or not other:
         return [], set()
-    counts: list[Counter[tuple[str, bool]]] = []
+    counts: Counter[tuple[str, bool]] = Counter()  # toxic texts that have a key
+    for text in set(toxic):
+        counts.update(_keys(set(_words(text))))
+    least = max(4, SUPPORT * len(toxic))
+    wanted = {key for key, n in counts.items() if n >= least}
+    often: list[Counter[tuple[str, bool]]] = []  # words that have a key
+    sizes, ordinary = [], set()
     for texts in (toxic, other):
+        words: Counter[str] = Counter()
+        for text in set(texts):  # copies count once, and a word that a text says over and over three times
+            words.update({w: min(n, 3) for w, n in Counter(_words(text)).items()})
+        sizes.append(words.total())
         seen: Counter[tuple[str, bool]] = Counter()
-        for text in texts:
-            seen.update(_keys(set(_words(text))))
-        counts.append(seen)
-    least = max(4, SUPPORT * len(toxic))
-    ratio = {}
-    for key, n in counts[0].items():
-        if n >= least:
-            r = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((counts[1][key] + 0.5) / (len(other) + 1))
-            if r >= RATIO:
-                ratio[key] = r
+        for word, n in words.items():
+            for key in _keys({word}) & wanted:
+                seen[key] += n
+        often.append(seen)
+        ordinary = set(words)
+    rate = {key: np.log((often[0][key] + 0.5) / (sizes[0] + 1)) - np.log((often[1][key] + 0.5) / (sizes[1] + 1)) for key in wanted}
+    share = (sizes[0] + 1) / (sum(sizes) + 2)
+
+    def evidence(key: tuple[str, bool]) -> float:
+        a, b = often[0][key], often[1][key]
+        return 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0))
+
+    ratio = {key: r for key, r in rate.items() if r >= RATIO and evidence(key) >= EVIDENCE}
     # copies of one text share its words and their neighbours: a term needs many different neighbours
     around: dict[tuple[str, bool], set[tuple[str, str]]] = {k: set() for k in ratio}
     for text in toxic:
@@ -198,17 +216,17 @@ def learn_terms(toxic: list[str], other: list[str]) -> tuple[list[tuple[str, boo
         for i in range(1, len(words) - 1):
             for key in _keys({words[i]}) & ratio.keys():
                 around[key].add((words[i - 1], words[i + 1]))
-    rated = sorted((k for k in ratio if len(around[k]) >= max(least, counts[0][k] / 4)), key=lambda k: (-ratio[k] * counts[0][k], k))
+    rated = sorted((k for k in ratio if len(around[k]) >= max(least, counts[k] / 4)), key=lambda k: (-ratio[k] * often[0][k], k))
     chosen: dict[tuple[str, bool], None] = {}
     for text, stem in rated:
         if any((text[:k], True) in chosen for k in range(STEM, len(text) + 1)):
             continue
         # a beginning that nearly always goes on the same way: the longest way
-        longer = [k for k in rated if stem and k[0].startswith(text) and counts[0][k] >= 0.9 * counts[0][text, stem]]
+        longer = [k for k in rated if stem and k[0].startswith(text) and often[0][k] >= 0.9 * often[0][text, stem]]
         term = max(longer, key=lambda k: (len(k[0]), not k[1]), default=(text, stem))
         chosen[term] = None
     lexicon = Lexicon(list(chosen))
-    return list(chosen), {w for w in {w for text in other for w in _words(text)} if 0 < lexicon.errors_of(w) < 9}
+    return list(chosen), {w for w in ordinary if 0 < lexicon.errors_of(w) < 9}
 
 
 def _ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -232,11 +250,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool]], set
     """Terms, words that aren't misspelled terms, and weights, from the bounded sample of labelled rows."""
     known = pick(labels, "doc_id", "toxic").where("toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("labelled"), "toxic")
     rows = pick(docs, "doc_id", "text").where(F.pmod(id_crc(), F.lit(4)) != 2)
+    known = known.where(F.pmod(id_crc("labelled"), F.lit(4)) != 2).where("labelled IS NOT NULL").distinct().select("labelled", "toxic", F.xxhash64("labelled").alias("drawn"))
+    least = [known.where(F.col("toxic") == toxic).orderBy("drawn", "labelled").limit(most) for toxic, most in ((1, MOST_TOXIC), (0, MOST_OTHER))]
+    ids = least[0].unionByName(least[1])  # MOST_TOXIC + MOST_OTHER rows
+    sized = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_TEXT)
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text")))["text"].alias("text")
+    sample = materialize(sized.groupBy("drawn", "labelled", "toxic").agg(one), "toxicity")
     texts: dict[int, list[str]] = {}
-    for toxic, most in ((1, MOST_TOXIC), (0, MOST_OTHER)):
-        # the least hashes of ids first, so texts of the sampled rows only are read and sent
-        ids = known.where(F.col("toxic") == toxic).where(F.pmod(id_crc("labelled"), F.lit(4)) != 2).orderBy(F.xxhash64("labelled"), "labelled").limit(most)
-        texts[toxic] = [r["text"] or "" for r in rows.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("text").collect()]
+    for toxic in (1, 0):
+        own = sample.where(F.col("toxic") == toxic)
+        size, last = 0, None
+        for r in own.select("drawn", F.octet_length("text").alias("size")).orderBy("drawn", "labelled").collect():
+            size += r["size"]
+            if size > MOST_BYTES // 2:
+                break
+            last = r["drawn"]
+        texts[toxic] = [] if last is None else [r["text"] for r in own.where(F.col("drawn") <= last).orderBy("drawn", "labelled").select("text").collect()]
     terms, ordinary = learn_terms(texts[1], texts[0])
     scan = Scanner(Lexicon(terms), ordinary)
     x = np.array([scan.features(t) for t in texts[1] + texts[0]]).reshape(-1, len(FEATURES))

@@ -38,26 +38,24 @@ FROM words LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 def _op9() -> str:
-    risk, tests = rules.RISK / len(rules.RULES), len(rules.RULES) * len(rules.CUTOFFS)
-    values = dict(zip(rules.RULES, ("1000 * n_symbols // greatest(word_chars, 1)", "1000 * n_dup_lines // greatest(n_lines, 1)", "1000 * n_upper // greatest(word_chars, 1)", "1000 * n_exclaims // greatest(n_words, 1)"), strict=True))
-    each = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {v} AS value FROM f" for r, v in values.items())
-    term = f"exp(lgamma(good + 1.0) - lgamma(i + 1.0) - lgamma(good - i + 1.0) + i * ln({risk}) + (good - i) * ln(1.0 - {risk}))"
+    excess = ", ".join(f"100 * (1000 * {a} // greatest({b}, 1)) // {rules.RULES[r]}" for r, (a, b) in rules.PARTS.items())
+    term = f"exp(lgamma(good + 1.0) - lgamma(i + 1.0) - lgamma(good - i + 1.0) + i * ln({rules.RISK}) + (good - i) * ln(1.0 - {rules.RISK}))"
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, 'null') AS stratum, coalesce(text, '') AS text FROM documents),
 s AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM s WHERE len(w) >= 5),
 v AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(w[k:k + 4], ' ')) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT x)::BIGINT AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS x FROM v WHERE c > 1) GROUP BY doc_id),
-c AS (SELECT s.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+c AS (SELECT s.doc_id, stratum, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper, len(regexp_extract_all(text, '!'))::BIGINT AS n_exclaims FROM s LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-e AS ({each}),
-y AS (SELECT e.*, quality FROM e JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed),
-z AS (SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 1 AND value > cutoff) AS good_lost, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 0 AND value > cutoff) AS bad_lost
-  FROM y, (SELECT unnest({list(rules.CUTOFFS)}) AS cutoff) GROUP BY ALL),
-q AS (SELECT *, CASE WHEN good_lost < good * {risk} THEN list_sum(list_transform(range(0, good_lost + 1), lambda i: {term})) ELSE 1 END AS doubt, (SELECT count(DISTINCT stratum) FROM y) AS strata FROM z WHERE good > 0),
-b AS (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY round(bad_lost / greatest(bad, 1) - {rules.COST} * good_lost / good, 9) DESC, cutoff DESC) AS place FROM q WHERE doubt <= {rules.DOUBT} / (strata * {tests})),
-x AS (SELECT DISTINCT e.doc_id FROM e JOIN b ON b.stratum = e.stratum AND b.rule = e.rule AND place = 1 AND value > cutoff)
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest({excess}) AS excess FROM c),
+y AS (SELECT DISTINCT stratum, quality, text, excess FROM f JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed),
+z AS (SELECT stratum, factor, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 1 AND excess > factor) AS good_lost, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 0 AND excess > factor) AS bad_lost
+  FROM y, (SELECT unnest({list(rules.FACTORS)}) AS factor) GROUP BY ALL),
+q AS (SELECT *, CASE WHEN good > 0 AND good_lost < good * {rules.RISK} THEN list_sum(list_transform(range(0, good_lost + 1), lambda i: {term})) ELSE 1 END <= {rules.DOUBT} / (SELECT count(DISTINCT stratum) FROM y) AS holds FROM z),
+o AS (SELECT *, bool_and(holds) OVER (PARTITION BY stratum ORDER BY factor DESC) AS safe FROM q),
+b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY round(bad_lost / greatest(bad, 1) - {rules.COST} * good_lost / good, 9) DESC, factor DESC) AS place FROM o WHERE safe),
+x AS (SELECT f.doc_id FROM f JOIN b ON b.stratum = f.stratum AND place = 1 AND f.excess > b.factor)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM f
 """
 

@@ -2,33 +2,36 @@
 
 Base figures of each whole text: words, characters in words, symbols, repeated lines, and words in 5-word windows
 that the text has twice or more. A text fails the base rule with under 10 words or with over a fifth of repeated
-words. Further rules reject a text if a figure (in thousandths, `RULES`) is over a cutoff. Cutoffs are chosen for
-each stratum (lang) on labelled rows: a cutoff is safe if the exact binomial probability of so few false rejections,
-were their rate `RISK / rules`, is at most `DOUBT / tests` (Bonferroni over strata, rules and cutoffs). So with
-probability 1 - DOUBT, no stratum loses over a share RISK of its good texts to the rules. Of the safe cutoffs, the
-one with the greatest share of rejected bad texts less `COST` times that of good ones is taken (the loosest of
-equals); strata with too few labelled rows have none.
+words. Further rules reject a text if a figure (in thousandths) is over a cutoff: that of each rule in `RULES` times a
+common factor, in percent. The factor is chosen for each stratum (lang) on the labelled texts, which nothing else learns
+from: factors are tested in the fixed order of `FACTORS`, loosest first, until one isn't safe. It is safe if the exact
+binomial probability of so few false rejections by all rules together, were their rate `RISK`, is at most `DOUBT` by the
+number of strata (Bonferroni over strata; a fixed sequence needs no further correction). So with probability 1 - DOUBT, no
+stratum loses over a share RISK of its good texts to the rules. Of the safe factors, the one with the greatest share of
+rejected bad texts less `COST` times that of good ones is taken (the loosest of equals); strata with too few labelled
+texts (under 86 good ones with 4 strata) have none. Copies of a labelled text count once.
 
 The figures are made once, without a shuffle, and written to the shared folder. 5-word windows are compared by
 64-bit hashes within a text; texts whose windows all differ, nearly all, skip the sort.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null lang is a stratum of its own;
-labels that are null or not 0 or 1 are left out; repeated labels and rows count as often as they stand; without
-labels the base rule alone decides.
+labels that are null or not 0 or 1 are left out; a text with both labels counts in both classes; without labels the base
+rule alone decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
 
-RISK, DOUBT, COST = 0.02, 0.05, 20.0
-RULES = ("symbols", "repeated_lines", "upper", "exclaims")
-CUTOFFS = (5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900)
+RISK, DOUBT, COST = 0.05, 0.05, 20.0
+#: Cutoffs, in thousandths, of symbols by characters, repeated lines, upper-case letters by characters, exclamation marks by words.
+RULES = {"symbols": 20, "repeated_lines": 400, "upper": 200, "exclaims": 50}
+FACTORS = (400, 300, 250, 200, 160, 130, 115, 100, 85, 70, 60, 50, 40, 30, 20, 10)
 #: Most rows of the cutoff table that are broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 10_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -74,14 +77,19 @@ def figures(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclaims"),
+        F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("text_key"),
     )
-    out = out.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_exclaims")
+    out = out.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_exclaims", "text_key")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _thousandths() -> list[Column]:
-    part = lambda a, b: F.expr(f"1000 * {a} div greatest({b}, 1)")
-    return [part("n_symbols", "word_chars"), part("n_dup_lines", "n_lines"), part("n_upper", "word_chars"), part("n_exclaims", "n_words")]
+#: What each rule counts, and by what.
+PARTS = {"symbols": ("n_symbols", "word_chars"), "repeated_lines": ("n_dup_lines", "n_lines"), "upper": ("n_upper", "word_chars"), "exclaims": ("n_exclaims", "n_words")}
+
+
+def excess() -> Column:
+    """The greatest figure of a text, in percent of its rule's cutoff: factors below it reject the text."""
+    return F.greatest(*[F.expr(f"100 * (1000 * {a} div greatest({b}, 1)) div {RULES[r]}") for r, (a, b) in PARTS.items()])
 
 
 def _log_gamma(x: Column) -> Column:
@@ -106,21 +114,20 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, *, risk: float = RISK, doubt: float = DOUBT, cost: float = COST) -> DataFrame:
-    """stratum, limits (a map from rule to cutoff): the chosen cutoffs of each stratum that has any."""
+    """stratum, factor: the chosen factor of each stratum that has one."""
     known = pick(labels, "doc_id", "quality").where("quality IN (0, 1)").select(F.col("doc_id").alias("labelled"), "quality")
-    rated = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in zip(RULES, _thousandths(), strict=True)]))
-    rows = table.join(known, F.col("doc_id") == F.col("labelled")).where("NOT base_failed").select(F.coalesce("lang", F.lit("\0null")).alias("stratum"), "quality", rated.alias("r"))
-    counts = materialize(rows.groupBy("stratum", "quality", "r.rule", "r.value").agg(F.count(F.lit(1)).alias("n")), "counts")
-    over = counts.select("stratum", "rule", "quality", "value", "n", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"))
-    good, bad, lost = F.col("quality") == 1, F.col("quality") == 0, F.col("value") > F.col("cutoff")
+    rows = table.join(known, F.col("doc_id") == F.col("labelled")).where("NOT base_failed").select(F.coalesce("lang", F.lit("\0null")).alias("stratum"), "quality", "text_key", excess().alias("excess"))
+    counts = materialize(rows.distinct().groupBy("stratum", "quality", "excess").agg(F.count(F.lit(1)).alias("n")), "counts")
+    over = counts.select("stratum", "quality", "excess", "n", F.explode(F.array(*map(F.lit, FACTORS))).alias("factor"))
+    good, bad, lost = F.col("quality") == 1, F.col("quality") == 0, F.col("excess") > F.col("factor")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    tried = over.groupBy("stratum", "rule", "cutoff").agg(total(good).alias("good"), total(good & lost).alias("good_lost"), total(bad).alias("bad"), total(bad & lost).alias("bad_lost"))
+    tried = over.groupBy("stratum", "factor").agg(total(good).alias("good"), total(good & lost).alias("good_lost"), total(bad).alias("bad"), total(bad & lost).alias("bad_lost"))
     strata = counts.agg(F.count_distinct("stratum")).first()[0]
-    limit = doubt / (max(strata, 1) * len(RULES) * len(CUTOFFS))
-    safe = tried.where((F.col("good") > 0) & (binomial_tail(F.col("good_lost"), F.col("good"), risk / len(RULES)) <= limit))
+    holds = (F.col("good") > 0) & (binomial_tail(F.col("good_lost"), F.greatest("good", F.lit(1)), risk) <= doubt / max(strata, 1))
+    in_order = Window.partitionBy("stratum").orderBy(F.col("factor").desc())  # as many rows as there are factors
+    safe = tried.withColumn("safe", F.bool_and(holds).over(in_order)).where("safe")
     worth = F.col("bad_lost") / F.greatest("bad", F.lit(1)) - cost * F.col("good_lost") / F.col("good")
-    best = safe.groupBy("stratum", "rule").agg(F.max(F.struct(F.round(worth, 9), "cutoff"))["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
+    return safe.groupBy("stratum").agg(F.max(F.struct(F.round(worth, 9), "factor"))["factor"].alias("factor"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,7 +137,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)
     joined = table.join(limits, F.coalesce("lang", F.lit("\0null")) == F.col("stratum"), "left")
-    rejected = F.lit(False)
-    for rule, value in zip(RULES, _thousandths(), strict=True):
-        rejected = rejected | F.coalesce(value > F.col("limits")[rule], F.lit(False))
+    rejected = F.coalesce(excess() > F.col("factor"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))

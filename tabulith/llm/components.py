@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
-Only aggregates and joins: a node with very many links is pre-aggregated before the shuffle and its join partition
-may be split. Each round is written to the shared folder; the driver sees two numbers a round.
+Only aggregates and joins: a node with very many links is pre-aggregated before the shuffle, and as the least
+neighbours are written before they are joined, both sides of the join are plain shuffles and the partition of such a node
+can be split. Each round is written to the shared folder; the driver sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from .common import materialize
 
 
 def _with_least(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    return links.join(least.select(F.col("a").alias("k"), F.least("a", "m").alias("m")), F.col("a") == F.col("k")).drop("k")
+    least = links.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
+    return links.join(materialize(least, "least"), F.col("a") == F.col("k")).drop("k")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        small = _with_least(large)
+        small = _with_least(materialize(large, "large"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         links = materialize(small, "links")
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -2,16 +2,18 @@
 
 A fingerprint has a bit for each that is set in over half the XXH64 hashes of a text's word shingles. Equal
 fingerprints are first made one. Two fingerprints within `radius` bits agree wholly on at least `blocks - radius`
-of `blocks` bit blocks, so each is put into one bucket for every choice of so many blocks: no link is lost, and
-buckets stay small (about n / 2^21 each for 2 of 6 blocks; raise `blocks` with the table's size). In a bucket, rows
-are sorted by population count and compared tile by tile with exclusive-or and bit counts; tile pairs whose
+of `blocks` bit blocks, so each is put into one bucket for every choice of so many blocks: no link is lost. `blocks`
+follows from the number of fingerprints (`blocks_for`), so that buckets hold MOST_EXPECTED of evenly spread ones at most.
+A bucket of more than HOT fingerprints is cut into buckets of its own in the same way, by blocks of the bits that its
+fingerprints don't share, and again if need be (`DEPTH` times). In a bucket, rows are sorted by population count and compared tile by tile with exclusive-or and bit counts; tile pairs whose
 population counts differ by more than the radius are skipped, and so are those whose rows are all linked already,
 so a bucket of near copies takes about one comparison of each tile. A bucket gives links to the least member of
 each of its components, never all pairs; `components` joins them up.
 
 Links are between ids, the least of each fingerprint, so the least id of a component is its root.
 
-Memory: a bucket is held in one task at 16 bytes a distinct fingerprint.
+Memory: a bucket is held in one task at 16 bytes a distinct fingerprint: HOT of them, or those that agree in all but
+the few bits that the last cut leaves (2^20 with 6 blocks).
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle; a null id counts as the smallest; repeated rows keep their rows; texts
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import id_key, key_id, materialize, pick, plain, sub_batches, text_bytes, whole_groups
 from .components import components
 
-SHINGLE, SEED, RADIUS, BLOCKS, TILE = 4, 42, 4, 6, 512
+SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 512
+#: Fingerprints that a bucket may hold if they are evenly spread; beyond which a bucket is cut; how often.
+MOST_EXPECTED, HOT, DEPTH = 64, 20_000, 3
 #: The bits of a byte, each as a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
@@ -135,17 +139,53 @@ def _tile_pairs(tiles: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int],
             yield t, u
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks for n fingerprints: the fewest (at least one and a half times the radius) that keep buckets small, 8 more at most."""
+    least = max(radius + 1, radius * 3 // 2)
+    return next((b for b in range(least, min(64, least + 8)) if n >> 64 * (b - radius) // b <= MOST_EXPECTED), min(64, least + 8))
+
+
+def _masks(agreed: int, radius: int, blocks: int) -> list[int]:
+    """The masks that fingerprints within the radius, that agree in the bits of `agreed`, may agree in further: one of them."""
+    free = [1 << i for i in range(64) if not agreed >> i & 1]
+    blocks = min(blocks, max(len(free), 1))
+    if len(free) <= radius:
+        return [agreed]
+    parts = [sum(free[len(free) * i // blocks : len(free) * (i + 1) // blocks]) for i in range(blocks)]
+    return [agreed | sum(c) for c in combinations(parts, max(blocks - radius, 0))]
+
+
+def _bucketed(rows: DataFrame, radius: int, blocks: int, hot: int, depth: int) -> DataFrame:
+    """(fp, least, key): each fingerprint in all its buckets."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    level, ready = [0], None
+    rows = rows.select("fp", "least", F.lit(0).alias("mask"), F.lit(0).cast("long").alias("key"))
+    for k in range(depth):
+        level = [_masks(m, radius, blocks) for m in level]
+        width = len(level[0])
+        choices = F.array(*[F.array(*[F.lit(signed(m)) for m in of]) for of in level])
+        key = lambda m, i: F.struct((F.col("mask") * width + i).alias("mask"), F.xxhash64("key", i, F.col("fp").bitwiseAND(m)).alias("key"))
+        rows = rows.select("fp", "least", F.explode(F.transform(F.get(choices, F.col("mask")), key)).alias("x")).select("fp", "least", "x.mask", "x.key")
+        level = [m for of in level for m in of]
+        if k + 1 == depth or len(level) * width > 50_000:
+            break
+        crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("key").alias("crowd")), "crowded")
+        if crowded.isEmpty():
+            break
+        cold = rows.join(crowded, F.col("key") == F.col("crowd"), "left_anti").select("fp", "least", "key")
+        ready = cold if ready is None else ready.unionByName(cold)
+        rows = rows.join(crowded, F.col("key") == F.col("crowd"), "left_semi")
+    rows = rows.select("fp", "least", "key")
+    return rows if ready is None else ready.unionByName(rows)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, *, hot: int = HOT, depth: int = DEPTH) -> DataFrame:
     """From distinct fingerprints `fp` with distinct ids `least`: links (a, b) of ids that connect what any links within
     `radius` bits connect."""
+    blocks = blocks_for(fps.count(), radius) if blocks is None else blocks
     if not 0 <= radius < blocks <= 64:
         raise ValueError("radius must be below blocks, blocks at most 64")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(parts, blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    rows = fps.select("fp", "least", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", F.bit_count("fp"), "fp")
+    rows = _bucketed(fps, radius, blocks, hot, depth).repartition("key").sortWithinPartitions("key", F.bit_count("fp"), "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key", 100_000):
@@ -157,11 +197,11 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def classes(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = materialize(fingerprint_table(docs, size), "simhash")
     # a fingerprint stands for its least id; should rows that repeat an id differ, that id joins their fingerprints
-    distinct = rows.groupBy("fp").agg(F.min("k").alias("least"))
+    distinct = materialize(rows.groupBy("fp").agg(F.min("k").alias("least")), "fingerprints")
     roots = components(links(distinct, radius, blocks))
     of = distinct.join(roots, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "least").alias("component"))
     # written first, so both sides of the join are shuffled for it and a fingerprint of very many rows can be split
@@ -170,7 +210,7 @@ def classes(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, block
     return joined.select(key_id("k").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), key_id("component").alias("component_id"))
 
 
-def dedup(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def dedup(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id (of rows that repeat an id, one); same columns."""
     named = classes(docs, size=size, radius=radius, blocks=blocks)
     keep = named.where("doc_id <=> component_id").select(id_key().alias("keep")).distinct()

@@ -7,8 +7,9 @@ where it may not move, the patterns whose first `m` bytes end in that block (fou
 byte by byte. Many cursors, one for each stretch of text, move together in numpy. Patterns are searched in
 classes of similar length, so one short item doesn't make all steps short.
 
-Only the patterns are broadcast, in shards of at most `shard_bytes` bytes, each one pass over the documents with
-the rows written to the shared folder in between: the benchmark may be of any size.
+Only the patterns are broadcast, in shards of about `shard_bytes` bytes, each one pass over the documents: the benchmark
+may be of any size. With several shards the documents are written once with row numbers, each pass gives its hits, and
+those are joined once at the end.
 
 Defined cases: null and empty texts have no words and are never hit; items without words, and an empty benchmark,
 match nothing; a null item_id counts as item "null"; repeated items count once; repeated documents keep their rows;
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,44 +157,56 @@ def windows(benchmark: DataFrame, size: int = WINDOW, item: str = "item_id", tex
     return rows.mapInArrow(cut, "item string, window binary").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def _search(rows: DataFrame, shard: Broadcast, text: str, schema: T.StructType, only_hits: bool) -> DataFrame:
+    """`rows` with n_words, hit_words and hit_items (with only_hits those that were hit), in the columns of `schema`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, text):
+            split = [words((t or "").encode()) for t in batch.column(text).to_pylist()]
+            hit, items = shard.value.hits(split)
+            counts = np.array([len(w) for w in split], np.int64)
+            ends = np.cumsum(counts)
+            places = np.flatnonzero(hit)
+            cuts = np.searchsorted(places, ends)
+            each = np.diff(np.r_[0, cuts])
+            out = with_columns(
+                batch,
+                n_words=pa.array(counts),
+                hit_words=pa.ListArray.from_arrays(pa.array(np.r_[0, cuts], pa.int32()), pa.array((places - np.repeat(ends - counts, each)).astype(np.int32))),
+                hit_items=pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+            ).select(schema.names)
+            yield out.filter(pa.array(each > 0)) if only_hits else out
+
+    return rows.mapInArrow(run, schema)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, text: str = "text") -> DataFrame:
     """`docs` with n_words, hit_words (sorted word numbers, from 0) and hit_items (sorted ids as text)."""
-    patterns = windows(benchmark, window)
+    patterns = materialize(windows(benchmark, window), "windows")
     size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x))
     total = patterns.agg(F.sum(size)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     new = [T.StructField("n_words", T.LongType(), False), T.StructField("hit_words", T.ArrayType(T.IntegerType(), False)), T.StructField("hit_items", T.ArrayType(T.StringType(), False))]
     out = docs.drop("n_words", "hit_words", "hit_items")
-    schema = T.StructType([*out.schema.fields, *new])
-    out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("hit_items"))
-    for k in range(shards):
+
+    def shard(k: int) -> Broadcast:
         part = patterns.where(F.pmod(F.xxhash64("window"), F.lit(shards)) == k) if shards > 1 else patterns
-        shard = docs.sparkSession.sparkContext.broadcast(Shard([(bytes(r["window"]), r["items"]) for r in part.collect()]))
-
-        def search(batches: Iterable[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            for batch in sub_batches(batches, text):
-                split = [words((t or "").encode()) for t in batch.column(text).to_pylist()]
-                hit, items = shard.value.hits(split)
-                counts = np.array([len(w) for w in split], np.int64)
-                ends = np.cumsum(counts)
-                places = np.flatnonzero(hit)
-                cuts = np.searchsorted(places, ends)
-                numbers = (places - np.repeat(ends - counts, np.diff(np.r_[0, cuts]))).astype(np.int32)
-                now = [numbers[a:b] for a, b in zip(np.r_[0, cuts[:-1]], cuts, strict=True)]
-                before, had = batch.column("hit_words"), batch.column("hit_items").to_pylist()
-                if len(before.flatten()):
-                    now = [np.union1d(a, np.array(b, np.int32)) for a, b in zip(now, before.to_pylist(), strict=True)]
-                yield with_columns(
-                    batch,
-                    n_words=pa.array(counts),
-                    hit_words=pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in now])], pa.int32()), pa.array(np.concatenate(now) if now else [], pa.int32())),
-                    hit_items=pa.array([sorted({*a, *b}) for a, b in zip(items, had, strict=True)], pa.list_(pa.string())),
-                )
-
-        out = out.mapInArrow(search, schema)
-        if k + 1 < shards:
-            out = materialize(out, "decontam")
-    return out
+        return docs.sparkSession.sparkContext.broadcast(Shard([(bytes(r["window"]), r["items"]) for r in part.collect()]))
+
+    if shards == 1:
+        return _search(out, shard(0), text, T.StructType([*out.schema.fields, *new]), False)
+    row = next(name for i in range(len(out.columns) + 1) if (name := f"row{i}") not in out.columns)
+    numbered = materialize(out.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    schema = T.StructType([T.StructField(row, T.LongType()), *new])
+    found = None
+    for k in range(shards):  # the first pass has all rows, the others those that they hit
+        now = shard(k)
+        hits = materialize(_search(numbered.select(row, text), now, text, schema, k > 0), "hits")
+        now.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = found.groupBy(row).agg(F.max("n_words").alias("n_words"), union("hit_words"), union("hit_items"))
+    return numbered.join(found, row).drop(row)
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ A change says that a document's count was inserted, deleted or revised (old and
 becomes one signed delta for each (source, lang, tokenizer) that it touches, pre-aggregated before the shuffle, and
 is committed by one atomic rename of a written folder to `batches/<batch_id>`: a batch is there wholly or not at all,
 and a batch that is there already is left alone, so replays change nothing. Totals are the sums over all batches;
-`compact` puts them into one snapshot, whose batch ids stay known.
+`compact` puts them into one snapshot, whose batch ids stay known; batch folders go with the compaction after that, so
+who reads totals meanwhile still finds them. The folder must be on a file system that renames folders atomically
+(HDFS, local and shared POSIX file systems; plain object stores don't).
 
 Defined cases: null source, lang or tokenizer are groups of their own; null counts count as 0; a change with another
-kind raises; groups whose counts all came to zero stay out of the totals; empty batches commit too.
+kind raises; groups whose counts all came to zero stay out of the totals; empty batches commit too; texts of any length are counted
+whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ class Rollup:
         docs = F.when(kind == "insert", 1).when(kind == "delete", -1).when(kind == "revise", 0).otherwise(wrong)
         tokens = F.when(kind == "insert", new).when(kind == "delete", -old).when(kind == "revise", new - old)
         delta = pick(changes, *KEYS, "kind", "n_tokens", "old_tokens").groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
-        return self._publish(delta.coalesce(1), "batches", batch_id)
+        return self._publish(delta, "batches", batch_id)
 
     def _deltas(self) -> tuple[DataFrame, set[str]]:
         base, known = self._snapshot()
@@ -89,15 +92,16 @@ class Rollup:
         return sums.where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """All batches so far as one snapshot; their folders go once it is there."""
+        """All batches so far as one snapshot; the folders of those that the snapshot before has go once it is there."""
+        before = self._snapshot()[1]
         rows, ids = self._deltas()
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.parquet(f"{staged}/totals")
+        sums.write.parquet(f"{staged}/totals")
         self.spark.createDataFrame([(i,) for i in sorted(ids)], "batch string").coalesce(1).write.parquet(f"{staged}/ids")
         number = len([n for n in self._names("snapshots") if n.startswith("totals-")])
         self._context.rename(self._path(staged), self._path(f"{self.path}/snapshots/totals-{number:09d}"), self._options)
-        for i in ids & set(self._names("batches")):
+        for i in before & set(self._names("batches")):
             self._files.delete(self._path(f"{self.path}/batches/{i}"), True)
 
 

@@ -3,8 +3,9 @@
 `encode` adds the array column `ids` to whole texts, `decode` adds `decoded`, the text of `ids`. All distinct
 words of a chunk lie in one flat symbol array; each round finds the rank of every adjacent pair by binary search
 over the sorted pair keys, takes the lowest rank of each word and merges its occurrences, until no word has a
-known pair. A worker keeps the ids of words it has met, up to `CACHED_WORDS`, then starts anew: memory is bounded
-and results don't depend on the cache.
+known pair. A worker keeps the ids of words it has met, up to `CACHED_WORDS` words or `CACHED_BYTES` bytes, then starts
+anew: beside that it holds the words of one chunk, and results don't depend on the cache. A file with a normalizer, or
+another pre-tokenizer than byte-level words without a prefix space, is refused.
 
 Defined cases: null text counts as empty (no ids, empty text); null ids decode to the empty text; unknown ids
 decode to nothing; repeated rows stay repeated; other columns pass through; the strings of added tokens are
@@ -30,7 +31,7 @@ from .common import expand, pick, sub_batches, with_columns
 
 #: Fixed value: the word pattern of the tokenizer file's ByteLevel pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_BYTES = 200_000, 16 << 20
 MOST_FILE_BYTES = 64 << 20
 _NO_RANK = np.int64(1 << 40)
 
@@ -46,7 +47,12 @@ class Tables:
     """What encoding and decoding look up; built on the driver from the tokenizer's file, then broadcast."""
 
     def __init__(self, spec: dict):
-        vocab = spec["model"]["vocab"]
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("only tokenizers of byte-level words, without normalizer and prefix space, are read")
+        if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            raise ValueError("only plain BPE models are read")
+        vocab = model["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         letters = byte_letters()
         self.first = np.array([vocab[c] for c in letters], np.int64)
@@ -113,6 +119,7 @@ class Encoder:
         self.index.default_factory = None  # else the old table, which refers to itself, stays until a full collection
         self.index = defaultdict()
         self.index.default_factory = self.index.__len__
+        self.bytes = 0
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for token, i in self.tables.added.items():
             self.index["\0added" + token]
@@ -131,12 +138,13 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHED_WORDS:
+        if len(self.index) > CACHED_WORDS or self.bytes > CACHED_BYTES:
             self.clear()
         known, get = len(self.lengths), self.index.__getitem__
         rows = [np.fromiter(map(get, self.words(t)), np.int64) for t in texts]
         if len(self.index) > known:
             new = [w.encode() for w in list(self.index)[known:]]
+            self.bytes += sum(map(len, new))
             self._append(*self.tables.merge(new))
         all_words = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         lengths = self.lengths[all_words]

@@ -10,7 +10,12 @@ from . import bpe, decontam, ngram, quality, rollup, rules, simhash, suffixes, t
 from .common import pick
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the tokenizer's file is on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +51,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), DEFAULT_TOKENIZER)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

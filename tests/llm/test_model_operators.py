@@ -308,6 +308,74 @@ def test_long_words_are_read_whole_and_all_terms_are_kept():
     assert {t for t, _ in terms} == set(words) and len(words) == 300
 
 
+def test_a_root_in_many_clean_texts_is_one_term_for_its_inflections():
+    r = random.Random(11)
+    ends = [a + b for a in "bdfgk" for b in "aeiou"]
+    text = lambda toxic: " ".join(r.choice(["wugrem", "mirpol", "tosbek"]) + r.choice(ends) if r.random() < (0.03 if toxic else 0.0005) else "".join(r.choice("aeiounrstl") for _ in range(r.randint(3, 8))) for _ in range(300))
+    toxic, clean = [text(True) for _ in range(100)], [text(False) for _ in range(400)]
+    assert sum(any(w in t for w in ("wugrem", "mirpol", "tosbek")) for t in clean) > 30
+    terms, ordinary = toxicity.learn_terms(toxic, clean)
+    assert sorted(terms) == [("mirpol", True), ("tosbek", True), ("wugrem", True)]
+    scan = toxicity.Scanner(toxicity.Lexicon(terms), ordinary)
+    assert sorted(scan.features(t)[-1] for t in toxic)[2] > sorted(scan.features(t)[-1] for t in clean)[-3]
+
+
+def plain_features(text, terms, ordinary):
+    """The features by plain edit distances."""
+    words, q = text.split(), toxicity.QUOTES
+    bare = [w.lower().strip(toxicity.EDGES) for w in words]
+    codes = []
+    for w in bare:
+        found = [0 for t, stem in terms if stem and w.startswith(t)] + [levenshtein(w, t) for t, stem in terms if not stem and levenshtein(w, t) <= toxicity.allowed(t)]
+        codes.append(9 if w in ordinary else min(found, default=9))
+    exact = misspelled = exact_quoted = misspelled_quoted = addressed = 0
+    for i, e in enumerate(codes):
+        if e == 9:
+            continue
+        around = [*range(max(0, i - 6), i), *range(i + 1, min(len(words), i + 7))]
+        ends = lambda w: w.rstrip(".,;:!?")[-1:] in q
+        opened = words[i][0] in q or sum((words[j][:1] in q) - ends(words[j]) for j in around if j < i) > 0
+        closed = ends(words[i]) or sum((words[j][:1] in q) - ends(words[j]) for j in around if j > i) < 0
+        quoted = opened and closed or any(bare[j] in toxicity.REPORTING for j in around)
+        if quoted:
+            exact_quoted, misspelled_quoted = exact_quoted + (e == 0), misspelled_quoted + (e > 0)
+        else:
+            exact, misspelled = exact + (e == 0), misspelled + (e > 0)
+            addressed += any(bare[j] in toxicity.ADDRESS for j in around)
+    density = 100 * (exact + misspelled) / len(words) if words else 0.0
+    return [math.log1p(x) for x in (exact, misspelled, exact_quoted, misspelled_quoted, addressed, density)]
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rows, labels = toxic_rows(200)
+    r = random.Random(12)
+    mixed = [" ".join(r.choice(["grumpkin", "grumpkn", '"zzyvash"', "blortfacee", "you", "said", "«red", "blue»", "plain", "dijo", "du"]) for _ in range(30)) for _ in range(40)]
+    docs = spark.createDataFrame([*rows, *((1000 + i, t) for i, t in enumerate(mixed))], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    terms, ordinary, weights = toxicity.fit(docs, known)
+    texts = dict([*rows, *((1000 + i, t) for i, t in enumerate(mixed))])
+    assert any(t.startswith("grump") for t, _ in terms)
+    for x in toxicity.score(docs, known).collect():
+        z = float(np.dot(plain_features(texts[x["doc_id"]], terms, ordinary), weights[:-1]) + weights[-1])
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-max(-700, min(700, z)))), abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    rows, labels = toxic_rows(100)
+    docs = spark.createDataFrame(rows * 3 + [(i, "x" * 5000) for i, _ in rows[:4]], "doc_id long, text string")
+    known = spark.createDataFrame(labels * 2, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn_terms", lambda toxic, other: seen.append((toxic, other)) or ([], set()))
+    monkeypatch.setattr(toxicity, "MOST_TEXT", 4000)
+    toxicity.fit(docs, known)
+    free = [i for i, *_ in labels if crc(i) % 4 != 2]
+    assert sum(map(len, seen[0])) == len(free)  # one text for each id, whole
+    assert {t for part in seen[0] for t in part} == {t for i, t in rows if i in free}
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 4000)
+    toxicity.fit(docs, known)
+    assert all(0 < sum(len(t.encode()) for t in part) <= 2000 for part in seen[1])
+
+
 def test_toxicity_odd_rows_and_no_labels(spark, odd, nothing):
     frame, rows = odd
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -369,9 +437,27 @@ def test_cutoffs_keep_the_risk_and_reject_the_bad(spark):
         labels.append((i, int(not bad)))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
     table = rules.figures(docs).persist()
-    limits = {x["stratum"]: x["limits"] for x in rules.cutoffs(table, known, risk=0.05).collect()}
-    assert limits and all("symbols" in x for x in limits.values())
+    limits = {x["stratum"]: x["factor"] for x in rules.cutoffs(table, known).collect()}
+    assert set(limits) == {"en", "\0null"} and min(limits.values()) >= 100
     assert {x["stratum"] for x in rules.cutoffs(table, known, risk=0.001).collect()} == set()
+    out = {x["doc_id"]: x["kept"] for x in rules.judge(docs, known).collect()}
+    assert all(out[i] == (i % 6 != 0) for i in range(3000))
+    # copies of a text count once, so this few don't allow any cutoff
+    few = docs.where("doc_id < 120").crossJoin(spark.range(20)).select((F.col("doc_id") + 10_000 * (F.col("id") + 1)).alias("doc_id"), "text", "lang")
+    marked = known.crossJoin(spark.range(20)).select((F.col("doc_id") + 10_000 * (F.col("id") + 1)).alias("doc_id"), "quality")
+    assert rules.cutoffs(rules.figures(few), marked).count() == 0
+
+
+def test_factors_stop_at_the_first_that_is_not_safe(spark):
+    # good texts lose 8 % at factors from 115 to 85 only by the order of factors: those below would hold again if tested
+    rows = [(i, "en", 20, 100, 1 if i % 12 == 0 else 0, 0, 0, 1, 0, 0, (i, 0), False) for i in range(600)]
+    names = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaims long, text_key struct<a: long, b: long>, base_failed boolean"
+    known = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
+    # symbols: 10 thousandths, half the cutoff of 20: lost at factors below 50
+    (found,) = rules.cutoffs(spark.createDataFrame(rows, names), known, cost=0.0).collect()
+    assert found["factor"] == 400
+    (found,) = rules.cutoffs(spark.createDataFrame(rows, names), known.unionByName(known.select((F.col("doc_id") + 0).alias("doc_id"), F.lit(0).alias("quality"))), cost=0.0).collect()
+    assert found["factor"] == 400  # 50 loses nobody; 40 loses 8 % and isn't safe
 
 
 # --- token counts ---
@@ -479,6 +565,27 @@ def test_mined_rules_equal_brute_force(spark):
     assert blocked == {i for (i, _), b in zip(pages, baskets, strict=True) if any(x[0] <= b for x in wanted)} and blocked
 
 
+def test_query_blocks_by_mined_rules(spark, tmp_path):
+    """The registered query on tables whose labels depend on the URL: mined rules decide where no fixed one does."""
+    from tabulith.llm import queries
+
+    r = random.Random(21)
+    pages, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        host = r.choice(["spam-farm", "free-bets"]) if bad else r.choice(["ththa", "tiontion", "blog.therou", "m.ththth"])
+        pages.append((i, f"https://{host}.example.{'info' if i % 7 else 'net'}/{r.choice(['en', 'de'])}/{r.randrange(900)}?page=2", "<html>"))
+        if i % 3:
+            labels.append((i, int(not bad), 0))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for x in queries.QUERIES["op5_url_filters"](spark, str(tmp_path)).collect():
+        if x["rule"] is None:
+            assert x["verdict"] == ("block" if x["page_id"] % 5 == 0 else "allow")
+        else:
+            assert x["rule"] == ("example.net/en/" if x["path"].startswith("/en/") else "net/")
+
+
 def test_many_redundant_rules_leave_room_for_all_hosts(spark):
     urls_ = [f"https://{c * 3}-{c * 4}.example.com/de/all/new/{c * 5}?{c * 6}=x" for c in "bcdfgh" for _ in range(40)]
     bad = len(urls_)

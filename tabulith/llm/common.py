@@ -18,9 +18,11 @@ NO_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; where the session names none, a local one on a local master (tests), else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tabulith-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -135,7 +137,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def id_key(column: str = "doc_id") -> Column:
-    """The id as a key that orders rows; a null id counts as the smallest."""
+    """The id as a key that orders rows; a null id counts as the smallest, NO_ID (an id of that value counts as null)."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 

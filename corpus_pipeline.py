@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulith.llm import bpe, decontam, quality, simhash, suffixes
 from tabulith.llm.common import materialize
-from tabulith.llm.queries import DEFAULT_TOKENIZER, table
+from tabulith.llm.queries import table, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's number of tokens and the digests of its ids and of the text decoded from them."""
-    return bpe.encode_decode(docs, DEFAULT_TOKENIZER)
+    return bpe.encode_decode(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

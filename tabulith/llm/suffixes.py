@@ -7,19 +7,22 @@ same document. All is over the whole table and exact, by these steps.
 2. Anchors: the least hash of the `gram`-byte strings in every window of `width` bytes, so equal windows have equal
    anchors at equal places. About one byte in 35 is an anchor. A window around an anchor lies within its context,
    the bytes that a window with that anchor can reach. Only anchors of equal gram hash need to be compared.
-3. Anchors of a part of the table (SHARED bytes) are compared first, then those of all parts that meet by gram: they
-   fetch their context's bytes. The suffixes that begin at the anchors, and the reversed prefixes that end there, are
-   each sorted by a mergesort whose comparisons find the common extension by binary search over prefix polynomial
-   hashes and end with a direct comparison of eight bytes. Sorted neighbours are verified byte by byte: common
-   extensions are those of the bytes, and an order that hash collisions spoilt is sorted again by bytes. Common
-   extensions of sorted neighbours give, for each split of `width` into left and right, the classes of anchors that
-   agree on both sides; all but the earliest of a class lose that window. Contexts that agree wholly with an earlier
-   one of the part go no further.
-4. A gram that more than HOT anchors of different parts share is not compared in one task: its anchors are cut into
-   single windows, of which a task passes on the first of each, and these meet by a hash of the window.
-5. The removed stretches return to their documents and are merged.
-
-So nothing goes because of equal hashes alone. Memory: a task holds one part, HOT contexts of one gram at under 1 KB
+3. Anchors of a part of the table (SHARED bytes) are compared first: the suffixes that begin at the anchors, and the
+   reversed prefixes that end there, are each sorted by a mergesort whose comparisons find the common extension by
+   binary search over prefix polynomial hashes and end with a direct comparison of eight bytes. Sorted neighbours are
+   verified byte by byte: common extensions are those of the bytes, and an order that hash collisions spoilt is sorted
+   again by bytes. Common extensions of sorted neighbours give, for each split of `width` into left and right, the
+   classes of anchors that agree on both sides; all but the earliest of a class lose that window. Contexts that agree
+   wholly with an earlier one of the part go no further.
+4. The anchors of all parts meet by gram. Where contexts agree in their hash, the document of the one before sends the
+   stretch's bytes to that of the next, which removes it if the bytes are the same. Where a gram has several contexts, the
+   first of each fetches its bytes, and these are compared as in step 3.
+5. A gram that more than `hot` contexts share is not compared in one task: the contexts are cut into single windows, of
+   which a task passes on the first of each, and these meet by a hash of the window.
+6. The removed stretches return to their documents and are merged.
+
+So nothing goes because of equal hashes alone. Should different contexts of a gram have equal hashes (64 bits), neither goes
+and the later one is not compared with others. Memory: a task holds one part, `hot` contexts of one gram at under 1 KB
 each, or the first windows of all tasks that equal one window.
 
 Defined cases: null and empty texts have no bytes; texts under `width` bytes lose nothing; a null id counts as the
@@ -45,13 +48,18 @@ from .common import expand, id_key, key_id, pieces, plain, text_bytes, whole_gro
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are turned into anchors at a time; bytes of text, and anchors, of a part.
-PIECE, SHARED, MOST_ANCHORS = 1 << 20, 32 << 20, 1 << 21
+PIECE, SHARED, MOST_ANCHORS = 1 << 19, 24 << 20, 1 << 20
 #: Anchors that are sorted at a time, anchors of a gram that are compared in one task, windows that a task remembers.
 SLICE, HOT, WINDOWS = 20_000, 20_000, 100_000
 _POWER = 0x9E3779B97F4A7C15
 _LETTERS = np.random.Generator(np.random.PCG64(20)).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 
 
+#: Bits for the length of a context's side; s packs both, and is GONE for a stretch that goes.
+_SIDE = 12
+_MASK, GONE = (1 << _SIDE) - 1, -1
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
@@ -73,15 +81,16 @@ _INVERSE = pow(_POWER, -1, 1 << 64)
 
 def anchors(data: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of the anchors of the texts that `data` joins: text number, place in data, gram hash, context bytes before and from
-    the place."""
+    the place, and the context's hash."""
     none = np.zeros(0, np.int64)
     if not (lengths >= width).any():
-        return none, none, none.view(np.uint64), none, none
+        return none, none, none.view(np.uint64), none, none, none.view(np.uint64)
     n = len(data)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_LETTERS[data] * _powers(n), out=prefix[1:])
     begin = np.cumsum(lengths) - lengths
-    hashed = mix((prefix[gram:] - prefix[: n - gram + 1]) * _powers(n + 1, _INVERSE)[: n - gram + 1])
+    back = _powers(n + 1, _INVERSE)
+    hashed = mix((prefix[gram:] - prefix[: n - gram + 1]) * back[: n - gram + 1])
     bits = np.uint64(max(1, int(n).bit_length()))
     least = hashed >> bits << bits | np.arange(len(hashed), dtype=np.uint64)
     span, have = width - gram + 1, 1
@@ -97,7 +106,8 @@ def anchors(data: np.ndarray, lengths: np.ndarray, width: int, gram: int) -> tup
     # texts without bytes share their begin with the next; searchsorted gives the last of equals, the one with bytes
     low = np.maximum(begin[text], place - (width - gram))
     high = np.minimum(begin[text] + lengths[text], place + width)
-    return text, place, hashed[place], place - low, high - place
+    context = mix(mix((prefix[high] - prefix[low]) * back[low]) + mix(((place - low) << _SIDE | (high - place)).astype(np.uint64)))
+    return text, place, hashed[place] >> np.uint64(24), place - low, high - place, context
 
 
 class Suffixes:
@@ -283,28 +293,28 @@ def _union(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return key[first], begin[first], far[np.r_[first[1:] - 1, len(key) - 1]] - key[first] * (1 << 40)
 
 
-#: Bits for each side's length in c, the sides of a context.
-_SIDE = 12
-_MASK = (1 << _SIDE) - 1
+_MEETING = ["h", "c", "s", "k", "loc"]
 
 
 def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
-    """Anchors: h the gram, c the sides of the context, k the id, loc the row number and place. A left side of all ones marks
-    a stretch that goes: loc has its begin, the upper bits of c its end."""
+    """Anchors: h the gram, c the context's hash, s its sides, k the id, loc the row number and place. Stretches that go: loc
+    has the begin, c the end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         texts: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+        ids: list[tuple[np.ndarray, np.ndarray]] = []
         size = count = rows = 0
 
         def block(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "c", "k", "loc"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_MEETING)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, texts, ids, size, count, rows
-            h, row, place, at, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, c, row, place, at, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
             data, (k, number) = np.concatenate(texts), (np.concatenate(x) for x in zip(*ids, strict=True))
+            texts = []
             order = np.argsort(h, kind="stable")  # rows come in order of age
             again = h[order][1:] == h[order][:-1]
             shared = order[np.r_[False, again] | np.r_[again, False]]
@@ -312,15 +322,17 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
             for begin in range(0, len(shared), SLICE):
                 some = shared[begin : begin + SLICE]
                 group = np.cumsum(np.r_[True, h[some][1:] != h[some][:-1]])
-                least, most, same = repeated(group, data, at[some], left[some], right[some], width, gram)
+                least, most, same = repeated(group, data, at[some].astype(np.int64), left[some].astype(np.int64), right[some].astype(np.int64), width, gram)
                 lost = most >= 0
                 gone.append(np.stack([row[some], place[some] - most, place[some] - least + width])[:, lost])
                 kept[some[same]] = False
-            yield from pieces(block(h[kept].view(np.int64), (left << _SIDE | right)[kept], k[row[kept]], number[row[kept]] << 32 | place[kept]))
+            for begin in range(0, len(h), 100_000):  # the JVM holds a batch as a whole
+                some = np.flatnonzero(kept[begin : begin + 100_000]) + begin
+                yield block(h[some].view(np.int64), c[some].view(np.int64), left[some] << _SIDE | right[some], k[row[some]], number[row[some]] << 32 | place[some])
             if gone:
                 row, begin, end = _union(*np.concatenate(gone, axis=1))
-                yield from pieces(block(mix(k[row].view(np.uint64)).view(np.int64), end << 2 * _SIDE | _MASK << _SIDE, k[row], number[row] << 32 | begin))
-            held, texts, ids, size, count, rows = [], [], [], 0, 0, 0
+                yield from pieces(block(_spread(k[row]), end, np.full(len(row), GONE, np.int32), k[row], number[row] << 32 | begin))
+            ids, size, count, rows = [], 0, 0, 0
 
         for batch, numbers in _numbered(batches):
             every = batch.column("k").to_numpy()
@@ -328,9 +340,10 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
                 mine = np.array([i for i, _ in piece])
                 lengths = np.array([len(t) for _, t in piece], np.int64)
                 data = np.frombuffer(b"".join(t for _, t in piece), np.uint8)
-                text, at, h, left, right = anchors(data, lengths, width, gram)
+                text, at, h, left, right, c = anchors(data, lengths, width, gram)
                 if len(text):
-                    held.append((h, text + rows, at - (np.cumsum(lengths) - lengths)[text], at + size, left, right))
+                    small = (x.astype(np.int32) for x in (text + rows, at - (np.cumsum(lengths) - lengths)[text], at + size, left, right))
+                    held.append((h, c, *small))
                     texts.append(data)
                     ids.append((every[mine], numbers[mine]))
                     size, count, rows = size + len(data), count + len(text), rows + len(mine)
@@ -339,72 +352,101 @@ def _meeting(dealt: DataFrame, width: int, gram: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, "h long, c long, k long, loc long")
+    return dealt.mapInArrow(run, "h long, c long, s int, k long, loc long")
+
+
+def _spread(k: np.ndarray) -> np.ndarray:
+    """A gram that stands for none: rows that aren't compared are dealt out by id."""
+    return mix(k.view(np.uint64)).view(np.int64)
+
+
+_SHARED = [*_MEETING, "hot", "tk", "tloc"]
 
 
 def _shared(meeting: DataFrame, most: int) -> DataFrame:
-    """The stretches that go, and the anchors whose gram others have; hot if more than `most` do."""
-    rows = meeting.repartition("h").sortWithinPartitions("h")
+    """Stretches that go; the first anchor of each context of a gram that has several, hot if there are more than `most`; and
+    for all other anchors the one before it of the same context, with the anchor itself as tk and tloc."""
+    rows = meeting.repartition("h").sortWithinPartitions("h", "c", "k", "loc")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "c", "k", "loc"]
-        waiting = [np.zeros(0, np.int64)] * 4  # the last gram's anchors, `most` at most
+        last: list[np.ndarray] | None = None  # the anchor before
+        waiting: list[np.ndarray] | None = None  # first anchors of the last gram's contexts, `most` at most
         hot_now: int | None = None
 
-        def out(columns: list[np.ndarray], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield from pieces(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(hot)], names=[*names, "hot"]))
+        def out(columns: list[np.ndarray], hot: bool | np.ndarray, tk: np.ndarray | None = None, tloc: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+            n = len(columns[0])
+            if n:
+                none = pa.nulls(n, pa.int64())
+                yield from pieces(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.broadcast_to(hot, n)), none if tk is None else pa.array(tk), none if tloc is None else pa.array(tloc)], names=_SHARED))
 
         def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Of anchors of whole grams, those that share theirs."""
+            """Of the first anchors of all contexts of some grams, those whose gram has several."""
             h = columns[0]
             new = np.r_[True, h[1:] != h[:-1]]
             size = np.diff(np.r_[np.flatnonzero(new), len(h)])[np.cumsum(new) - 1]
-            hot = (size > most) | (h == (hot_now if hot_now is not None else h[0] ^ 1))
+            hot = (size > most) | (h == hot_now if hot_now is not None else np.zeros(len(h), bool))
             keep = (size > 1) | hot
             yield from out([x[keep] for x in columns], hot[keep])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(n).to_numpy() for n in names]
-            known = columns[1] >> _SIDE & _MASK == _MASK
+            columns = [batch.column(n).to_numpy() for n in _MEETING]
+            known = columns[2] == GONE
             if known.any():
-                yield from out([x[known] for x in columns], np.zeros(known.sum(), bool))
+                yield from out([x[known] for x in columns], False)
                 columns = [x[~known] for x in columns]
-            columns = [np.r_[a, b] for a, b in zip(waiting, columns, strict=True)]
             if not len(columns[0]):
                 continue
-            last = int(columns[0][-1])
-            cut = int(np.searchsorted(columns[0], last, "left"))
+            before = [np.r_[a[-1:] if last is None else last[i], a[:-1]] for i, a in enumerate(columns)]
+            same = (columns[0] == before[0]) & (columns[1] == before[1]) & (columns[2] == before[2])
+            if last is None:
+                same[0] = False
+            last = [x[-1:] for x in columns]
+            yield from out([x[same] for x in before], False, columns[3][same], columns[4][same])
+            columns = [x[~same] for x in columns]
+            if waiting is not None:
+                columns = [np.r_[a, b] for a, b in zip(waiting, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            gram = int(columns[0][-1])
+            cut = int(np.searchsorted(columns[0], gram, "left"))
             if cut:
                 yield from whole([x[:cut] for x in columns])
-            tail = [x[cut:] for x in columns]
-            if len(tail[0]) > most or hot_now == last:
-                hot_now = last
-                yield from out(tail, np.ones(len(tail[0]), bool))
-                tail = [x[:0] for x in tail]
-            waiting = tail
-        if len(waiting[0]):
+            waiting = [x[cut:] for x in columns]
+            if len(waiting[0]) > most or hot_now == gram:
+                hot_now = gram
+                yield from out(waiting, True)
+                waiting = None
+        if waiting is not None:
             yield from whole(waiting)
 
-    return rows.mapInArrow(run, "h long, c long, k long, loc long, hot boolean")
+    return rows.mapInArrow(run, "h long, c long, s int, k long, loc long, hot boolean, tk long, tloc long")
 
 
 _FETCHED = ["h", "k", "loc", "context", "left", "end"]
+#: `left` of bytes that prove a stretch.
+PROOF = -1
 
 
 def _fetched(dealt: DataFrame, shared: DataFrame, width: int) -> DataFrame:
     """The anchors with their context's bytes and the place in it (left); those of hot grams window by window. Rows without
-    context are stretches that go, from loc to end."""
-    asked = shared.groupBy("k").agg(F.collect_list(F.struct("h", "loc", "c", "hot")).alias("asked"))
+    context are stretches that go, from loc to end; rows with left PROOF are stretches at loc that go if their bytes are
+    these."""
+    asked = shared.groupBy("k").agg(F.collect_list(F.struct("h", "loc", "c", "s", "hot", "tk", "tloc")).alias("asked"))
     joined = dealt.withColumnRenamed("k", "id").join(asked, F.col("id") == F.col("k")).select("k", "z", "rest", "asked").sortWithinPartitions("k", "z")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         seen: set[tuple[int, bytes]] = set()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+
+        def block(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_FETCHED)
+
         for batch, numbers in _numbered(batches):
             out: list[tuple] = []
+            size = 0
             asked = batch.column("asked")
             for i, k in enumerate(batch.column("k").to_numpy().tolist()):
                 part = asked[i].values
@@ -413,54 +455,88 @@ def _fetched(dealt: DataFrame, shared: DataFrame, width: int) -> DataFrame:
                 if not len(mine):
                     continue
                 mine = mine[np.argsort(locs[mine], kind="stable")]
-                c = part.field("c").to_numpy()[mine]
-                left, right = c >> _SIDE & _MASK, c & _MASK
-                known = left == _MASK
-                spread = int(mix(np.array([k], np.int64).view(np.uint64)).view(np.int64)[0])
-                for loc, end in zip(locs[mine][known].tolist(), (c[known] >> 2 * _SIDE).tolist(), strict=True):
-                    out.append((spread, k, loc, None, None, end))
-                if not known.all():
-                    text = tool.decompress(batch.column("z")[i].as_py())
-                    hot = part.field("hot").to_numpy(zero_copy_only=False)[mine]
-                    for h, loc, a, b, cut in zip(part.field("h").to_numpy()[mine][~known].tolist(), locs[mine][~known].tolist(), left[~known].tolist(), right[~known].tolist(), hot[~known].tolist(), strict=True):
-                        p = loc & 0xFFFFFFFF
-                        if not cut:
-                            out.append((h, k, loc, text[p - a : p + b], a, None))
-                            continue
-                        for o in range(max(0, width - b), a + 1):
-                            window = text[p - o : p - o + width]
-                            if (o, window) in seen:  # an earlier text of this task, or this text earlier, has it
-                                out.append((spread, k, loc - o, None, None, p - o + width))
-                            else:
-                                if len(seen) >= WINDOWS:
-                                    seen.clear()
-                                seen.add((o, window))
-                                out.append((xxhash.xxh64_intdigest(window, o) - (1 << 63), k, loc, window, o, None))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_FETCHED)
-                    out = []
+                loc, s = locs[mine], part.field("s").to_numpy()[mine].astype(np.int64)
+                place, left, right = loc & 0xFFFFFFFF, s >> _SIDE, s & _MASK
+                spread = int(_spread(np.array([k], np.int64))[0])
+                known = s == GONE
+                for a, end in zip(loc[known].tolist(), part.field("c").to_numpy()[mine][known].tolist(), strict=True):
+                    out.append((spread, k, a, None, None, end))
+                if known.all():
+                    continue
+                text = tool.decompress(batch.column("z")[i].as_py())
+                claimed = part.field("tk").is_valid().to_numpy(zero_copy_only=False)[mine]
+                if claimed.any():
+                    some = mine[claimed]
+                    tk, tloc = part.field("tk").take(pa.array(some)).to_numpy(), part.field("tloc").take(pa.array(some)).to_numpy()
+                    shift = (tloc & 0xFFFFFFFF) - place[claimed]
+                    order = np.lexsort((shift, tloc >> 32, tk))
+                    tk, tn, shift = tk[order], tloc[order] >> 32, shift[order]
+                    number = np.cumsum(np.r_[False, (tk[1:] != tk[:-1]) | (tn[1:] != tn[:-1]) | (shift[1:] != shift[:-1])])
+                    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+                    of, begin, end = _union(number, (place - left)[claimed][order], (place + right)[claimed][order])
+                    of = first[of]
+                    for t, n, d, a, b, h in zip(tk[of].tolist(), tn[of].tolist(), shift[of].tolist(), begin.tolist(), end.tolist(), _spread(tk[of]).tolist(), strict=True):
+                        out.append((h, t, n << 32 | (a + d), text[a:b], PROOF, None))
+                        size += b - a
+                rest = ~known & ~claimed
+                hot = part.field("hot").to_numpy(zero_copy_only=False)[mine]
+                for h, l, a, b, cut in zip(part.field("h").to_numpy()[mine][rest].tolist(), loc[rest].tolist(), left[rest].tolist(), right[rest].tolist(), hot[rest].tolist(), strict=True):
+                    p = l & 0xFFFFFFFF
+                    if not cut:
+                        out.append((h, k, l, text[p - a : p + b], a, None))
+                        continue
+                    for o in range(max(0, width - b), a + 1):
+                        window = text[p - o : p - o + width]
+                        if (o, window) in seen:  # an earlier text of this task, or this text earlier, has it
+                            out.append((spread, k, l - o, None, None, p - o + width))
+                        else:
+                            if len(seen) >= WINDOWS:
+                                seen.clear()
+                            seen.add((o, window))
+                            out.append((xxhash.xxh64_intdigest(window, o) - (1 << 63), k, l, window, o, None))
+                if len(out) > 20_000 or size > 1 << 20:
+                    yield block(out)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_FETCHED)
+                yield block(out)
 
     return joined.mapInArrow(run, "h long, k long, loc long, context binary, left int, end long")
 
 
 def _compared(fetched: DataFrame, width: int, gram: int) -> DataFrame:
+    """(k, n, lo, hi, proof): stretches that go; with proof if their bytes are these."""
     rows = fetched.repartition("h").sortWithinPartitions("h", "k", "loc")
 
-    def stretches(k: np.ndarray, loc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(loc >> 32), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], names=["k", "n", "lo", "hi"])
+    def stretches(k: np.ndarray, loc: np.ndarray, lo: np.ndarray, hi: np.ndarray, proof: pa.Array | None = None) -> pa.RecordBatch:
+        proof = pa.nulls(len(k), pa.binary()) if proof is None else proof
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(loc >> 32), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64)), proof], names=["k", "n", "lo", "hi", "proof"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h", SLICE):
-            known = pa.compute.is_null(table.column("context"))
-            gone = table.filter(known)
-            if gone.num_rows:
-                loc = gone.column("loc").to_numpy()
-                yield stretches(gone.column("k").to_numpy(), loc, loc & 0xFFFFFFFF, gone.column("end").to_numpy())
-            table = table.filter(pa.compute.invert(known)).combine_chunks()
-            if not table.num_rows:
-                continue
+        def compare() -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # what needs no comparison goes past
+                gone, proven = batch.column("left").is_null(), pa.compute.fill_null(pa.compute.equal(batch.column("left"), PROOF), False)
+                for which in (gone, proven):
+                    some = batch.filter(which)
+                    if some.num_rows:
+                        past.append(some)
+                yield batch.filter(pa.compute.invert(pa.compute.or_(gone, proven)))
+
+        past: list[pa.RecordBatch] = []
+
+        def let_past() -> Iterator[pa.RecordBatch]:
+            for some in past:
+                loc = some.column("loc").to_numpy()
+                lo = loc & 0xFFFFFFFF
+                proof = some.column("context").cast(pa.binary())
+                if proof.null_count:
+                    yield stretches(some.column("k").to_numpy(), loc, lo, some.column("end").to_numpy())
+                else:
+                    yield stretches(some.column("k").to_numpy(), loc, lo, lo + pa.compute.binary_length(proof).to_numpy().astype(np.int64), proof)
+            past.clear()
+
+        for table in whole_groups(compare(), "h", SLICE):
+            yield from let_past()
+            table = table.combine_chunks()
             h, k, loc, left = (table.column(n).to_numpy() for n in ("h", "k", "loc", "left"))
             contexts = table.column("context").to_pylist()
             sizes = np.array([len(x) for x in contexts], np.int64)
@@ -469,8 +545,9 @@ def _compared(fetched: DataFrame, width: int, gram: int) -> DataFrame:
             hit = np.flatnonzero(most >= 0)
             place = loc[hit] & 0xFFFFFFFF
             yield stretches(k[hit], loc[hit], place - most[hit], place - least[hit] + width)
+        yield from let_past()
 
-    return rows.mapInArrow(run, "k long, n long, lo long, hi long")
+    return rows.mapInArrow(run, "k long, n long, lo long, hi long, proof binary")
 
 
 def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, others: bool = False) -> DataFrame:
@@ -479,11 +556,16 @@ def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = H
     if not 8 <= gram < width < _MASK:
         raise ValueError(f"gram must be 8 or more and below width, width below {_MASK}")
     dealt = _dealt(docs, others)
-    gone = _compared(_fetched(dealt, _shared(_meeting(dealt, width, gram), hot), width), width, gram)
-    lists = gone.groupBy("k").agg(F.collect_list(F.struct("n", "lo", "hi")).alias("gone")).withColumnRenamed("k", "id")
+    return removed(dealt, _compared(_fetched(dealt, _shared(_meeting(dealt, width, gram), hot), width), width, gram))
+
+
+def removed(dealt: DataFrame, gone: DataFrame) -> DataFrame:
+    """The texts with the stretches that go, those with proof only if it holds."""
+    lists = gone.groupBy("k").agg(F.collect_list(F.struct("n", "lo", "hi", "proof")).alias("gone")).withColumnRenamed("k", "id")
     joined = dealt.join(lists, F.col("k") == F.col("id"), "left").select("k", "z", "rest", "gone").sortWithinPartitions("k", "z")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
         for batch, numbers in _numbered(batches):
             gone = batch.column("gone")
             begins, ends = [], []
@@ -494,6 +576,14 @@ def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = H
                     continue
                 part = gone[i].values
                 mine = part.field("n").to_numpy() == numbers[i]
+                proof = part.field("proof")
+                claimed = np.flatnonzero(mine & proof.is_valid().to_numpy(zero_copy_only=False)).tolist()
+                if claimed:  # only what the bytes bear out
+                    text = tool.decompress(batch.column("z")[i].as_py())
+                    for j in claimed:
+                        lo = part.field("lo")[j].as_py()
+                        bytes_ = proof[j].as_py()
+                        mine[j] = text[lo : lo + len(bytes_)] == bytes_
                 _, b, e = _union(np.zeros(mine.sum(), np.int64), part.field("lo").to_numpy()[mine], part.field("hi").to_numpy()[mine])
                 begins.append(b)
                 ends.append(e)

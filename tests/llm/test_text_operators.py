@@ -251,13 +251,35 @@ def test_suffixes_equal_brute_force_on_shared_passages(spark, letters, hot):
     assert rows_of(suffixes.report(suffixes.spans(frame, width=40, gram=12, hot=hot)), *NAMES) == brute_suffixes(docs, 40)
 
 
-def test_hot_grams_are_found_across_batches(spark):
-    hot, cold, lone = [(7, 0, k, 0) for k in range(9)], [(8, 0, k, 0) for k in range(3)], [(9, 0, 0, 0)]
-    for rows in (100, 2):
+def test_shared_grams_across_batches(spark):
+    s = 60 << 12 | 100
+    several = [(7, c, s, k, 5) for c in range(9) for k in (c, c + 20)]
+    two, one, lone = [(8, c, s, c, 5) for c in range(2)], [(9, 3, s, k, 5) for k in range(4)], [(10, 0, s, 0, 5)]
+    gone = [(11, 200, suffixes.GONE, 1, 5)]
+    for rows in (100, 2, 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        found = suffixes._shared(spark.createDataFrame(hot + cold + lone, "h long, c long, k long, loc long"), 4).collect()
+        frame = spark.createDataFrame(several + two + one + lone + gone, "h long, c long, s int, k long, loc long")
+        found = sorted(((x["h"], x["c"], x["s"], x["k"], x["hot"], x["tk"]) for x in suffixes._shared(frame, 4).collect()), key=repr)
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-        assert sorted((x["h"], x["k"], x["hot"]) for x in found) == [(7, k, True) for k in range(9)] + [(8, k, False) for k in range(3)]
+        firsts = [(7, c, s, c, True, None) for c in range(9)] + [(8, c, s, c, False, None) for c in range(2)]
+        pairs = [(7, c, s, c, False, c + 20) for c in range(9)] + [(9, 3, s, k, False, k + 1) for k in range(3)]
+        assert found == sorted([*firsts, *pairs, (11, 200, suffixes.GONE, 1, False, None)], key=repr)
+
+
+def test_equal_hashes_remove_nothing_that_differs(spark):
+    """Anchors that claim to agree: only where the bytes do is a stretch removed."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdef") for _ in range(300)) for _ in range(3)]
+    docs = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[0])], "doc_id long, text string")
+    dealt = suffixes._dealt(docs, False)
+    s = 60 << 12 | 100
+    # the context of document 0 at place 100 is claimed for documents 1 (another text) and 2 (the same)
+    claims = [(5, 9, s, 0, 100, False, 1, 100), (5, 9, s, 0, 100, False, 2, 100), (5, 9, s, 0, 130, False, 2, 130)]
+    shared = spark.createDataFrame(claims, "h long, c long, s int, k long, loc long, hot boolean, tk long, tloc long")
+    got = suffixes._compared(suffixes._fetched(dealt, shared, 100), 100, 32).collect()
+    assert sorted((x["k"], x["n"], x["lo"], x["hi"], bytes(x["proof"]).decode()) for x in got) == [(1, 0, 40, 200, texts[0][40:200]), (2, 0, 40, 230, texts[0][40:230])]
+    out = suffixes.removed(dealt, spark.createDataFrame(got, "k long, n long, lo long, hi long, proof binary"))
+    assert {x["k"]: (x["begins"], x["ends"]) for x in out.collect()} == {0: ([], []), 1: ([], []), 2: ([40], [230])}
 
 
 @pytest.mark.parametrize("hashes", ["sound", "equal", "few"])

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Fields up to which Spark generates code for an aggregate inside `wide_code`.
+WIDE = 2000
+
+
+@contextmanager
+def wide_code(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark generate code for aggregates of many fields (it stops at 100 by default)."""
+    name = "spark.sql.codegen.maxFields"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, max(before, WIDE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def quoted(name: str) -> Column:
     """The column of exactly this name."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,21 @@ def bins(df: DataFrame, column: str, count: int = 30) -> DataFrame:
     return every.join(found, F.col("bin") == F.col("b"), "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def density(rows: list[dict], points: int = 200) -> list[tuple[float, float]]:
+    """A Gaussian kernel density over binned values, scaled to the counts; empty for fewer than two values."""
+    n = sum(r["n"] for r in rows)
+    if n < 2:
+        return []
+    middle = np.array([(r["low"] + r["high"]) / 2 for r in rows])
+    weight = np.array([r["n"] for r in rows]) / n
+    wide = rows[0]["high"] - rows[0]["low"]
+    spread = float(np.sqrt(weight @ (middle - weight @ middle) ** 2)) or wide
+    band = 1.06 * spread * n**-0.2
+    at = np.linspace(rows[0]["low"], rows[-1]["high"], points)
+    height = np.exp(-0.5 * ((at[:, None] - middle) / band) ** 2) @ weight / (band * np.sqrt(2 * np.pi))
+    return list(zip(at.tolist(), (height * n * wide).tolist(), strict=True))
+
+
 def missing(df: DataFrame, sort: str | None = "desc") -> DataFrame:
     """(column, position, nulls, ratio) in the wanted order; equal ratios keep the order of columns."""
     aggregated = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
@@ -46,12 +62,18 @@ def categories(df: DataFrame, top: int = 10, bottom: int = 10, *, true_bottom: b
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in names]))
     counts = df.select(each.alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    ranked = counts.withColumn("rank", F.row_number().over(order))
     if true_bottom:
+        # a group limit before the shuffle leaves a task's first and last few values of each column
         back = Window.partitionBy("column").orderBy("n", F.desc_nulls_first("value"))
-        ranked = ranked.withColumn("back", F.row_number().over(back)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("column")))
+        all_ = counts.groupBy(F.col("column").alias("of")).agg(F.count(F.lit(1)).cast("int").alias("all"))
+        first = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top + bottom).withColumn("back", F.lit(None).cast("int"))
+        rare = counts.withColumn("back", F.row_number().over(back)).where(F.col("back") <= bottom).withColumn("rank", F.lit(None).cast("int"))
+        both = first.select("column", "value", "n", "rank", "back").unionByName(rare.select("column", "value", "n", "rank", "back"))
+        ranked = both.groupBy("column", "value", "n").agg(F.max("rank").alias("rank"), F.max("back").alias("back")).join(all_, F.col("column") == F.col("of"))
+        ranked = ranked.withColumn("rank", F.coalesce("rank", F.col("all") + 1 - F.col("back"))).withColumn("back", F.coalesce("back", F.col("all") + 1 - F.col("rank")))
         last = (F.col("back") <= bottom) & (F.col("all") > top)
     else:
+        ranked = counts.withColumn("rank", F.row_number().over(order))
         ranked = ranked.where(F.col("rank") <= top + bottom).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("column")))
         last = (F.col("all") > top) & (F.col("rank") > F.col("all") - bottom)
     parts = F.array_compact(F.array(F.when(F.col("rank") <= top, F.lit("top")), F.when(last, F.lit("bottom"))))

@@ -1,4 +1,4 @@
-"""Correlations of numeric columns: one aggregate for all pairs; ranks for Spearman in two shuffles."""
+"""Correlations of numeric columns: one aggregate for all pairs; for Spearman, ranks first."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dtypes import is_numeric, numeric_columns
-from ..functions.stats import correlation, quoted
-from .selection import average_ranks
+from ..functions.stats import correlation, quoted, wide_code
+from .selection import average_ranks, release
 
 METHODS = ("pearson", "spearman")
-#: Pairs for each aggregate: more would leave the range of generated code.
+#: Pairs for each aggregate, which has ten fields for each.
 PAIRS_AT_ONCE = 120
 
 
@@ -34,13 +34,17 @@ def pairs(df: DataFrame, wanted: list[tuple[str, str]], method: str = "pearson")
     """The correlation of each pair, over rows where both are there."""
     names = list(dict.fromkeys(c for p in wanted for c in p))
     frame, columns = _ready(df, names, method)
-    if method == "spearman" and len(wanted) > PAIRS_AT_ONCE:
-        frame = frame.persist()
+    persisted = method == "spearman" and len(wanted) > PAIRS_AT_ONCE
+    ranks, frame = frame, frame.persist() if persisted else frame
     out: dict[tuple[str, str], float | None] = {}
     for at in range(0, len(wanted), PAIRS_AT_ONCE):
         part = wanted[at : at + PAIRS_AT_ONCE]
-        row = frame.agg(*[correlation(columns[a], columns[b]).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+        with wide_code(df.sparkSession):
+            row = frame.agg(*[correlation(columns[a], columns[b]).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
         out |= {p: row[f"r{i}"] for i, p in enumerate(part)}
+    if persisted:
+        frame.unpersist()
+    release(ranks)
     return out
 
 

@@ -2,7 +2,8 @@
 
 A call runs a fixed number of Spark jobs whatever the number of columns: counts and moments, distinct counts, order
 statistics (see `selection`), and one for histograms and outliers; expanded output adds deviations and, for tests, the
-cumulative table. Only the summary reaches the driver.
+cumulative table. Numeric columns are read in long form, so the code that Spark generates stays small. Only the summary
+reaches the driver.
 
 Where this differs from its model: booleans aren't numeric; decimals are profiled as doubles; nested columns give
 counts; there is no `Std` beside `std`; `Correlation` is text; one row gives no z-score outliers and no error;
@@ -23,11 +24,13 @@ from ..functions import distributions
 from ..functions.dtypes import included, is_float, is_integer, is_nested, is_numeric, is_string, name_of
 from ..functions.stats import bin_of, correlation, excess_kurtosis, greatest, normal_cdf, quoted, skew
 from . import quality
-from .selection import cumulative, nearest_rank, select_ranks
+from .selection import by_number, cumulative, long_form, nearest_rank, release, select_ranks
 
 #: Rows up to which distinct values are counted exactly.
 EXACT_DISTINCT_ROWS = 300_000
 SHAPIRO_ROWS = 5000
+#: Aggregates of a job over the columns as they are: with more, Spark leaves generated code.
+FIELDS = 60
 
 
 def percentile_label(p: float) -> str:
@@ -59,30 +62,42 @@ def _groupable(name: str, kind: T.DataType) -> Column:
 
 
 def _base(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], target: str | None, expanded: bool) -> dict[str, dict[str, Any]]:
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    """Counts and moments: of all numeric columns in long form in one job, of the others in another."""
+    numeric = [c for c in columns if is_numeric(kinds[c])]
+    out: dict[str, dict[str, Any]] = {c: {} for c in columns}
+    rows = 0
+    counted = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
         c, kind = quoted(name), kinds[name]
-        aggregates.append(F.count(c).alias(f"{i}_valid"))
-        if is_numeric(kind):
-            v = c.cast("double")
-            aggregates += [F.avg(v).alias(f"{i}_mean"), F.stddev_samp(v).alias(f"{i}_std"), F.min(v).alias(f"{i}_min"), greatest(v).alias(f"{i}_max"), skew(v).alias(f"{i}_skew")]
-            aggregates += [F.count_if(v == 0).alias(f"{i}_zero"), F.count_if(v > 0).alias(f"{i}_pos"), F.count_if(v < 0).alias(f"{i}_neg"), F.count_if(F.isnan(v)).alias(f"{i}_nan")]
-            if target:
-                aggregates.append(correlation(quoted(target).cast("double"), v).alias(f"{i}_corr"))
-            if expanded:
-                aggregates += [excess_kurtosis(v).alias(f"{i}_kurtosis"), F.stddev_pop(v).alias(f"{i}_pop"), F.bool_and(v.isin(0.0, 1.0)).alias(f"{i}_binary")]
-                if is_integer(kind):
-                    aggregates += [F.min(c).alias(f"{i}_exact_min"), F.max(c).alias(f"{i}_exact_max")]
-                elif is_float(kind):
-                    aggregates.append(F.bool_and(F.when(~F.isnan(v), v == F.floor(v))).alias(f"{i}_integral"))
-        elif expanded and isinstance(kind, T.BooleanType):
-            aggregates.append(F.lit(True).alias(f"{i}_binary"))
-    row = df.agg(*aggregates).first().asDict()
-    out = {c: {"rows": row["rows"]} for c in columns}
-    for key, value in row.items():
-        if key != "rows":
-            i, _, what = key.partition("_")
-            out[columns[int(i)]][what] = value
+        if name not in numeric:
+            counted.append(F.count(c).alias(f"{i}_valid"))
+            if expanded and isinstance(kind, T.BooleanType):
+                counted.append(F.lit(True).alias(f"{i}_binary"))
+        elif expanded and is_integer(kind):  # as doubles, large ones would lose their last digits
+            counted += [F.min(c).alias(f"{i}_exact_min"), F.max(c).alias(f"{i}_exact_max")]
+    if len(counted) > 1 or not numeric:
+        for at in range(1, max(len(counted), 2), FIELDS):
+            row = df.agg(counted[0], *counted[at : at + FIELDS]).first().asDict()
+            rows = row.pop("rows")
+            for key, value in row.items():
+                i, _, what = key.partition("_")
+                out[columns[int(i)]][what] = value
+    if numeric:
+        v = F.col("v")
+        aggregates = [F.count(F.lit(1)).alias("rows"), F.count(v).alias("valid"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), greatest(v).alias("max"), skew(v).alias("skew")]
+        aggregates += [F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("pos"), F.count_if(v < 0).alias("neg"), F.count_if(F.isnan(v)).alias("nan")]
+        if target:
+            aggregates.append(correlation(F.col("_target"), v).alias("corr"))
+        if expanded:
+            aggregates += [excess_kurtosis(v).alias("kurtosis"), F.stddev_pop(v).alias("pop"), F.bool_and(v.isin(0.0, 1.0)).alias("binary"), F.bool_and(F.when(~F.isnan(v), v == F.floor(v))).alias("integral")]
+        others = [quoted(target).cast("double").alias("_target")] if target else []
+        found = {r["i"]: r.asDict() for r in long_form(df, [quoted(c) for c in numeric], *others).groupBy("i").agg(*aggregates).collect()}
+        none = dict.fromkeys(("mean", "std", "min", "max", "skew", "corr", "kurtosis", "pop", "binary", "integral")) | dict.fromkeys(("rows", "valid", "zero", "pos", "neg", "nan"), 0)
+        for i, name in enumerate(numeric):
+            out[name] |= none | found.get(i, {})
+            rows = out[name]["rows"]
+    for c in columns:
+        out[c]["rows"] = rows
     return out
 
 
@@ -92,7 +107,8 @@ def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], s
     exprs = []
     for i, name in enumerate(columns):
         c = _groupable(name, kinds[name])
-        exprs.append((F.approx_count_distinct(F.to_json(F.struct(c)) if is_nested(kinds[name]) else c, 0.01) if approximate else F.count_distinct(c)).alias(str(i)))
+        # sketches of hashes take any type and, unlike registers of one aggregate, no generated code
+        exprs.append((F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(14))) if approximate else F.count_distinct(c)).alias(str(i)))
     row = df.agg(*exprs).first() if columns else []
     for i, name in enumerate(columns):
         stats[name]["distinct"] = row[i] + (stats[name]["valid"] < rows)
@@ -124,26 +140,96 @@ def outlier(v: Column, bounds: tuple[float, float]) -> Column:
 
 
 def _histograms_and_outliers(df: DataFrame, plans: dict[str, tuple[list[float] | None, tuple[float, float] | None]]) -> tuple[dict[str, list[int]], dict[str, int]]:
-    pieces, names = [], list(plans)
-    for i, name in enumerate(names):
-        v = quoted(name).cast("double")
-        edges, bounds = plans[name]
-        if edges:
-            pieces.append(F.struct(F.lit(i).alias("i"), bin_of(v, edges).alias("b")))
-        if bounds:
-            pieces.append(F.struct(F.lit(i).alias("i"), F.when(outlier(v, bounds), -1).alias("b")))
+    """Counts by bin and of outliers: of all columns in long form in one job, that shuffles a few rows for each column."""
+    names = list(plans)
     bins: dict[str, list[int]] = {n: [0] * (len(e) - 1) for n, (e, _) in plans.items() if e}
     outside = dict.fromkeys(plans, 0)
-    if pieces:
-        kept = F.filter(F.array(*pieces), lambda x: x["b"].isNotNull())
-        for r in df.select(F.explode(kept).alias("x")).groupBy("x.i", "x.b").count().collect():
-            if r["b"] < 0:
-                outside[names[r["i"]]] = r["count"]
-            else:
-                bins[names[r["i"]]][r["b"]] = r["count"]
+    if any(e or b for e, b in plans.values()):
+        v = F.col("v")
+        most = max((len(x) for x in bins.values()), default=1)
+        # edges of all columns, those with fewer bins filled up with their last edge
+        table = [[*(plans[n][0] or [math.nan]), *[(plans[n][0] or [math.nan])[-1]] * (most + 1 - len(plans[n][0] or [math.nan]))] for n in names]
+        edge = lambda k: F.get(F.get(F.array(*[F.array(*map(F.lit, e)) for e in table]), F.col("i")), k)
+        count = by_number([len(plans[n][0]) - 1 if plans[n][0] else None for n in names]).cast("int")
+        low, high = (by_number([plans[n][0][j] if plans[n][0] else None for n in names]) for j in (0, -1))
+        guess = F.least(F.floor((v - low) / ((high - low) / count)), count - 1).cast("int")
+        # the quotient may be off by one where v is at an edge
+        guess = F.when(v < edge(guess), guess - 1).when((v >= edge(guess + 1)) & (guess < count - 1), guess + 1).otherwise(guess)
+        at = F.when(~F.isnan(v) & (v >= low) & (v <= high), guess)
+        lower, upper = (by_number([plans[n][1][j] if plans[n][1] else None for n in names]) for j in (0, 1))
+        rows = long_form(df, [quoted(n) for n in names]).where("v IS NOT NULL")
+        for r in rows.groupBy("i", at.alias("b"), F.coalesce((v < lower) | (v > upper), F.lit(False)).alias("out")).count().collect():
+            name = names[r["i"]]
+            outside[name] += r["count"] * r["out"]
+            if r["b"] is not None and name in bins:
+                bins[name][r["b"]] += r["count"]
     return bins, outside
 
 
+def statistics(table: DataFrame, stats: list[dict[str, Any]]) -> dict[int, dict[str, float | None]]:
+    """By number, of the columns of a cumulative table: the Kolmogorov-Smirnov distances from the normal distribution
+    (`normal`) and from the uniform one (`uniform`), and Anderson and Darling's square (`anderson`); constants are left out.
+    One job for all. stats: valid, mean, std, pop, min and max of each."""
+    get = lambda what: by_number([float(s[what] or 0.0) for s in stats])
+    v, z = F.col("v"), F.col("v") - get("mean")
+    log = lambda p: F.log(F.greatest(p, F.lit(1e-300)))
+    # as columns first: inside the aggregates they would be too much code for one method
+    each = table.where(get("min") < get("max")).select(
+        "i",
+        "f",
+        "below",
+        get("valid").alias("n"),
+        normal_cdf(z / get("pop")).alias("p"),
+        ((v - get("min")) / (get("max") - get("min"))).alias("u"),
+        log(normal_cdf(z / get("std"))).alias("lo"),
+        log(normal_cdf(-z / get("std"))).alias("hi"),
+    )
+    gap = lambda p: F.max(F.greatest((F.col("below") + F.col("f")) / F.col("n") - F.col(p), F.col(p) - F.col("below") / F.col("n"))).alias(p)
+    # sums of (2 i - 1) over the f equal ranks below + 1 .. below + f, and of those counted from above
+    weighted = F.expr("f * (2 * below + f) * lo + f * (2 * n - 2 * below - f) * hi")
+    rows = each.groupBy("i").agg(gap("p"), gap("u"), (-F.max("n") - F.sum(weighted) / F.max("n")).alias("anderson"))
+    rows = rows.select("i", F.col("p").alias("normal"), F.col("u").alias("uniform"), "anderson")
+    return {r["i"]: r.asDict() for r in rows.collect()}
+
+
+def chi_squares(table: DataFrame, stats: list[dict[str, Any]]) -> dict[int, tuple[float, int] | None]:
+    """By number, of the columns of a cumulative table: the chi-square statistic of equal bins and their number; None where
+    there are too few. One job for all."""
+    counts: list[int | None] = []
+    for s in stats:
+        bins = min(10, int(math.sqrt(s["valid"])))
+        counts.append(bins if bins >= 2 and s["valid"] / bins >= 5 else None)
+    used = [i for i, k in enumerate(counts) if k]
+    out: dict[int, tuple[float, int] | None] = dict.fromkeys(range(len(stats)))
+    if not used:
+        return out
+    at = F.lit(None).cast("int")
+    for i in used:
+        low, high = stats[i]["min"], stats[i]["max"]
+        if low == high:
+            low, high = low - 0.5, high + 0.5
+        at = F.when(F.col("i") == i, bin_of(F.col("v"), _edges(low, high, counts[i]))).otherwise(at)
+    seen: dict[int, list[int]] = {}
+    for r in table.where(F.col("i").isin(used)).groupBy("i", at.alias("b")).agg(F.sum("f").alias("f")).collect():
+        seen.setdefault(r["i"], []).append(r["f"])
+    for i in used:
+        expected = stats[i]["valid"] / counts[i]
+        out[i] = sum((f - expected) ** 2 / expected for f in seen[i]) + (counts[i] - len(seen[i])) * expected, counts[i]
+    return out
+
+
+def fit_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, normal, uniform, anderson, chi_square): the statistics behind the tests of numeric columns, as `xray`
+    computes them."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    base = _base(df, columns, kinds, None, True)
+    table = cumulative(df, {c: quoted(c) for c in columns})
+    found, squares = statistics(table, [base[c] for c in columns]), chi_squares(table, [base[c] for c in columns])
+    release(table)
+    rows = [(c, *(found.get(i, {}).get(k) for k in ("normal", "uniform", "anderson")), squares[i][0] if squares[i] else None) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "column string, normal double, uniform double, anderson double, chi_square double").coalesce(1)
+
+
 def _tests(df: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]], normality: str, uniformity: str) -> None:
     """Fills in `normality` and `uniformity` texts of numeric columns with more than 3 values."""
     tested = [c for c in columns if stats[c]["valid"] > 3]
@@ -153,22 +239,13 @@ def _tests(df: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]],
     if not clean:
         return
     table = cumulative(df, {c: quoted(c) for c in clean})
-    get = lambda what: F.element_at(F.create_map(*[x for c in clean for x in (F.lit(c), F.lit(float(stats[c][what] or 0.0)))]), F.col("name"))
-    n, v, f, below = get("valid"), F.col("v"), F.col("f"), F.col("below")
-    gap = lambda p: F.max(F.greatest((below + f) / n - p, p - below / n))
-    z = (v - get("mean")) / get("pop")
-    z1 = (v - get("mean")) / get("std")
-    lo, hi = F.log(F.greatest(normal_cdf(z1), F.lit(1e-300))), F.log(F.greatest(normal_cdf(-z1), F.lit(1e-300)))
-    # sums of (2 i - 1) over the f equal ranks below + 1 .. below + f, and of those counted from above
-    up = f * (2 * below + f)
-    down = f * (2 * n - 2 * below - f)
-    varied = get("min") < get("max")
-    rows = table.groupBy("name").agg(gap(F.when(varied, normal_cdf(z))).alias("normal"), gap(F.when(varied, (v - get("min")) / (get("max") - get("min")))).alias("uniform"), F.sum(F.when(varied, up * lo + down * hi)).alias("anderson")).collect()
-    gaps = {r["name"]: r for r in rows}
+    found = statistics(table, [stats[c] for c in clean])
+    gaps = {clean[i]: r for i, r in found.items()}
+    squares = {clean[i]: x for i, x in chi_squares(table, [stats[c] for c in clean]).items()} if uniformity == "chi2" else {}
     small: dict[str, list[float]] = {}
     if normality == "shapiro" and (few := [c for c in clean if stats[c]["valid"] <= SHAPIRO_ROWS]):
-        for r in table.where(F.col("name").isin(few)).collect():  # SHAPIRO_ROWS values of a column at most
-            small.setdefault(r["name"], []).extend([r["v"]] * r["f"])
+        for r in table.where(F.col("i").isin([clean.index(c) for c in few])).collect():  # SHAPIRO_ROWS values of a column at most
+            small.setdefault(clean[r["i"]], []).extend([r["v"]] * r["f"])
     for c in clean:
         s = stats[c]
         m = s["valid"]
@@ -181,7 +258,7 @@ def _tests(df: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]],
                 p = distributions.shapiro_wilk(small[c])[1]
                 s["normality"] = say(p > 0.05, "NORMAL", "Shapiro-Wilk", p)
         elif normality == "anderson":
-            square = float("inf") if constant else -m - gaps[c]["anderson"] / m
+            square = float("inf") if constant else gaps[c]["anderson"]
             s["normality"], s["anderson"] = say(square < distributions.anderson_limit(m), "NORMAL", "Anderson-Darling"), square
         else:
             p = 0.0 if constant else distributions.kolmogorov(gaps[c]["normal"], m)
@@ -192,21 +269,12 @@ def _tests(df: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]],
             p = None if constant else distributions.kolmogorov(gaps[c]["uniform"], m)
             s["uniformity"] = "N/A (constant data)" if constant else say(p > 0.05, "UNIFORM", "KS", p)
         else:
-            s["uniformity"] = _chi_square(table.where(F.col("name") == c), s)
-
-
-def _chi_square(table: DataFrame, s: dict[str, Any]) -> str:
-    bins, n = min(10, int(math.sqrt(s["valid"]))), s["valid"]
-    if bins < 2 or n / bins < 5:
-        return "N/A (insufficient bins)"
-    low, high = s["min"], s["max"]
-    if low == high:
-        low, high = low - 0.5, high + 0.5
-    rows = table.groupBy(bin_of(F.col("v"), _edges(low, high, bins)).alias("b")).agg(F.sum("f").alias("f")).collect()
-    expected = n / bins
-    statistic = sum((r["f"] - expected) ** 2 / expected for r in rows) + (bins - len(rows)) * expected
-    p = distributions.chi_square(statistic, bins - 1)
-    return f"{'' if p > 0.05 else 'NON-'}UNIFORM (Chi-square, p={p:.3f})"
+            s["uniformity"] = "N/A (insufficient bins)"
+            if squares.get(c) is not None:
+                statistic, bins = squares[c]
+                p = distributions.chi_square(statistic, bins - 1)
+                s["uniformity"] = say(p > 0.05, "UNIFORM", "Chi-square", p)
+    release(table)
 
 
 def xray(

@@ -76,6 +76,7 @@ def with_usability(summary: DataFrame, distinct: str, correlated: bool) -> DataF
     total = sum(WEIGHTS.values())
     names = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))), ",")
     score = F.col("Usability_Score")
+    # The advice texts and the scores that divide them.
     advice = (
         F.when(flags["CV"], "Drop - constant value")
         .when(flags["HM"], "Drop - too many missing values")

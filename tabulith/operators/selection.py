@@ -1,5 +1,7 @@
 """Exact order statistics and cumulative counts without gathering a column anywhere.
 
+Columns are read in long form, as pairs of a number and a value, so a job's code is small however many columns there are.
+
 `select_ranks` brackets each wanted rank by an approximate percentile sketch (rank error under 1 / ACCURACY of the
 rows), counts the values below the bracket and tabulates those inside: two more scans, and a shuffle of a few values.
 A bracket with too many distinct values to collect is bracketed again inside itself.
@@ -12,6 +14,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 #: Most distinct values of a bracket that are sent to the driver.
 MOST_VALUES = 50_000
+#: Most distinct values of a column whose ranks are broadcast.
+MOST_BROADCAST = 200_000
 
 
 def nearest_rank(p: float, n: int) -> int:
@@ -26,6 +32,16 @@ def nearest_rank(p: float, n: int) -> int:
     return min(n - 1, math.floor((n - 1) * p + 0.5))
 
 
+def long_form(df: DataFrame, values: list[Column], *others: Column) -> DataFrame:
+    """(i, v, others): each value of each expression, as a double, with the expression's number; nulls stay."""
+    return df.select(*others, F.posexplode(F.array(*[v.cast("double") for v in values])).alias("i", "v"))
+
+
+def by_number(values: list[float | None]) -> Column:
+    """The value for number i."""
+    return F.get(F.array(*[F.lit(v).cast("double") for v in values]), F.col("i"))
+
+
 @dataclass
 class _Bracket:
     slot: int
@@ -33,6 +49,13 @@ class _Bracket:
     low: float
     high: float
     below: int = 0
+    inside: int = 0
+
+
+def _points(rank: int, n: int) -> tuple[float, float]:
+    """The shares to bracket a rank by, on a grid, so that columns share most of them."""
+    margin, grid = 2.0 / ACCURACY, 1e-4
+    return max(0.0, math.floor((rank / n - margin) / grid) * grid), min(1.0, math.ceil(((rank + 1) / n + margin) / grid) * grid)
 
 
 def select_ranks(df: DataFrame, values: dict[str, Column], counts: dict[str, int], ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
@@ -40,85 +63,116 @@ def select_ranks(df: DataFrame, values: dict[str, Column], counts: dict[str, int
     names = [c for c in values if ranks.get(c) and counts[c]]
     if not names:
         return {}
-    slots = {c: i for i, c in enumerate(names)}
-    doubles = {c: values[c].cast("double") for c in names}
-    margin = 2.0 / ACCURACY
-
-    def points(rank: int, n: int) -> tuple[float, float]:
-        return max(0.0, rank / n - margin), min(1.0, (rank + 1) / n + margin)
-
-    wanted = [(c, r) for c in names for r in sorted(set(ranks[c]))]
-    sketches = [F.percentile_approx(doubles[c], [p for r in sorted(set(ranks[c])) for p in points(r, counts[c])], ACCURACY).alias(f"s{slots[c]}") for c in names]
-    row = df.agg(*sketches).first()
-    open_: list[tuple[str, _Bracket]] = []
-    for c in names:
-        ends = row[f"s{slots[c]}"]
-        for k, r in enumerate(sorted(set(ranks[c]))):
-            open_.append((c, _Bracket(slots[c], r, ends[2 * k], ends[2 * k + 1])))
+    long = long_form(df, [values[c] for c in names]).where("v IS NOT NULL")
+    open_ = [_Bracket(i, r, 0.0, 0.0) for i, c in enumerate(names) for r in sorted(set(ranks[c]))]
+    shares = sorted({p for b in open_ for p in _points(b.rank, counts[names[b.slot]])})
+    sketch = {r["i"]: dict(zip(shares, r["q"], strict=True)) for r in long.groupBy("i").agg(F.percentile_approx("v", shares, ACCURACY).alias("q")).collect()}
+    for b in open_:
+        b.low, b.high = (sketch[b.slot][p] for p in _points(b.rank, counts[names[b.slot]]))
     found: dict[tuple[str, int], float] = {}
     while open_:
-        within = lambda c, b: (doubles[c] >= b.low) & (doubles[c] <= b.high)
-        aggregates = []
-        for i, (c, b) in enumerate(open_):
-            aggregates += [F.count_if(doubles[c] < b.low).alias(f"below{i}"), F.count_if(within(c, b)).alias(f"inside{i}")]
-        row = df.agg(*aggregates).first()
+        # the k-th open bracket of each column, as one pair of bounds by column
+        waves: list[dict[int, _Bracket]] = []
+        for b in open_:
+            wave = next((w for w in waves if b.slot not in w), None)
+            if wave is None:
+                waves.append(wave := {})
+            wave[b.slot] = b
+        bounds = [[by_number([getattr(w[i], e) if i in w else None for i in range(len(names))]) for e in ("low", "high")] for w in waves]
+        within = [(F.col("v") >= low) & (F.col("v") <= high) for low, high in bounds]
+        exprs = [x for k, (low, _) in enumerate(bounds) for x in (F.count_if(F.col("v") < low).alias(f"below{k}"), F.count_if(within[k]).alias(f"inside{k}"))]
+        for row in long.groupBy("i").agg(*exprs).collect():
+            for k, w in enumerate(waves):
+                if row["i"] in w:
+                    w[row["i"]].below, w[row["i"]].inside = row[f"below{k}"], row[f"inside{k}"]
         small, wide, again = [], [], []
-        for i, (c, b) in enumerate(open_):
-            b.below = row[f"below{i}"]
-            if not b.below <= b.rank < b.below + row[f"inside{i}"]:  # the sketch erred beyond its bound
-                again.append((c, _Bracket(b.slot, b.rank, float("-inf"), float("nan"))))
+        for b in open_:
+            if not b.below <= b.rank < b.below + b.inside:  # the sketch erred beyond its bound
+                again.append(_Bracket(b.slot, b.rank, float("-inf"), float("nan")))
             elif b.low == b.high:
-                found[c, b.rank] = b.low
+                found[names[b.slot], b.rank] = b.low
             else:
-                (small if row[f"inside{i}"] <= MOST_VALUES else wide).append((i, c, b))
+                (small if b.inside <= MOST_VALUES else wide).append(b)
         if wide:  # many rows may still be few values
-            exprs = [F.approx_count_distinct(F.when(within(c, b), doubles[c])).alias(f"d{i}") for i, c, b in wide]
-            exprs += [F.percentile_approx(F.when(within(c, b), doubles[c]), list(points(b.rank - b.below, row[f"inside{i}"])), ACCURACY).alias(f"p{i}") for i, c, b in wide]
-            more = df.agg(*exprs).first()
-            for i, c, b in wide:
-                if more[f"d{i}"] <= MOST_VALUES:
-                    small.append((i, c, b))
-                else:
-                    again.append((c, _Bracket(b.slot, b.rank, *more[f"p{i}"])))
+            mine = [{i: b for i, b in w.items() if b in wide} for w in waves]
+            exprs = []
+            for k, w in enumerate(mine):
+                if w:
+                    inner = sorted({p for b in w.values() for p in _points(b.rank - b.below, b.inside)})
+                    exprs += [F.approx_count_distinct(F.when(within[k], F.col("v"))).alias(f"d{k}"), F.percentile_approx(F.when(within[k], F.col("v")), inner, ACCURACY).alias(f"p{k}")]
+            for row in long.groupBy("i").agg(*exprs).collect():
+                for k, w in enumerate(mine):
+                    if (b := w.get(row["i"])) is not None:
+                        if row[f"d{k}"] <= MOST_VALUES:
+                            small.append(b)
+                        else:
+                            inner = sorted({p for x in w.values() for p in _points(x.rank - x.below, x.inside)})
+                            at = dict(zip(inner, row[f"p{k}"], strict=True))
+                            again.append(_Bracket(b.slot, b.rank, *(at[p] for p in _points(b.rank - b.below, b.inside))))
         if small:
-            pieces = [F.struct(F.lit(i).alias("i"), F.when((doubles[c] >= b.low) & (doubles[c] <= b.high), doubles[c]).alias("v")) for i, c, b in small]
-            table = df.select(F.explode(F.filter(F.array(*pieces), lambda x: x["v"].isNotNull())).alias("x")).groupBy("x.i", "x.v").count().collect()
+            ours = [by_number_of({i: b for i, b in w.items() if b in small}, len(names)) for w in waves]
+            table = long.where(reduce(or_, [(F.col("v") >= low) & (F.col("v") <= high) for low, high in ours])).groupBy("i", "v").count().collect()
             by: dict[int, list[tuple[float, int]]] = {}
-            for r in table:
+            for r in sorted(table, key=lambda r: (math.isnan(r["v"]), r["v"])):
                 by.setdefault(r["i"], []).append((r["v"], r["count"]))
-            for i, c, b in small:
+            for b in small:
                 seen = b.below
-                for v, n in sorted(by[i], key=lambda x: (math.isnan(x[0]), x[0])):
+                for v, n in by[b.slot]:
+                    if math.isnan(v) and not math.isnan(b.high) or v < b.low or v > b.high:
+                        continue
                     seen += n
                     if seen > b.rank:
-                        found[c, b.rank] = v
+                        found[names[b.slot], b.rank] = v
                         break
         open_ = again
-    assert len(found) == len(wanted)
     return found
 
 
+def by_number_of(wave: dict[int, _Bracket], columns: int) -> tuple[Column, Column]:
+    """The bounds of some columns' brackets; others have none, and nothing is within them."""
+    return by_number([wave[i].low if i in wave else None for i in range(columns)]), by_number([wave[i].high if i in wave else None for i in range(columns)])
+
+
 def cumulative(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """(name, v, f, below): each distinct non-null value of each expression as a double, its count, and how many values
-    are below it."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), v.cast("double").alias("v")) for c, v in values.items()])
-    table = df.select(F.explode(pairs).alias("x")).where("x.v IS NOT NULL").groupBy("x.name", "x.v").agg(F.count(F.lit(1)).alias("f"))
-    parts = table.repartitionByRange("name", "v").withColumn("part", F.spark_partition_id()).persist()
-    running = parts.withColumn("own", F.sum("f").over(Window.partitionBy("part", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = parts.groupBy("part", "name").agg(F.sum("f").alias("t"))  # a few rows for each partition
-    before = totals.withColumn("offset", F.sum("t").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("t")
-    joined = running.join(F.broadcast(before), ["part", "name"])
-    return joined.select("name", "v", "f", (F.coalesce("own", F.lit(0)) + F.coalesce("offset", F.lit(0))).alias("below"))
+    """(i, v, f, below): each distinct non-null value of each expression (by number) as a double, its count, and how many
+    values are below it. Persisted parts are let go with `release`."""
+    table = long_form(df, list(values.values())).where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("f"))
+    table = table.persist()  # range partitioning reads it twice
+    parts = table.repartitionByRange("i", "v").withColumn("part", F.spark_partition_id()).persist()
+    running = parts.withColumn("own", F.sum("f").over(Window.partitionBy("part", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)))
+    totals = parts.groupBy("part", "i").agg(F.sum("f").alias("t")).collect()  # a few rows for each partition
+    table.unpersist()
+    offsets, so_far = [], {}
+    for r in sorted(totals, key=lambda r: (r["i"], r["part"])):
+        offsets.append((r["part"], r["i"], so_far.get(r["i"], 0)))
+        so_far[r["i"]] = so_far.get(r["i"], 0) + r["t"]
+    before = df.sparkSession.createDataFrame(offsets, "part int, i int, offset long")
+    joined = running.join(F.broadcast(before) if len(offsets) <= MOST_VALUES else before, ["part", "i"])
+    out = joined.select("i", "v", "f", (F.coalesce("own", F.lit(0)) + F.col("offset")).alias("below"))
+    out.__dict__["_persisted"] = parts
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Lets go what `cumulative` persisted for this table (or `average_ranks`)."""
+    parts = table.__dict__.pop("_persisted", None)
+    if parts is not None:
+        parts.unpersist()
 
 
 def average_ranks(df: DataFrame, names: dict[str, Column]) -> DataFrame:
     """One row for each row of df, with the average rank (1-based) of each expression under its name; null stays null.
 
-    Rows are taken apart by column, meet the ranks by (column, value) and come together again: two shuffles whatever
-    the number of columns."""
-    ranks = cumulative(df, names).select(F.col("name").alias("rn"), F.col("v").alias("rv"), (F.col("below") + (F.col("f") + 1) / 2).alias("rank"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), v.cast("double").alias("v")) for c, v in names.items()])
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), pairs.alias("p"))  # before rows are taken apart
-    long = numbered.select("row", F.explode("p").alias("x")).select("row", "x.name", "x.v")
-    joined = long.join(ranks, (F.col("name") == F.col("rn")) & (F.col("v") == F.col("rv")), "left")
-    return joined.groupBy("row").agg(*[F.max(F.when(F.col("name") == c, F.col("rank"))).alias(c) for c in names])
+    Rows meet the ranks of a column by value: those of few distinct values (MOST_BROADCAST, counted first) are sent to
+    all tasks, so the rows don't move; for each other column they are shuffled once."""
+    table = cumulative(df, names)
+    sizes = {r["i"]: r["count"] for r in table.groupBy("i").count().collect()}
+    out = df.select([v.cast("double").alias(f"_{i}") for i, v in enumerate(names.values())])
+    for i in sorted(range(len(names)), key=lambda i: -sizes.get(i, 0)):  # shuffles first, then no further one
+        ranks = table.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), (F.col("below") + (F.col("f") + 1) / 2).alias(f"r{i}"))
+        if sizes.get(i, 0) <= MOST_BROADCAST:
+            ranks = F.broadcast(ranks)
+        out = out.join(ranks, F.col(f"_{i}") == F.col(f"v{i}"), "left").drop(f"_{i}", f"v{i}")
+    out = out.select([F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
+    out.__dict__["_persisted"] = table.__dict__.pop("_persisted")
+    return out

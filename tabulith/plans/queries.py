@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import quoted
 from ..operators import charts, cleaning, correlations
-from ..operators.profile import xray
+from ..operators.profile import fit_statistics, xray
 from ..sources.datasets import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,7 +423,9 @@ def _(spark, sf):
 
 @query(
     "suggest_dtype",
-    """SELECT 'n_nationkey' AS "Column", 'Int8' AS "Opt_Dtype" UNION ALL SELECT 'n_name', 'String' UNION ALL SELECT 'n_regionkey', 'Int8' """,
+    """SELECT 'n_nationkey' AS "Column", CASE WHEN bool_and(n_nationkey IN (0, 1)) THEN 'Bool' WHEN min(n_nationkey) >= -128 AND max(n_nationkey) < 128 THEN 'Int8' WHEN max(n_nationkey) < 32768 THEN 'Int16' ELSE 'Int32' END AS "Opt_Dtype" FROM nation
+UNION ALL SELECT 'n_name', CASE WHEN count(DISTINCT n_name) / count(*)::DOUBLE < 0.5 THEN 'Categorical' ELSE 'String' END FROM nation
+UNION ALL SELECT 'n_regionkey', CASE WHEN bool_and(n_regionkey IN (0, 1)) THEN 'Bool' WHEN min(n_regionkey) >= -128 AND max(n_regionkey) < 128 THEN 'Int8' WHEN max(n_regionkey) < 32768 THEN 'Int16' ELSE 'Int32' END FROM nation""",
 )
 def _(spark, sf):
     return renamed(xray(table(spark, sf, "nation"), include="all", expanded=True, exact_distinct=True, great_tables=False), ["Column", "Opt_Dtype"])
@@ -477,41 +479,124 @@ def _(spark, sf):
     return _profile(spark, sf, model_usability=True).select("Column", "Usability_Flags", F.round("Usability_Score", 4).alias("Usability_Score"), "Recommendation")
 
 
-def _statistics(df: DataFrame, column: str, kind: str) -> DataFrame:
-    """The statistic of one test, from the cumulative table."""
-    from ..functions.stats import bin_of, normal_cdf
-    from ..operators.selection import cumulative
+def erfc_sql(x: str) -> str:
+    """The complementary error function by the Chebyshev fit of Numerical Recipes, 6.2."""
+    # The coefficients of the fit, from the constant term.
+    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    t = f"(1 / (1 + 0.5 * abs({x})))"
+    terms = " + ".join(f"({c}) * power({t}, {k})" for k, c in enumerate(fit))
+    tail = f"{t} * exp(-({x}) * ({x}) + {terms})"
+    return f"CASE WHEN {x} >= 0 THEN {tail} ELSE 2 - {tail} END"
 
-    lo, hi, n, mean, std = df.agg(F.min(column), F.max(column), F.count(column), F.avg(column), F.stddev_samp(column)).first()
-    found = cumulative(df, {column: quoted(column)})
-    v, f, below = F.col("v"), F.col("f"), F.col("below")
-    if kind == "ks":
-        p: Column = (v - lo) / (hi - lo)
-        return found.agg(F.round(F.max(F.greatest((below + f) / n - p, p - below / n)), 6).alias("d"))
-    if kind == "chi2":
-        bins = 10
-        edges = [lo + (hi - lo) / bins * i for i in range(bins)] + [hi]
-        rows = found.groupBy(bin_of(v, edges).alias("b")).agg(F.sum("f").alias("o"))
-        return rows.agg(F.round(F.sum((F.col("o") - n / bins) ** 2 / (n / bins)), 4).alias("x2"))
-    z = (v - mean) / std
-    total = found.agg(F.sum(f * (2 * below + f) * F.log(normal_cdf(z)) + f * (2 * n - 2 * below - f) * F.log(normal_cdf(-z))).alias("t"))
-    return total.select(F.round(-n - F.col("t") / n, 2).alias("a2"))
 
+def fit_sql(source: str, c: str) -> str:
+    """One row: n, the Kolmogorov-Smirnov distances `dn` (normal) and `du` (uniform), Anderson and Darling's square `a2`."""
+    cdf = lambda z: f"(0.5 * ({erfc_sql(f'(-({z}) / sqrt(2))')}))"
+    log = lambda z: f"ln(greatest({cdf(z)}, 1e-300))"
+    return f"""(SELECT max(n)::DOUBLE AS n, max(greatest(cum / n - pn, pn - (cum - f) / n)) AS dn, max(greatest(cum / n - pu, pu - (cum - f) / n)) AS du,
+ -max(n)::DOUBLE - sum(f * (2 * (cum - f) + f) * lo + f * (2 * n - 2 * (cum - f) - f) * hi) / max(n) AS a2
+FROM (SELECT *, {cdf("(v - m) / sp")} AS pn, (v - low) / (high - low) AS pu, {log("(v - m) / ss")} AS lo, {log("-(v - m) / ss")} AS hi
+ FROM (SELECT v, f, sum(f) OVER (ORDER BY v) AS cum FROM (SELECT {c}::DOUBLE AS v, count(*) AS f FROM {source} WHERE {c} IS NOT NULL GROUP BY 1)),
+  (SELECT count({c}) AS n, avg({c}) AS m, stddev_pop({c}) AS sp, stddev_samp({c}) AS ss, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM {source})))"""
 
-@query("ks_uniform_stat", """WITH c AS (SELECT p_retailprice AS v, count(*) AS f FROM part GROUP BY 1), s AS (SELECT v, f, sum(f) OVER (ORDER BY v) AS cum, sum(f) OVER () AS n, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS p FROM c)
-SELECT round(max(greatest(cum / n - p, p - (cum - f) / n)), 6) AS d FROM s""")
+
+def kolmogorov_sql(d: str, n: str) -> str:
+    x = f"((sqrt({n}) + 0.12 + 0.11 / sqrt({n})) * {d})"
+    return f"CASE WHEN {x} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: power(-1, k - 1) * exp(-2 * k * k * {x} * {x}))))) END"
+
+
+def test_text_sql(yes: str, test: str, p: str) -> str:
+    return f"CASE WHEN {p} > 0.05 THEN '' ELSE 'NON-' END || '{yes} ({test}, p=' || format('{{:.3f}}', {p}) || ')'"
+
+
+def expanded_sql(source: str, columns: dict[str, str], target: str) -> str:
+    """The expanded profile with Kolmogorov-Smirnov tests and usability, without histograms and the text of correlations.
+    Columns other than numeric ones are of the kinds String and Datetime."""
+    parts = []
+    # halves are rounded up as written in decimal, hence the 1e-12
+    shares = lambda u: f"round({u} / rows_::DOUBLE + 1e-12, 4) AS ratio, rows_ - {u} AS dups, round(100.0 * (rows_ - {u}) / rows_, 2) AS pct_dups"
+    for c, kind in columns.items():
+        distinct = f"(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))::BIGINT"
+        if kind in ("String", "Datetime"):
+            opt = f"CASE WHEN u / rows_::DOUBLE < 0.5 THEN 'Categorical' ELSE 'String' END" if kind == "String" else "'Datetime'"
+            empty = ", ".join(f"NULL::DOUBLE AS {x}" for x in ("q25", "q50", "q75", "mean", "std", "iqr", "skew", "mad", "kurt", "r"))
+            parts.append(f"""SELECT '{c}' AS c, '{kind}' AS kind, valid, rows_ - valid AS nulls, rows_, u, {shares("u")}, {empty}, 0.0::DOUBLE AS low, 0.0::DOUBLE AS high, 0::BIGINT AS zero, 0.0::DOUBLE AS pz, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS pn, {opt} AS opt,
+ 'N/A (non-numeric)' AS normal, 'N/A (non-numeric)' AS uniform, 0::BIGINT AS out, 0.0::DOUBLE AS po FROM (SELECT count({c})::BIGINT AS valid, count(*)::BIGINT AS rows_, {distinct} AS u FROM {source})""")
+            continue
+        if kind.startswith("Int"):
+            whole = f"CASE WHEN low_ >= -128 AND high_ < 128 THEN 'Int8' WHEN low_ >= -32768 AND high_ < 32768 THEN 'Int16' WHEN low_ >= -2147483648 THEN 'Int32' ELSE 'Int64' END"
+        else:
+            whole = "CASE WHEN integral THEN 'Int64' ELSE 'Float32' END"
+        own = f"(SELECT count({c})::BIGINT AS valid, count(*)::BIGINT AS rows_, {distinct} AS u, avg({c}) AS mean_, stddev_samp({c}) AS std_, min({c}) AS low_, max({c}) AS high_, {skew_sql(f'{c}::DOUBLE')} AS skew_, (kurtosis_pop({c}) + 3) * power((count({c}) - 1.0) / count({c}), 2) - 3 AS kurt_, sum(({c} = 0)::INT)::BIGINT AS zero_, sum(({c} > 0)::INT) AS pos_, sum(({c} < 0)::INT) AS neg_, bool_and({c} IN (0, 1)) AS flag, bool_and({c} = floor({c})) AS integral, corr({target}, {c}) AS r_ FROM {source}) s"
+        quartiles = f"(SELECT {at(0.25)} AS a, {at(0.5)} AS m, {at(0.75)} AS b FROM {ranked(source, c)}) q"
+        parts.append(f"""SELECT '{c}' AS c, '{kind}' AS kind, valid, rows_ - valid AS nulls, rows_, u, {shares("u")}, round(a, 3) AS q25, round(m, 3) AS q50, round(b, 3) AS q75, round(mean_, 3) AS mean, round(std_, 3) AS std, round(round(b, 3) - round(a, 3), 3) AS iqr, round(skew_, 3) AS skew, round(mad_, 3) AS mad, round(kurt_, 3) AS kurt,
+ {"NULL::DOUBLE" if c == target else "round(coalesce(r_, 0), 3) + 0.0"} AS r, round(low_::DOUBLE, 3) AS low, round(high_::DOUBLE, 3) AS high, zero_ AS zero, round(100.0 * zero_ / valid, 2) AS pz, round(100.0 * pos_ / valid, 2) AS pp, round(100.0 * neg_ / valid, 2) AS pn, CASE WHEN flag THEN 'Bool' ELSE {whole} END AS opt,
+ {test_text_sql("NORMAL", "Kolmogorov-Smirnov", kolmogorov_sql("dn", "n"))} AS normal, {test_text_sql("UNIFORM", "KS", kolmogorov_sql("du", "n"))} AS uniform, out_ AS out, round(100.0 * out_ / valid, 2) AS po
+FROM {own}, {quartiles}, (SELECT quantile_cont(abs({c} - x), 0.5) AS mad_ FROM {source}, (SELECT quantile_cont({c}, 0.5) AS x FROM {source})) d, {fit_sql(source, c)} f,
+ (SELECT count(*)::BIGINT AS out_ FROM {source} x, {quartiles} WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) o""")
+    every = "\nUNION ALL BY NAME\n".join(parts)
+    weights = {"bn": 1, "cv": 5, "ek": 2, "eo": 2.5, "es": 2, "hm": 5, "ident": 4, "mm": 3, "nn": 1.5, "uc": 1, "zh": 2.5}
+    names = {"bn": "BN", "cv": "CV", "ek": "EK", "eo": "EO", "es": "ES", "hm": "HM", "ident": "ID", "mm": "MM", "nn": "NN", "uc": "UC", "zh": "ZH"}
+    flags = ", ".join(f"CASE WHEN {k} THEN '{v}' END" for k, v in names.items())
+    return f"""WITH e AS ({every}),
+g AS (SELECT *, round(100.0 * nulls / rows_, 2) AS miss, normal LIKE 'NON-NORMAL%' AS nn, coalesce(abs(skew) > 3, false) AS es, coalesce(abs(kurt) > 7, false) AS ek, po > 10 AS eo, pz > 80 AS zh, valid > 0 AND u = 1 AS cv, valid > 0 AND u = 2 AS bn,
+ valid > 0 AND u NOT IN (1, 2) AND CASE WHEN regexp_matches(c, 'id|key|code|num|no') THEN u > 1000 OR (ratio > 0.1 AND u > 100) ELSE ratio > 0.95 AND c NOT IN ('revenue', 'price', 'amount', 'value', 'cost', 'sales', 'profit', 'income') END AS ident FROM e),
+h AS (SELECT *, miss > 90 AS hm, miss > 50 AND miss <= 90 AS mm, nn AS uc FROM g),
+k AS (SELECT *, array_to_string(list_filter([{flags}], lambda x: x IS NOT NULL), ',') AS names, greatest(0, 100 - ({" + ".join(f"{w} * {k}::INT" for k, w in weights.items())}) / 29.5 * 100) AS score,
+ (miss > 30)::INT + (ratio = 0 OR u = 1 OR ratio < 0.01)::INT + (ratio > 0.95)::INT + ek::INT + (po > 5)::INT + nn::INT AS shaky FROM h)
+SELECT c AS "Column", kind AS "Dtype", valid AS "Count", nulls AS null_count, miss AS "Pct_Missing", u AS "N_Unique", ratio AS "Uniqueness_Ratio", dups AS "N_Duplicates", pct_dups AS "Pct_Duplicates", q25 AS "25_pct", q50 AS "50_pct", q75 AS "75_pct", mean AS "Mean", std, low AS "Min", high AS "Max", iqr AS "IQR",
+ zero AS "N_Zero", pz AS "Pct_Zero", pp AS "Pct_Pos", pn AS "Pct_Neg", skew, mad AS "MAD", kurt AS "Kurtosis", opt AS "Opt_Dtype", normal AS "Normality_Test", uniform AS "Uniformity_Test", out AS "N_Outliers", po AS "Pct_Outliers", r AS "Correlation_Plot",
+ shaky::INT AS "Shakiness_Score", CASE WHEN shaky >= 2 THEN '⚠ SHAKY' ELSE '✓ OK' END AS "Quality_Flag", CASE WHEN names = '' THEN '-' ELSE names END AS "Usability_Flags", round(score, 4)::DOUBLE AS "Usability_Score",
+ CASE WHEN cv THEN 'Drop - constant value' WHEN hm THEN 'Drop - too many missing values' WHEN ident THEN 'Drop - likely an ID column' WHEN score < 30 THEN 'Use with extreme caution' WHEN score < 50 THEN 'Use with caution' WHEN score < 70 THEN 'Review before using' WHEN score < 90 THEN 'Minor issues - review' ELSE 'Good for modeling' END AS "Recommendation" FROM k"""
+
+
+def expanded(df: DataFrame, target: str) -> DataFrame:
+    out = xray(df, include="all", expanded=True, exact_distinct=True, great_tables=False, corr_target=target, model_usability=True, normality_test="ks")
+    out = out.drop("Distribution_Plot", "Correlation").withColumn("Correlation_Plot", F.col("Correlation_Plot") + 0.0).withColumn("Usability_Score", F.round("Usability_Score", 4))
+    return out.toDF(*[c.replace("%", "_pct") for c in out.columns])
+
+
+_EVERY = {"l_orderkey": "Int64", "l_partkey": "Int64", "l_suppkey": "Int64", "l_linenumber": "Int32", **LINEITEM, "l_returnflag": "String", "l_linestatus": "String", "l_shipdate": "Datetime"}
+
+
+@query("xray_expanded", expanded_sql("lineitem", _EVERY, "l_quantity"))
+def _(spark, sf):
+    return expanded(table(spark, sf, "lineitem").select(list(_EVERY)), "l_quantity")
+
+
+_HALF = {"l_orderkey": "Int64", "l_quantity": "Float64", "l_tax": "Float64", "l_discount": "Float64", "l_returnflag": "String"}
+
+
+@query("usability_missing", expanded_sql(NULLS_SQL, _HALF, "l_quantity"))
 def _(spark, sf):
-    return _statistics(table(spark, sf, "part"), "p_retailprice", "ks")
+    return expanded(with_nulls(spark, sf).select(list(_HALF)), "l_quantity")
+
 
+_FITTED = {"part": "p_retailprice", "customer": "c_acctbal"}
 
-@query("chi2_uniform_stat", f"SELECT round(sum(power(n - e, 2) / e), 4) AS x2 FROM (SELECT n, (SELECT count(*) FROM part) / 10.0::DOUBLE AS e FROM ({histogram_sql('part', 'p_retailprice', '10')}))")
+
+def _fits(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return fit_statistics(table(spark, sf, name), [_FITTED[name]])
+
+
+@query("ks_uniform_stat", "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", round(du, 6) AS d FROM {fit_sql(t, c)}" for t, c in _FITTED.items()))
 def _(spark, sf):
-    return _statistics(table(spark, sf, "part"), "p_retailprice", "chi2")
+    return _fits(spark, sf, "part").unionByName(_fits(spark, sf, "customer")).select("column", F.round("uniform", 6).alias("d"))
 
 
-@query("anderson_stat", None)
+@query("ks_normal_stat", "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", round(dn, 6) AS d FROM {fit_sql(t, c)}" for t, c in _FITTED.items()))
 def _(spark, sf):
-    return _statistics(table(spark, sf, "part"), "p_retailprice", "anderson")
+    return _fits(spark, sf, "part").unionByName(_fits(spark, sf, "customer")).select("column", F.round("normal", 6).alias("d"))
+
+
+@query("anderson_stat", "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", round(a2, 2) AS a2 FROM {fit_sql(t, c)}" for t, c in _FITTED.items()))
+def _(spark, sf):
+    return _fits(spark, sf, "part").unionByName(_fits(spark, sf, "customer")).select("column", F.round("anderson", 2).alias("a2"))
+
+
+@query("chi2_uniform_stat", f"SELECT 'p_retailprice' AS \"column\", round(sum(power(n - e, 2) / e), 4) AS x2 FROM (SELECT n, (SELECT count(*) FROM part) / 10.0::DOUBLE AS e FROM ({histogram_sql('part', 'p_retailprice', '10')}))")
+def _(spark, sf):
+    return _fits(spark, sf, "part").select("column", F.round("chi_square", 4).alias("x2"))
 
 
 @query("shapiro_small", None)
@@ -519,7 +604,16 @@ def _(spark, sf):
     return renamed(xray(table(spark, sf, "supplier").select("s_acctbal"), expanded=True, great_tables=False), ["Column", "Normality_Test"])
 
 
-@query("xray_expanded", None)
+@query(
+    "distinct_approximate",
+    f"""SELECT "Column", true AS close FROM ({distinct_sql("(SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem, range(8))", ["l_orderkey", "l_partkey", "l_returnflag"])})""",
+)
 def _(spark, sf):
-    out = xray(table(spark, sf, "lineitem"), include="all", expanded=True, exact_distinct=True, great_tables=False, corr_target="l_quantity", model_usability=True, normality_test="ks")
-    return out.toDF(*[c.replace("%", "_pct").replace("(", "_").replace(")", "") for c in out.columns])
+    # over the limit of exact counts at every scale; a sketch within 3 % of the exact count
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    df = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(8)))).drop("col")
+    about = xray(df, include="all", expanded=True, great_tables=False, distribution_plot="none")
+    of = next(c for c in about.columns if c.startswith("N_Unique"))
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
+    limit = F.create_map(*[x for c, n in exact.items() for x in (F.lit(c), F.lit(n))])
+    return about.select("Column", (F.abs(quoted(of) - limit[F.col("Column")]) <= 0.03 * limit[F.col("Column")]).alias("close"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Session setting that names the folder with titanic.csv and diabetes.csv.
@@ -22,8 +24,11 @@ def dataset_path(name: str, folder: str | None = None, spark: SparkSession | Non
     if name not in SCHEMAS:
         raise ValueError(f"unknown data set {name!r}")
     folder = folder or (spark or SparkSession.active()).conf.get(FOLDER, None)
+    if not folder:  # beside the package, or where the program was started
+        near = [p / "datasets" for p in (Path(__file__).resolve().parents[1], Path(__file__).resolve().parents[2], Path.cwd())]
+        folder = next((str(p) for p in near if (p / f"{name}.csv").is_file()), None)
     if not folder:
-        raise FileNotFoundError(f"name the data sets' folder, or set {FOLDER}")
+        raise FileNotFoundError(f"no folder 'datasets' with {name}.csv beside the package or here: name one, or set {FOLDER}")
     return f"{folder.rstrip('/')}/{name}.csv"
 
 
@@ -54,7 +59,7 @@ def list_datasets() -> list[str]:
 
 def dataset_info(name: str) -> str:
     """What a data set is; for an unknown name, which there are."""
-    return _ABOUT.get(name.lower(), f"Unknown dataset '{name}'. Available datasets: {', '.join(SCHEMAS)}")
+    return _ABOUT.get(name.lower(), f"{name!r} isn't built in; there are {' and '.join(SCHEMAS)}")
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Cleaning, correlations, charts, data sets, streaming."""
 
+import collections
+import importlib.util
 import os
+import xml.etree.ElementTree
 
 import numpy as np
 import pytest
@@ -132,11 +135,50 @@ def test_figures(spark, backend, tmp_path):
         assert f.backend == backend and f.spec and f.data is not None
         tb.save_fig(f, str(tmp_path / "f.html"))
         assert (tmp_path / "f.html").stat().st_size > 100
+        tb.save_fig(f, str(tmp_path / "f.svg"))
+        xml.etree.ElementTree.parse(tmp_path / "f.svg")
+        if importlib.util.find_spec("matplotlib"):
+            tb.save_fig(f, str(tmp_path / "f.png"), scale=0.5)
+            assert (tmp_path / "f.png").read_bytes()[1:4] == b"PNG"
+        else:
+            with pytest.raises(ImportError):
+                tb.save_fig(f, str(tmp_path / "f.png"))
+        with pytest.raises(ValueError):
+            tb.save_fig(f, str(tmp_path / "f.xyz"))
     assert tb.dist_plot(frame, "s", backend=backend).data is None and tb.dist_plot(frame, "zz", backend=backend).data is None
     assert tb.corr_heatmap(frame, split="pos", threshold=1.0, backend=backend).data is None
     assert tb.cat_plot(frame.select("a"), backend=backend).data is None and tb.dist_plot(frame.select("s"), backend=backend).data is None
 
 
+def test_category_panels(spark):
+    frame = spark.createDataFrame([(a, b) for a in "pqrs" for b in "xy" for _ in range(ord(a) - 110)], "b string, a string")
+    panels = tb.cat_plot(frame, top=1, bottom=2).panels
+    assert [(p.title, [(r["value"], r["n"]) for r in p.rows]) for p in panels] == [("b: most frequent", [("s", 10)]), ("b: least frequent", [("r", 8), ("q", 6)]), ("a: most frequent", [("x", 14)]), ("a: least frequent", [("x", 14), ("y", 14)])]
+    spec = tb.cat_plot(frame, top=1, bottom=2).spec
+    assert [t["xaxis"] for t in spec["data"]] == ["x", "x2", "x3", "x4"] and len(tb.cat_plot(frame, backend="altair").spec["concat"]) == 2
+    assert tb.missingval_plot(frame).spec["data"][0]["text"] == ["0 (0.0 %)"] * 2
+
+
+def test_true_bottom_equals_a_full_sort(spark):
+    rows = [(str(k % 37),) for k in range(400)] + [(None,)] * 3
+    frame = spark.createDataFrame(rows, "s string").repartition(4)
+    counts = sorted(((v, n) for v, n in collections.Counter(v for v, in rows).items()), key=lambda x: (-x[1], x[0] is None, x[0] or ""))
+    got = sorted((r["part"], r["rank"], r["value"], r["n"]) for r in charts.categories(frame, 3, 4, true_bottom=True).collect() if r["value"] is not None)
+    wanted = [("top", i + 1, *x) for i, x in enumerate(counts[:3])] + [("bottom", len(counts) - 3 + i, *x) for i, x in enumerate(counts[-4:])]
+    assert got == sorted(w for w in wanted if w[2] is not None)
+
+
+def test_density_adds_up_to_the_counts():
+    rows = [{"low": float(i), "high": i + 1.0, "n": n} for i, n in enumerate([0, 0, 0, 3, 9, 4, 0, 0, 0])]
+    line = charts.density(rows)
+    assert sum(y for _, y in line) * (line[1][0] - line[0][0]) == pytest.approx(16, rel=0.02) and charts.density(rows[:1]) == []
+
+
+def test_no_subset_means_all_columns(spark):
+    frame = spark.createDataFrame([(1, None), (2, 3)], "a int, b int")
+    assert tb.drop_missing(frame, subset=[]).count() == 1
+
+
 def test_unknown_backends(spark):
     frame = spark.range(3).selectExpr("id", "id * 2 AS b", "'x' AS s")
     for f in (tb.corr_heatmap, tb.dist_plot, tb.missingval_plot, tb.cat_plot):
@@ -156,7 +198,7 @@ def test_number_formats():
 
 def test_datasets(spark):
     assert tb.datasets.list_datasets() == ["titanic", "diabetes"]
-    assert "156" in tb.datasets.dataset_info("TITANIC") and "Unknown dataset" in tb.datasets.dataset_info("x")
+    assert "156" in tb.datasets.dataset_info("TITANIC") and "titanic and diabetes" in tb.datasets.dataset_info("x")
     if os.path.isdir(FOLDER):
         frame = tb.datasets.load_titanic(folder=FOLDER, spark=spark)
         assert (frame.count(), len(frame.columns), frame.where("Age IS NULL").count(), frame.where("Cabin IS NULL").count()) == (156, 12, 30, 125)

@@ -9,6 +9,8 @@ import tabulith as tb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tabulith.functions import distributions
+from pyspark.sql import functions as F
+from tabulith.operators import selection
 from tabulith.operators.profile import percentile_label, suggest_dtype
 from tabulith.operators.selection import average_ranks, cumulative, nearest_rank, select_ranks
 
@@ -145,13 +147,16 @@ def test_ranks_with_wide_brackets(spark, monkeypatch):
     assert select_ranks(frame, {"x": frame.x}, {"x": 5000}, {"x": ranks}) == {("x", k): np.sort(values)[k] for k in ranks}
 
 
-def test_cumulative_and_average_ranks(spark):
+def test_cumulative_and_average_ranks(spark, monkeypatch):
     values = [3.0, 1.0, 3.0, None, 2.0, 2.0, 2.0]
     frame = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, y int").repartition(3)
-    got = sorted((r["name"], r["v"], r["f"], r["below"]) for r in cumulative(frame, {"x": frame.x, "y": frame.y}).collect())
+    got = sorted(("xy"[r["i"]], r["v"], r["f"], r["below"]) for r in cumulative(frame, {"x": frame.x, "y": frame.y}).collect())
     assert got[:3] == [("x", 1.0, 1, 0), ("x", 2.0, 3, 1), ("x", 3.0, 2, 4)] and [g[3] for g in got[3:]] == list(range(7))
-    ranks = {r["y"]: r["x"] for r in average_ranks(frame, {"x": frame.x, "y": frame.y}).collect()}
-    assert ranks == {1: 5.5, 2: 1.0, 3: 5.5, 4: None, 5: 3.0, 6: 3.0, 7: 3.0}
+    frame = frame.withColumn("z", F.col("y"))
+    wanted = {1: 5.5, 2: 1.0, 3: 5.5, 4: None, 5: 3.0, 6: 3.0, 7: 3.0}
+    for most in (selection.MOST_BROADCAST, 2):  # by broadcast, and by shuffles
+        monkeypatch.setattr(selection, "MOST_BROADCAST", most)
+        assert {r["y"]: r["x"] for r in average_ranks(frame, {"x": frame.x, "y": frame.y}).collect()} == wanted
 
 
 def test_jobs_dont_grow_with_columns(spark):

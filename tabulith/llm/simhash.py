@@ -12,16 +12,25 @@ each of its components, never all pairs; `components` joins them up.
 
 Links are between ids, the least of each fingerprint, so the least id of a component is its root.
 
+`dedup` finds texts whose shingles are similar to `near` or more. At 0.8, 64 bits are too few for that: such fingerprints
+differ in about 10 bits, as do chance pairs of a large table. So it takes several fingerprints, by as many mixes of the
+same hashes, as one of 64 bits times their number, and links rows within the distance that `near` implies (two standard
+deviations above its mean: nearly all such pairs, and chance pairs are 20 standard deviations away). Rows that agree in
+all bits of some band are compared, tile by tile as above; bands are as many as find a share FOUND of pairs that are
+just similar enough, and as wide as keeps their buckets small. A bucket of more than HOT rows is cut into blocks, each
+pair of which is a bucket of its own. Removed ids, not texts, are what is joined to the documents.
+
 Memory: a bucket is held in one task at 16 bytes a distinct fingerprint: HOT of them, or those that agree in all but
 the few bits that the last cut leaves (2^20 with 6 blocks).
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle; a null id counts as the smallest; repeated rows keep their rows; texts
-that share an id are linked; an empty table gives none.
+that share an id are linked; an empty table gives none. `dedup` keeps one row of those that repeat the id it keeps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
@@ -37,6 +46,8 @@ from .components import components
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 512
 #: Fingerprints that a bucket may hold if they are evenly spread; beyond which a bucket is cut; how often.
 MOST_EXPECTED, HOT, DEPTH = 64, 20_000, 3
+#: Of dedup: words of a shingle, least similarity, share of pairs just as similar to be found, and rows of a band's bucket.
+WORDS, NEAR, FOUND, BUCKET = 5, 0.8, 0.95, 1024
 #: The bits of a byte, each as a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
@@ -55,12 +66,32 @@ def hashes(text: bytes, size: int = SHINGLE) -> list[int]:
 
 def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text."""
+    return _voted(*_every_hash(texts, size))
+
+
+def _every_hash(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts, and how many each has."""
     lists = [hashes(t, size) for t in texts]
-    counts = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return np.array([h for x in lists for h in x], np.uint64), np.array([len(x) for x in lists], np.int64)
+
+
+def signatures(texts: list[bytes], size: int, lanes: int) -> np.ndarray:
+    """Several fingerprints of each text: of its hashes, and of other mixes of them."""
+    every, counts = _every_hash(texts, size)
+    out = np.zeros((len(texts), lanes), np.uint64)
+    for lane in range(lanes):
+        mixed = every if not lane else (every ^ every >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 * (2 * lane + 1) % (1 << 64) | 1)
+        mixed = mixed if not lane else (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, lane] = _voted(mixed ^ mixed >> np.uint64(32) if lane else mixed, counts)
+    return out
+
+
+def _voted(every: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each text's hashes."""
+    out = np.zeros(len(counts), np.uint64)
     if not counts.sum():
         return out
-    every = np.array([h for x in lists for h in x], np.uint64).view(np.uint8).reshape(-1, 8)
+    every = np.ascontiguousarray(every).view(np.uint8).reshape(-1, 8)
     # up to 255 hashes are summed in bytes, then those sums by text
     full = np.flatnonzero(counts)
     pieces = -(-counts[full] // 255)
@@ -100,8 +131,10 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_labels(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> np.ndarray:
-    """For rows sorted by (key, population count): the least row linked to each within its key."""
-    count = np.bitwise_count(fp).astype(np.int64)
+    """For rows sorted by (key, population count): the least row linked to each within its key. fp: of one or more words."""
+    fp = fp.reshape(len(fp), -1)
+    far = lambda x: np.bitwise_count(x).sum(-1, dtype=np.int64)
+    count = far(fp)
     labels = np.arange(len(fp))
     begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[begins, len(fp)])
@@ -112,7 +145,7 @@ def bucket_labels(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile: i
     while len(left):  # small buckets: each row with the next, the next but one, ...
         left = left[left + step < ends[left]]
         left = left[count[left + step] - count[left] <= radius]
-        near = np.bitwise_count(fp[left] ^ fp[left + step]) <= radius
+        near = far(fp[left] ^ fp[left + step]) <= radius
         found_a.append(left[near])
         found_b.append(left[near] + step)
         step += 1
@@ -125,7 +158,10 @@ def bucket_labels(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, tile: i
                 continue
             if labels[a] == labels[c] and (labels[a:b] == labels[a]).all() and (labels[c:d] == labels[a]).all():
                 continue
-            x, y = np.nonzero(np.bitwise_count(fp[a:b, None] ^ fp[None, c:d]) <= radius)
+            distance = np.zeros((b - a, d - c), np.uint16)
+            for word in range(fp.shape[1]):
+                distance += np.bitwise_count(fp[a:b, None, word] ^ fp[None, c:d, word])
+            x, y = np.nonzero(distance <= radius)
             part = labels[begin : begin + size] - begin
             labels[begin : begin + size] = _join(part, x + a - begin, y + c - begin) + begin
     return labels
@@ -210,10 +246,66 @@ def classes(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, block
     return joined.select(key_id("k").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), key_id("component").alias("component_id"))
 
 
-def dedup(docs: DataFrame, *, size: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def bands_for(n: int, near: float = NEAR) -> tuple[int, int, int, int]:
+    """For n texts: the bits of a band, how many a word has, the words, and the greatest distance of similar texts."""
+    bits = min(32, max(12, (n // BUCKET).bit_length()))
+    differ = math.acos(2 * near / (1 + near)) / math.pi  # share of bits in which texts differ whose shingles are just similar enough
+    bands = math.ceil(math.log(1 - FOUND) / math.log1p(-((1 - differ) ** bits)))
+    words = -(-bands // (64 // bits))
+    return bits, 64 // bits, words, int(64 * words * differ + 2 * math.sqrt(64 * words * differ * (1 - differ)))
+
+
+def near_links(distinct: DataFrame, words: int, bits: int, each: int, radius: int, *, hot: int = HOT) -> DataFrame:
+    """From distinct signatures (s0, s1, ...) with distinct ids `least`: links (a, b) of ids."""
+    names = [f"s{i}" for i in range(words)]
+    bands = [F.xxhash64(F.lit(each * w + j), F.shiftrightunsigned(names[w], bits * j).bitwiseAND(F.lit((1 << bits) - 1))) for w in range(words) for j in range(each)]
+    rows = distinct.select(*names, "least", F.explode(F.array(*bands)).alias("key"))
+    crowded = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("key").alias("crowd"), F.ceil(F.col("n") / hot).cast("int").alias("parts")), "crowded")
+    if not crowded.isEmpty():
+        cut = rows.join(crowded, F.col("key") == F.col("crowd"))
+        own = F.pmod(F.xxhash64("least"), F.col("parts")).cast("int")
+        cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cut = cut.select(*names, "least", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+        rows = rows.join(crowded, F.col("key") == F.col("crowd"), "left_anti").unionByName(cut)
+    total = sum((F.bit_count(c) for c in names[1:]), F.bit_count(names[0]))
+    rows = rows.repartition("key").sortWithinPartitions("key", total)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "key", 50_000):
+            fp = np.stack([group.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+            least = group.column("least").to_numpy()
+            labels = bucket_labels(group.column("key").to_numpy(), fp, radius)
+            moved = np.flatnonzero(labels != np.arange(len(fp)))
+            yield pa.RecordBatch.from_arrays([pa.array(least[moved]), pa.array(least[labels[moved]])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def dedup(docs: DataFrame, *, size: int = WORDS, near: float = NEAR, hot: int = HOT) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id (of rows that repeat an id, one); same columns."""
-    named = classes(docs, size=size, radius=radius, blocks=blocks)
-    keep = named.where("doc_id <=> component_id").select(id_key().alias("keep")).distinct()
-    rows, of = plain(docs)
-    kept = rows.withColumn("key", id_key(of["doc_id"])).join(keep, F.col("key") == F.col("keep"), "left_semi")
-    return kept.dropDuplicates(["key"]).select(rows.columns).toDF(*docs.columns)
+    bits, each, words, radius = bands_for(docs.count(), near)
+    names = [f"s{i}" for i in range(words)]
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            found = signatures(batch.column("text").to_pylist(), size, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(found[:, i]) for i in range(words))], names=["k", *names])
+
+    rows = pick(docs, "doc_id", "text").select(id_key().alias("k"), text_bytes().alias("text"))
+    rows = materialize(rows.mapInArrow(sign, "k long, " + ", ".join(f"{c} long" for c in names)), "signatures")
+    distinct = materialize(rows.groupBy(*names).agg(F.min("k").alias("least")), "distinct")
+    node = materialize(rows.join(distinct, names).select("k", "least"), "nodes")
+    repeated = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("again")), "repeated")
+    several = not repeated.isEmpty()
+    links = near_links(distinct, words, bits, each, radius, hot=hot)
+    if several:  # an id joins its texts
+        links = links.unionByName(node.join(repeated, F.col("k") == F.col("again"), "left_semi").select(F.col("k").alias("a"), F.col("least").alias("b")))
+    roots = components(links)
+    joined = node.join(roots, F.col("least") == F.col("node"), "left")
+    removed = materialize(joined.where(F.col("k") != F.coalesce("root", "least")).select(F.col("k").alias("gone")).distinct(), "removed")
+    frame, of = plain(docs)
+    kept = frame.withColumn("key", id_key(of["doc_id"])).join(removed, F.col("key") == F.col("gone"), "left_anti")
+    if several:
+        once = kept.join(repeated, F.col("key") == F.col("again"), "left_anti")
+        kept = once.unionByName(kept.join(repeated, F.col("key") == F.col("again"), "left_semi").dropDuplicates(["key"]))
+    return kept.select(frame.columns).toDF(*docs.columns)

@@ -241,11 +241,12 @@ def test_bpe_refuses_other_kinds_of_files():
             bpe.Tables(spec | change)
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("split_at", [1, components.SPLIT])
+def test_components_of_paths_stars_and_cycles(spark, split_at):
     r = random.Random(6)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     r.shuffle(links)
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(links, "a long, b long"), split_at=split_at).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 180)}, 201: 200, 202: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 

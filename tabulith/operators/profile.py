@@ -24,7 +24,7 @@ from ..functions import distributions
 from ..functions.dtypes import included, is_float, is_integer, is_nested, is_numeric, is_string, name_of
 from ..functions.stats import bin_of, correlation, excess_kurtosis, greatest, normal_cdf, quoted, skew
 from . import quality
-from .selection import by_number, cumulative, long_form, nearest_rank, release, select_ranks
+from .selection import by_number, cumulative, long_form, nearest_rank, release, select_ranks, table_ranks, weighted_ranks
 
 #: Rows up to which distinct values are counted exactly.
 EXACT_DISTINCT_ROWS = 300_000
@@ -102,7 +102,8 @@ def _base(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], targe
 
 
 def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], rows: int, exact: bool) -> bool:
-    """Fills in `distinct`, null being a value; True if approximate."""
+    """Fills in `distinct` where it isn't known, null being a value; True if approximate."""
+    columns = [c for c in columns if "distinct" not in stats[c]]
     approximate = rows > EXACT_DISTINCT_ROWS and not exact
     exprs = []
     for i, name in enumerate(columns):
@@ -139,8 +140,8 @@ def outlier(v: Column, bounds: tuple[float, float]) -> Column:
     return (v < F.lit(bounds[0])) | (v > F.lit(bounds[1]))
 
 
-def _histograms_and_outliers(df: DataFrame, plans: dict[str, tuple[list[float] | None, tuple[float, float] | None]]) -> tuple[dict[str, list[int]], dict[str, int]]:
-    """Counts by bin and of outliers: of all columns in long form in one job, that shuffles a few rows for each column."""
+def _histograms_and_outliers(rows: DataFrame, plans: dict[str, tuple[list[float] | None, tuple[float, float] | None]]) -> tuple[dict[str, list[int]], dict[str, int]]:
+    """Counts by bin and of outliers, from rows (i, v, f): of all columns in one job, that shuffles a few rows for each."""
     names = list(plans)
     bins: dict[str, list[int]] = {n: [0] * (len(e) - 1) for n, (e, _) in plans.items() if e}
     outside = dict.fromkeys(plans, 0)
@@ -157,8 +158,7 @@ def _histograms_and_outliers(df: DataFrame, plans: dict[str, tuple[list[float] |
         guess = F.when(v < edge(guess), guess - 1).when((v >= edge(guess + 1)) & (guess < count - 1), guess + 1).otherwise(guess)
         at = F.when(~F.isnan(v) & (v >= low) & (v <= high), guess)
         lower, upper = (by_number([plans[n][1][j] if plans[n][1] else None for n in names]) for j in (0, 1))
-        rows = long_form(df, [quoted(n) for n in names]).where("v IS NOT NULL")
-        for r in rows.groupBy("i", at.alias("b"), F.coalesce((v < lower) | (v > upper), F.lit(False)).alias("out")).count().collect():
+        for r in rows.where("v IS NOT NULL").groupBy("i", at.alias("b"), F.coalesce((v < lower) | (v > upper), F.lit(False)).alias("out")).agg(F.sum("f").alias("count")).collect():
             name = names[r["i"]]
             outside[name] += r["count"] * r["out"]
             if r["b"] is not None and name in bins:
@@ -230,15 +230,38 @@ def fit_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, normal double, uniform double, anderson double, chi_square double").coalesce(1)
 
 
-def _tests(df: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]], normality: str, uniformity: str) -> None:
-    """Fills in `normality` and `uniformity` texts of numeric columns with more than 3 values."""
+def _deviations(df: DataFrame, table: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]], quantile: dict[tuple[str, int], float]) -> None:
+    """Fills in `mad`, the median distance from the median."""
+    middle = {c: [(stats[c]["valid"] - 1) // 2, stats[c]["valid"] // 2] for c in columns}
+    for c in columns:
+        stats[c]["median"] = sum(quantile[c, r] for r in middle[c]) / 2
+    plain = [c for c in columns if not stats[c]["nan"] and math.isfinite(stats[c]["max"]) and math.isfinite(stats[c]["min"])]
+    other = [c for c in columns if c not in plain]
+    ranks, ends = [], []
+    for c in columns:
+        m = stats[c]["median"]
+        ranks.append(middle[c] if c in plain else [])
+        ends.append((0.0, max(m - stats[c]["min"], stats[c]["max"] - m)) if c in plain else (0.0, 0.0))
+    away = table.select("i", F.abs(F.col("v") - by_number([stats[c]["median"] for c in columns])).alias("v"), "f")
+    found = {(columns[i], r): v for (i, r), v in weighted_ranks(away, ends, ranks).items()}
+    if other:
+        found |= select_ranks(df, {c: F.abs(quoted(c).cast("double") - F.lit(stats[c]["median"])) for c in other}, {c: stats[c]["valid"] for c in other}, {c: middle[c] for c in other})
+    for c in columns:
+        stats[c]["mad"] = sum(found[c, r] for r in middle[c]) / 2
+
+
+def _tests(table: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]], normality: str, uniformity: str) -> None:
+    """Fills in `normality` and `uniformity` texts of numeric columns with more than 3 values, from their cumulative table."""
     tested = [c for c in columns if stats[c]["valid"] > 3]
     clean = [c for c in tested if not stats[c]["nan"] and stats[c]["min"] is not None and math.isfinite(stats[c]["min"]) and math.isfinite(stats[c]["max"])]
     for c in tested:
         stats[c]["normality"] = stats[c]["uniformity"] = "N/A (not finite)"
     if not clean:
         return
-    table = cumulative(df, {c: quoted(c) for c in clean})
+    numbers = {columns.index(c): k for k, c in enumerate(clean)}
+    if len(clean) < len(columns):  # numbered anew
+        new = F.get(F.array(*[F.lit(numbers.get(i)).cast("int") for i in range(len(columns))]), F.col("i"))
+        table = table.where(F.col("i").isin(list(numbers))).withColumn("i", new)
     found = statistics(table, [stats[c] for c in clean])
     gaps = {clean[i]: r for i, r in found.items()}
     squares = {clean[i]: x for i, x in chi_squares(table, [stats[c] for c in clean]).items()} if uniformity == "chi2" else {}
@@ -274,7 +297,6 @@ def _tests(df: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]],
                 statistic, bins = squares[c]
                 p = distributions.chi_square(statistic, bins - 1)
                 s["uniformity"] = say(p > 0.05, "UNIFORM", "Chi-square", p)
-    release(table)
 
 
 def xray(
@@ -333,7 +355,6 @@ def xray(
     columns = included(df.schema, include)
     stats = _base(df, columns, kinds, corr_target, expanded) if columns else {}
     rows = stats[columns[0]]["rows"] if columns else 0
-    approximate = _distinct(df, columns, kinds, stats, rows, exact_distinct) if expanded else False
     live = [c for c in columns if is_numeric(kinds[c]) and stats[c]["valid"]]
 
     wanted: dict[str, list[int]] = {}
@@ -342,17 +363,19 @@ def xray(
         shares = [*percentiles, *(outlier_bounds if outlier_method == "percentile" else (0.25, 0.75) if outlier_method == "iqr" else ())]
         wanted[c] = [nearest_rank(p, n) for p in shares] + ([(n - 1) // 2, n // 2] if expanded else [])
     valid = {c: stats[c]["valid"] for c in live}
-    quantile = select_ranks(df, {c: quoted(c) for c in live}, valid, wanted)
-    if expanded:
-        away = {}
-        for c in live:
-            n = valid[c]
-            stats[c]["median"] = (quantile[c, (n - 1) // 2] + quantile[c, n // 2]) / 2
-            away[c] = F.abs(quoted(c).cast("double") - F.lit(stats[c]["median"]))
-        deviations = select_ranks(df, away, valid, {c: [(valid[c] - 1) // 2, valid[c] // 2] for c in live})
-        for c in live:
-            stats[c]["mad"] = (deviations[c, (valid[c] - 1) // 2] + deviations[c, valid[c] // 2]) / 2
-        _tests(df, live, stats, normality_test, uniformity_test)
+    table = None
+    if expanded and live:  # the tests need all distinct values with their counts: the rest comes from that table too
+        table = cumulative(df, {c: quoted(c) for c in live})
+        counts, found = table_ranks(table, [sorted(set(wanted[c])) for c in live])
+        quantile = {(live[i], r): v for (i, r), v in found.items()}
+        for i, c in enumerate(live):
+            if not is_integer(kinds[c]) or max(abs(stats[c]["exact_min"]), abs(stats[c]["exact_max"])) <= 1 << 53:
+                stats[c]["distinct"] = counts[i] + (valid[c] < rows)
+        _deviations(df, table, live, stats, quantile)
+        _tests(table, live, stats, normality_test, uniformity_test)
+    else:
+        quantile = select_ranks(df, {c: quoted(c) for c in live}, valid, wanted)
+    approximate = _distinct(df, columns, kinds, stats, rows, exact_distinct) if expanded else False
     plans = {}
     for c in live:
         s = stats[c]
@@ -361,7 +384,9 @@ def xray(
         edges = _edges(s["min"], s["max"], bins) if shown and s["min"] < s["max"] else None
         s["histogram"] = None if edges else [s["valid"]] if shown and not s["nan"] else []
         plans[c] = (edges, _bounds(outlier_method, s, quantile, c, outlier_bounds))
-    bins_of, outside = _histograms_and_outliers(df, plans)
+    bins_of, outside = _histograms_and_outliers(long_form(df, [quoted(n) for n in plans], F.lit(1).alias("f")) if table is None else table, plans) if plans else ({}, {})
+    if table is not None:
+        release(table)
     for c in live:
         stats[c]["histogram"] = bins_of.get(c, stats[c]["histogram"])
         stats[c]["outliers"] = outside[c]

@@ -153,6 +153,52 @@ def cumulative(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return out
 
 
+def table_ranks(table: DataFrame, ranks: list[list[int]]) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """From a cumulative table, by number: how many distinct values there are, and the values of the 0-based ranks. One job."""
+    v, f, below = F.col("v"), F.col("f"), F.col("below")
+    waves = [[r[k] if k < len(r) else None for r in ranks] for k in range(max(map(len, ranks), default=0))]
+    at = [F.get(F.array(*[F.lit(r).cast("long") for r in w]), F.col("i")) for w in waves]
+    picked = [F.max(F.when((below <= r) & (r < below + f), v)).alias(f"r{k}") for k, r in enumerate(at)]
+    rows = table.groupBy("i").agg(F.count(F.lit(1)).alias("n"), *picked).collect()
+    return {r["i"]: r["n"] for r in rows}, {(r["i"], rank): r[f"r{k}"] for r in rows for k, w in enumerate(waves) if (rank := w[r["i"]]) is not None}
+
+
+#: Bins of a step of weighted_ranks.
+STEP = 2048
+
+
+def weighted_ranks(rows: DataFrame, ends: list[tuple[float, float]], ranks: list[list[int]]) -> dict[tuple[int, int], float]:
+    """By number: the values of 0-based ranks among finite v of rows (i, v, f), each of which stands f times. ends: the
+    least and greatest v. Bins of equal width lead to the ranks, each step STEP times finer."""
+    found: dict[tuple[int, int], float] = {}
+    open_ = [(i, low, high, 0, sorted(set(r))) for i, ((low, high), r) in enumerate(zip(ends, ranks, strict=True)) if r]
+    while open_:
+        wave: dict[int, tuple] = {}
+        later = []
+        for x in open_:  # one stretch of a number at a time
+            if x[1] == x[2]:
+                found |= {(x[0], r): x[1] for r in x[4]}
+            elif x[0] in wave:
+                later.append(x)
+            else:
+                wave[x[0]] = x
+        open_ = later
+        if not wave:
+            continue
+        low, high = (by_number([wave[i][k] if i in wave else None for i in range(len(ends))]) for k in (1, 2))
+        inside = rows.where((F.col("v") >= low) & (F.col("v") <= high))
+        at = F.least(F.floor((F.col("v") - low) / (high - low) * STEP), F.lit(STEP - 1)).cast("int")
+        bins: dict[int, list] = {}
+        for r in inside.groupBy("i", at.alias("bin")).agg(F.sum("f").alias("f"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+            bins.setdefault(r["i"], []).append(r)
+        for i, (_, _, _, below, wanted) in wave.items():
+            for r in sorted(bins.get(i, []), key=lambda r: r["bin"]):
+                if mine := [w for w in wanted if below <= w < below + r["f"]]:
+                    open_.append((i, r["low"], r["high"], below, mine))
+                below += r["f"]
+    return found
+
+
 def release(table: DataFrame) -> None:
     """Lets go what `cumulative` persisted for this table (or `average_ranks`)."""
     parts = table.__dict__.pop("_persisted", None)

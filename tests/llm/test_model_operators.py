@@ -542,6 +542,13 @@ def test_url_parts_and_fixed_rules(spark):
     assert urls.judge(pages.where("false"), none).count() == 0
 
 
+def test_url_columns_may_clash(spark):
+    names = ["page_id", "url", "host", "path", "rule", "verdict", "tokens", "quality", "labelled", "drawn", "URL"]
+    pages = spark.createDataFrame([(7, "http://x.net/a", *["z"] * 9), (None, None, *["z"] * 9), (7, "http://x.net/a", *["z"] * 9)], ", ".join(f"c{i} {'long' if not i else 'string'}" for i in range(11))).toDF(*names)
+    labels = spark.createDataFrame([(7, 0, 1), (7, 0, 1), (None, 1, 0), (8, 1, 0)], "doc_id long, quality int, url int")
+    assert sorted(map(tuple, urls.judge(pages, labels).collect()), key=repr) == sorted([(7, "x.net", "/a", "net/", "block")] * 2 + [(None, "", "", None, "allow")], key=repr)
+
+
 def test_mined_rules_equal_brute_force(spark):
     r = random.Random(8)
     pages, labels = [], []

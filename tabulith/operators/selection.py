@@ -70,6 +70,7 @@ def select_ranks(df: DataFrame, values: dict[str, Column], counts: dict[str, int
     for b in open_:
         b.low, b.high = (sketch[b.slot][p] for p in _points(b.rank, counts[names[b.slot]]))
     found: dict[tuple[str, int], float] = {}
+    at_once = True
     while open_:
         # the k-th open bracket of each column, as one pair of bounds by column
         waves: list[dict[int, _Bracket]] = []
@@ -80,6 +81,28 @@ def select_ranks(df: DataFrame, values: dict[str, Column], counts: dict[str, int
             wave[b.slot] = b
         bounds = [[by_number([getattr(w[i], e) if i in w else None for i in range(len(names))]) for e in ("low", "high")] for w in waves]
         within = [(F.col("v") >= low) & (F.col("v") <= high) for low, high in bounds]
+        if at_once and sum(counts[names[b.slot]] for b in open_) * (8 / ACCURACY + 2e-4) <= MOST_VALUES:
+            # few rows are in the brackets: counts and values in one job
+            nothing = F.lit(None).cast("array<bigint>").alias("below")
+            below = long.groupBy("i").agg(F.array(*[F.count_if(F.col("v") < low) for low, _ in bounds]).alias("below")).select("i", F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n"), "below")
+            values_ = long.where(reduce(or_, within)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).select("i", "v", "n", nothing)
+            by, starts = {}, {}
+            for r in below.unionByName(values_).collect():
+                if r["below"] is not None:
+                    starts[r["i"]] = r["below"]
+                else:
+                    by.setdefault(r["i"], []).append((r["v"], r["n"]))
+            again = []
+            for k, w in enumerate(waves):
+                for i, b in w.items():
+                    b.below = starts[i][k]
+                    value = _at_rank(b, by.get(i, []))
+                    if value is None:  # the sketch erred beyond its bound
+                        again.append(_Bracket(b.slot, b.rank, float("-inf"), float("nan")))
+                    else:
+                        found[names[i], b.rank] = value
+            open_, at_once = again, False
+            continue
         exprs = [x for k, (low, _) in enumerate(bounds) for x in (F.count_if(F.col("v") < low).alias(f"below{k}"), F.count_if(within[k]).alias(f"inside{k}"))]
         for row in long.groupBy("i").agg(*exprs).collect():
             for k, w in enumerate(waves):
@@ -113,21 +136,27 @@ def select_ranks(df: DataFrame, values: dict[str, Column], counts: dict[str, int
             ours = [by_number_of({i: b for i, b in w.items() if b in small}, len(names)) for w in waves]
             table = long.where(reduce(or_, [(F.col("v") >= low) & (F.col("v") <= high) for low, high in ours])).groupBy("i", "v").count().collect()
             by: dict[int, list[tuple[float, int]]] = {}
-            for r in sorted(table, key=lambda r: (math.isnan(r["v"]), r["v"])):
+            for r in table:
                 by.setdefault(r["i"], []).append((r["v"], r["count"]))
             for b in small:
-                seen = b.below
-                for v, n in by[b.slot]:
-                    if math.isnan(v) and not math.isnan(b.high) or v < b.low or v > b.high:
-                        continue
-                    seen += n
-                    if seen > b.rank:
-                        found[names[b.slot], b.rank] = v
-                        break
+                found[names[b.slot], b.rank] = _at_rank(b, by[b.slot])
         open_ = again
     return found
 
 
+def _at_rank(b: _Bracket, values: list[tuple[float, int]]) -> float | None:
+    """The value of the bracket's rank among values with their counts, of which it looks at those inside; None if it's outside."""
+    seen = b.below
+    order = lambda x: (math.isnan(x), 0.0 if math.isnan(x) else x)
+    for v, n in sorted(values, key=lambda x: order(x[0])):
+        if not order(b.low) <= order(v) <= order(b.high):
+            continue
+        seen += n
+        if seen > b.rank:
+            return v if b.below <= b.rank else None
+    return None
+
+
 def by_number_of(wave: dict[int, _Bracket], columns: int) -> tuple[Column, Column]:
     """The bounds of some columns' brackets; others have none, and nothing is within them."""
     return by_number([wave[i].low if i in wave else None for i in range(columns)]), by_number([wave[i].high if i in wave else None for i in range(columns)])

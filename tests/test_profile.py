@@ -147,6 +147,30 @@ def test_ranks_with_wide_brackets(spark, monkeypatch):
     assert select_ranks(frame, {"x": frame.x}, {"x": 5000}, {"x": ranks}) == {("x", k): np.sort(values)[k] for k in ranks}
 
 
+def test_ranks_in_one_pass_and_in_steps_are_the_same(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    a, b = np.round(r.normal(size=3000), 2), r.integers(0, 9, 3000).astype(float)
+    b[::7] = np.nan
+    frame = spark.createDataFrame([(float(x), None if i % 5 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "a double, b double").repartition(3)
+    kept = np.sort(b[np.arange(3000) % 5 != 0])  # NaN last
+    ranks = {"a": [0, 700, 1500, 2999], "b": [0, 600, 1200, len(kept) - 1]}
+    wanted = {("a", k): np.sort(a)[k] for k in ranks["a"]} | {("b", k): kept[k] for k in ranks["b"]}
+    for most in (selection.MOST_VALUES, 4):
+        monkeypatch.setattr(selection, "MOST_VALUES", most)
+        got = select_ranks(frame, {"a": frame.a, "b": frame.b}, {"a": 3000, "b": len(kept)}, ranks)
+        assert got.keys() == wanted.keys() and all(x == wanted[k] or math.isnan(x) and math.isnan(wanted[k]) for k, x in got.items())
+
+
+def test_weighted_ranks_equal_a_sort(spark):
+    r = np.random.default_rng(6)
+    values = np.abs(r.standard_cauchy(2000)).round(3)
+    rows = [(0, float(v), int(n)) for v, n in zip(values, r.integers(1, 5, 2000), strict=True)] + [(1, 3.0, 7)]
+    every = np.sort(np.repeat([v for i, v, _ in rows if i == 0], [n for i, _, n in rows if i == 0]))
+    ranks = [[0, len(every) // 2, len(every) // 2 + 1, len(every) - 1], [3]]
+    got = selection.weighted_ranks(spark.createDataFrame(rows, "i int, v double, f long"), [(0.0, float(values.max())), (3.0, 3.0)], ranks)
+    assert got == {(0, k): every[k] for k in ranks[0]} | {(1, 3): 3.0}
+
+
 def test_cumulative_and_average_ranks(spark, monkeypatch):
     values = [3.0, 1.0, 3.0, None, 2.0, 2.0, 2.0]
     frame = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, y int").repartition(3)

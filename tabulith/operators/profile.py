@@ -471,6 +471,6 @@ def _summary(df, columns, kinds, stats, quantile, percentiles, labels, target, e
         elif name == "Correlation":
             c = F.coalesce(c, F.round("r", 3).cast("string"))
         elif digits is not None:
-            c = F.round(c, digits)
+            c = F.round(c, digits) + 0.0  # no negative zeros
         columns_out.append(c.alias(name))
     return frame.select(columns_out)

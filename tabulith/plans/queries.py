@@ -66,7 +66,7 @@ def basic_sql(source: str, columns: dict[str, str], percentiles: tuple[float, ..
         parts.append(f"""
 SELECT '{c}' AS "Column", '{kind}' AS "Dtype", s.*, o."N_Outliers", t.rows_ - s."Count" AS null_count, round(100.0 * (t.rows_ - s."Count") / t.rows_, 2) AS "Pct_Missing"
 FROM (SELECT count(*)::BIGINT AS "Count", round(avg(v), 3) AS "Mean", round(stddev_samp(v), 3) AS "std", round(min(v), 3) AS "Min", {labels}, round(max(v), 3) AS "Max",
-      round(round({at(0.75)}, 3) - round({at(0.25)}, 3), 3) AS "IQR", round({skew_sql("v")}, 3) AS "skew" FROM {ranked(source, c)}) s,
+      round(round({at(0.75)}, 3) - round({at(0.25)}, 3), 3) AS "IQR", round({skew_sql("v")}, 3) + 0.0 AS "skew" FROM {ranked(source, c)}) s,
      (SELECT count(*)::BIGINT AS rows_ FROM {source}) t,
      (SELECT count(*)::BIGINT AS "N_Outliers" FROM {source} x, (SELECT {at(0.25)} AS a, {at(0.75)} AS b FROM {ranked(source, c)}) q WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) o""")
     return "\nUNION ALL".join(parts)
@@ -223,7 +223,7 @@ def _(spark, sf):
     return renamed(xray(table(spark, sf, "lineitem").select(list(LINEITEM)), expanded=True, great_tables=False), ["Column", "MAD"])
 
 
-@query("kurtosis_skew", "\nUNION ALL\n".join(f"""SELECT '{c}' AS "Column", round({skew_sql(c)}, 3) AS "skew", round((kurtosis_pop({c}) + 3) * power((count({c}) - 1.0) / count({c}), 2) - 3, 3) AS "Kurtosis" FROM lineitem""" for c in LINEITEM))
+@query("kurtosis_skew", "\nUNION ALL\n".join(f"""SELECT '{c}' AS "Column", round({skew_sql(c)}, 3) + 0.0 AS "skew", round((kurtosis_pop({c}) + 3) * power((count({c}) - 1.0) / count({c}), 2) - 3, 3) + 0.0 AS "Kurtosis" FROM lineitem""" for c in LINEITEM))
 def _(spark, sf):
     return renamed(xray(table(spark, sf, "lineitem").select(list(LINEITEM)), expanded=True, great_tables=False), ["Column", "skew", "Kurtosis"])
 
@@ -529,7 +529,7 @@ def expanded_sql(source: str, columns: dict[str, str], target: str) -> str:
             whole = "CASE WHEN integral THEN 'Int64' ELSE 'Float32' END"
         own = f"(SELECT count({c})::BIGINT AS valid, count(*)::BIGINT AS rows_, {distinct} AS u, avg({c}) AS mean_, stddev_samp({c}) AS std_, min({c}) AS low_, max({c}) AS high_, {skew_sql(f'{c}::DOUBLE')} AS skew_, (kurtosis_pop({c}) + 3) * power((count({c}) - 1.0) / count({c}), 2) - 3 AS kurt_, sum(({c} = 0)::INT)::BIGINT AS zero_, sum(({c} > 0)::INT) AS pos_, sum(({c} < 0)::INT) AS neg_, bool_and({c} IN (0, 1)) AS flag, bool_and({c} = floor({c})) AS integral, corr({target}, {c}) AS r_ FROM {source}) s"
         quartiles = f"(SELECT {at(0.25)} AS a, {at(0.5)} AS m, {at(0.75)} AS b FROM {ranked(source, c)}) q"
-        parts.append(f"""SELECT '{c}' AS c, '{kind}' AS kind, valid, rows_ - valid AS nulls, rows_, u, {shares("u")}, round(a, 3) AS q25, round(m, 3) AS q50, round(b, 3) AS q75, round(mean_, 3) AS mean, round(std_, 3) AS std, round(round(b, 3) - round(a, 3), 3) AS iqr, round(skew_, 3) AS skew, round(mad_, 3) AS mad, round(kurt_, 3) AS kurt,
+        parts.append(f"""SELECT '{c}' AS c, '{kind}' AS kind, valid, rows_ - valid AS nulls, rows_, u, {shares("u")}, round(a, 3) AS q25, round(m, 3) AS q50, round(b, 3) AS q75, round(mean_, 3) + 0.0 AS mean, round(std_, 3) AS std, round(round(b, 3) - round(a, 3), 3) AS iqr, round(skew_, 3) + 0.0 AS skew, round(mad_, 3) AS mad, round(kurt_, 3) + 0.0 AS kurt,
  {"NULL::DOUBLE" if c == target else "round(coalesce(r_, 0), 3) + 0.0"} AS r, round(low_::DOUBLE, 3) AS low, round(high_::DOUBLE, 3) AS high, zero_ AS zero, round(100.0 * zero_ / valid, 2) AS pz, round(100.0 * pos_ / valid, 2) AS pp, round(100.0 * neg_ / valid, 2) AS pn, CASE WHEN flag THEN 'Bool' ELSE {whole} END AS opt,
  {test_text_sql("NORMAL", "Kolmogorov-Smirnov", kolmogorov_sql("dn", "n"))} AS normal, {test_text_sql("UNIFORM", "KS", kolmogorov_sql("du", "n"))} AS uniform, out_ AS out, round(100.0 * out_ / valid, 2) AS po
 FROM {own}, {quartiles}, (SELECT quantile_cont(abs({c} - x), 0.5) AS mad_ FROM {source}, (SELECT quantile_cont({c}, 0.5) AS x FROM {source})) d, {fit_sql(source, c)} f,

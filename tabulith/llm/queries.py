@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, ngram, quality, rollup, rules, simhash, suffixes, toxicity, urls, variants
-from .common import pick
+from . import bpe, decontam, merkle, ngram, quality, rollup, rules, simhash, suffixes, toxicity, urls, variants
+from .common import id_crc, pick
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -62,6 +63,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and the root that each row's proof gives once line ends are deleted from the texts of rows of even crc32."""
+    fields = {f: F.col(f) for f in merkle.FIELDS}
+    tampered = F.when(id_crc() % 2 == 0, merkle.leaf(fields | {"text": F.replace("text", F.lit("\n"))})).otherwise(merkle.leaf(fields))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), keep={"now": tampered})
+    folded = merkle.fold(F.col("now"), F.col("proof"))
+    out = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"), misspell=199)
 
@@ -77,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle": op12_merkle,
     "op13_variants": op13_variants,
 }

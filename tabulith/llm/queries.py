@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, merkle, ngram, quality, rollup, rules, simhash, suffixes, toxicity, urls, variants
+from . import bpe, decontam, merkle, ngram, quality, rollup, rules, simhash, suffixes, toxicity, urls, variants, warc
 from .common import id_crc, pick
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -63,6 +63,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.resolved(warc.records(warc.read(spark, path, payload=False))).withColumnRenamed("id", "page_id").drop("uri")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest, and the root that each row's proof gives once line ends are deleted from the texts of rows of even crc32."""
     fields = {f: F.col(f) for f in merkle.FIELDS}
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_rules": op9_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_warc": op11_warc,
     "op12_merkle": op12_merkle,
     "op13_variants": op13_variants,
 }

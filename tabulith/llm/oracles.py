@@ -59,5 +59,81 @@ x AS (SELECT f.doc_id FROM f JOIN b ON b.stratum = f.stratum AND place = 1 AND f
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM f
 """
 
+#: Digits of base32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-ORACLE_SQL = {"op4_token_counts": rollup.ORACLE_SQL, "op6_suffix_dedup": OP6, "op9_rules": _op9(), "op10_decontamination": OP10}
+OP11 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS x, sha256(coalesce(html, '')) AS y FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(0, 40), lambda k: printf('%04d', bin(strpos('0123456789abcdef', substring(x, k + 1, 1)) - 1)::INT)), '') AS bits FROM p),
+f AS (SELECT *, array_to_string(list_transform(range(0, 160, 5), lambda k: substring('{_BASE32}', 1 + list_reduce(list_transform(range(1, 6), lambda j: substring(bits, k + j, 1)::INT), lambda a, c: 2 * a + c), 1)), '') AS payload_digest,
+  first_value(page_id) OVER w AS f, row_number() OVER w AS r FROM b WINDOW w AS (PARTITION BY payload_bytes, y ORDER BY page_id NULLS FIRST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN r > 1 THEN f END AS refers_to, true AS intact FROM f
+"""
+
+#: The table t of the CRC-32 by bytes (reflected polynomial 0xEDB88320).
+_CRC_TABLE = "crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)) + z) ORDER BY n) AS t FROM (SELECT unnest(range(0, 256))::BIGINT AS n))"
+
+
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes."""
+    byte = f"('0x' || substring(hex(encode({text})), 2 * k + 1, 2))::BIGINT"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, strlen({text})), lambda k: {byte})), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs: the nodes (g, i, h, m) of each level, m of them in group g, their siblings by level, and the root of each group."""
+    parts = [f"{name}0 AS (SELECT g, i, h, m FROM {leaves})"]
+    for k in range(levels):
+        parts.append(f"{name}{k + 1} AS (SELECT g, i // 3 AS i, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(m) + 2) // 3 AS m FROM {name}{k} GROUP BY g, i // 3)")
+    side = lambda rows: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 3 ORDER BY i ROWS BETWEEN {rows}), '')"
+    step = f"SELECT g, i, {{k}} AS level, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} || ',' || {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS step FROM {name}{{k}} WHERE m > 1"
+    parts.append(f"{name}_steps AS ({' UNION ALL '.join(step.format(k=k) for k in range(levels))})")
+    return ", ".join(parts)
+
+
+def _op12(levels: int = 12) -> str:
+    """For groups of up to 3 to the power of `levels` rows."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    head = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    return f"""
+WITH {_CRC_TABLE},
+e AS (SELECT doc_id, source, {head} AS head, text, CASE WHEN {_crc("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents, crc),
+d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, sha256(head || {field("text")}) AS h, sha256(head || {field("now")}) AS now FROM e),
+a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+{_tree("a", "a", levels)},
+b AS (SELECT 0 AS g, g AS i, h, count(*) OVER () AS m FROM a{levels}),
+{_tree("b", "b", levels)},
+s AS (SELECT a.doc_id, a.g, a.i, 0 AS tree, level, step FROM a JOIN a_steps s ON s.g = a.g AND s.i = a.i // (3 ** level)::BIGINT UNION ALL SELECT a.doc_id, a.g, a.i, 1, level, step FROM a JOIN b_steps s ON s.i = a.g // (3 ** level)::BIGINT),
+p AS (SELECT g, i, list(step ORDER BY tree, level) AS steps FROM s GROUP BY g, i),
+r AS (SELECT a.doc_id, a.h AS leaf, t.h AS subroot, root.h AS root, sha256(replace(array_to_string(coalesce(steps, []), ''), ',', '')) AS proof_sha256,
+  list_reduce(list_prepend(now, coalesce(steps, [])), lambda n, s: sha256(split_part(s, ',', 1) || n || split_part(s, ',', 2))) AS folded_root
+  FROM a JOIN a{levels} t USING (g) CROSS JOIN b{levels} root LEFT JOIN p ON p.g = a.g AND p.i = a.i)
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), {_ASCII}) AS r FROM documents),
+c AS (SELECT doc_id, r, count(*) AS c, coalesce(doc_id::VARCHAR, '') || ':' || r AS name FROM r WHERE length(r) >= 6 GROUP BY doc_id, r),
+h AS (SELECT r, c, {_crc("name")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word, sum(c)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+v AS (SELECT word, n, i, left(word, i) || substring(word, i + 2) AS s FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM v a JOIN v b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON v.s = w.word UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON v.s = w.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, path.at AS root FROM f JOIN path USING (word) JOIN f last ON last.word = path.at WHERE last.form IS NULL
+"""
+
+
+ORACLE_SQL = {
+    "op4_token_counts": rollup.ORACLE_SQL,
+    "op6_suffix_dedup": OP6,
+    "op9_rules": _op9(),
+    "op10_decontamination": OP10,
+    "op11_warc": OP11,
+    "op12_merkle": _op12(),
+    "op13_variants": OP13,
+}

@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -318,7 +319,9 @@ class _Reader(DataSourceReader):
         found = where.get_file_info(fs.FileSelector(root, recursive=True))
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.base_name.endswith((".warc", ".warc.gz"))]
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark gives for an archive without files
+            return
         where, _ = fs.FileSystem.from_uri(self.path)
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in READ.split(", "))])
         held, size = [], 0
@@ -385,7 +388,7 @@ class _Reader(DataSourceReader):
 
 
 def _opened(raw: BinaryIO, name: str) -> BinaryIO:
-    return gzip.open(raw) if name.endswith(".gz") else raw
+    return gzip.open(raw) if name.endswith(".gz") else io.BufferedReader(raw)
 
 
 def _taken(stream: BinaryIO, many: int, name: str) -> bytes:

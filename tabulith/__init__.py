@@ -3,6 +3,7 @@
 from . import clean, datasets, plots, utils
 from .clean import clean_column_names
 from .operators.profile import xray
+from .operators.selection import quantiles
 from .plots import cat_plot, convert_datatypes, corr_heatmap, corr_plot, data_cleaning, dist_plot, drop_missing, missingval_plot
 from .utils import save_fig
 
@@ -19,6 +20,7 @@ __all__ = [
     "drop_missing",
     "missingval_plot",
     "plots",
+    "quantiles",
     "save_fig",
     "utils",
     "xray",

@@ -3,18 +3,66 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 
 
+#: Sample sizes up to which the Kolmogorov-Smirnov distribution is computed by matrix powers.
+EXACT_SIZE = 140
+
+
 def kolmogorov(d: float, n: int) -> float:
-    """P of a Kolmogorov-Smirnov distance at least d (asymptotic, with Stephens' correction)."""
-    root = math.sqrt(n)
-    x = (root + 0.12 + 0.11 / root) * d
-    if x < 0.2:
+    """P of a two-sided Kolmogorov-Smirnov distance of at least d among n values: exact by matrix powers up to EXACT_SIZE,
+    above by Pelz and Good's expansion (error under 1e-5)."""
+    if 2 * n * d <= 1:
         return 1.0
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+    if d >= 1 or n * d * d > 370:
+        return 0.0
+    return min(1.0, max(0.0, 1.0 - (_matrix_powers(d, n) if n <= EXACT_SIZE else _pelz_good(d, n))))
+
+
+def _matrix_powers(d: float, n: int) -> float:
+    """P of a distance under d (Marsaglia, Tsang and Wang 2003)."""
+    k = int(n * d) + 1
+    m, h = 2 * k - 1, k - n * d
+    at = np.subtract.outer(np.arange(m), np.arange(m)) + 1
+    matrix = (at >= 0).astype(float)
+    edge = h ** np.arange(1, m + 1)
+    matrix[:, 0] -= edge
+    matrix[-1] -= edge[::-1]
+    matrix[-1, 0] += max(0.0, 2 * h - 1) ** m
+    matrix *= np.where(at > 0, np.exp([[-math.lgamma(max(x, 0) + 1) for x in row] for row in at]), 1.0)
+    power, exponent, result, shift = matrix, 0, np.eye(m), 0  # values are matrix * e ** exponent
+    left = n
+    while left:
+        if left & 1:
+            result, shift = result @ power, shift + exponent
+            top = result.max()
+            result, shift = result / top, shift + math.log(top)
+        power, exponent = power @ power, 2 * exponent
+        top = power.max()
+        power, exponent = power / top, exponent + math.log(top)
+        left >>= 1
+    middle = result[k - 1, k - 1]
+    return math.exp(math.log(middle) + shift + math.lgamma(n + 1) - n * math.log(n)) if middle > 0 else 0.0
+
+
+def _pelz_good(d: float, n: int) -> float:
+    """P of a distance under d (Pelz and Good 1976): four terms in powers of 1 / sqrt(n)."""
+    z = math.sqrt(n) * d
+    if z < 0.05:
+        return 0.0
+    w, zz = math.pi * math.pi, z * z
+    odd = [(k + 0.5) ** 2 for k in range(60)]  # each stands for k and -k - 1
+    even = [k * k for k in range(1, 60)]
+    half = lambda f: 2 * sum(f(x) * math.exp(-w * x / (2 * zz)) for x in odd)
+    whole = lambda f: 2 * sum(f(x) * math.exp(-w * x / (2 * zz)) for x in even)
+    root = math.sqrt(math.pi / 2)
+    first = root * half(lambda x: 1.0) / z
+    second = root * half(lambda x: w * x - zz) / (6 * z**4)
+    third = root * half(lambda x: 6 * zz**3 + 2 * zz**2 + w * x * (2 * zz**2 - 5 * zz) + (w * x) ** 2 * (1 - 2 * zz)) / (72 * z**7) - root * whole(lambda x: w * x) / (36 * z**3)
+    fourth = root * half(lambda x: (w * x) ** 3 * (5 - 30 * zz) + (w * x) ** 2 * (-60 * zz + 212 * zz**2) + w * x * (135 * zz**2 - 96 * zz**3) - 30 * zz**3 - 90 * zz**4) / (6480 * z**10) + root * whole(lambda x: 3 * w * x * zz - (w * x) ** 2) / (108 * z**6)
+    return first + second / math.sqrt(n) + third / n + fourth / n**1.5
 
 
 def chi_square(x: float, df: int) -> float:
@@ -63,34 +111,27 @@ def _value(polynomial: tuple[float, ...], x: float) -> float:
     return sum(c * x**k for k, c in enumerate(polynomial))
 
 
-def shapiro_wilk(values: list[float]) -> tuple[float, float]:
-    """W and its P for 3 to 5000 values."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if not 3 <= n <= 5000:
-        raise ValueError("Shapiro-Wilk takes 3 to 5000 values")
-    if x[0] == x[-1]:
-        return 1.0, 1.0
+def shapiro_ends(n: int, square: float, last: float, last_but_one: float) -> tuple[list[float], float]:
+    """The weights of the greatest values (from the greatest), and the scale of the others: a weight is the expected normal
+    score divided by it. square: the sum of squared scores; last, last_but_one: the greatest scores."""
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
-    else:
-        m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        square, u = float(m @ m), 1 / math.sqrt(n)
-        last = _value(_LAST, u) + m[-1] / math.sqrt(square)
-        ends = [last] if n <= 5 else [_value(_LAST_BUT_ONE, u) + m[-2] / math.sqrt(square), last]
-        k = len(ends)
-        scale = (square - 2 * float(m[-k:] @ m[-k:])) / (1 - 2 * sum(e * e for e in ends))
-        a = m / math.sqrt(scale)
-        a[-k:], a[:k] = ends, [-e for e in reversed(ends)]
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+        return [math.sqrt(0.5)], 1.0
+    u, root = 1 / math.sqrt(n), math.sqrt(square)
+    scores = [last] if n <= 5 else [last, last_but_one]
+    ends = [_value(p, u) + m / root for p, m in zip((_LAST, _LAST_BUT_ONE), scores, strict=False)]
+    return ends, math.sqrt((square - 2 * sum(m * m for m in scores)) / (1 - 2 * sum(e * e for e in ends)))
+
+
+def shapiro_probability(w: float, n: int) -> float:
+    """P of Shapiro and Wilk's W for 3 to 5000 values."""
     if n == 3:
-        return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+        return max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     y = math.log(max(1 - w, 1e-300))
     if n <= 11:
         gamma = _value(_GAMMA, n)
         if y >= gamma:
-            return w, 1e-99
+            return 1e-99
         z = (-math.log(gamma - y) - _value(_SMALL_MEAN, n)) / math.exp(_value(_SMALL_SD, n))
     else:
         z = (y - _value(_LARGE_MEAN, math.log(n))) / math.exp(_value(_LARGE_SD, math.log(n)))
-    return w, 0.5 * math.erfc(z / math.sqrt(2))
+    return 0.5 * math.erfc(z / math.sqrt(2))

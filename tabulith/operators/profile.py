@@ -1,11 +1,12 @@
 """`xray`: one row of statistics for each column.
 
 A call runs a fixed number of Spark jobs whatever the number of columns: counts and moments, distinct counts, order
-statistics (see `selection`), and one for histograms and outliers; expanded output adds deviations and, for tests, the
-cumulative table. Numeric columns are read in long form, so the code that Spark generates stays small. Only the summary
-reaches the driver.
+statistics (see `selection`), and one for histograms and outliers; expanded output adds deviations and tests (see `fits`).
+Numeric columns are read in long form, as doubles, so the code that Spark generates stays small. Where doubles would not
+tell a column's values apart (decimals of over 15 digits, whole numbers above 2 ** 53), its exact distance from its least
+value is profiled instead, and distinct values and ranks are those of the type itself. Only the summary reaches the driver.
 
-Where this differs from its model: booleans aren't numeric; decimals are profiled as doubles; nested columns give
+Where this differs from its model: booleans aren't numeric; nested columns give
 counts; there is no `Std` beside `std`; `Correlation` is text; one row gives no z-score outliers and no error;
 figures are rounded half up.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import time
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +24,13 @@ from pyspark.sql import types as T
 
 from ..functions import distributions
 from ..functions.dtypes import included, is_float, is_integer, is_nested, is_numeric, is_string, name_of
-from ..functions.stats import bin_of, correlation, excess_kurtosis, greatest, normal_cdf, quoted, skew
-from . import quality
-from .selection import by_number, cumulative, long_form, nearest_rank, release, select_ranks, table_ranks, weighted_ranks
+from ..functions.stats import correlation, excess_kurtosis, greatest, quoted, skew
+from . import fits, quality
+from .distinct import distinct_counts
+from .selection import Grid, by_number, cumulative, exact_ranks, long_form, nearest_rank, release, select_ranks, told_apart
 
 #: Rows up to which distinct values are counted exactly.
 EXACT_DISTINCT_ROWS = 300_000
-SHAPIRO_ROWS = 5000
 #: Aggregates of a job over the columns as they are: with more, Spark leaves generated code.
 FIELDS = 60
 
@@ -102,25 +104,21 @@ def _base(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], targe
 
 
 def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], rows: int, exact: bool) -> bool:
-    """Fills in `distinct` where it isn't known, null being a value; True if approximate."""
-    columns = [c for c in columns if "distinct" not in stats[c]]
+    """Fills in `distinct`, null being a value; True if approximate."""
     approximate = rows > EXACT_DISTINCT_ROWS and not exact
-    exprs = []
-    for i, name in enumerate(columns):
-        c = _groupable(name, kinds[name])
+    if not columns:
+        return approximate
+    if approximate:
         # sketches of hashes take any type and, unlike registers of one aggregate, no generated code
-        exprs.append((F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(14))) if approximate else F.count_distinct(c)).alias(str(i)))
-    row = df.agg(*exprs).first() if columns else []
-    for i, name in enumerate(columns):
-        stats[name]["distinct"] = row[i] + (stats[name]["valid"] < rows)
+        row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(14))).alias(str(i)) for i, c in enumerate(_groupable(c, kinds[c]) for c in columns)]).first()
+        counts = {c: row[i] for i, c in enumerate(columns)}
+    else:
+        counts = distinct_counts(df, {c: kinds[c] for c in columns}, {c: stats[c]["valid"] for c in columns})
+    for c in columns:
+        stats[c]["distinct"] = counts[c] + (stats[c]["valid"] < rows)
     return approximate
 
 
-def _edges(low: float, high: float, bins: int) -> list[float]:
-    step = (high - low) / bins
-    return [low + step * i for i in range(bins)] + [high]
-
-
 def _bounds(method: str, s: dict[str, Any], quantile: dict[tuple[str, int], float], name: str, limits: list[float] | None) -> tuple[float, float] | None:
     n = s["valid"]
     if not n:
@@ -166,139 +164,131 @@ def _histograms_and_outliers(rows: DataFrame, plans: dict[str, tuple[list[float]
     return bins, outside
 
 
-def statistics(table: DataFrame, stats: list[dict[str, Any]]) -> dict[int, dict[str, float | None]]:
-    """By number, of the columns of a cumulative table: the Kolmogorov-Smirnov distances from the normal distribution
-    (`normal`) and from the uniform one (`uniform`), and Anderson and Darling's square (`anderson`); constants are left out.
-    One job for all. stats: valid, mean, std, pop, min and max of each."""
-    get = lambda what: by_number([float(s[what] or 0.0) for s in stats])
-    v, z = F.col("v"), F.col("v") - get("mean")
-    log = lambda p: F.log(F.greatest(p, F.lit(1e-300)))
-    # as columns first: inside the aggregates they would be too much code for one method
-    each = table.where(get("min") < get("max")).select(
-        "i",
-        "f",
-        "below",
-        get("valid").alias("n"),
-        normal_cdf(z / get("pop")).alias("p"),
-        ((v - get("min")) / (get("max") - get("min"))).alias("u"),
-        log(normal_cdf(z / get("std"))).alias("lo"),
-        log(normal_cdf(-z / get("std"))).alias("hi"),
-    )
-    gap = lambda p: F.max(F.greatest((F.col("below") + F.col("f")) / F.col("n") - F.col(p), F.col(p) - F.col("below") / F.col("n"))).alias(p)
-    # sums of (2 i - 1) over the f equal ranks below + 1 .. below + f, and of those counted from above
-    weighted = F.expr("f * (2 * below + f) * lo + f * (2 * n - 2 * below - f) * hi")
-    rows = each.groupBy("i").agg(gap("p"), gap("u"), (-F.max("n") - F.sum(weighted) / F.max("n")).alias("anderson"))
-    rows = rows.select("i", F.col("p").alias("normal"), F.col("u").alias("uniform"), "anderson")
-    return {r["i"]: r.asDict() for r in rows.collect()}
-
-
-def chi_squares(table: DataFrame, stats: list[dict[str, Any]]) -> dict[int, tuple[float, int] | None]:
-    """By number, of the columns of a cumulative table: the chi-square statistic of equal bins and their number; None where
-    there are too few. One job for all."""
-    counts: list[int | None] = []
-    for s in stats:
-        bins = min(10, int(math.sqrt(s["valid"])))
-        counts.append(bins if bins >= 2 and s["valid"] / bins >= 5 else None)
-    used = [i for i, k in enumerate(counts) if k]
-    out: dict[int, tuple[float, int] | None] = dict.fromkeys(range(len(stats)))
-    if not used:
-        return out
-    at = F.lit(None).cast("int")
-    for i in used:
-        low, high = stats[i]["min"], stats[i]["max"]
-        if low == high:
-            low, high = low - 0.5, high + 0.5
-        at = F.when(F.col("i") == i, bin_of(F.col("v"), _edges(low, high, counts[i]))).otherwise(at)
-    seen: dict[int, list[int]] = {}
-    for r in table.where(F.col("i").isin(used)).groupBy("i", at.alias("b")).agg(F.sum("f").alias("f")).collect():
-        seen.setdefault(r["i"], []).append(r["f"])
-    for i in used:
-        expected = stats[i]["valid"] / counts[i]
-        out[i] = sum((f - expected) ** 2 / expected for f in seen[i]) + (counts[i] - len(seen[i])) * expected, counts[i]
-    return out
-
-
 def fit_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, normal, uniform, anderson, chi_square): the statistics behind the tests of numeric columns, as `xray`
     computes them."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     base = _base(df, columns, kinds, None, True)
+    stats = [base[c] for c in columns]
+    rows = long_form(df, [quoted(c) for c in columns])
+    gaps, squares = fits.distances(Grid(rows, stats, fits.laws_of(stats))), fits.chi_squares(rows, stats)
     table = cumulative(df, {c: quoted(c) for c in columns})
-    found, squares = statistics(table, [base[c] for c in columns]), chi_squares(table, [base[c] for c in columns])
+    sums = fits.anderson(table, stats)
     release(table)
-    rows = [(c, *(found.get(i, {}).get(k) for k in ("normal", "uniform", "anderson")), squares[i][0] if squares[i] else None) for i, c in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "column string, normal double, uniform double, anderson double, chi_square double").coalesce(1)
+    out = [(c, *(gaps.get(i, {}).get(k) for k in fits.LAWS), sums.get(i), squares[i][0] if squares[i] else None) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(out, "column string, normal double, uniform double, anderson double, chi_square double").coalesce(1)
+
 
+def _finite(s: dict[str, Any]) -> bool:
+    return not s["nan"] and s["min"] is not None and math.isfinite(s["min"]) and math.isfinite(s["max"])
 
-def _deviations(df: DataFrame, table: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]], quantile: dict[tuple[str, int], float]) -> None:
+
+def _deviations(df: DataFrame, columns: list[str], gridded: list[str], grid: Grid | None, stats: dict[str, dict[str, Any]], quantile: dict[tuple[str, int], float]) -> None:
     """Fills in `mad`, the median distance from the median."""
     middle = {c: [(stats[c]["valid"] - 1) // 2, stats[c]["valid"] // 2] for c in columns}
     for c in columns:
         stats[c]["median"] = sum(quantile[c, r] for r in middle[c]) / 2
-    plain = [c for c in columns if not stats[c]["nan"] and math.isfinite(stats[c]["max"]) and math.isfinite(stats[c]["min"])]
-    other = [c for c in columns if c not in plain]
-    ranks, ends = [], []
-    for c in columns:
-        m = stats[c]["median"]
-        ranks.append(middle[c] if c in plain else [])
-        ends.append((0.0, max(m - stats[c]["min"], stats[c]["max"] - m)) if c in plain else (0.0, 0.0))
-    away = table.select("i", F.abs(F.col("v") - by_number([stats[c]["median"] for c in columns])).alias("v"), "f")
-    found = {(columns[i], r): v for (i, r), v in weighted_ranks(away, ends, ranks).items()}
+    other = [c for c in columns if c not in gridded]
+    found: dict[tuple[str, int], float] = {}
+    if grid:
+        found = {(gridded[i], r): v for (i, r), v in grid.deviations([stats[c]["median"] for c in gridded], [middle[c] for c in gridded]).items()}
     if other:
         found |= select_ranks(df, {c: F.abs(quoted(c).cast("double") - F.lit(stats[c]["median"])) for c in other}, {c: stats[c]["valid"] for c in other}, {c: middle[c] for c in other})
     for c in columns:
         stats[c]["mad"] = sum(found[c, r] for r in middle[c]) / 2
 
 
-def _tests(table: DataFrame, columns: list[str], stats: dict[str, dict[str, Any]], normality: str, uniformity: str) -> None:
-    """Fills in `normality` and `uniformity` texts of numeric columns with more than 3 values, from their cumulative table."""
+def _laws(normality: str, uniformity: str) -> tuple[str, ...]:
+    return tuple(law for law, used in (("normal", normality == "ks"), ("uniform", uniformity == "ks")) if used)
+
+
+def _tests(df: DataFrame, columns: list[str], clean: list[str], grid: Grid | None, stats: dict[str, dict[str, Any]], normality: str, uniformity: str) -> None:
+    """Fills in `normality` and `uniformity` texts of numeric columns with more than 3 values; clean: the finite ones, as in the grid."""
     tested = [c for c in columns if stats[c]["valid"] > 3]
-    clean = [c for c in tested if not stats[c]["nan"] and stats[c]["min"] is not None and math.isfinite(stats[c]["min"]) and math.isfinite(stats[c]["max"])]
     for c in tested:
         stats[c]["normality"] = stats[c]["uniformity"] = "N/A (not finite)"
     if not clean:
         return
-    numbers = {columns.index(c): k for k, c in enumerate(clean)}
-    if len(clean) < len(columns):  # numbered anew
-        new = F.get(F.array(*[F.lit(numbers.get(i)).cast("int") for i in range(len(columns))]), F.col("i"))
-        table = table.where(F.col("i").isin(list(numbers))).withColumn("i", new)
-    found = statistics(table, [stats[c] for c in clean])
-    gaps = {clean[i]: r for i, r in found.items()}
-    squares = {clean[i]: x for i, x in chi_squares(table, [stats[c] for c in clean]).items()} if uniformity == "chi2" else {}
-    small: dict[str, list[float]] = {}
-    if normality == "shapiro" and (few := [c for c in clean if stats[c]["valid"] <= SHAPIRO_ROWS]):
-        for r in table.where(F.col("i").isin([clean.index(c) for c in few])).collect():  # SHAPIRO_ROWS values of a column at most
-            small.setdefault(clean[r["i"]], []).extend([r["v"]] * r["f"])
-    for c in clean:
+    mine = [stats[c] for c in clean]
+    rows = long_form(df, [quoted(c) for c in clean])
+    gaps = fits.distances(grid, _laws(normality, uniformity))
+    squares = fits.chi_squares(rows, mine) if uniformity == "chi2" else {}
+    small = fits.shapiro(rows, mine) if normality == "shapiro" else {}
+    sums: dict[int, float] = {}
+    if normality == "anderson":
+        table = cumulative(df, {c: quoted(c) for c in clean})
+        sums = fits.anderson(table, mine)
+        release(table)
+    for i, c in enumerate(clean):
         s = stats[c]
         m = s["valid"]
+        if m <= 3:
+            continue
         say = lambda ok, yes, test, p=None: f"{'' if ok else 'NON-'}{yes} ({test}{'' if p is None else f', p={p:.3f}'})"
         constant = s["min"] == s["max"]
         if normality == "shapiro":
-            if m > SHAPIRO_ROWS:
+            if i not in small:
                 s["normality"] = "N/A (sample too large)"
             else:
-                p = distributions.shapiro_wilk(small[c])[1]
-                s["normality"] = say(p > 0.05, "NORMAL", "Shapiro-Wilk", p)
+                s["normality"] = say(small[i][1] > 0.05, "NORMAL", "Shapiro-Wilk", small[i][1])
         elif normality == "anderson":
-            square = float("inf") if constant else gaps[c]["anderson"]
+            square = float("inf") if constant else sums[i]
             s["normality"], s["anderson"] = say(square < distributions.anderson_limit(m), "NORMAL", "Anderson-Darling"), square
         else:
-            p = 0.0 if constant else distributions.kolmogorov(gaps[c]["normal"], m)
+            p = 0.0 if constant else distributions.kolmogorov(gaps[i]["normal"], m)
             s["normality"] = say(p > 0.05, "NORMAL", "Kolmogorov-Smirnov", p)
         if m < 5:
             s["uniformity"] = "N/A (insufficient data)"
         elif uniformity == "ks":
-            p = None if constant else distributions.kolmogorov(gaps[c]["uniform"], m)
+            p = None if constant else distributions.kolmogorov(gaps[i]["uniform"], m)
             s["uniformity"] = "N/A (constant data)" if constant else say(p > 0.05, "UNIFORM", "KS", p)
         else:
             s["uniformity"] = "N/A (insufficient bins)"
-            if squares.get(c) is not None:
-                statistic, bins = squares[c]
+            if squares.get(i) is not None:
+                statistic, bins = squares[i]
                 p = distributions.chi_square(statistic, bins - 1)
                 s["uniformity"] = say(p > 0.05, "UNIFORM", "Chi-square", p)
 
 
+def _shifted(df: DataFrame, wide: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], numeric: list[str], target: str | None, expanded: bool) -> DataFrame:
+    """`df` with columns whose values doubles don't tell apart replaced by their distance from the least one, subtracted as
+    they are. Their statistics are replaced by those of the distance; `base`, the least value, is what is to be added."""
+    ends = df.agg(*[f(quoted(c)).alias(f"{n}{i}") for i, c in enumerate(wide) for n, f in (("low", F.min), ("high", F.max))]).first()
+    distance: dict[str, Column] = {}
+    for i, c in enumerate(wide):
+        kind = kinds[c].simpleString() if isinstance(kinds[c], T.DecimalType) else "decimal(38,0)"
+        v, low = quoted(c).cast(kind), F.lit(ends[f"low{i}"]).cast(kind)
+        low_, high_ = Decimal(ends[f"low{i}"]), Decimal(ends[f"high{i}"])
+        scale = kinds[c].scale if isinstance(kinds[c], T.DecimalType) else 0
+        stats[c] |= {"base": low_, "top": high_, "far": (high_ - low_) * 10**scale >= 10**15}
+        distance[c] = F.coalesce(F.try_subtract(v, low).cast("double"), v.cast("double") - low.cast("double")).alias(c)
+    out = df.select([distance.get(f, quoted(f)) for f in df.columns])
+    names = numeric if target in wide else wide  # the target's distance changes all correlations' last digits
+    again = _base(out, names, {c: T.DoubleType() for c in names}, target, expanded)
+    for c in names:
+        kept = ("zero", "pos", "neg", "binary", "integral") if c in wide else [k for k in again[c] if k != "corr"]
+        stats[c] |= {k: v for k, v in again[c].items() if k not in kept}
+    return out
+
+
+def _far_ranks(given: DataFrame, far: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], wanted: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """The ranks of distances that doubles don't tell apart either, from the values."""
+    scale = {c: kinds[c].scale if isinstance(kinds[c], T.DecimalType) else 0 for c in far}
+    exact = exact_ranks(given, scale, {c: (stats[c]["base"], stats[c]["top"]) for c in far}, {c: stats[c]["valid"] for c in far}, wanted)
+    for (c, r), v in exact.items():
+        stats[c].setdefault("exact", {})[r] = v
+    return {(c, r): float(v - stats[c]["base"]) for (c, r), v in exact.items()}
+
+
+def _moved(s: dict[str, Any], v: float | None, rank: int | None = None) -> float | None:
+    """A place among a wide column's distances, as a place among its values."""
+    if v is None or "base" not in s or not math.isfinite(v):
+        return v
+    if rank in s.get("exact", {}):
+        return float(s["exact"][rank])
+    return float(s["base"] + Decimal(repr(v)))
+
+
 def xray(
     df: DataFrame,
     *,
@@ -354,6 +344,11 @@ def xray(
             raise ValueError(f"{corr_target!r} isn't numeric")
     columns = included(df.schema, include)
     stats = _base(df, columns, kinds, corr_target, expanded) if columns else {}
+    given = df
+    numeric = [c for c in columns if is_numeric(kinds[c])]
+    wide = [c for c in numeric if stats[c]["valid"] and not told_apart(kinds[c], stats[c]["min"], stats[c]["max"])]
+    if wide:
+        df = _shifted(df, wide, kinds, stats, numeric, corr_target, expanded)
     rows = stats[columns[0]]["rows"] if columns else 0
     live = [c for c in columns if is_numeric(kinds[c]) and stats[c]["valid"]]
 
@@ -363,30 +358,29 @@ def xray(
         shares = [*percentiles, *(outlier_bounds if outlier_method == "percentile" else (0.25, 0.75) if outlier_method == "iqr" else ())]
         wanted[c] = [nearest_rank(p, n) for p in shares] + ([(n - 1) // 2, n // 2] if expanded else [])
     valid = {c: stats[c]["valid"] for c in live}
-    table = None
-    if expanded and live:  # the tests need all distinct values with their counts: the rest comes from that table too
-        table = cumulative(df, {c: quoted(c) for c in live})
-        counts, found = table_ranks(table, [sorted(set(wanted[c])) for c in live])
-        quantile = {(live[i], r): v for (i, r), v in found.items()}
-        for i, c in enumerate(live):
-            if not is_integer(kinds[c]) or max(abs(stats[c]["exact_min"]), abs(stats[c]["exact_max"])) <= 1 << 53:
-                stats[c]["distinct"] = counts[i] + (valid[c] < rows)
-        _deviations(df, table, live, stats, quantile)
-        _tests(table, live, stats, normality_test, uniformity_test)
-    else:
-        quantile = select_ranks(df, {c: quoted(c) for c in live}, valid, wanted)
-    approximate = _distinct(df, columns, kinds, stats, rows, exact_distinct) if expanded else False
+    finite = [c for c in live if _finite(stats[c])]
+    grid, quantile = None, {}
+    if finite:
+        mine = [stats[c] for c in finite]
+        laws = fits.laws_of(mine, _laws(normality_test, uniformity_test)) if expanded else {}
+        grid = Grid(long_form(df, [quoted(c) for c in finite]), mine, laws)
+        quantile = {(finite[i], r): v for (i, r), v in grid.ranks([sorted(set(wanted[c])) for c in finite]).items()}
+    rest = [c for c in live if c not in finite]
+    quantile |= select_ranks(df, {c: quoted(c) for c in rest}, valid, wanted)
+    quantile |= _far_ranks(given, [c for c in live if stats[c].get("far")], kinds, stats, wanted)
+    if expanded and live:
+        _deviations(df, live, finite, grid, stats, quantile)
+        _tests(df, live, finite, grid, stats, normality_test, uniformity_test)
+    approximate = _distinct(given, columns, kinds, stats, rows, exact_distinct) if expanded else False
     plans = {}
     for c in live:
         s = stats[c]
         bins = min(12, max(5, int(math.sqrt(s["valid"]))))
         shown = distribution_plot == "histogram" and s["min"] is not None and s["max"] is not None and math.isfinite(s["max"] - s["min"])
-        edges = _edges(s["min"], s["max"], bins) if shown and s["min"] < s["max"] else None
+        edges = fits.edges_of(s["min"], s["max"], bins) if shown and s["min"] < s["max"] else None
         s["histogram"] = None if edges else [s["valid"]] if shown and not s["nan"] else []
         plans[c] = (edges, _bounds(outlier_method, s, quantile, c, outlier_bounds))
-    bins_of, outside = _histograms_and_outliers(long_form(df, [quoted(n) for n in plans], F.lit(1).alias("f")) if table is None else table, plans) if plans else ({}, {})
-    if table is not None:
-        release(table)
+    bins_of, outside = _histograms_and_outliers(long_form(df, [quoted(n) for n in plans], F.lit(1).alias("f")), plans) if plans else ({}, {})
     for c in live:
         stats[c]["histogram"] = bins_of.get(c, stats[c]["histogram"])
         stats[c]["outliers"] = outside[c]
@@ -441,8 +435,9 @@ def _summary(df, columns, kinds, stats, quantile, percentiles, labels, target, e
             row |= {distinct: s["distinct"], "Uniqueness_Ratio": s["distinct"] / n if n else 0.0, "N_Duplicates": n - s["distinct"], "Pct_Duplicates": share(n - s["distinct"], n), "Opt_Dtype": suggest_dtype(kind, s, strict_int32=strict_int32)}
         if is_numeric(kind) and valid:
             for p in percentiles:
-                row[percentile_label(p)] = quantile[c, nearest_rank(p, valid)]
-            row |= {"Mean": s["mean"], "std": s["std"], "Min": s["min"] if s["min"] is not None else 0.0, "Max": s["max"] if s["max"] is not None else 0.0, "skew": s["skew"], "Distribution_Plot": s["histogram"], "N_Outliers": s["outliers"], "Pct_Outliers": share(s["outliers"], valid)}
+                rank = nearest_rank(p, valid)
+                row[percentile_label(p)] = _moved(s, quantile[c, rank], rank)
+            row |= {"Mean": _moved(s, s["mean"]), "std": s["std"], "Min": _moved(s, s["min"]) if s["min"] is not None else 0.0, "Max": float(s["top"]) if "top" in s else s["max"] if s["max"] is not None else 0.0, "skew": s["skew"], "Distribution_Plot": s["histogram"], "N_Outliers": s["outliers"], "Pct_Outliers": share(s["outliers"], valid)}
             if 0.25 in percentiles and 0.75 in percentiles:
                 row["IQR"] = ("IQR",)
             row |= {"N_Zero": s["zero"], "Pct_Zero": share(s["zero"], valid), "Pct_Pos": share(s["pos"], valid), "Pct_Neg": share(s["neg"], valid)}

@@ -14,11 +14,17 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Context, Decimal
 from functools import reduce
 from operator import or_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.dtypes import numeric_columns
+from ..functions.stats import quoted
 
 ACCURACY = 10_000
 #: Most distinct values of a bracket that are sent to the driver.
@@ -162,6 +168,139 @@ def by_number_of(wave: dict[int, _Bracket], columns: int) -> tuple[Column, Colum
     return by_number([wave[i].low if i in wave else None for i in range(columns)]), by_number([wave[i].high if i in wave else None for i in range(columns)])
 
 
+#: Cells of a column in a Grid at most, and of all columns.
+CELLS, MOST_CELLS = 1024, 200_000
+
+
+class Grid:
+    """The values of finite columns counted in cells of equal width, with each cell's least and greatest value: one job that
+    sends some hundred rows for each column. Ranks, and bounds of much else, follow from it but for a few cells' values.
+
+    rows: (i, v), a value and its column's number; stats: valid, min and max of each. `extra`: further expressions of i and v,
+    whose least and greatest value in each cell are kept too."""
+
+    def __init__(self, rows: DataFrame, stats: list[dict[str, Any]], extra: dict[str, Column] | None = None):
+        extra = extra or {}
+        self.stats, self.count = stats, max(16, min(CELLS, MOST_CELLS // max(1, len(stats))))
+        low, high = (by_number([float(s[e] or 0.0) for s in stats]) for e in ("min", "max"))
+        v = F.col("v")
+        cell = F.when(low < high, F.least(F.floor((v - low) / (high - low) * self.count), F.lit(self.count - 1))).otherwise(0).cast("int")
+        self.plain = rows.where("v IS NOT NULL").select("i", "v")
+        self.rows = self.plain.select("i", "v", *[x.alias(n) for n, x in extra.items()], cell.alias("cell"))
+        bounds = [f(n).alias(f"{e}_{n}") for n in extra for e, f in (("least", F.min), ("most", F.max))]
+        self.cells: list[list[dict[str, Any]]] = [[] for _ in stats]
+        for r in self.rows.groupBy("i", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), *bounds).collect():
+            self.cells[r["i"]].append(r.asDict())
+        for found in self.cells:
+            found.sort(key=lambda c: c["cell"])
+            below = 0
+            for c in found:
+                c["below"] = below
+                below += c["n"]
+
+    def values(self, wanted: list[dict[str, Any]]) -> dict[tuple[int, int], list[tuple[float, int]]] | None:
+        """By number and cell, the sorted values of some cells with their counts; None if they are too many."""
+        known = {(c["i"], c["cell"]): [(c["low"], c["n"])] for c in wanted if c["low"] == c["high"]}
+        keys = sorted({(c["i"], c["cell"]) for c in wanted} - known.keys())
+        if sum(c["n"] for c in wanted if c["low"] < c["high"]) > MOST_VALUES:
+            return None
+        if keys:
+            table = F.broadcast(self.rows.sparkSession.createDataFrame(keys, "i int, cell int"))  # at most all cells
+            for r in self.rows.join(table, ["i", "cell"]).groupBy("i", "cell", "v").agg(F.count(F.lit(1)).alias("n")).collect():
+                known.setdefault((r["i"], r["cell"]), []).append((r["v"], r["n"]))
+        return {k: sorted(x) for k, x in known.items()}
+
+    def ranks(self, ranks: list[list[int]]) -> dict[tuple[int, int], float]:
+        """By number: the values of 0-based ranks."""
+        at = {(i, r): next(c for c in self.cells[i] if c["below"] <= r < c["below"] + c["n"]) for i, wanted in enumerate(ranks) for r in wanted}
+        values = self.values(list({id(c): c for c in at.values()}.values()))
+        if values is None:
+            one = self.plain.withColumn("f", F.lit(1))
+            start: dict[int, tuple] = {}
+            for (i, r), c in at.items():
+                start.setdefault(id(c), (i, c["low"], c["high"], c["below"], c["n"], []))[5].append(r)
+            return weighted_ranks(one, [(0.0, 0.0)] * len(ranks), [[] for _ in ranks], start=list(start.values()))
+        return {(i, r): _nth(values[i, c["cell"]], r - c["below"]) for (i, r), c in at.items()}
+
+    def deviations(self, middles: list[float], ranks: list[list[int]]) -> dict[tuple[int, int], float]:
+        """By number: the values of 0-based ranks of the distances from a column's middle. The cells on both sides of the
+        middle that hold a distance between the bounds of the rank's are looked into at once."""
+        wanted: list[dict[str, Any]] = []
+        before: list[int] = []
+        for i, (middle, mine) in enumerate(zip(middles, ranks, strict=True)):
+            spans = [(0.0 if c["low"] <= middle <= c["high"] else min(abs(c["low"] - middle), abs(c["high"] - middle)), max(abs(c["low"] - middle), abs(c["high"] - middle)), c) for c in self.cells[i]]
+            # a rank's distance is between those it had if all distances of a cell were its least, or its greatest
+            least = _nth(sorted((near, c["n"]) for near, _, c in spans), min(mine)) if mine else 0.0
+            most = _nth(sorted((far, c["n"]) for _, far, c in spans), max(mine)) if mine else 0.0
+            before.append(sum(c["n"] for _, far, c in spans if far < least))
+            wanted += [c for near, far, c in spans if near <= most and far >= least] if mine else []
+        values = self.values(wanted)
+        if values is None:
+            away = self.plain.select("i", F.abs(F.col("v") - by_number(middles)).alias("v"), F.lit(1).alias("f"))
+            ends = [(0.0, max(m - s["min"], s["max"] - m)) for m, s in zip(middles, self.stats, strict=True)]
+            return weighted_ranks(away, ends, ranks, [s["valid"] for s in self.stats])
+        out: dict[tuple[int, int], float] = {}
+        for i, mine in enumerate(ranks):
+            every = sorted((abs(v - middles[i]), n) for (j, _), x in values.items() if j == i for v, n in x)
+            out |= {(i, r): _nth(every, r - before[i]) for r in mine}
+        return out
+
+
+def _nth(values: list[tuple[float, int]], rank: int) -> float:
+    for v, n in values:
+        rank -= n
+        if rank < 0:
+            return v
+    raise ValueError("a rank beyond the values")
+
+
+def exact_ranks(df: DataFrame, scales: dict[str, int], ends: dict[str, tuple], counts: dict[str, int], ranks: dict[str, list[int]]) -> dict[tuple[str, int], Decimal]:
+    """The values of 0-based ranks of whole and decimal columns as they are, however many digits they have. scales: the digits
+    after the point of each; ends: the least and greatest value."""
+    found: dict[tuple[str, int], Decimal] = {}
+    for scale in sorted(set(scales.values())):
+        names = [c for c, s in scales.items() if s == scale]
+        kind = f"decimal(38,{scale})"
+        long = df.select(F.posexplode(F.array(*[quoted(c).cast(kind) for c in names])).alias("i", "v")).where("v IS NOT NULL")
+        got = weighted_ranks(long.withColumn("f", F.lit(1)), [tuple(map(Decimal, ends[c])) for c in names], [ranks[c] for c in names], [counts[c] for c in names], kind)
+        found |= {(names[i], r): v for (i, r), v in got.items()}
+    return found
+
+
+def told_apart(kind: T.DataType, low: Any, high: Any) -> bool:
+    """Doubles of this type's values from low to high are as distinct and in the same order: below 2 ** 53 for whole numbers,
+    15 digits for decimals."""
+    most = max(abs(low), abs(high))
+    if isinstance(kind, T.DecimalType):
+        return most * 10**kind.scale < 10**15
+    return not isinstance(kind, T.LongType) or most < 1 << 53
+
+
+def native(kind: T.DataType, v: float | Decimal) -> Any:
+    """A value of doubles that were told apart, in the column's own type."""
+    if isinstance(kind, T.DecimalType):
+        return (v if isinstance(v, Decimal) else Decimal(repr(v))).quantize(Decimal(1).scaleb(-kind.scale), context=Context(prec=76))
+    return float(v) if isinstance(kind, T.FloatType | T.DoubleType) else int(v)
+
+
+def quantiles(df: DataFrame, columns: list[str] | None = None, shares: tuple[float, ...] | list[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(share, columns...): the nearest-rank quantiles of numeric columns, exact and in their own types."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = numeric_columns(df.schema, columns)
+    rows = []
+    if names:
+        row = df.agg(*[f(quoted(c)).alias(f"{n}{i}") for i, c in enumerate(names) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+        ends = {c: (row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(names) if row[f"n{i}"]}
+        counts = {c: row[f"n{i}"] for i, c in enumerate(names)}
+        ranks = {c: sorted({nearest_rank(p, counts[c]) for p in shares}) for c in ends}
+        far = [c for c in ends if not told_apart(kinds[c], *ends[c])]
+        found: dict[tuple[str, int], Any] = dict(select_ranks(df, {c: quoted(c) for c in ends if c not in far}, counts, ranks))
+        found |= exact_ranks(df, {c: kinds[c].scale if isinstance(kinds[c], T.DecimalType) else 0 for c in far}, ends, counts, ranks)
+        rows = [(float(p), *(native(kinds[c], found[c, nearest_rank(p, counts[c])]) if c in ends else None for c in names)) for p in shares]
+    schema = T.StructType([T.StructField("share", T.DoubleType()), *[T.StructField(c, kinds[c]) for c in names]])
+    return df.sparkSession.createDataFrame(rows, schema).coalesce(1)
+
+
 def cumulative(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """(i, v, f, below): each distinct non-null value of each expression (by number) as a double, its count, and how many
     values are below it. Persisted parts are let go with `release`."""
@@ -196,36 +335,63 @@ def table_ranks(table: DataFrame, ranks: list[list[int]]) -> tuple[dict[int, int
 STEP = 2048
 
 
-def weighted_ranks(rows: DataFrame, ends: list[tuple[float, float]], ranks: list[list[int]]) -> dict[tuple[int, int], float]:
+def _literals(values: list, kind: str) -> Column:
+    """The value for number i, of this type."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("i"))
+
+
+def weighted_ranks(rows: DataFrame, ends: list[tuple], ranks: list[list[int]], counts: list[int] | None = None, kind: str = "double", start: list[tuple] | None = None) -> dict[tuple[int, int], Any]:
     """By number: the values of 0-based ranks among finite v of rows (i, v, f), each of which stands f times. ends: the
-    least and greatest v. Bins of equal width lead to the ranks, each step STEP times finer."""
-    found: dict[tuple[int, int], float] = {}
-    open_ = [(i, low, high, 0, sorted(set(r))) for i, ((low, high), r) in enumerate(zip(ends, ranks, strict=True)) if r]
-    while open_:
-        wave: dict[int, tuple] = {}
-        later = []
-        for x in open_:  # one stretch of a number at a time
-            if x[1] == x[2]:
-                found |= {(x[0], r): x[1] for r in x[4]}
-            elif x[0] in wave:
-                later.append(x)
-            else:
-                wave[x[0]] = x
-        open_ = later
-        if not wave:
-            continue
-        low, high = (by_number([wave[i][k] if i in wave else None for i in range(len(ends))]) for k in (1, 2))
-        inside = rows.where((F.col("v") >= low) & (F.col("v") <= high))
-        at = F.least(F.floor((F.col("v") - low) / (high - low) * STEP), F.lit(STEP - 1)).cast("int")
-        bins: dict[int, list] = {}
-        for r in inside.groupBy("i", at.alias("bin")).agg(F.sum("f").alias("f"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
-            bins.setdefault(r["i"], []).append(r)
-        for i, (_, _, _, below, wanted) in wave.items():
-            for r in sorted(bins.get(i, []), key=lambda r: r["bin"]):
-                if mine := [w for w in wanted if below <= w < below + r["f"]]:
-                    open_.append((i, r["low"], r["high"], below, mine))
-                below += r["f"]
-    return found
+    least and greatest v; counts: the sums of f, if known; kind: the type of v, double or a decimal of 38 digits. start:
+    instead of whole numbers, stretches (i, least, greatest, how many are below, how many inside, ranks).
+
+    Bins of equal width lead to the ranks, each step STEP times finer, all ranks of all numbers in one job; once few rows
+    are left, their values come to the driver. Decimals are compared as they are: only their distances from the least of
+    a stretch become doubles, which keeps their order, and the ends of the next stretch are exact again."""
+    found: dict[tuple[int, int], Any] = {}
+    open_ = [(i, low, high, 0, counts[i] if counts else math.inf, sorted(set(r))) for i, ((low, high), r) in enumerate(zip(ends, ranks, strict=True)) if r]
+    open_ += start or []
+    while True:
+        found |= {(i, r): low for i, low, high, _, _, wanted in open_ if low == high for r in wanted}
+        open_ = [x for x in open_ if x[1] != x[2]]
+        if not open_:
+            return found
+        waves: list[dict[int, tuple]] = []  # the k-th stretch of each number
+        for x in open_:
+            wave = next((w for w in waves if x[0] not in w), None)
+            if wave is None:
+                waves.append(wave := {})
+            wave[x[0]] = x
+        v = F.col("v")
+        bounds = [[_literals([w[i][e] if i in w else None for i in range(len(ends))], kind) for e in (1, 2)] for w in waves]
+        within = [(v >= low) & (v <= high) for low, high in bounds]
+        if sum(x[4] for x in open_) <= MOST_VALUES:
+            values: dict[int, list[tuple]] = {}
+            for r in rows.where(reduce(or_, within)).groupBy("i", "v").agg(F.sum("f").alias("f")).collect():
+                values.setdefault(r["i"], []).append((r["v"], r["f"]))
+            for i, low, high, below, _, wanted in open_:
+                for value, f in sorted(values.get(i, [])):
+                    if low <= value <= high:
+                        found |= {(i, r): value for r in wanted if below <= r < below + f}
+                        below += f
+            return found
+        slot, at = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for k, (w, (low, _)) in enumerate(zip(waves, bounds, strict=True)):
+            wide = by_number([float(w[i][2] - w[i][1]) if i in w else None for i in range(len(ends))])
+            away = v - low if kind == "double" else F.coalesce(F.try_subtract(v, low).cast("double"), v.cast("double") - low.cast("double"))
+            slot, at = F.when(within[k], k).otherwise(slot), F.when(within[k], away / wide).otherwise(at)
+        bins: dict[tuple[int, int], list] = {}
+        binned = rows.select("i", "v", "f", slot.alias("slot"), F.least(F.floor(at * STEP), F.lit(STEP - 1)).cast("int").alias("bin")).where("slot IS NOT NULL")
+        for r in binned.groupBy("i", "slot", "bin").agg(F.sum("f").alias("f"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+            bins.setdefault((r["i"], r["slot"]), []).append(r)
+        again = []
+        for k, w in enumerate(waves):
+            for i, (_, _, _, below, _, wanted) in w.items():
+                for r in sorted(bins.get((i, k), []), key=lambda r: r["bin"]):
+                    if mine := [x for x in wanted if below <= x < below + r["f"]]:
+                        again.append((i, r["low"], r["high"], below, r["f"], mine))
+                    below += r["f"]
+        open_ = again
 
 
 def release(table: DataFrame) -> None:

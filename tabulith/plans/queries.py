@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import quoted
+from ..functions import distributions
+from ..functions.stats import INVERSE_NORMAL, quoted
 from ..operators import charts, cleaning, correlations
 from ..operators.profile import fit_statistics, xray
+from ..operators.selection import quantiles
 from ..sources.datasets import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,9 +215,42 @@ def _(spark, sf):
     return _histogram(xray(table(spark, sf, "lineitem").select("l_extendedprice"), great_tables=False))
 
 
-@query("histogram_constant", "SELECT 0::INT AS bin, count(*)::BIGINT AS n FROM lineitem")
+@query("histogram_constant", "SELECT 0::INT AS bin, count(l_quantity - l_quantity)::BIGINT AS n FROM lineitem")
 def _(spark, sf):
-    return _histogram(xray(table(spark, sf, "lineitem").select(F.lit(7.0).alias("seven")), great_tables=False))
+    return _histogram(xray(table(spark, sf, "lineitem").select((F.col("l_quantity") - F.col("l_quantity")).alias("zero")), great_tables=False))
+
+
+#: orders with decimals that doubles don't tell apart: keys above 10 ** 30, prices with 20 digits after the point.
+_DECIMALS_SQL = "(SELECT 1000000000000000000000000000000::DECIMAL(38,0) + o_orderkey::DECIMAL(38,0) AS big, o_totalprice::DECIMAL(18,2)::DECIMAL(38,20) + (o_custkey::DECIMAL(18,0) * 0.00000000000000000001::DECIMAL(20,20))::DECIMAL(38,20) AS price, 9007199254740992 + o_custkey AS long FROM orders)"
+
+
+def with_decimals(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("decimal(36,20)") + (F.col("o_custkey").cast("decimal(15,0)") * F.lit("0.00000000000000000001").cast("decimal(20,20)")).cast("decimal(36,20)")
+    big = F.lit("1000000000000000000000000000000").cast("decimal(38,0)") + F.col("o_orderkey").cast("decimal(38,0)")
+    return table(spark, sf, "orders").select(big.cast("decimal(38,0)").alias("big"), price.cast("decimal(38,20)").alias("price"), (F.lit(1 << 53) + F.col("o_custkey")).alias("long"))
+
+
+@query("distinct_decimal", distinct_sql(_DECIMALS_SQL, ["big", "price", "long"]))
+def _(spark, sf):
+    return renamed(xray(with_decimals(spark, sf), expanded=True, exact_distinct=True, great_tables=False), _DISTINCT)
+
+
+_SHARES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+
+
+@query(
+    "quantiles_decimal",
+    "SELECT share, " + ", ".join(f"max(CASE WHEN k_{c} = floor((n - 1) * share + 0.5) THEN {c} END)::VARCHAR AS {c}" for c in ("big", "price", "long"))
+    + f" FROM (SELECT *, {', '.join(f'row_number() OVER (ORDER BY {c}) - 1 AS k_{c}' for c in ('big', 'price', 'long'))}, count(*) OVER () AS n FROM {_DECIMALS_SQL}), (SELECT unnest({_SHARES}::DOUBLE[]) AS share) GROUP BY share",
+)
+def _(spark, sf):
+    exact = quantiles(with_decimals(spark, sf), shares=_SHARES)
+    return exact.select("share", *[F.col(c).cast("string").alias(c) for c in exact.columns[1:]])
+
+
+@query("xray_decimal", "\nUNION ALL\n".join(f"""SELECT '{c}' AS "Column", count({c})::BIGINT AS "Count", round(stddev_samp(({c} - low)::DOUBLE), 3) AS "std", round(median(abs(({c} - low)::DOUBLE - middle)), 3) AS "MAD", round({skew_sql(f'({c} - low)::DOUBLE')}, 3) + 0.0 AS "skew", sum(({c} = 0)::INT)::BIGINT AS "N_Zero" FROM {_DECIMALS_SQL}, (SELECT min({c}) AS low, median(({c} - least_)::DOUBLE) AS middle FROM {_DECIMALS_SQL}, (SELECT min({c}) AS least_ FROM {_DECIMALS_SQL}))""" for c in ("big", "price", "long")))
+def _(spark, sf):
+    return renamed(xray(with_decimals(spark, sf), expanded=True, great_tables=False), ["Column", "Count", "std", "MAD", "skew", "N_Zero"])
 
 
 @query("mad", "\nUNION ALL\n".join(f"""SELECT '{c}' AS "Column", round(quantile_cont(abs({c} - m), 0.5), 3) AS "MAD" FROM lineitem, (SELECT quantile_cont({c}, 0.5) AS m FROM lineitem)""" for c in LINEITEM))
@@ -501,8 +536,40 @@ FROM (SELECT *, {cdf("(v - m) / sp")} AS pn, (v - low) / (high - low) AS pu, {lo
 
 
 def kolmogorov_sql(d: str, n: str) -> str:
-    x = f"((sqrt({n}) + 0.12 + 0.11 / sqrt({n})) * {d})"
-    return f"CASE WHEN {x} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: power(-1, k - 1) * exp(-2 * k * k * {x} * {x}))))) END"
+    """P of a Kolmogorov-Smirnov distance of at least d, by Pelz and Good's expansion (for over 140 values)."""
+    z, w = f"(sqrt({n}) * {d})", "(pi() * pi())"
+    part = lambda x, f: f"list_sum(list_transform(range(0, 60), lambda k: 2 * ({f.replace('X', f'({w} * {x})').replace('Z', z)}) * exp(-{w} * {x} / (2 * {z} * {z}))))"
+    odd, even = (lambda f: part("(k + 0.5) * (k + 0.5)", f)), (lambda f: part("k * k", f))
+    terms = [
+        f"{odd('1.0')} / {z}",
+        f"{odd('X - Z * Z')} / (6 * power({z}, 4) * sqrt({n}))",
+        f"({odd('6 * power(Z, 6) + 2 * power(Z, 4) + X * (2 * power(Z, 4) - 5 * Z * Z) + X * X * (1 - 2 * Z * Z)')} / (72 * power({z}, 7)) - {even('X')} / (36 * power({z}, 3))) / {n}",
+        f"({odd('power(X, 3) * (5 - 30 * Z * Z) + X * X * (212 * power(Z, 4) - 60 * Z * Z) + X * (135 * power(Z, 4) - 96 * power(Z, 6)) - 30 * power(Z, 6) - 90 * power(Z, 8)')} / (6480 * power({z}, 10)) + {even('3 * X * Z * Z - X * X')} / (108 * power({z}, 6))) / power({n}, 1.5)",
+    ]
+    return f"CASE WHEN {z} > 19 THEN 0.0 WHEN {z} < 0.05 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - sqrt(pi() / 2) * ({' + '.join(terms)}))) END"
+
+
+def polynomial_sql(coefficients: tuple[float, ...], x: str) -> str:
+    return "(" + " + ".join(f"({c!r}) * power({x}, {k})" for k, c in enumerate(coefficients)) + ")"
+
+
+def normal_inverse_sql(p: str) -> str:
+    """The quantile of the standard normal distribution."""
+    ratio = lambda x, region: " / ".join(polynomial_sql(c, x) for c in INVERSE_NORMAL[region])
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))', 0)} WHEN {r} <= 5 THEN sign({p} - 0.5) * {ratio(f'({r} - 1.6)', 1)} ELSE sign({p} - 0.5) * {ratio(f'({r} - 5)', 2)} END"
+
+
+def shapiro_sql(source: str, c: str) -> str:
+    """One row with p, for 6 to 5000 values."""
+    d = distributions
+    small = f"(-ln({polynomial_sql(d._GAMMA, 'n')} - y) - {polynomial_sql(d._SMALL_MEAN, 'n')}) / exp({polynomial_sql(d._SMALL_SD, 'n')})"
+    large = f"(y - {polynomial_sql(d._LARGE_MEAN, 'ln(n)')}) / exp({polynomial_sql(d._LARGE_SD, 'ln(n)')})"
+    return f"""(SELECT CASE WHEN n <= 11 AND y >= {polynomial_sql(d._GAMMA, "n")} THEN 0.0 ELSE 0.5 * {erfc_sql("(z / sqrt(2))")} END AS p FROM (SELECT *, CASE WHEN n > 11 THEN {large} ELSE {small} END AS z FROM (SELECT n, ln(greatest(1 - least(1.0, power(ends + rest, 2) / squares), 1e-300)) AS y FROM (
+ SELECT *, a * spread + b * inner_ AS ends, (weighted - q1 * spread - q2 * inner_) / sqrt((square - 2 * q1 * q1 - 2 * q2 * q2) / (1 - 2 * a * a - 2 * b * b)) AS rest FROM (
+  SELECT *, {polynomial_sql(d._LAST, "(1 / sqrt(n))")} + q1 / sqrt(square) AS a, {polynomial_sql(d._LAST_BUT_ONE, "(1 / sqrt(n))")} + q2 / sqrt(square) AS b FROM (
+   SELECT max(n)::DOUBLE AS n, sum(x * x) AS squares, sum(q * q) AS square, sum(q * x) AS weighted, max(CASE WHEN r = n THEN q END) AS q1, max(CASE WHEN r = n - 1 THEN q END) AS q2, max(x) - min(x) AS spread, max(CASE WHEN r = n - 1 THEN x END) - max(CASE WHEN r = 2 THEN x END) AS inner_ FROM (
+    SELECT x, r, n, {normal_inverse_sql("p")} AS q FROM (SELECT {c} - avg({c}) OVER () AS x, row_number() OVER (ORDER BY {c}) AS r, count(*) OVER () AS n, (r - 0.375) / (n + 0.25)::DOUBLE AS p FROM {source} WHERE {c} IS NOT NULL))))))))"""
 
 
 def test_text_sql(yes: str, test: str, p: str) -> str:
@@ -599,7 +666,7 @@ def _(spark, sf):
     return _fits(spark, sf, "part").select("column", F.round("chi_square", 4).alias("x2"))
 
 
-@query("shapiro_small", None)
+@query("shapiro_small", f"""SELECT 's_acctbal' AS "Column", {test_text_sql("NORMAL", "Shapiro-Wilk", "p")} AS "Normality_Test" FROM {shapiro_sql("supplier", "s_acctbal")}""")
 def _(spark, sf):
     return renamed(xray(table(spark, sf, "supplier").select("s_acctbal"), expanded=True, great_tables=False), ["Column", "Normality_Test"])
 

@@ -2,6 +2,8 @@
 
 import math
 import os
+from decimal import Decimal
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import tabulith as tb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tabulith.functions import distributions
+from tabulith.functions.stats import normal_inverse
 from pyspark.sql import functions as F
 from tabulith.operators import selection
 from tabulith.operators.profile import percentile_label, suggest_dtype
@@ -199,12 +202,162 @@ def test_jobs_dont_grow_with_columns(spark):
 
 def test_distributions():
     assert distributions.chi_square(16.919, 9) == pytest.approx(0.05, abs=1e-4) and distributions.chi_square(3.325, 9) == pytest.approx(0.95, abs=1e-3)
+    # 5 % points of the two-sided Kolmogorov-Smirnov statistic by sample size.
+    for n, d in ((5, 0.56327), (10, 0.40925), (20, 0.29408), (50, 0.18845), (100, 0.13403)):
+        assert distributions.kolmogorov(d, n) == pytest.approx(0.05, abs=1e-4)
+    # The worked examples of Marsaglia, Tsang and Wang (2003).
+    assert distributions._matrix_powers(0.274, 10) == pytest.approx(0.6284796154565, abs=1e-12)
+    assert distributions._matrix_powers(0.04, 2000) == pytest.approx(0.99676943191713676985, abs=1e-10)
     assert distributions.kolmogorov(1.358 / math.sqrt(1e6), 10**6) == pytest.approx(0.05, abs=1e-3)
+    assert (distributions.kolmogorov(0.05, 10), distributions.kolmogorov(1.0, 10), distributions.kolmogorov(0.9, 10**6)) == (1.0, 0.0, 0.0)
+    both = [distributions._matrix_powers(k / 100, 140) - distributions._pelz_good(k / 100, 140) for k in range(2, 40)]
+    assert max(map(abs, both)) < 1e-5
+
+
+def shapiro(spark, values):
+    from tabulith.operators import fits
+
+    frame = spark.createDataFrame([(0, float(v)) for v in values] + [(0, None)], "i int, v double").repartition(3)
+    x = np.array(values, float)
+    return fits.shapiro(frame, [{"valid": len(x), "min": x.min(), "max": x.max(), "mean": x.mean()}])[0]
+
+
+def test_shapiro_wilk(spark):
     # The worked example of Shapiro and Wilk (1965): W 0.79, small P.
-    w, p = distributions.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    w, p = shapiro(spark, [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
     assert w == pytest.approx(0.79, abs=0.005) and p < 0.01
-    assert distributions.shapiro_wilk(list(np.random.default_rng(1).normal(size=200)))[1] > 0.05
-    assert distributions.shapiro_wilk([1, 1, 1]) == (1.0, 1.0)
+    r = np.random.default_rng(1)
+    assert shapiro(spark, r.normal(size=200))[1] > 0.05 and shapiro(spark, r.exponential(size=200))[1] < 1e-6
+    assert shapiro(spark, [1, 1, 1]) == (1.0, 1.0)
+    # values in the places of their expected scores are as normal as can be, ties and all; three values by their spacing
+    assert shapiro(spark, [0, 1, 2]) == (1.0, pytest.approx(1.0)) and shapiro(spark, [0, 0, 1])[0] == pytest.approx(0.75)
+    for n in (4, 5, 6, 12, 51):
+        scores = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+        assert shapiro(spark, scores)[0] == pytest.approx(1.0, abs=0.012)
+
+
+def test_normal_inverse(spark):
+    p = [1e-12, 1e-4, 0.02, 0.075, 0.3, 0.5, 0.8, 0.9999, 1 - 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in p], "p double").select(normal_inverse(F.col("p"))).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(x) for x in p], abs=1e-9)
+
+
+def plain_distance(values, cdf):
+    x = np.sort(values)
+    p, n = cdf(x), len(x)
+    below, upto = np.searchsorted(x, x, "left") / n, np.searchsorted(x, x, "right") / n
+    return max((upto - p).max(), (p - below).max())
+
+
+@pytest.mark.parametrize(("cells", "most"), [(1024, 50_000), (16, 50_000), (16, 40)])
+def test_kolmogorov_distances_without_a_sort(spark, monkeypatch, cells, most):
+    """Near-uniform, normal, heavy-tailed, discrete, constant and short columns; cells are looked into and cut again."""
+    from tabulith.operators import fits
+
+    monkeypatch.setattr(selection, "CELLS", cells)
+    monkeypatch.setattr(fits, "CELLS", cells)
+    monkeypatch.setattr(fits, "MOST_VALUES", most)
+    monkeypatch.setattr(fits, "FINER", 200)
+    r = np.random.default_rng(cells + most)
+    columns = [r.uniform(size=3000), r.normal(size=3000), r.standard_cauchy(3000), r.integers(0, 5, 3000).astype(float), np.full(10, 3.0), np.array([1.0, 2.0]), r.exponential(size=3000).round(1)]
+    stats = [{"valid": len(x), "min": x.min(), "max": x.max(), "mean": x.mean(), "pop": x.std(), "std": x.std()} for x in columns]
+    frame = spark.createDataFrame([(i, float(v)) for i, x in enumerate(columns) for v in x] + [(0, None)], "i int, v double").repartition(4)
+    got = fits.distances(selection.Grid(frame, stats, fits.laws_of(stats)))
+    assert set(got) == {0, 1, 2, 3, 5, 6}
+    for i, found in got.items():
+        x, s = columns[i], stats[i]
+        assert found["uniform"] == pytest.approx(plain_distance(x, lambda v: (v - s["min"]) / (s["max"] - s["min"])), abs=1e-12)
+        assert found["normal"] == pytest.approx(plain_distance(x, np.vectorize(NormalDist(s["mean"], s["pop"]).cdf)), abs=1e-6)
+
+
+@pytest.mark.parametrize("most", [50_000, 30])
+def test_grid_ranks_and_deviations(spark, monkeypatch, most):
+    monkeypatch.setattr(selection, "MOST_VALUES", most)
+    r = np.random.default_rng(most)
+    columns = [r.normal(size=2001), r.standard_cauchy(2000), r.integers(0, 7, 1000).astype(float), np.full(9, 2.5), np.array([1.0, 4.0, 4.0, 9.0]), np.r_[np.zeros(900), r.normal(size=100)]]
+    stats = [{"valid": len(x), "min": x.min(), "max": x.max()} for x in columns]
+    frame = spark.createDataFrame([(i, float(v)) for i, x in enumerate(columns) for v in x], "i int, v double").repartition(3)
+    grid = selection.Grid(frame, stats)
+    ranks = [sorted({0, len(x) // 4, (len(x) - 1) // 2, len(x) // 2, len(x) - 1}) for x in columns]
+    assert grid.ranks(ranks) == {(i, k): np.sort(x)[k] for i, x in enumerate(columns) for k in ranks[i]}
+    middles = [float(np.median(x)) for x in columns]
+    assert grid.deviations(middles, ranks) == {(i, k): np.sort(np.abs(x - m))[k] for i, (x, m) in enumerate(zip(columns, middles, strict=True)) for k in ranks[i]}
+
+
+def test_columns_that_doubles_dont_tell_apart(spark):
+    """1,000 neighbours near 2 ** 60, as longs and as decimals, with a few repeats and nulls: all statistics of the type itself."""
+    values = [(1 << 60) + 7 * k for k in range(1000)] + [1 << 60] * 3
+    rows = [(v, Decimal(v), Decimal(v) / Decimal(10**6), Decimal(v - (1 << 60)) * 10**30) for v in values] + [(None,) * 4]
+    frame = spark.createDataFrame(rows, "l long, d decimal(38,0), s decimal(25,6), far decimal(38,0)").repartition(3)
+    out = {r["Column"]: r for r in tb.xray(frame, expanded=True, great_tables=False, normality_test="ks", corr_target="l").collect()}
+    small = [float(v - (1 << 60)) for v in values]
+    plain = tb.xray(spark.createDataFrame([(v,) for v in small] + [(None,)], "x double"), expanded=True, great_tables=False, normality_test="ks").first()
+    for c, unit in (("l", 1.0), ("d", 1.0), ("s", 1e-6), ("far", 1e30)):
+        assert (out[c]["N_Unique"], out[c]["N_Duplicates"], out[c]["Count"]) == (1001, 3, 1003)
+        for key in ("skew", "Kurtosis", "N_Outliers", "Normality_Test", "Uniformity_Test", "Distribution_Plot"):
+            assert out[c][key] == plain[key], (c, key)
+        for key in ("std", "MAD"):
+            assert out[c][key] == pytest.approx(plain[key] * unit, rel=1e-3, abs=6e-4)
+        assert out[c]["Correlation"] == ("-" if c == "l" else "1.0")
+    assert (out["l"]["Min"], out["l"]["Max"], out["l"]["N_Zero"], out["l"]["Pct_Pos"]) == (float(1 << 60), float((1 << 60) + 6993), 0, 100.0)
+    assert out["far"]["N_Zero"] == 4 and out["far"]["Max"] == pytest.approx(6.993e33)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    exact = tb.quantiles(frame, shares=shares)
+    assert exact.schema["s"].dataType.simpleString() == "decimal(25,6)"
+    for r in exact.collect():
+        k = nearest_rank(r["share"], len(values))
+        assert (r["l"], r["d"]) == (sorted(values)[k], Decimal(sorted(values)[k])) and r["s"] == sorted(x[2] for x in rows if x[2] is not None)[k].quantize(Decimal("0.000001")) and r["far"] == sorted(x[3] for x in rows if x[3] is not None)[k]
+
+
+def test_quantiles_of_plain_columns(spark):
+    frame = spark.createDataFrame([(1, 0.5, Decimal("1.10"), "x", None), (2, 1.5, Decimal("2.20"), "y", None), (9, None, None, "z", None)], "i int, x double, d decimal(10,2), s string, e double")
+    assert [tuple(r) for r in tb.quantiles(frame, shares=[0.0, 0.5, 1.0]).collect()] == [(0.0, 1, 0.5, Decimal("1.10"), None), (0.5, 2, 1.5, Decimal("2.20"), None), (1.0, 9, 1.5, Decimal("2.20"), None)]
+    assert tb.quantiles(frame, ["s"]).count() == 0 and tb.quantiles(frame.where("false"), ["i"]).first()["i"] is None
+
+
+def test_distinct_counts_by_digest(spark, monkeypatch):
+    from tabulith.operators import distinct
+
+    rows = [("a", b"a", 1.5, True, i % 7, Decimal(i % 3), [i % 2], {"k": i % 4}) for i in range(50)] + [(f"t{i}", b"%d" % i, float("nan"), None, 7, None, None, None) for i in range(20)] + [(None,) * 8, ("", b"", -0.0, False, 0, Decimal(0), [], {}), ("", b"", 0.0, False, 0, Decimal(0), [], {})]
+    frame = spark.createDataFrame(rows, "s string, b binary, x double, t boolean, i int, d decimal(38,4), a array<int>, m map<string,int>").withColumn("day", F.expr("date_add(DATE'2020-01-01', i)")).withColumn("at", F.expr("cast(day as timestamp)"))
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+    valid = frame.agg(*[F.count(c).alias(c) for c in kinds]).first().asDict()
+    wanted = {"s": 22, "b": 22, "x": 3, "t": 2, "i": 8, "d": 3, "a": 3, "m": 5, "day": 8, "at": 8}
+    assert distinct.distinct_counts(frame, kinds, valid) == wanted
+    monkeypatch.setattr(distinct, "MOST_KEYS", 0)
+    assert distinct.distinct_counts(frame, kinds, valid) == wanted
+
+
+def test_equal_digests_dont_make_equal_values(spark, monkeypatch):
+    from tabulith.operators import distinct
+
+    monkeypatch.setattr(distinct, "_digest", lambda *c: [F.length(c[0].cast("string")).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b")])
+    frame = spark.createDataFrame([("aa",), ("bb",), ("cc",), ("aa",), ("long",), (None,)], "s string")
+    assert distinct.distinct_counts(frame, {"s": frame.schema["s"].dataType}, {"s": 5}) == {"s": 4}
+    assert sorted(r["s"] or "" for r in distinct.without_repeats(frame).collect()) == ["", "aa", "bb", "cc", "long"]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_rows_without_repeats(spark, monkeypatch, most):
+    from tabulith.operators import distinct
+
+    monkeypatch.setattr(distinct, "MOST_KEYS", most)
+    rows = [(1, "a"), (1, "a"), (1, None), (1, None), (None, None), (2, "a"), (3, "b"), (3, "b"), (3, "b")]
+    frame = spark.createDataFrame(rows, "x int, y string").toDF("x.1", "y").repartition(3)
+    out = distinct.without_repeats(frame)
+    assert out.columns == ["x.1", "y"] and sorted(map(tuple, out.collect()), key=repr) == sorted(set(rows), key=repr)
+    assert distinct.without_repeats(frame.where("false")).count() == 0
+
+
+def test_rows_that_stand_once_stay_where_they_are(spark, tmp_path):
+    """Only digests and repeated rows are shuffled: the plan has no exchange of all rows."""
+    from tabulith.operators import distinct
+
+    spark.range(1000).selectExpr("id", "repeat('x', 50) || id AS t").write.parquet(f"{tmp_path}/t")
+    out = distinct.without_repeats(spark.read.parquet(f"{tmp_path}/t"))
+    assert out.count() == 1000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("LeftAnti") < plan.index("Aggregate")  # what the anti join lets through is not grouped
 
 
 @pytest.mark.parametrize(("normality", "uniformity"), [("shapiro", "ks"), ("anderson", "chi2"), ("ks", "ks")])

@@ -27,7 +27,8 @@ each, or the first windows of all tasks that equal one window.
 
 Defined cases: null and empty texts have no bytes; texts under `width` bytes lose nothing; a null id counts as the
 smallest (as does the least long); rows that repeat an id are ordered by their compressed texts, as further documents
-after the first; an empty table gives none.
+after the first (in such a table each row gets a key of its own, in that order); an empty table gives none; `remove_repeats`
+gives a null text as an empty one, of length 0.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import expand, id_key, key_id, pieces, plain, text_bytes, whole_groups
+from .common import expand, id_key, key_id, materialize, pieces, plain, text_bytes, whole_groups
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are turned into anchors at a time; bytes of text, and anchors, of a part.
@@ -556,7 +557,27 @@ def spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, hot: int = H
     if not 8 <= gram < width < _MASK:
         raise ValueError(f"gram must be 8 or more and below width, width below {_MASK}")
     dealt = _dealt(docs, others)
-    return removed(dealt, _compared(_fetched(dealt, _shared(_meeting(dealt, width, gram), hot), width), width, gram))
+    if unique := not _repeats(docs):
+        texts = dealt
+    else:
+        texts = _renumbered(dealt)
+    out = removed(texts, _compared(_fetched(texts, _shared(_meeting(texts, width, gram), hot), width), width, gram))
+    return out if unique else out.select("rest.k", "z", "rest.rest", "begins", "ends")
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Several rows have one id (null is one)."""
+    rows, of = plain(docs)
+    return not rows.select(id_key(of["doc_id"]).alias("k")).groupBy("k").count().where("count > 1").isEmpty()
+
+
+def _renumbered(dealt: DataFrame) -> DataFrame:
+    """The rows of `_dealt` in their order, each with a key of its own, k and rest inside the new rest: what is done
+    by key then holds one row's anchors, however many rows share an id. Written once; equal rows spread over partitions."""
+    order = ["k", "z", "row"]
+    ranged = dealt.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(ranged.select(F.monotonically_increasing_id().alias("k"), "z", F.struct("k", "rest").alias("rest")), "renumbered")
+    return rows.repartition("k").sortWithinPartitions("k", "z")
 
 
 def removed(dealt: DataFrame, gone: DataFrame) -> DataFrame:

@@ -285,6 +285,23 @@ def test_suffixes_equal_brute_force_on_odd_rows(spark, odd, nothing):
     assert suffixes.report(suffixes.spans(nothing)).count() == 0
 
 
+def test_rows_without_an_id_are_as_cheap_as_others(spark):
+    """All share a passage; one array of all their anchors for each row would grow with the square."""
+    import time
+
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    texts = [f"{i} {''.join(r.choice('klmnopq ') for _ in range(150))} {passage}" for i in range(6000)]
+    took = []
+    for ids in (range(6000), [None] * 6000, [7 if i % 3 else i for i in range(6000)]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+        began = time.perf_counter()
+        out = suffixes.report(suffixes.spans(docs)).agg({"n_removed": "sum", "n_spans": "sum"}).first()
+        took.append(time.perf_counter() - began)
+        assert out["sum(n_removed)"] >= 5999 * 300 and out["sum(n_spans)"] == 5999
+    assert max(took[1:]) < 3 * took[0] + 5
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh", "é1"])
 @pytest.mark.parametrize("hot", [2, suffixes.HOT])
 def test_suffixes_equal_brute_force_on_shared_passages(spark, letters, hot):

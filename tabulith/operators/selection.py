@@ -13,12 +13,15 @@ each partition sums up on its own, and partition totals (one number each) are ad
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from decimal import Context, Decimal
 from functools import reduce
 from operator import or_
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -402,18 +405,100 @@ def release(table: DataFrame) -> None:
 
 
 def average_ranks(df: DataFrame, names: dict[str, Column]) -> DataFrame:
-    """One row for each row of df, with the average rank (1-based) of each expression under its name; null stays null.
-
-    Rows meet the ranks of a column by value: those of few distinct values (MOST_BROADCAST, counted first) are sent to
-    all tasks, so the rows don't move; for each other column they are shuffled once."""
+    """The average ranks (1-based) of each expression's values under its name, one row for each row of df that has any;
+    null stays null.
+
+    Where all columns have few distinct values (MOST_BROADCAST, estimated first), those are sent to all tasks with their
+    ranks, and rows don't move. Else values are shuffled twice, however many columns there are: by range to be ranked,
+    and by row to be put together again."""
+    values = list(names.values())
+    sizes = long_form(df, values).where("v IS NOT NULL").groupBy("i").agg(F.approx_count_distinct("v").alias("n")).collect()
+    if any(r["n"] > MOST_BROADCAST * 0.8 for r in sizes):
+        return _ranks_by_range(df, names)
     table = cumulative(df, names)
-    sizes = {r["i"]: r["count"] for r in table.groupBy("i").count().collect()}
-    out = df.select([v.cast("double").alias(f"_{i}") for i, v in enumerate(names.values())])
-    for i in sorted(range(len(names)), key=lambda i: -sizes.get(i, 0)):  # shuffles first, then no further one
-        ranks = table.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), (F.col("below") + (F.col("f") + 1) / 2).alias(f"r{i}"))
-        if sizes.get(i, 0) <= MOST_BROADCAST:
-            ranks = F.broadcast(ranks)
+    out = df.select([v.cast("double").alias(f"_{i}") for i, v in enumerate(values)])
+    for i in range(len(names)):
+        ranks = F.broadcast(table.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), (F.col("below") + (F.col("f") + 1) / 2).alias(f"r{i}")))
         out = out.join(ranks, F.col(f"_{i}") == F.col(f"v{i}"), "left").drop(f"_{i}", f"v{i}")
     out = out.select([F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
     out.__dict__["_persisted"] = table.__dict__.pop("_persisted")
     return out
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, float, np.ndarray]]:
+    """(part, i, v, rows) of each run of equal values in rows (part, i, v, row) that are sorted so."""
+    held: tuple[int, int, float] | None = None
+    rows: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, i, v, row = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("part", "i", "v", "row"))
+        same = (part[1:] == part[:-1]) & (i[1:] == i[:-1]) & ((v[1:] == v[:-1]) | np.isnan(v[1:]) & np.isnan(v[:-1]))
+        starts = np.r_[0, np.flatnonzero(~same) + 1, len(v)]
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            key = int(part[a]), int(i[a]), float(v[a])
+            if held is not None and (key[:2] != held[:2] or key[2] != held[2] and not (math.isnan(key[2]) and math.isnan(held[2]))):
+                yield *held, np.concatenate(rows)
+                rows = []
+            held = key
+            rows.append(row[a:b])
+    if held is not None:
+        yield *held, np.concatenate(rows)
+
+
+def _ranks_by_range(df: DataFrame, names: dict[str, Column]) -> DataFrame:
+    """Average ranks of values that are range-partitioned with their row's number; equal values may lie in several
+    partitions, of which the driver knows the first and last value of each column and how often they stand there."""
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), *[v.cast("double").alias(f"_{k}") for k, v in enumerate(names.values())])
+    rows = long_form(numbered, [F.col(f"_{k}") for k in range(len(names))], F.col("row")).where("v IS NOT NULL")
+    order = ["i", "v", "row"]  # with the row's number, one value may fill many partitions
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "i", "v", "row").persist()
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list] = {}
+        for part, i, v, mine in _runs(batches):
+            end = found.setdefault((part, i), [0, v, len(mine), v, 0])
+            end[0] += len(mine)
+            end[3:] = v, len(mine)
+        columns = [list(x) for x in zip(*[(*k, *e) for k, e in found.items()], strict=True)] or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["part", "i", "n", "first", "first_n", "last", "last_n"])
+
+    key = lambda v: "nan" if math.isnan(v) else v + 0.0
+    found = parts.mapInArrow(ends, "part int, i int, n long, first double, first_n long, last double, last_n long").collect()  # a row for each partition and column in it
+    before: dict[int, int] = {}
+    spans: dict[tuple, list[int]] = {}  # of first and last values: how many are below, how many equal
+    offsets: dict[tuple[int, int], int] = {}
+    for r in sorted(found, key=lambda r: (r["i"], r["part"])):
+        offset = offsets[r["part"], r["i"]] = before.get(r["i"], 0)
+        before[r["i"]] = offset + r["n"]
+        spans.setdefault((r["i"], key(r["first"])), [offset, 0])[1] += r["first_n"]
+        if key(r["first"]) != key(r["last"]):
+            spans.setdefault((r["i"], key(r["last"])), [offset + r["n"] - r["last_n"], 0])[1] += r["last_n"]
+
+    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
+        held: list[tuple[np.ndarray, int, float]] = []
+        size = 0
+
+        def give() -> pa.RecordBatch:
+            counts = [len(x) for x, _, _ in held]
+            columns = np.concatenate([x for x, _, _ in held]), np.repeat(np.array([i for _, i, _ in held], np.int32), counts), np.repeat(np.array([k for _, _, k in held]), counts)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "i", "rank"])
+
+        for part, i, v, mine in _runs(batches):
+            below = seen.get((part, i), 0)
+            seen[part, i] = below + len(mine)
+            low, equal = spans.get((i, key(v))) or (offsets[part, i] + below, len(mine))
+            held.append((mine, i, low + (equal + 1) / 2))
+            size += len(mine)
+            if size > 100_000:
+                yield give()
+                held.clear()
+                size = 0
+        if held:
+            yield give()
+
+    ranked = parts.mapInArrow(rank, "row long, i int, rank double")
+    out = ranked.groupBy("row").agg(*[F.max(F.when(F.col("i") == k, F.col("rank"))).alias(c) for k, c in enumerate(names)]).drop("row")
+    out.__dict__["_persisted"] = parts
+    return out

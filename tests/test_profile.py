@@ -186,6 +186,65 @@ def test_cumulative_and_average_ranks(spark, monkeypatch):
         assert {r["y"]: r["x"] for r in average_ranks(frame, {"x": frame.x, "y": frame.y}).collect()} == wanted
 
 
+def test_ranks_by_range(spark, monkeypatch):
+    """Ties that fill several partitions, NaN, both zeros, nulls, constants; the plan doesn't grow with the columns."""
+    monkeypatch.setattr(selection, "MOST_BROADCAST", 1)
+    r = np.random.default_rng(8)
+    x = np.where(r.random(900) < 0.6, 7.0, r.normal(size=900).round(2) * 10)
+    y = r.normal(size=900)
+    z = np.where(r.random(900) < 0.5, -0.0, 0.0)
+    y[:40] = np.nan
+    rows = [(k, float(a), None if k % 9 == 0 else float(b), float(c), 1.0) for k, (a, b, c) in enumerate(zip(x, y, z, strict=True))]
+    frame = spark.createDataFrame(rows, "k long, x double, y double, z double, c double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        out = average_ranks(frame, {c: frame[c] for c in "kxyzc"})
+        got = {round(t["k"]) - 1: t for t in out.collect()}
+        plans = [average_ranks(frame, {c: frame[c] for c in names})._jdf.queryExecution().executedPlan().toString() for names in ("ky", "kxyzc")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def plain(values):
+        order = sorted(v for v in values if v is not None and not math.isnan(v))
+        nans = sum(v is not None and math.isnan(v) for v in values)
+        for v in values:
+            if v is None:
+                yield None
+            elif math.isnan(v):
+                yield len(order) + (nans + 1) / 2
+            else:
+                low = np.searchsorted(order, v, "left")
+                yield low + (np.searchsorted(order, v, "right") - low + 1) / 2
+
+    for c, values in zip("xyzc", zip(*[t[1:] for t in rows], strict=True), strict=True):
+        assert [got[k][c] for k in range(900)] == list(plain(values)), c
+    assert plans[0].count("Exchange ") == plans[1].count("Exchange ")
+
+
+def test_clusters_merge_as_by_fresh_means():
+    from itertools import combinations
+
+    from tabulith.operators.correlations import cluster_order
+
+    def plain(matrix):
+        distance = 1 - np.abs(np.nan_to_num(matrix))
+        groups = [[i] for i in range(len(matrix))]
+        while len(groups) > 1:
+            _, i, j = min((round(float(distance[np.ix_(a, b)].mean()), 12), i, j) for (i, a), (j, b) in combinations(enumerate(groups), 2))
+            groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] + groups[j]]
+        return groups[0] if groups else []
+
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 7, 20, 30):
+        x = r.normal(size=(n, n))
+        assert cluster_order((x + x.T) / 9) == plain((x + x.T) / 9)
+    assert cluster_order(np.eye(6)) == plain(np.eye(6)) and cluster_order(np.full((4, 4), np.nan)) == plain(np.full((4, 4), np.nan))
+    x = r.normal(size=(600, 600))
+    assert sorted(cluster_order((x + x.T) / 9)) == list(range(600))
+
+
 def test_jobs_dont_grow_with_columns(spark):
     tracker = spark.sparkContext.statusTracker()
 

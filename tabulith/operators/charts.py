@@ -26,19 +26,36 @@ def bins(df: DataFrame, column: str, count: int = 30) -> DataFrame:
     return every.join(found, F.col("bin") == F.col("b"), "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def density(rows: list[dict], points: int = 200) -> list[tuple[float, float]]:
-    """A Gaussian kernel density over binned values, scaled to the counts; empty for fewer than two values."""
-    n = sum(r["n"] for r in rows)
-    if n < 2:
+#: Points of a density's grid.
+POINTS = 512
+
+
+def density(df: DataFrame, column: str, bins: int = 30) -> list[tuple[float, float]]:
+    """A Gaussian kernel density of a column's non-null, finite values on POINTS points from the least to the greatest one,
+    scaled to the counts of `bins` bins; empty for fewer than two different values.
+
+    Each value adds to the two points beside it by its distance from them (linear binning), in one aggregate; the band is
+    Scott's, of the exact standard deviation; the sums are smoothed by a fast Fourier transform on the driver."""
+    v = quoted(column).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    n, low, high, spread = df.agg(F.count(finite), F.min(finite), F.max(finite), F.stddev_samp(finite)).first()
+    if n < 2 or low == high:
         return []
-    middle = np.array([(r["low"] + r["high"]) / 2 for r in rows])
-    weight = np.array([r["n"] for r in rows]) / n
-    wide = rows[0]["high"] - rows[0]["low"]
-    spread = float(np.sqrt(weight @ (middle - weight @ middle) ** 2)) or wide
-    band = 1.06 * spread * n**-0.2
-    at = np.linspace(rows[0]["low"], rows[-1]["high"], points)
-    height = np.exp(-0.5 * ((at[:, None] - middle) / band) ** 2) @ weight / (band * np.sqrt(2 * np.pi))
-    return list(zip(at.tolist(), (height * n * wide).tolist(), strict=True))
+    step = (high - low) / (POINTS - 1)
+    place = (F.col("v") - low) / step
+    left = F.least(F.floor(place), F.lit(POINTS - 2)).cast("int")
+    rows = df.select(finite.alias("v")).where("v IS NOT NULL").select(left.alias("at"), (place - left).alias("part"))
+    mass = np.zeros(POINTS)
+    for r in rows.groupBy("at").agg(F.sum("part").alias("right"), F.count(F.lit(1)).alias("n")).collect():  # a row for each point
+        mass[r["at"]] += r["n"] - r["right"]
+        mass[r["at"] + 1] += r["right"]
+    band = spread * n**-0.2
+    kernel = np.exp(-0.5 * (np.arange(POINTS) * step / band) ** 2) / (band * np.sqrt(2 * np.pi))
+    size = 2 * POINTS  # room enough that what leaves one end doesn't come back at the other
+    around = np.r_[kernel, 0.0, kernel[:0:-1]]
+    smooth = np.fft.irfft(np.fft.rfft(mass, size) * np.fft.rfft(around, size), size)[:POINTS]
+    height = np.maximum(smooth, 0.0) * (high - low) / bins
+    return list(zip(np.linspace(low, high, POINTS).tolist(), height.tolist(), strict=True))
 
 
 def missing(df: DataFrame, sort: str | None = "desc") -> DataFrame:

@@ -159,7 +159,8 @@ class Figure:
         return json.dumps(self.spec)
 
     def to_html(self) -> str:
-        data = html.escape(self.to_json(), quote=False)
+        # inside <script>, JSON's own escapes keep a text from ending it; HTML's would be shown as they are
+        data = self.to_json().replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
         if self.backend == "altair":
             return f'<div id="chart"></div><script src="https://cdn.jsdelivr.net/npm/vega-embed@6"></script><script>vegaEmbed("#chart", {data})</script>'
         return f'<div id="chart"></div><script src="https://cdn.plot.ly/plotly-2.35.2.min.js"></script><script>Plotly.newPlot("chart", {data})</script>'

@@ -168,10 +168,28 @@ def test_true_bottom_equals_a_full_sort(spark):
     assert got == sorted(w for w in wanted if w[2] is not None)
 
 
-def test_density_adds_up_to_the_counts():
-    rows = [{"low": float(i), "high": i + 1.0, "n": n} for i, n in enumerate([0, 0, 0, 3, 9, 4, 0, 0, 0])]
-    line = charts.density(rows)
-    assert sum(y for _, y in line) * (line[1][0] - line[0][0]) == pytest.approx(16, rel=0.02) and charts.density(rows[:1]) == []
+def test_density_equals_the_sum_over_all_values(spark):
+    r = np.random.default_rng(3)
+    values = np.r_[r.normal(size=400), r.normal(6, 0.5, 200)]
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "x double").repartition(3)
+    line = charts.density(frame, "x", 30)
+    at, height = np.array(line).T
+    band = values.std(ddof=1) * len(values) ** -0.2
+    plain = np.exp(-0.5 * ((at[:, None] - values) / band) ** 2).sum(1) / (band * np.sqrt(2 * np.pi)) * (values.max() - values.min()) / 30
+    assert len(line) == charts.POINTS and (at[0], at[-1]) == (values.min(), pytest.approx(values.max()))
+    assert np.abs(height - plain).max() < 2e-3 * plain.max()
+    assert charts.density(frame.where("x = 1e9"), "x") == charts.density(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x") == []
+
+
+@pytest.mark.parametrize("backend", ["plotly", "altair"])
+def test_pages_show_texts_as_they_are(spark, backend):
+    import json
+
+    frame = spark.createDataFrame([("A&B <x>",), ("</script><b>",)], "s string")
+    page = tb.cat_plot(frame, backend=backend).to_html()
+    body = json.loads(page[page.index('chart", ') + 8 : page.rindex(")</script>")])
+    assert "</script><b>" not in page and "&amp;" not in page and "&lt;" not in page
+    assert "A&B <x>" in str(body) and "</script><b>" in str(body)
 
 
 def test_no_subset_means_all_columns(spark):

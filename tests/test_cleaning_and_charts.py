@@ -244,3 +244,62 @@ def test_streaming_profile_equals_the_batch_profile(spark, tmp_path):
     for r in tb.xray(whole, expanded=True, great_tables=False).collect():
         for key in ("Count", "null_count", "Mean", "std", "Min", "Max", "skew", "Kurtosis", "N_Zero"):
             assert got[r["Column"]][key] == pytest.approx(r[key], abs=6e-4)
+
+
+def as_stream(spark, folder, batches, schema):
+    """A stream that gives one of these lists of rows in each micro-batch."""
+    os.makedirs(f"{folder}/all")
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/in{i}")
+        (name,) = [f for f in os.listdir(f"{folder}/in{i}") if f.endswith(".parquet")]
+        os.rename(f"{folder}/in{i}/{name}", f"{folder}/all/{i}.parquet")
+        os.utime(f"{folder}/all/{i}.parquet", (1e9 + i, 1e9 + i))
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(f"{folder}/all")
+
+
+def test_streaming_sketches_keep_their_errors(spark, tmp_path):
+    from tabulith.streaming import profile
+
+    r = np.random.default_rng(7)
+    values = r.lognormal(size=(4, 6000)).round(3)
+    batches = [[(float(v), None if i == 2 else float(k % 5), float("nan") if k % 2 else 1.0) for k, v in enumerate(part)] for i, part in enumerate(values)]
+    stream = as_stream(spark, tmp_path, batches, "x double, y double, z double")
+    profile.start(stream, f"{tmp_path}/state", f"{tmp_path}/check", availableNow=True).awaitTermination()
+    every = np.sort(values.ravel())
+    got = {r["Column"]: r for r in profile.summary(spark, f"{tmp_path}/state", percentiles=(0.01, 0.25, 0.5, 0.75, 0.99)).collect()}
+    for p in (0.01, 0.25, 0.5, 0.75, 0.99):
+        v = got["x"][f"{int(p * 100)}%"]
+        low, high = np.searchsorted(every, v, "left") / len(every), np.searchsorted(every, v, "right") / len(every)
+        assert low - profile.RANK_ERROR <= p <= high + profile.RANK_ERROR
+    assert got["x"]["N_Unique(approx)"] == pytest.approx(len(np.unique(every)), rel=3 * profile.DISTINCT_ERROR)
+    wanted = np.histogram(every, bins=12)[0] / len(every)
+    assert np.abs(np.array(got["x"]["Distribution_Plot"]) / len(every) - wanted).max() < 2 * profile.RANK_ERROR + 2 / profile.SHARES
+    assert (got["y"]["N_Unique(approx)"], got["y"]["null_count"], got["y"]["50%"]) == (6, 6000, 2.0)
+    assert (got["z"]["N_Unique(approx)"], got["z"]["50%"], got["z"]["Distribution_Plot"]) == (2, 1.0, None)
+    # a batch that runs again replaces its own state
+    profile.partial(spark.createDataFrame(batches[1], "x double, y double, z double")).withColumn("latest", profile.F.lit(None).cast("timestamp")).write.mode("overwrite").parquet(f"{tmp_path}/state/batch=1")
+    again = {r["Column"]: r for r in profile.summary(spark, f"{tmp_path}/state").collect()}
+    assert again["x"]["Count"] == 24_000 and again["x"]["Mean"] == pytest.approx(got["x"]["Mean"]) and again["x"]["N_Unique(approx)"] == got["x"]["N_Unique(approx)"]
+    state = spark.read.schema(profile.SCHEMA).parquet(f"{tmp_path}/state/batch=*")
+    assert state.agg(profile.F.max(profile.F.octet_length("ranks") + profile.F.octet_length("values"))).first()[0] < 40_000
+
+
+def test_streaming_windows_and_late_rows(spark, tmp_path):
+    from tabulith.streaming import profile
+
+    batches = [
+        [("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", 3.0), (None, 50.0)],
+        [("2024-01-01 00:59:59", 5.0), ("2024-01-01 02:05:00", 7.0)],  # the first isn't late: the watermark was 00:40
+        [("2024-01-01 00:30:00", 9.0), ("2024-01-01 01:30:00", 11.0), ("2024-01-01 02:30:00", None), (None, 60.0)],  # watermark 01:55: the first is late
+    ]
+    stream = as_stream(spark, tmp_path, batches, "at string, v double").selectExpr("CAST(at AS timestamp) AS at", "v")
+    profile.start(stream, f"{tmp_path}/state", f"{tmp_path}/check", event_time="at", window="1 hour", delay="10 minutes", availableNow=True).awaitTermination()
+    show = lambda **how: {None if r["window"] is None else r["window"].hour: (r["Count"], r["null_count"], r["Mean"]) for r in profile.summary(spark, f"{tmp_path}/state", windows=True, **how).collect()}
+    assert show() == {0: (4, 0, 4.5), 1: (1, 0, 11.0), 2: (1, 1, 7.0), None: (2, 0, 55.0)}
+    assert show(late=False) == {0: (3, 0, 3.0), 1: (1, 0, 11.0), 2: (1, 1, 7.0), None: (2, 0, 55.0)}
+    assert show(late=True) == {0: (1, 0, 9.0)}
+    (whole,) = profile.summary(spark, f"{tmp_path}/state").collect()
+    assert (whole["Count"], whole["null_count"]) == (8, 1)
+    with pytest.raises(ValueError, match="length"):
+        profile.start(stream, f"{tmp_path}/x", f"{tmp_path}/y", event_time="at", window="0 seconds")

@@ -102,10 +102,18 @@ def baskets(pages: DataFrame) -> DataFrame:
 
 
 Rule = tuple[frozenset[str], float, float, float]
+#: Tokens that come together in all labelled rows: a rule asks for one of them.
+Item = tuple[str, ...]
+ItemRule = tuple[frozenset[Item], float, float, float]
 
 
 def mine(pages: DataFrame, labels: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> list[Rule]:
-    """(tokens, confidence, lift, support) of the pruned rules that lead to bad."""
+    """The rules of `mine_items` over single tokens: a product over the tokens of each item, so for small results only."""
+    return [(frozenset(choice), *rest) for of, *rest in mine_items(pages, labels, support=support, confidence=confidence, lift=lift) for choice in product(*of)]
+
+
+def mine_items(pages: DataFrame, labels: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> list[ItemRule]:
+    """(items, confidence, lift, support) of the pruned rules that lead to bad."""
     known = pick(labels, "doc_id", "quality").where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("labelled"), "quality")
     rows = materialize(pick(pages, "page_id", "url").join(known, F.col("page_id") == F.col("labelled")).select("url", "quality"), "labelled")
     rows = rows.select(F.monotonically_increasing_id().alias("page_id"), "url", "quality")
@@ -148,7 +156,7 @@ def mine(pages: DataFrame, labels: DataFrame, *, support: float = SUPPORT, confi
     found = _uncovered(rules).collect()
     rules.unpersist()
     kept = prune([(frozenset(r["antecedent"]), r["confidence"], r["lift"], r["support"]) for r in found])
-    return [(frozenset(choice), *rest) for of, *rest in kept for choice in product(*(items[i] for i in of))]
+    return [(frozenset(tuple(items[i]) for i in of), *rest) for of, *rest in kept]
 
 
 def _grown(rows: DataFrame, least: int, confidence: float) -> DataFrame:
@@ -256,22 +264,23 @@ def prune(rules: list[Rule]) -> list[Rule]:
 
 
 class Index:
-    """From each rule's rarest token to the rule."""
+    """From tokens to their items, and from each rule's rarest item to the rule: it grows with the tokens and the rules."""
 
-    def __init__(self, rules: list[Rule]):
-        often = Counter(t for tokens_, *_ in rules for t in tokens_)
-        self.by_token: dict[str, list[frozenset[str]]] = defaultdict(list)
-        for tokens_, *_ in rules:
-            self.by_token[min(tokens_, key=lambda t: (often[t], t))].append(tokens_)
+    def __init__(self, rules: list[ItemRule]):
+        often = Counter(item for items, *_ in rules for item in items)
+        self.item_of = {token: item for item in often for token in item}
+        self.by_item: dict[Item, list[frozenset[Item]]] = defaultdict(list)
+        for items, *_ in rules:
+            self.by_item[min(items, key=lambda i: (often[i], i))].append(items)
 
     def blocks(self, found: list[str]) -> bool:
-        own = set(found)
-        return any(rule <= own for t in found if t in self.by_token for rule in self.by_token[t])
+        own = {self.item_of[t] for t in found if t in self.item_of}
+        return any(rule <= own for item in own if item in self.by_item for rule in self.by_item[item])
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
-    index = pages.sparkSession.sparkContext.broadcast(Index(mine(pages, labels)))
+    index = pages.sparkSession.sparkContext.broadcast(Index(mine_items(pages, labels)))
     rows = pick(pages, "page_id", "url")
     host, path = url_parts(F.col("url"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"))

@@ -606,7 +606,7 @@ def test_tokens_after_the_sixth_are_matched_and_mined(spark):
     words = "/".join(["one", "two", "three", "four", "five", "six"])
     url = f"http://a.org/{words}/casino?a=1&b=2&c=3&d=4&e=5&f=6&pill=7"
     assert {"path:casino", "query:pill"} <= set(urls.tokens(url))
-    assert urls.Index([(frozenset(["path:casino"]), 1.0, 3.0, 0.1)]).blocks(urls.tokens(url))
+    assert urls.Index([(frozenset([("path:casino",)]), 1.0, 3.0, 0.1)]).blocks(urls.tokens(url))
     pages = [(i, f"http://a.org/{words}/{'casino' if i % 4 == 0 else 'paper'}") for i in range(80)]
     frame = spark.createDataFrame(pages, "page_id long, url string")
     rules = urls.mine(frame, spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(80)], "doc_id long, quality int"))
@@ -661,3 +661,24 @@ def test_all_labelled_rows_are_mined(spark):
     labels = pages.selectExpr("page_id AS doc_id", "int(page_id % 50 != 0) AS quality")
     rules = {x[0] for x in urls.mine(pages, labels)}
     assert {frozenset([f"host:{chr(98 + k) * 3}.info"]) for k in range(20)} <= rules
+
+
+@pytest.mark.parametrize("together", [3, 40])
+def test_rules_dont_multiply_with_words_that_come_together(spark, together):
+    """One rule over three groups of words, however many words each group has."""
+    groups = [["group" + "xyz"[g] + chr(97 + k // 26) + chr(97 + k % 26) for k in range(together)] for g in range(3)]
+    urls_, quality = [], []
+    for i in range(400):
+        has = [bool(i >> g & 1) for g in range(3)]
+        words = [w for g in range(3) if has[g] for w in groups[g]]
+        urls_.append(f"http://h{i % 7}.org/{'/'.join(words) or 'none'}")
+        quality.append(int(not all(has)))
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    rules = [r for r in urls.mine_items(pages, labels) if all(t.startswith("path:group") for item in r[0] for t in item)]
+    assert [sorted(map(len, r[0])) for r in rules] == [[together] * 3]
+    index = urls.Index(rules)
+    for some in range(4):
+        for chosen in combinations(range(3), some):
+            tokens = urls.tokens("http://x.org/" + "/".join(groups[g][g % together] for g in chosen))
+            assert index.blocks(tokens) == (some == 3)

@@ -74,8 +74,8 @@ def _texts(df: DataFrame, names: list[str], valid: dict[str, int]) -> dict[str,
 
 def without_repeats(df: DataFrame) -> DataFrame:
     """`df` with one of each group of equal rows. Rows whose digest stands once don't move; where more than MOST_KEYS digests
-    repeat, all rows are shuffled."""
-    if any(isinstance(f.dataType, T.MapType | T.VariantType) for f in df.schema.fields) or not df.columns:
+    repeat, or columns are of types without a digest (maps, variants, intervals), all rows are shuffled."""
+    if any(kind in f.dataType.simpleString() for f in df.schema.fields for kind in ("map<", "variant", "interval")) or not df.columns:
         return df.dropDuplicates()
     names = [f"_{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)

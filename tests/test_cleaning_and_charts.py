@@ -303,3 +303,69 @@ def test_streaming_windows_and_late_rows(spark, tmp_path):
     assert (whole["Count"], whole["null_count"]) == (8, 1)
     with pytest.raises(ValueError, match="length"):
         profile.start(stream, f"{tmp_path}/x", f"{tmp_path}/y", event_time="at", window="0 seconds")
+
+
+class Axes:
+    """Keeps what is drawn."""
+
+    def __init__(self):
+        self.calls = []
+
+    def __getattr__(self, name):
+        def call(*args, **options):
+            self.calls.append((name, args, options))
+            return name
+
+        return call
+
+    def of(self, name):
+        return [(args, options) for n, args, options in self.calls if n == name]
+
+
+@pytest.fixture
+def drawings(monkeypatch):
+    """In place of matplotlib's figures."""
+    import sys
+    import types
+
+    class Drawing:
+        def __init__(self, figsize=None, dpi=None):
+            self.figsize, self.axes, self.title = figsize, [], None
+
+        def add_subplot(self, lines, columns, number):
+            self.axes.append(Axes())
+            return self.axes[-1]
+
+        def suptitle(self, title):
+            self.title = title
+
+        def savefig(self, out, **options):
+            data = b"\x89PNG " + str(options).encode()
+            out.write(data) if hasattr(out, "write") else open(out, "wb").write(data)
+
+    module = types.ModuleType("matplotlib.figure")
+    module.Figure = Drawing
+    monkeypatch.setitem(sys.modules, "matplotlib", types.ModuleType("matplotlib"))
+    monkeypatch.setitem(sys.modules, "matplotlib.figure", module)
+
+
+def test_seaborn_charts_draw(spark, drawings, tmp_path):
+    frame = spark.createDataFrame([(float(i), float(i * i % 7), None if i % 3 else "x") for i in range(30)], "a double, b double, s string")
+    chart = tb.dist_plot(frame, "a", bins=5, width=400, height=300, backend="seaborn")
+    (axes,) = chart.axes
+    ((places, heights), options) = axes.of("bar")[0]
+    assert (chart.title, chart.figsize, heights) == ("Distribution of a", (4.0, 3.0), [6] * 5)
+    assert options["align"] == "edge" and places == pytest.approx([0, 5.8, 11.6, 17.4, 23.2])
+    ((x, y), _) = axes.of("plot")[0]
+    assert len(x) == len(y) == charts.POINTS and max(y) == pytest.approx(6, rel=0.25)
+    (axes,) = tb.corr_heatmap(frame, annotate=True, backend="seaborn").axes
+    assert axes.of("set_xticks")[0][0][1] == ["a", "b"] and len(axes.of("text")) == 4 and axes.of("imshow")[0][0][0][0][0] == 1.0
+    (axes,) = tb.missingval_plot(frame, backend="seaborn").axes
+    assert axes.of("bar")[0][0] == (["s", "a", "b"], [20, 0, 0]) and axes.of("bar_label")[0][0][1][0] == "20 (66.7 %)"
+    chart = tb.cat_plot(frame, top=1, bottom=1, backend="seaborn")
+    assert [a.of("bar")[0][0] for a in chart.axes] == [(["null"], [20]), (["x"], [10])]
+    assert fig_to_base64_png(chart).startswith("data:image/png;base64,iVBORyB7")
+    tb.save_fig(chart, str(tmp_path / "c.png"))
+    assert b"'dpi': 300" in (tmp_path / "c.png").read_bytes()
+    tb.save_fig(tb.dist_plot(frame, "b"), str(tmp_path / "d.png"))
+    assert (tmp_path / "d.png").read_bytes().startswith(b"\x89PNG")

@@ -47,6 +47,37 @@ def test_golden_profiles(spark, name, target):
     assert found[target]["Correlation"] == "-" and found[target]["Correlation_Plot"] is None
 
 
+def test_profile_equals_numpy(spark):
+    """A frame of the shape of the built-in data sets: counts, flags, ages with nulls, skewed prices."""
+    r = np.random.default_rng(21)
+    n = 157
+    columns = {
+        "id": np.arange(1, n + 1).astype(float),
+        "flag": (r.random(n) < 0.35).astype(float),
+        "age": np.where(r.random(n) < 0.2, np.nan, r.normal(30, 14, n).clip(0.5).round(1)),
+        "fare": r.lognormal(3, 1, n).round(4),
+        "kin": r.poisson(0.6, n).astype(float),
+    }
+    rows = [tuple(None if math.isnan(v) else (v if c in ("age", "fare") else int(v)) for c, v in zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)]
+    frame = spark.createDataFrame(rows, "id int, flag int, age double, fare double, kin int").repartition(3)
+    found = {x["Column"]: x for x in tb.xray(frame, expanded=True, great_tables=False, corr_target="flag").collect()}
+    up = lambda v, d: math.floor(v * 10**d + 0.5) / 10**d
+    for c, values in columns.items():
+        got, there = found[c], np.sort(values[~np.isnan(values)])
+        m, k = there.mean(), len(there)
+        quartile = [there[nearest_rank(p, k)] for p in (0.25, 0.5, 0.75)]
+        m2, m3, m4 = (((there - m) ** p).mean() for p in (2, 3, 4))
+        assert (got["Count"], got["null_count"], got["N_Unique"], got["N_Zero"]) == (k, n - k, len(np.unique(there)) + (k < n), int((there == 0).sum()))
+        assert [got["25%"], got["50%"], got["75%"], got["Min"], got["Max"]] == [up(v, 3) for v in (*quartile, there[0], there[-1])]
+        for key, value in (("Mean", m), ("std", there.std(ddof=1)), ("skew", m3 / m2**1.5), ("Kurtosis", m4 / there.var(ddof=1) ** 2 - 3), ("MAD", np.median(np.abs(there - np.median(there))))):
+            assert got[key] == pytest.approx(value, abs=6e-4), (c, key)
+        spread = quartile[2] - quartile[0]
+        assert got["N_Outliers"] == int(((there < quartile[0] - 1.5 * spread) | (there > quartile[2] + 1.5 * spread)).sum())
+        assert sum(got["Distribution_Plot"]) == k and got["Distribution_Plot"] == np.histogram(there, min(12, max(5, int(math.sqrt(k)))))[0].tolist()
+        both = ~np.isnan(values)
+        assert got["Correlation"] == "-" if c == "flag" else float(got["Correlation"]) == pytest.approx(np.corrcoef(values[both], columns["flag"][both])[0, 1], abs=6e-4)
+
+
 def one(spark, values, kind="double", **options):
     frame = spark.createDataFrame([(v,) for v in values], f"x {kind}")
     return tb.xray(frame, great_tables=False, expanded=True, **options).first()

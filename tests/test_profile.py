@@ -58,7 +58,7 @@ def test_profile_equals_numpy(spark):
         "fare": r.lognormal(3, 1, n).round(4),
         "kin": r.poisson(0.6, n).astype(float),
     }
-    rows = [tuple(None if math.isnan(v) else (v if c in ("age", "fare") else int(v)) for c, v in zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)]
+    rows = [tuple(None if math.isnan(v) else (float(v) if c in ("age", "fare") else int(v)) for c, v in zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)]
     frame = spark.createDataFrame(rows, "id int, flag int, age double, fare double, kin int").repartition(3)
     found = {x["Column"]: x for x in tb.xray(frame, expanded=True, great_tables=False, corr_target="flag").collect()}
     up = lambda v, d: math.floor(v * 10**d + 0.5) / 10**d

@@ -18,14 +18,21 @@ same hashes, as one of 64 bits times their number, and links rows within the dis
 deviations above its mean: nearly all such pairs, and chance pairs are 20 standard deviations away). Rows that agree in
 all bits of some band are compared, tile by tile as above; bands are as many as find a share FOUND of pairs that are
 just similar enough, and as wide as keeps their buckets small. A bucket of more than HOT rows is cut into blocks, each
-pair of which is a bucket of its own. Removed ids, not texts, are what is joined to the documents.
+pair of which is a bucket of its own. So found, pairs are candidates; a text goes only if exact sets of shingle hashes
+bear its similarity to a text that stays (`compared`, `settled`). First each member of a candidate component is compared
+with its least id, which stays; those that aren't similar enough are linked anew without the rest, as long as that
+halves them and some component is large. What then remains of a component is compared by blocks in a join, and stays if
+no text before it (in an order of hashed ids, so chains end after a few rounds) is similar and stays itself. So each removed
+text has a kept partner, no two kept texts of a component are similar, and no chain removes a text that is like none
+that stays. Only texts of such components are read again; removed ids, not texts, are what is joined to the documents.
 
 Memory: a bucket is held in one task at 16 bytes a distinct fingerprint: HOT of them, or those that agree in all but
-the few bits that the last cut leaves (2^20 with 6 blocks).
+the few bits that the last cut leaves (2^20 with 6 blocks). Verification holds two texts' sets at a time.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle; a null id counts as the smallest; repeated rows keep their rows; texts
-that share an id are linked; an empty table gives none. `dedup` keeps one row of those that repeat the id it keeps.
+that share an id are linked; an empty table gives none. For `dedup`, rows that share an id or have none are documents of
+their own (numbered in the order of ids first), of which those with similar texts go; null and empty texts are copies.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_key, key_id, materialize, pick, plain, sub_batches, text_bytes, whole_groups
@@ -48,6 +55,8 @@ SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 512
 MOST_EXPECTED, HOT, DEPTH = 64, 20_000, 3
 #: Of dedup: words of a shingle, least similarity, share of pairs just as similar to be found, and rows of a band's bucket.
 WORDS, NEAR, FOUND, BUCKET = 5, 0.8, 0.95, 1024
+#: Texts of a component that are compared as a block.
+BLOCK = 1024
 #: The bits of a byte, each as a byte of its own.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
@@ -77,8 +86,11 @@ def _every_hash(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: list[bytes], size: int, lanes: int) -> np.ndarray:
     """Several fingerprints of each text: of its hashes, and of other mixes of them."""
-    every, counts = _every_hash(texts, size)
-    out = np.zeros((len(texts), lanes), np.uint64)
+    return _signatures(*_every_hash(texts, size), lanes)
+
+
+def _signatures(every: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
+    out = np.zeros((len(counts), lanes), np.uint64)
     for lane in range(lanes):
         mixed = every if not lane else (every ^ every >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 * (2 * lane + 1) % (1 << 64) | 1)
         mixed = mixed if not lane else (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -86,6 +98,11 @@ def signatures(texts: list[bytes], size: int, lanes: int) -> np.ndarray:
     return out
 
 
+def _sets(every: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes of each text, in order."""
+    return [np.unique(x) for x in np.split(every, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
 def _voted(every: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bits that are set in over half of each text's hashes."""
     out = np.zeros(len(counts), np.uint64)
@@ -281,31 +298,127 @@ def near_links(distinct: DataFrame, words: int, bits: int, each: int, radius: in
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def dedup(docs: DataFrame, *, size: int = WORDS, near: float = NEAR, hot: int = HOT) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id (of rows that repeat an id, one); same columns."""
-    bits, each, words, radius = bands_for(docs.count(), near)
-    names = [f"s{i}" for i in range(words)]
+def _own_keys(keyed: DataFrame, text: str) -> DataFrame:
+    """The rows with distinct keys in the order of their keys, then of their texts' hashes. Written once."""
+    order = ["key", "hash", "row"]
+    dealt = keyed.withColumn("hash", F.xxhash64(text)).withColumn("row", F.monotonically_increasing_id())
+    ranged = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.withColumn("key", F.monotonically_increasing_id()).drop("hash", "row"), "keyed")
+
+
+def _signed(texts: DataFrame, size: int, lanes: int) -> DataFrame:
+    """(k, d0, d1, s0, s1, ...) of texts (k, text): the digest of the text's set of shingle hashes, and its signature."""
+    names = ["d0", "d1", *(f"s{i}" for i in range(lanes))]
 
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
-            found = signatures(batch.column("text").to_pylist(), size, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(found[:, i]) for i in range(words))], names=["k", *names])
+            hashed = _every_hash(batch.column("text").to_pylist(), size)
+            digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in _sets(*hashed))
+            found = np.concatenate([np.frombuffer(digests, np.int64).reshape(-1, 2), _signatures(*hashed, lanes).view(np.int64)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(found[:, i]) for i in range(len(names)))], names=["k", *names])
 
-    rows = pick(docs, "doc_id", "text").select(id_key().alias("k"), text_bytes().alias("text"))
-    rows = materialize(rows.mapInArrow(sign, "k long, " + ", ".join(f"{c} long" for c in names)), "signatures")
-    distinct = materialize(rows.groupBy(*names).agg(F.min("k").alias("least")), "distinct")
-    node = materialize(rows.join(distinct, names).select("k", "least"), "nodes")
-    repeated = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("again")), "repeated")
-    several = not repeated.isEmpty()
-    links = near_links(distinct, words, bits, each, radius, hot=hot)
-    if several:  # an id joins its texts
-        links = links.unionByName(node.join(repeated, F.col("k") == F.col("again"), "left_semi").select(F.col("k").alias("a"), F.col("least").alias("b")))
-    roots = components(links)
-    joined = node.join(roots, F.col("least") == F.col("node"), "left")
-    removed = materialize(joined.where(F.col("k") != F.coalesce("root", "least")).select(F.col("k").alias("gone")).distinct(), "removed")
+    return texts.mapInArrow(run, "k long, " + ", ".join(f"{c} long" for c in names))
+
+
+def shingle_sets(texts: DataFrame, size: int = WORDS) -> DataFrame:
+    """(k, set) of texts (k, text): the distinct hashes of its shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            sets = _sets(*_every_hash(batch.column("text").to_pylist(), size))
+            ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), lists], names=["k", "set"])
+
+    return texts.mapInArrow(run, "k long, set array<long>")
+
+
+def similar(x: str, y: str, near: float) -> Column:
+    """Whether the distinct values in two array columns have a Jaccard similarity of `near` or more; empty ones have 1."""
+    n, m, both = F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    apart = F.try_divide(F.least(n, m), F.greatest(n, m)) < near  # by their sizes alone
+    return F.when(apart, False).otherwise(F.coalesce(F.try_divide(both, n + m - both) >= near, F.lit(True)))
+
+
+def compared(roots: DataFrame, sets: DataFrame, near: float) -> DataFrame:
+    """(node, root, near): whether each node is similar enough to its root. Nodes of a large group can be split, as both
+    sides of the join are shuffled for it."""
+    mine = roots.join(sets, F.col("node") == F.col("k")).select("node", "root", F.col("set").alias("mine"))
+    judged = mine.join(sets, F.col("root") == F.col("k")).select("node", "root", similar("mine", "set", near).alias("near"))
+    return materialize(judged, "judged")
+
+
+def settled(left: DataFrame, sets: DataFrame, near: float, block: int = BLOCK) -> DataFrame:
+    """From (node, root): those nodes, as `gone`, that are similar to one of the same root that stays. In the order of hashed
+    nodes, a node stays if none that stays is similar. Nodes of a root are compared by pairs of blocks."""
+    state = materialize(left.select("node", "root", F.lit(False).alias("kept")), "state")
+    gone = None
+    while True:
+        parts = state.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        rows = state.join(parts, "root").withColumn("rank", F.xxhash64("node")).withColumn("own", F.pmod("rank", F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        rows = materialize(rows.join(sets, F.col("node") == F.col("k")).select("node", "root", "kept", "rank", "own", "low", "high", "set"), "blocks")
+        key = ["root", "low", "high"]
+        before = rows.select(*key, F.col("node").alias("p"), F.col("kept").alias("p_kept"), F.col("rank").alias("p_rank"), F.col("own").alias("p_own"), F.col("set").alias("p_set"))
+        earlier = F.struct("p_rank", "p") < F.struct("rank", "node")
+        once = (F.col("own") != F.col("p_own")) | (F.col("low") == F.col("high"))
+        pairs = rows.where(~F.col("kept")).join(before, key).where(earlier & once & similar("set", "p_set", near))
+        least = F.min(F.struct(~F.col("p_kept"), "p_rank", "p")).alias("m")  # one that stays, if there is one
+        partner = materialize(pairs.groupBy("node").agg(least).select("node", F.col("m.p").alias("p")), "partners")
+        if partner.isEmpty():
+            return gone if gone is not None else partner.select(F.col("node").alias("gone"))
+        waits = partner.select(F.col("node").alias("wait"))
+        out = materialize(partner.join(waits, F.col("p") == F.col("wait"), "left_anti").select(F.col("node").alias("gone")), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        stay = state.join(partner.select("node"), "node", "left_anti").select("node", "root", F.lit(True).alias("kept"))
+        wait = state.join(partner, "node").join(out, F.col("node") == F.col("gone"), "left_anti").select("node", "root", F.lit(False).alias("kept"))
+        wait = materialize(wait, "waiting")
+        if wait.isEmpty():
+            return gone
+        state = materialize(stay.join(wait.select("root").distinct(), "root", "left_semi").unionByName(wait), "state")
+
+
+def _gone(distinct: DataFrame, texts: DataFrame, bands: tuple[int, int, int, int], size: int, near: float, hot: int, block: int) -> DataFrame | None:
+    """Of distinct signatures: the ids, as `gone`, of texts that are similar enough to one that stays."""
+    bits, each, words, radius = bands
+    gone, sets, now, before = None, None, distinct, None
+    while True:
+        roots = components(near_links(now, words, bits, each, radius, hot=hot))
+        if roots.isEmpty():
+            return gone
+        if sets is None:
+            members = materialize(roots.select(F.col("node").alias("m")).unionByName(roots.select(F.col("root").alias("m")).distinct()), "members")
+            sets = materialize(shingle_sets(texts.join(members, F.col("k") == F.col("m"), "left_semi"), size), "sets")
+        judged = compared(roots, sets, near)
+        out = judged.where("near").select(F.col("node").alias("gone"))
+        gone = out if gone is None else gone.unionByName(out)
+        left = judged.where("NOT near").select("node", "root")
+        groups = left.groupBy("root").count().agg(F.sum("count"), F.max("count")).first()
+        if not groups[0]:
+            return gone
+        if groups[1] <= block or (before is not None and 2 * groups[0] > before):
+            return gone.unionByName(settled(left, sets, near, block))
+        before = groups[0]
+        now = materialize(distinct.join(left, F.col("least") == F.col("node"), "left_semi"), "left")
+
+
+def dedup(docs: DataFrame, *, size: int = WORDS, near: float = NEAR, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """`docs` without the rows whose text is similar to one that stays; same columns. Of a group of near copies the row of the
+    smallest doc_id stays, and those that aren't similar enough to any that does."""
     frame, of = plain(docs)
-    kept = frame.withColumn("key", id_key(of["doc_id"])).join(removed, F.col("key") == F.col("gone"), "left_anti")
-    if several:
-        once = kept.join(repeated, F.col("key") == F.col("again"), "left_anti")
-        kept = once.unionByName(kept.join(repeated, F.col("key") == F.col("again"), "left_semi").dropDuplicates(["key"]))
-    return kept.select(frame.columns).toDF(*docs.columns)
+    keyed = frame.withColumn("key", id_key(of["doc_id"]))
+    ids = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (ids[1] or 0) > 1:
+        keyed = _own_keys(keyed, of["text"])
+    bands = bands_for(ids[0] or 0, near)
+    lanes = bands[2]
+    texts = keyed.select(F.col("key").alias("k"), text_bytes(of["text"]).alias("text"))
+    rows = materialize(_signed(texts, size, lanes), "signatures")
+    names = [f"s{i}" for i in range(lanes)]
+    distinct = materialize(rows.groupBy("d0", "d1", *names).agg(F.min("k").alias("least")).drop("d0", "d1"), "distinct")
+    stay, gone = distinct.select("least"), _gone(distinct, texts, bands, size, near, hot, block)
+    if gone is not None:
+        stay = stay.join(gone, F.col("least") == F.col("gone"), "left_anti")
+    removed = materialize(rows.select(F.col("k").alias("out")).join(stay, F.col("out") == F.col("least"), "left_anti"), "removed")
+    return keyed.join(removed, F.col("key") == F.col("out"), "left_anti").select(frame.columns).toDF(*docs.columns)

@@ -150,28 +150,101 @@ def test_simhash_near_copies(spark):
     assert rows_of(simhash.classes(frame), "doc_id", "fingerprint", "component_id") == brute_classes(docs)
 
 
-def near_groups(docs, size=5, near=0.8):
-    """Components of exact copies and of texts whose signatures are near, by comparing all pairs."""
-    words, radius = simhash.bands_for(len(docs), near)[2:]
-    sign = simhash.signatures([(t or "").encode() for _, t in docs], size, words)
-    x, y = np.nonzero(np.bitwise_count(sign[:, None] ^ sign[None]).sum(-1) <= radius)
-    return simhash._join(np.arange(len(docs)), x, y)
-
-
-def test_simhash_dedup_leaves_one_of_each_group(spark, odd, nothing):
+def exact_sets(texts):
+    """Five-word shingles of each text, by plain Python."""
+    out = []
+    for t in texts:
+        words = [w for w in SPACE.split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_pairs(sets, near=0.8):
+    """Every pair of `near` or more, from an inverted index of all shingles."""
+    number, pairs = {}, []
+    rows = [np.array(sorted(number.setdefault(s, len(number)) for s in x), np.int64) for x in sets]
+    sizes = np.array([len(x) for x in rows])
+    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(flat, kind="stable")
+    holders, begins = of[order], np.searchsorted(flat[order], np.arange(len(number) + 1))
+    empty = np.flatnonzero(sizes == 0)
+    pairs += [(a, b) for i, a in enumerate(empty.tolist()) for b in empty[:i].tolist()]
+    for i, row in enumerate(rows):
+        if len(row):
+            met = np.bincount(np.concatenate([holders[begins[s] : begins[s + 1]] for s in row.tolist()]), minlength=i)[:i]
+            pairs += [(i, int(j)) for j in np.flatnonzero(met) if met[j] / (sizes[i] + sizes[j] - met[j]) >= near]
+    return pairs
+
+
+def check_kept(docs, left, recall):
+    """Each removed text has a kept partner; of all similar pairs, so many lost a member."""
+    sets = exact_sets([t for _, t in docs])
+    stays = np.array([i in left for i, _ in docs])
+    pairs = similar_pairs(sets)
+    held = {x for a, b in pairs for x, y in ((a, b), (b, a)) if stays[y]}
+    assert [docs[i][0] for i in np.flatnonzero(~stays).tolist() if i not in held] == []
+    assert sum(not (stays[a] and stays[b]) for a, b in pairs) >= recall * len(pairs)
+    return len(pairs)
+
+
+def test_simhash_dedup_of_odd_rows(spark, odd, nothing):
+    """Rows that share an id or lack one are told apart; equal ones are copies."""
     frame, rows = odd
     kept = simhash.dedup(frame)
     assert kept.columns == frame.columns
     ids = [x["_0"] for x in kept.toDF(*[f"_{i}" for i in range(len(frame.columns))]).collect()]
-    labels = near_groups([(r[0], r[1]) for r in rows])
-    same_id = {i: [k for k, r in enumerate(rows) if r[0] == i] for i in {r[0] for r in rows}}
-    pairs = [(a, b) for part in same_id.values() for a, b in zip(part, part[1:], strict=False)]
-    labels = simhash._join(labels, *(np.array(x) for x in zip(*pairs, strict=True)))
-    least = {min((rows[k][0] is not None, rows[k][0] or 0) for k in np.flatnonzero(labels == g)) for g in set(labels.tolist())}
-    assert sorted((i is not None, i or 0) for i in ids) == sorted(least)
+    sets = exact_sets([r[1] for r in rows])
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    stay = []
+    for i in order:
+        if not any(jaccard(sets[i], sets[j]) >= 0.8 for j in stay):
+            stay.append(i)
+    assert collections.Counter(ids) == collections.Counter(rows[i][0] for i in stay)
     assert simhash.dedup(nothing).count() == 0
 
 
+def chains(links, size=200):
+    """Texts each of which has some words of its predecessor changed: neighbours are similar, the ends aren't."""
+    r, docs = random.Random(links), []
+    for _ in range(12):
+        words = [f"w{r.randrange(10**7)}" for _ in range(size)]
+        for _ in range(links):
+            docs.append(" ".join(words))
+            at = r.randrange(size - 3)
+            words[at : at + 3] = [f"n{r.randrange(10**7)}" for _ in range(3)]
+    r.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("block", [3, simhash.BLOCK])
+def test_dedup_of_chains_keeps_a_partner(spark, block):
+    docs = chains(25)
+    left = {x["doc_id"] for x in simhash.dedup(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()}
+    assert check_kept(docs, left, 0.95) > 500
+
+
+def test_settled_is_a_maximal_choice(spark):
+    """In a family in which all are candidates, no similar pair stays and whatever goes has a partner that stays."""
+    docs = chains(20)
+    sets = simhash.shingle_sets(spark.createDataFrame([(i, t.encode()) for i, t in docs], "k long, text binary"))
+    left = spark.createDataFrame([(i, -1 - i % 2) for i, _ in docs], "node long, root long")
+    gone = {x["gone"] for x in simhash.settled(left, sets, 0.8, 16).collect()}
+    exact = exact_sets([t for _, t in docs])
+    pairs = [(a, b) for a, b in similar_pairs(exact) if a % 2 == b % 2]
+    assert all(a in gone or b in gone for a, b in pairs)
+    assert gone == {x for a, b in pairs for x, y in ((a, b), (b, a)) if x in gone and y not in gone}
+
+
+def test_dedup_of_the_largest_driver_table(spark):
+    docs = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    left = {x["doc_id"] for x in simhash.dedup(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    print(len(docs) - len(left), "removed,", check_kept(docs, left, 0.9), "pairs")
+
+
 @pytest.mark.parametrize("hot", [3, simhash.HOT])
 def test_dedup_finds_near_copies_and_leaves_others(spark, hot):
     """Copies with a share of their words changed: recall by similarity of five-word shingles; no other text goes."""

@@ -29,6 +29,8 @@ _SYMBOLS = list(b"#*$%&|<>")
 _MARKS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "#*$%&|<>!.,"]
 
 
+#: Labelled ids (8 bytes each) that are sent to every task, so that only their rows' statistics are learned from.
+MOST_SENT = 1_000_000
 #: Pseudo-counts that draw the ratios of short texts towards an ordinary rate.
 PRIOR_WORDS, PRIOR_BYTES = 8.0, 40.0
 
@@ -150,10 +152,21 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select(key_id("k").alias("doc_id"), (F.pmod("crc", F.lit(3)) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that score 0.5 or more, the model learned as in `score`; same columns. Texts are read once
-    for the statistics and once here; they aren't shuffled."""
-    model = fit(statistics_table(docs), labels, F.pmod("crc", F.lit(3)) != 1)
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """(doc_id, text) of the rows that a model may learn from: not held out, and among the labelled if those are few enough
+    to be sent to all tasks. More labels than that only leave more rows to compute statistics of; texts aren't shuffled."""
+    rows = pick(docs, "doc_id", "text").where(F.pmod(id_crc(), F.lit(3)) != 1)
+    known = pick(labels, "doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("labelled")).distinct()
+    known = materialize(known, "labelled")
+    if known.count() > most:
+        return rows
+    return rows.join(F.broadcast(known), id_key() == F.col("labelled"), "left_semi")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, most: int = MOST_SENT) -> DataFrame:
+    """The rows of `docs` that score 0.5 or more, the model learned as in `score`; same columns. Statistics are made once of
+    the rows that the model learns from and once of all rows; texts aren't shuffled."""
+    model = fit(statistics_table(labelled_rows(docs, labels, most)), labels, F.pmod("crc", F.lit(3)) != 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, of = plain(docs)
     column = of["text"]

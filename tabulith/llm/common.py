@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Bytes of a batch that the JVM hands to a Python worker, in a session that sets no bound of its own.
+BATCH_BYTES, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 NO_ID = -(1 << 63)
 
 
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tabulith/{label}-{uuid.uuid4().hex}"
+    if not spark.conf.get(BATCH_KEY, ""):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))  # 10,000 rows of long texts are too much for a task otherwise
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -79,6 +83,7 @@ def sub_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUN
             to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def pieces(batch: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:

@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tabulith/{label}-{uuid.uuid4().hex}"
-    if not spark.conf.get(BATCH_KEY, ""):
-        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))  # 10,000 rows of long texts are too much for a task otherwise
+    # 10,000 rows of long texts are too much for a task
+    spark.conf.set(BATCH_KEY, spark.conf.get(BATCH_KEY, str(BATCH_BYTES)))
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -2,8 +2,9 @@
 
 `distances` finds Kolmogorov and Smirnov's statistic by branch and bound. The values' counts in a grid of cells bound
 the distance inside each cell from both sides; only cells whose upper bound is above the best lower bound are looked into,
-by a finer grid, and once few values are left in them, exactly. A job shuffles some thousand rows and no column is
-sorted. `shapiro` has Shapiro and Wilk's W of short columns as aggregates over ranks. `chi_squares` counts in equal bins,
+by a finer grid, and once few values are left in them, exactly. A column that follows its law so closely that its cells stay
+open (whole numbers in a row are uniform to the last one) is compared value by value on the executors, each cell in order, so
+what the driver holds doesn't grow with the rows. `shapiro` has Shapiro and Wilk's W of short columns as aggregates over ranks. `chi_squares` counts in equal bins,
 `anderson` sums over all ranks, so it alone needs a cumulative table."""
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .selection import CELLS, MOST_VALUES, Grid, by_number
 
 #: Cells of a finer grid in all, about.
 FINER = 20_000
+#: Rows of a column's open cells, and of a cell, up to which cells are put in order rather than cut again.
+MOST_SORTED = 1_000_000
 SHAPIRO_ROWS = 5000
 LAWS = ("normal", "uniform")
 
@@ -52,6 +55,7 @@ def distances(grid: Grid, laws: tuple[str, ...] = LAWS) -> dict[int, dict[str, f
     best: dict[tuple[int, str], float] = {(i, law): 0.0 for i in live for law in laws}
     every = [c for i in live for c in grid.cells[i]]
     level = grid.rows.withColumn("slot", F.col("i"))
+    before: dict[int, float] = dict.fromkeys(live, math.inf)
     while True:
         for c in every:
             c["slot"] = c.get("slot", c["i"])
@@ -62,21 +66,33 @@ def distances(grid: Grid, laws: tuple[str, ...] = LAWS) -> dict[int, dict[str, f
         open_ = [c for c in every if any(c[law] > best[c["i"], law] for law in laws)]
         if not open_:
             break
-        table = rows_of(grid, [(c["slot"], c["cell"], k, c["low"], c["high"]) for k, c in enumerate(open_)])
-        inside = level.join(F.broadcast(table), ["slot", "cell"])  # at most the cells of a grid
         if sum(c["n"] for c in open_) <= MOST_VALUES:
             so_far = [c["below"] for c in open_]
-            last = inside.groupBy("next", "v").agg(F.count(F.lit(1)).alias("n"), *[F.min(law).alias(law) for law in laws])
+            last = _inside(grid, level, open_).groupBy("next", "v").agg(F.count(F.lit(1)).alias("n"), *[F.min(law).alias(law) for law in laws])
             for r in sorted(last.collect(), key=lambda r: (r["next"], r["v"])):
                 i, below = open_[r["next"]]["i"], so_far[r["next"]]
                 so_far[r["next"]] += r["n"]
                 for law in laws:
                     best[i, law] = max(best[i, law], (below + r["n"]) / stats[i]["valid"] - r[law], r[law] - below / stats[i]["valid"])
             break
+        left = dict.fromkeys(live, 0)
+        for c in open_:
+            left[c["i"]] += c["n"]
+        most = max(MOST_SORTED, sum(left.values()) // FINER)
+        near = [c for c in open_ if c["n"] <= most and (left[c["i"]] <= MOST_SORTED or left[c["i"]] > before[c["i"]] / 2)]
+        before = left
+        if near:
+            for i, found in _ordered(grid, level, near, laws).items():
+                for law in laws:
+                    best[i, law] = max(best[i, law], found[law])
+            done = {id(c) for c in near}
+            open_ = [c for c in open_ if id(c) not in done and any(c[law] > best[c["i"], law] for law in laws)]
+            if not open_:
+                break
         finer = max(4, min(CELLS, FINER // len(open_)))
         wide = F.when(F.col("low") < F.col("high"), F.col("high") - F.col("low")).otherwise(1.0)
         cell = F.least(F.floor((F.col("v") - F.col("low")) / wide * finer), F.lit(finer - 1)).cast("int")
-        level = inside.select("i", "v", *laws, F.col("next").alias("slot"), cell.alias("cell"))
+        level = _inside(grid, level, open_).select("i", "v", *laws, F.col("next").alias("slot"), cell.alias("cell"))
         bounds = [f(law).alias(f"{n}_{law}") for law in laws for n, f in (("least", F.min), ("most", F.max))]
         found = level.groupBy("slot", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), *bounds).collect()
         every, so_far = [], [c["below"] for c in open_]
@@ -86,6 +102,24 @@ def distances(grid: Grid, laws: tuple[str, ...] = LAWS) -> dict[int, dict[str, f
     return {i: {law: best[i, law] for law in laws} for i in live}
 
 
+def _inside(grid: Grid, level: DataFrame, cells: list[dict[str, Any]]) -> DataFrame:
+    """The rows of a level in some of its cells, `next` being the cell's place among them."""
+    table = rows_of(grid, [(c["slot"], c["cell"], k, c["low"], c["high"]) for k, c in enumerate(cells)])
+    return level.join(F.broadcast(table), ["slot", "cell"])  # at most the cells of a grid
+
+
+def _ordered(grid: Grid, level: DataFrame, cells: list[dict[str, Any]], laws: tuple[str, ...]) -> dict[int, dict[str, float]]:
+    """By number, the greatest distance inside some cells, of which none has more rows than a task can put in order."""
+    below = grid.rows.sparkSession.createDataFrame([(k, c["below"], float(grid.stats[c["i"]]["valid"])) for k, c in enumerate(cells)], "next int, below long, valid double")
+    values = _inside(grid, level, cells).groupBy("next", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("next").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = values.select("next", "i", "v", "n", upto.alias("upto")).join(F.broadcast(below), "next")
+    # as columns first: inside the aggregates they would be too much code for one method
+    each = placed.select("i", (F.col("below") + F.col("upto")).alias("upto"), "n", "valid", *[grid.extra[law].alias(law) for law in laws])
+    over = [F.max(F.greatest(F.col("upto") / F.col("valid") - F.col(law), F.col(law) - (F.col("upto") - F.col("n")) / F.col("valid"))).alias(law) for law in laws]
+    return {r["i"]: r.asDict() for r in each.groupBy("i").agg(*over).collect()}
+
+
 def rows_of(grid: Grid, cells: list[tuple]) -> DataFrame:
     return grid.rows.sparkSession.createDataFrame(cells, "slot int, cell int, next int, low double, high double")
 

@@ -184,7 +184,7 @@ class Grid:
 
     def __init__(self, rows: DataFrame, stats: list[dict[str, Any]], extra: dict[str, Column] | None = None):
         extra = extra or {}
-        self.stats, self.count = stats, max(16, min(CELLS, MOST_CELLS // max(1, len(stats))))
+        self.stats, self.extra, self.count = stats, extra, max(16, min(CELLS, MOST_CELLS // max(1, len(stats))))
         low, high = (by_number([float(s[e] or 0.0) for s in stats]) for e in ("min", "max"))
         v = F.col("v")
         cell = F.when(low < high, F.least(F.floor((v - low) / (high - low) * self.count), F.lit(self.count - 1))).otherwise(0).cast("int")

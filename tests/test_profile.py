@@ -360,6 +360,33 @@ def test_kolmogorov_distances_without_a_sort(spark, monkeypatch, cells, most):
         assert found["normal"] == pytest.approx(plain_distance(x, np.vectorize(NormalDist(s["mean"], s["pop"]).cdf)), abs=1e-6)
 
 
+def test_kolmogorov_distances_of_uniform_columns_stay_on_the_executors(spark, monkeypatch):
+    """Whole numbers in a row leave all cells open: the driver gets no more rows for more of them, and the distance is exact;
+    values that crowd in one cell are cut before they are put in order."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    from tabulith.operators import fits
+
+    monkeypatch.setattr(selection, "CELLS", 16)
+    for name, value in {"CELLS": 16, "MOST_VALUES": 50, "FINER": 40, "MOST_SORTED": 300}.items():
+        monkeypatch.setattr(fits, name, value, raising=False)
+    taken = []
+    collect = Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: (taken.append(len(rows := collect(self))), rows)[1])
+    most = []
+    for n in (2_000, 16_000):
+        r = np.random.default_rng(n)
+        columns = [np.arange(n, dtype=float), np.repeat(np.arange(n // 4, dtype=float), 4), np.r_[1e9, np.arange(n - 1, dtype=float)], r.uniform(size=n).round(4)]
+        stats = [{"valid": n, "min": x.min(), "max": x.max(), "mean": x.mean(), "pop": x.std(), "std": x.std()} for x in columns]
+        frame = spark.createDataFrame([(i, float(v)) for i, x in enumerate(columns) for v in x], "i int, v double").repartition(4)
+        taken.clear()
+        got = fits.distances(selection.Grid(frame, stats, fits.laws_of(stats)))
+        most.append(max(taken))
+        for i, (x, s) in enumerate(zip(columns, stats, strict=True)):
+            assert got[i]["uniform"] == pytest.approx(plain_distance(x, lambda v: (v - s["min"]) / (s["max"] - s["min"])), abs=1e-12)
+            assert got[i]["normal"] == pytest.approx(plain_distance(x, np.vectorize(NormalDist(s["mean"], s["pop"]).cdf)), abs=1e-6)
+    assert most[1] <= 1.5 * most[0] + 50 and most[1] < 1_000
+
+
 @pytest.mark.parametrize("most", [50_000, 30])
 def test_grid_ranks_and_deviations(spark, monkeypatch, most):
     monkeypatch.setattr(selection, "MOST_VALUES", most)

@@ -123,7 +123,7 @@ def shapiro_ends(n: int, square: float, last: float, last_but_one: float) -> tup
 
 
 def shapiro_probability(w: float, n: int) -> float:
-    """P of Shapiro and Wilk's W for 3 to 5000 values."""
+    """P of Shapiro and Wilk's W for 3 to 5000 values; for more, the same functions carried on."""
     if n == 3:
         return max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     y = math.log(max(1 - w, 1e-300))

@@ -4,7 +4,7 @@
 the distance inside each cell from both sides; only cells whose upper bound is above the best lower bound are looked into,
 by a finer grid, and once few values are left in them, exactly. A column that follows its law so closely that its cells stay
 open (whole numbers in a row are uniform to the last one) is compared value by value on the executors, each cell in order, so
-what the driver holds doesn't grow with the rows. `shapiro` has Shapiro and Wilk's W of short columns as aggregates over ranks. `chi_squares` counts in equal bins,
+what the driver holds doesn't grow with the rows. `shapiro` has Shapiro and Wilk's W as aggregates over ranks. `chi_squares` counts in equal bins,
 `anderson` sums over all ranks, so it alone needs a cumulative table."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions
 from ..functions.stats import normal_cdf, normal_inverse
-from .selection import CELLS, MOST_VALUES, Grid, by_number
+from .selection import CELLS, MOST_VALUES, Grid, by_number, release, row_ranks
 
 #: Cells of a finer grid in all, about.
 FINER = 20_000
@@ -166,18 +166,22 @@ def chi_squares(rows: DataFrame, stats: list[dict[str, Any]]) -> dict[int, tuple
     return out
 
 
-def shapiro(rows: DataFrame, stats: list[dict[str, Any]]) -> dict[int, tuple[float, float]]:
-    """By number, W and its P of the columns of 3 to SHAPIRO_ROWS finite values; others are left out. One job for all.
+def shapiro(rows: DataFrame, stats: list[dict[str, Any]], most: int | None = SHAPIRO_ROWS) -> dict[int, tuple[float, float]]:
+    """By number, W and its P of the columns of 3 to `most` finite values (None: any number); others are left out.
 
-    Expected normal scores are Columns of the rank (Blom's), so all sums behind W are aggregates. A column's ranks are
-    a window of SHAPIRO_ROWS rows at most."""
-    used = [i for i, s in enumerate(stats) if 3 <= s["valid"] <= SHAPIRO_ROWS]
+    Expected normal scores are Columns of the rank (Blom's), so all sums behind W are aggregates. The ranks of columns of up to
+    SHAPIRO_ROWS rows are a window, in one job for all; longer columns are range-partitioned."""
+    used = [i for i, s in enumerate(stats) if 3 <= s["valid"] and (most is None or s["valid"] <= most)]
     out = {i: (1.0, 1.0) for i in used if stats[i]["min"] == stats[i]["max"]}
     if not (open_ := [i for i in used if i not in out]):
         return out
     rank, n, x = F.col("rank"), F.col("n"), F.col("x")
-    few = rows.where("v IS NOT NULL").where(F.col("i").isin(open_))
-    ranked = few.select("i", (F.col("v") - _get(stats, "mean")).alias("x"), _get(stats, "valid").alias("n"), F.row_number().over(Window.partitionBy("i").orderBy("v")).alias("rank"))
+    long = [i for i in open_ if stats[i]["valid"] > SHAPIRO_ROWS]
+    there = rows.where("v IS NOT NULL")
+    few = there.where(F.col("i").isin([i for i in open_ if i not in long])).select("i", "v", F.row_number().over(Window.partitionBy("i").orderBy("v")).alias("rank"))
+    many = row_ranks(there.where(F.col("i").isin(long)).select("i", "v")) if long else None
+    placed = few if many is None else many if len(long) == len(open_) else few.unionByName(many)
+    ranked = placed.select("i", (F.col("v") - _get(stats, "mean")).alias("x"), _get(stats, "valid").alias("n"), "rank")
     score = normal_inverse((rank - 0.375) / (n + 0.25))
     scored = ranked.select("i", "x", "n", "rank", F.when(2 * rank == n + 1, 0.0).otherwise(score).alias("m"))
     at = lambda c, k: F.max(F.when(rank == k, F.col(c)))
@@ -197,4 +201,6 @@ def shapiro(rows: DataFrame, stats: list[dict[str, Any]]) -> dict[int, tuple[flo
         rest = (r["weighted"] - sum(m * d for m, d in zip(scores, spans, strict=True))) / scale if n_ > 3 else 0.0
         w = min(1.0, (sum(a * d for a, d in zip(ends, spans, strict=True)) + rest) ** 2 / r["squares"])
         out[r["i"]] = w, distributions.shapiro_probability(w, n_)
+    if many is not None:
+        release(many)
     return out

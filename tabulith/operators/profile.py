@@ -202,7 +202,7 @@ def _laws(normality: str, uniformity: str) -> tuple[str, ...]:
     return tuple(law for law, used in (("normal", normality == "ks"), ("uniform", uniformity == "ks")) if used)
 
 
-def _tests(df: DataFrame, columns: list[str], clean: list[str], grid: Grid | None, stats: dict[str, dict[str, Any]], normality: str, uniformity: str) -> None:
+def _tests(df: DataFrame, columns: list[str], clean: list[str], grid: Grid | None, stats: dict[str, dict[str, Any]], normality: str, uniformity: str, shapiro_rows: int | None) -> None:
     """Fills in `normality` and `uniformity` texts of numeric columns with more than 3 values; clean: the finite ones, as in the grid."""
     tested = [c for c in columns if stats[c]["valid"] > 3]
     for c in tested:
@@ -213,7 +213,7 @@ def _tests(df: DataFrame, columns: list[str], clean: list[str], grid: Grid | Non
     rows = long_form(df, [quoted(c) for c in clean])
     gaps = fits.distances(grid, _laws(normality, uniformity))
     squares = fits.chi_squares(rows, mine) if uniformity == "chi2" else {}
-    small = fits.shapiro(rows, mine) if normality == "shapiro" else {}
+    small = fits.shapiro(rows, mine, shapiro_rows) if normality == "shapiro" else {}
     sums: dict[int, float] = {}
     if normality == "anderson":
         table = cumulative(df, {c: quoted(c) for c in clean})
@@ -318,12 +318,14 @@ def xray(
     fix_skew: bool = False,
     strict_int32: bool = False,
     exact_distinct: bool = False,
+    shapiro_rows: int | None = fits.SHAPIRO_ROWS,
 ):
     """A summary of each included column: a DataFrame with great_tables=False, else an HTML report.
 
     fix_skew lets the skewness term of the shakiness score count; strict_int32 makes the type suggestion check the
     upper bound of Int32 too; exact_distinct counts distinct values exactly at any size (else approximately above
-    EXACT_DISTINCT_ROWS rows). All are off by default, as in the model."""
+    EXACT_DISTINCT_ROWS rows). All are off by default, as in the model. shapiro_rows is the number of values up to which
+    the Shapiro-Wilk test is made, the model's by default; None sets no limit."""
     began = time.perf_counter()
     percentiles = [0.25, 0.5, 0.75] if percentiles is None else list(percentiles)
     if outlier_method not in ("iqr", "percentile", "zscore"):
@@ -370,7 +372,7 @@ def xray(
     quantile |= _far_ranks(given, [c for c in live if stats[c].get("far")], kinds, stats, wanted)
     if expanded and live:
         _deviations(df, live, finite, grid, stats, quantile)
-        _tests(df, live, finite, grid, stats, normality_test, uniformity_test)
+        _tests(df, live, finite, grid, stats, normality_test, uniformity_test, shapiro_rows)
     approximate = _distinct(given, columns, kinds, stats, rows, exact_distinct) if expanded else False
     plans = {}
     for c in live:

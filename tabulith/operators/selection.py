@@ -324,6 +324,22 @@ def cumulative(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return out
 
 
+def row_ranks(rows: DataFrame) -> DataFrame:
+    """(i, v, rank) of rows (i, v): each row's place (from 1) among its number's, equal values in any order. Rows are
+    range-partitioned, and partition totals are added. Persisted parts are let go with `release`."""
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # with it, one value may fill many partitions
+    parts = numbered.repartitionByRange("i", "v", "row").select(F.spark_partition_id().alias("part"), "i", "v").persist()
+    offsets, so_far = [], {}
+    for r in sorted(parts.groupBy("part", "i").count().collect(), key=lambda r: (r["i"], r["part"])):  # a few rows for each partition
+        offsets.append((r["part"], r["i"], so_far.get(r["i"], 0)))
+        so_far[r["i"]] = so_far.get(r["i"], 0) + r["count"]
+    before = rows.sparkSession.createDataFrame(offsets, "part int, i int, offset long")
+    own = parts.withColumn("own", F.row_number().over(Window.partitionBy("part", "i").orderBy("v")))
+    out = own.join(F.broadcast(before) if len(offsets) <= MOST_VALUES else before, ["part", "i"]).select("i", "v", (F.col("own") + F.col("offset")).alias("rank"))
+    out.__dict__["_persisted"] = parts
+    return out
+
+
 def table_ranks(table: DataFrame, ranks: list[list[int]]) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
     """From a cumulative table, by number: how many distinct values there are, and the values of the 0-based ranks. One job."""
     v, f, below = F.col("v"), F.col("f"), F.col("below")

@@ -326,6 +326,23 @@ def test_shapiro_wilk(spark):
         assert shapiro(spark, scores)[0] == pytest.approx(1.0, abs=0.012)
 
 
+def test_shapiro_wilk_of_long_columns(spark, monkeypatch):
+    """Ranks across partitions give the W of one window; the profile has no limit where it is told so."""
+    from tabulith.operators import fits
+
+    values = np.random.default_rng(4).normal(size=400).round(1)
+    whole = shapiro(spark, values)
+    monkeypatch.setattr(fits, "SHAPIRO_ROWS", 50)
+    frame = spark.createDataFrame([(i, float(v)) for v in values for i in (0, 1)] + [(2, float(v)) for v in values[:40]] + [(0, None)], "i int, v double").repartition(3)
+    stats = [{"valid": len(x), "min": x.min(), "max": x.max(), "mean": x.mean()} for x in (values, values, values[:40])]
+    got = fits.shapiro(frame, stats, None)
+    assert got[0] == pytest.approx(whole, abs=1e-9) and got[1] == pytest.approx(whole, abs=1e-9)
+    assert got[2] == pytest.approx(shapiro(spark, values[:40]), abs=1e-9) and set(fits.shapiro(frame, stats, 50)) == {2}
+    long = spark.range(6000).select((F.col("id") % 977).cast("double").alias("x"))
+    said = lambda **o: tb.xray(long, expanded=True, great_tables=False, **o).first()["Normality_Test"]
+    assert said() == "N/A (sample too large)" and said(shapiro_rows=None) == "NON-NORMAL (Shapiro-Wilk, p=0.000)"
+
+
 def test_normal_inverse(spark):
     p = [1e-12, 1e-4, 0.02, 0.075, 0.3, 0.5, 0.8, 0.9999, 1 - 1e-9]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in p], "p double").select(normal_inverse(F.col("p"))).collect()]

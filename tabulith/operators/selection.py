@@ -34,6 +34,8 @@ ACCURACY = 10_000
 MOST_VALUES = 50_000
 #: Most distinct values of a column whose ranks are broadcast.
 MOST_BROADCAST = 200_000
+#: Most columns with more distinct values whose ranks are joined to the rows, a shuffle of the rows for each.
+MOST_JOINED = 3
 
 
 def nearest_rank(p: float, n: int) -> int:
@@ -424,18 +426,20 @@ def average_ranks(df: DataFrame, names: dict[str, Column]) -> DataFrame:
     """The average ranks (1-based) of each expression's values under its name, one row for each row of df that has any;
     null stays null.
 
-    Where all columns have few distinct values (MOST_BROADCAST, estimated first), those are sent to all tasks with their
-    ranks, and rows don't move. Else values are shuffled twice, however many columns there are: by range to be ranked,
-    and by row to be put together again."""
+    The ranks of columns with few distinct values (MOST_BROADCAST, estimated first) are sent to all tasks. Those of up to
+    MOST_JOINED columns with more, if they are no more than the others, are joined by value, with repeats of a value combined
+    before; rows move once for each such column. With more, all values are shuffled twice, however many columns there are: by
+    range to be ranked, and by row to be put together again."""
     values = list(names.values())
     sizes = long_form(df, values).where("v IS NOT NULL").groupBy("i").agg(F.approx_count_distinct("v").alias("n")).collect()
-    if any(r["n"] > MOST_BROADCAST * 0.8 for r in sizes):
+    large = {r["i"] for r in sizes if r["n"] > MOST_BROADCAST * 0.8}
+    if len(large) > min(MOST_JOINED, len(names) // 2):
         return _ranks_by_range(df, names)
     table = cumulative(df, names)
     out = df.select([v.cast("double").alias(f"_{i}") for i, v in enumerate(values)])
-    for i in range(len(names)):
-        ranks = F.broadcast(table.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), (F.col("below") + (F.col("f") + 1) / 2).alias(f"r{i}")))
-        out = out.join(ranks, F.col(f"_{i}") == F.col(f"v{i}"), "left").drop(f"_{i}", f"v{i}")
+    for i in [*sorted(large), *[i for i in range(len(names)) if i not in large]]:
+        ranks = table.where(F.col("i") == i).select(F.col("v").alias(f"v{i}"), (F.col("below") + (F.col("f") + 1) / 2).alias(f"r{i}"))
+        out = out.join(ranks if i in large else F.broadcast(ranks), F.col(f"_{i}") == F.col(f"v{i}"), "left").drop(f"_{i}", f"v{i}")
     out = out.select([F.col(f"r{i}").alias(c) for i, c in enumerate(names)])
     out.__dict__["_persisted"] = table.__dict__.pop("_persisted")
     return out

@@ -254,6 +254,21 @@ def test_ranks_by_range(spark, monkeypatch):
     assert plans[0].count("Exchange ") == plans[1].count("Exchange ")
 
 
+def test_ranks_of_one_column_with_many_values_are_joined(spark, monkeypatch):
+    """A column of many values doesn't make the others move: ties, null, NaN, both zeros."""
+    values = [7.0, None, math.nan, -0.0, 0.0, 3.5, 7.0, 7.0, -2.0, 11.0]
+    frame = spark.createDataFrame([(v, float(k % 2), float(k % 3), k) for k, v in enumerate(values)], "x double, y double, z double, k long").repartition(3)
+    names = {"x": frame.x, "y": frame.y, "z": frame.z}
+    wanted = sorted(map(repr, average_ranks(frame, names).collect()))
+    monkeypatch.setattr(selection, "MOST_BROADCAST", 5)
+    monkeypatch.setattr(selection, "_ranks_by_range", lambda *_: pytest.fail("all values are shuffled by row"))
+    out = average_ranks(frame, names)
+    assert sorted(map(repr, out.collect())) == wanted
+    x = sorted((t["x"] for t in out.collect()), key=lambda r: (r is not None, r))
+    assert x == [None, 1.0, 2.5, 2.5, 4.0, 6.0, 6.0, 6.0, 8.0, 9.0]
+    selection.release(out)
+
+
 def test_clusters_merge_as_by_fresh_means():
     from itertools import combinations
 

@@ -21,6 +21,13 @@ def kolmogorov(d: float, n: int) -> float:
     return min(1.0, max(0.0, 1.0 - (_matrix_powers(d, n) if n <= EXACT_SIZE else _pelz_good(d, n))))
 
 
+def kolmogorov_settled(low: float, high: float, n: int) -> bool:
+    """Whether all distances from low to high have the same P to three digits, and on the same side of 0.05. Leaves room for
+    the error of `kolmogorov`, so that its P of low can stand for all."""
+    most, least = min(1.0, kolmogorov(low, n) + 1e-5), max(0.0, kolmogorov(high, n) - 1e-5)
+    return f"{most:.3f}" == f"{least:.3f}" and (most > 0.05) == (least > 0.05)
+
+
 def _matrix_powers(d: float, n: int) -> float:
     """P of a distance under d (Marsaglia, Tsang and Wang 2003)."""
     k = int(n * d) + 1

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import time
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -103,8 +104,8 @@ def _base(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], targe
     return out
 
 
-def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], rows: int, exact: bool) -> bool:
-    """Fills in `distinct`, null being a value; True if approximate."""
+def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], stats: dict[str, dict[str, Any]], rows: int, exact: bool, known: dict[str, int]) -> bool:
+    """Fills in `distinct`, null being a value; True if approximate. known: counts without null that are exact anyway."""
     approximate = rows > EXACT_DISTINCT_ROWS and not exact
     if not columns:
         return approximate
@@ -113,7 +114,8 @@ def _distinct(df: DataFrame, columns: list[str], kinds: dict[str, T.DataType], s
         row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(14))).alias(str(i)) for i, c in enumerate(_groupable(c, kinds[c]) for c in columns)]).first()
         counts = {c: row[i] for i, c in enumerate(columns)}
     else:
-        counts = distinct_counts(df, {c: kinds[c] for c in columns}, {c: stats[c]["valid"] for c in columns})
+        open_ = [c for c in columns if c not in known]
+        counts = known | distinct_counts(df, {c: kinds[c] for c in open_}, {c: stats[c]["valid"] for c in open_})
     for c in columns:
         stats[c]["distinct"] = counts[c] + (stats[c]["valid"] < rows)
     return approximate
@@ -138,12 +140,38 @@ def outlier(v: Column, bounds: tuple[float, float]) -> Column:
     return (v < F.lit(bounds[0])) | (v > F.lit(bounds[1]))
 
 
-def _histograms_and_outliers(rows: DataFrame, plans: dict[str, tuple[list[float] | None, tuple[float, float] | None]]) -> tuple[dict[str, list[int]], dict[str, int]]:
-    """Counts by bin and of outliers, from rows (i, v, f): of all columns in one job, that shuffles a few rows for each."""
+def _place(v: float, edges: list[float] | None, bounds: tuple[float, float] | None) -> tuple[int | None, int]:
+    """A value's bin, as `_histograms_and_outliers` has it, and on which side it is outside."""
+    guess = None
+    if edges and edges[0] <= v <= edges[-1]:
+        count = len(edges) - 1
+        guess = min(math.floor((v - edges[0]) / ((edges[-1] - edges[0]) / count)), count - 1)
+        guess = guess - 1 if v < edges[guess] else guess + 1 if v >= edges[guess + 1] and guess < count - 1 else guess
+    return guess, (v > bounds[1]) - (v < bounds[0]) if bounds else 0
+
+
+def _open_cells(grid: Grid, plans: dict[str, tuple[list[float] | None, tuple[float, float] | None]]) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
+    """The cells of a grid whose values all lie in one bin, on one side of the bounds, and the others. Plans in its order."""
+    whole, cut = [], []
+    for cells, plan in zip(grid.cells, plans.values(), strict=False):
+        for c in cells:
+            (whole if _place(c["low"], *plan) == _place(c["high"], *plan) else cut).append(c)
+    return whole, cut
+
+
+def _histograms_and_outliers(rows: DataFrame | None, plans: dict[str, tuple[list[float] | None, tuple[float, float] | None]], whole: list[dict[str, Any]]) -> tuple[dict[str, list[int]], dict[str, int]]:
+    """Counts by bin and of outliers, from rows (i, v, f) and cells that lie in one bin: of all columns in one job, that
+    shuffles a few rows for each."""
     names = list(plans)
     bins: dict[str, list[int]] = {n: [0] * (len(e) - 1) for n, (e, _) in plans.items() if e}
     outside = dict.fromkeys(plans, 0)
-    if any(e or b for e, b in plans.values()):
+    for c in whole:
+        name = names[c["i"]]
+        at, side = _place(c["low"], *plans[name])
+        outside[name] += c["n"] * (side != 0)
+        if at is not None:
+            bins[name][at] += c["n"]
+    if rows is not None and any(e or b for e, b in plans.values()):
         v = F.col("v")
         most = max((len(x) for x in bins.values()), default=1)
         # edges of all columns, those with fewer bins filled up with their last edge
@@ -211,7 +239,8 @@ def _tests(df: DataFrame, columns: list[str], clean: list[str], grid: Grid | Non
         return
     mine = [stats[c] for c in clean]
     rows = long_form(df, [quoted(c) for c in clean])
-    gaps = fits.distances(grid, _laws(normality, uniformity))
+    # only P is shown
+    gaps = fits.distances(grid, _laws(normality, uniformity), lambda i, _, low, high: distributions.kolmogorov_settled(low, high, mine[i]["valid"]))
     squares = fits.chi_squares(rows, mine) if uniformity == "chi2" else {}
     small = fits.shapiro(rows, mine, shapiro_rows) if normality == "shapiro" else {}
     sums: dict[int, float] = {}
@@ -373,7 +402,9 @@ def xray(
     if expanded and live:
         _deviations(df, live, finite, grid, stats, quantile)
         _tests(df, live, finite, grid, stats, normality_test, uniformity_test, shapiro_rows)
-    approximate = _distinct(given, columns, kinds, stats, rows, exact_distinct) if expanded else False
+    # where each cell has one value, they are the distinct ones
+    known = {c: len(grid.cells[i]) for i, c in enumerate(finite) if c not in wide and all(x["low"] == x["high"] for x in grid.cells[i])}
+    approximate = _distinct(given, columns, kinds, stats, rows, exact_distinct, known) if expanded else False
     plans = {}
     for c in live:
         s = stats[c]
@@ -382,7 +413,12 @@ def xray(
         edges = fits.edges_of(s["min"], s["max"], bins) if shown and s["min"] < s["max"] else None
         s["histogram"] = None if edges else [s["valid"]] if shown and not s["nan"] else []
         plans[c] = (edges, _bounds(outlier_method, s, quantile, c, outlier_bounds))
-    bins_of, outside = _histograms_and_outliers(long_form(df, [quoted(n) for n in plans], F.lit(1).alias("f")), plans) if plans else ({}, {})
+    plans = {c: plans[c] for c in [*finite, *rest]}
+    whole, cut = _open_cells(grid, plans) if grid else ([], [])
+    parts = [grid.inside(cut)] if cut else []
+    if rest:
+        parts.append(long_form(df, [quoted(c) for c in rest], F.lit(1).cast("long").alias("f")).select((F.col("i") + len(finite)).alias("i"), "v", "f"))
+    bins_of, outside = _histograms_and_outliers(reduce(DataFrame.unionByName, parts) if parts else None, plans, whole)
     for c in live:
         stats[c]["histogram"] = bins_of.get(c, stats[c]["histogram"])
         stats[c]["outliers"] = outside[c]

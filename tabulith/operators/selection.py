@@ -13,7 +13,7 @@ each partition sums up on its own, and partition totals (one number each) are ad
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from decimal import Context, Decimal
 from functools import reduce
@@ -181,20 +181,21 @@ class Grid:
     """The values of finite columns counted in cells of equal width, with each cell's least and greatest value: one job that
     sends some hundred rows for each column. Ranks, and bounds of much else, follow from it but for a few cells' values.
 
-    rows: (i, v), a value and its column's number; stats: valid, min and max of each. `extra`: further expressions of i and v,
-    whose least and greatest value in each cell are kept too."""
+    rows: (i, v), a value and its column's number; stats: valid, min and max of each. `extra`: functions that give further
+    expressions of i and v, which are kept at the least and greatest v of each cell."""
 
-    def __init__(self, rows: DataFrame, stats: list[dict[str, Any]], extra: dict[str, Column] | None = None):
+    def __init__(self, rows: DataFrame, stats: list[dict[str, Any]], extra: dict[str, Callable[[Column], Column]] | None = None):
         extra = extra or {}
         self.stats, self.extra, self.count = stats, extra, max(16, min(CELLS, MOST_CELLS // max(1, len(stats))))
         low, high = (by_number([float(s[e] or 0.0) for s in stats]) for e in ("min", "max"))
         v = F.col("v")
         cell = F.when(low < high, F.least(F.floor((v - low) / (high - low) * self.count), F.lit(self.count - 1))).otherwise(0).cast("int")
         self.plain = rows.where("v IS NOT NULL").select("i", "v")
-        self.rows = self.plain.select("i", "v", *[x.alias(n) for n, x in extra.items()], cell.alias("cell"))
-        bounds = [f(n).alias(f"{e}_{n}") for n in extra for e, f in (("least", F.min), ("most", F.max))]
+        self.rows = self.plain.select("i", "v", cell.alias("cell"))
+        found = self.rows.groupBy("i", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        ends = [x(F.col(end)).alias(f"{e}_{n}") for n, x in extra.items() for e, end in (("least", "low"), ("most", "high"))]
         self.cells: list[list[dict[str, Any]]] = [[] for _ in stats]
-        for r in self.rows.groupBy("i", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), *bounds).collect():
+        for r in found.select("*", *ends).collect():
             self.cells[r["i"]].append(r.asDict())
         for found in self.cells:
             found.sort(key=lambda c: c["cell"])
@@ -203,6 +204,14 @@ class Grid:
                 c["below"] = below
                 below += c["n"]
 
+    def inside(self, wanted: list[dict[str, Any]]) -> DataFrame:
+        """(i, v, f) of some cells: their rows, or one row that stands for all where a cell has one value."""
+        spark = self.rows.sparkSession
+        one = [(c["i"], c["low"], c["n"]) for c in wanted if c["low"] == c["high"]]
+        table = F.broadcast(spark.createDataFrame([(c["i"], c["cell"]) for c in wanted if c["low"] < c["high"]], "i int, cell int"))  # at most all cells
+        rows = self.rows.join(table, ["i", "cell"]).select("i", "v", F.lit(1).cast("long").alias("f"))
+        return rows.unionByName(spark.createDataFrame(one, "i int, v double, f long")) if one else rows
+
     def values(self, wanted: list[dict[str, Any]]) -> dict[tuple[int, int], list[tuple[float, int]]] | None:
         """By number and cell, the sorted values of some cells with their counts; None if they are too many."""
         known = {(c["i"], c["cell"]): [(c["low"], c["n"])] for c in wanted if c["low"] == c["high"]}
@@ -241,9 +250,12 @@ class Grid:
             wanted += [c for near, far, c in spans if near <= most and far >= least] if mine else []
         values = self.values(wanted)
         if values is None:
-            away = self.plain.select("i", F.abs(F.col("v") - by_number(middles)).alias("v"), F.lit(1).alias("f"))
-            ends = [(0.0, max(m - s["min"], s["max"] - m)) for m, s in zip(middles, self.stats, strict=True)]
-            return weighted_ranks(away, ends, ranks, [s["valid"] for s in self.stats])
+            away = self.inside(wanted).select("i", F.abs(F.col("v") - by_number(middles)).alias("v"), "f")
+            start = []
+            for i, mine in enumerate(ranks):
+                if spans := [(abs(c["low"] - middles[i]), abs(c["high"] - middles[i]), c["low"] <= middles[i] <= c["high"], c["n"]) for c in wanted if c["i"] == i]:
+                    start.append((i, min(0.0 if around else min(a, b) for a, b, around, _ in spans), max(max(a, b) for a, b, _, _ in spans), before[i], sum(n for *_, n in spans), sorted(set(mine))))
+            return weighted_ranks(away, [(0.0, 0.0)] * len(ranks), [[] for _ in ranks], start=start)
         out: dict[tuple[int, int], float] = {}
         for i, mine in enumerate(ranks):
             every = sorted((abs(v - middles[i]), n) for (j, _), x in values.items() if j == i for v, n in x)

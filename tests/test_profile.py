@@ -431,6 +431,55 @@ def test_kolmogorov_distances_of_uniform_columns_stay_on_the_executors(spark, mo
     assert most[1] <= 1.5 * most[0] + 50 and most[1] < 1_000
 
 
+def test_shown_probabilities_need_no_order(spark, monkeypatch):
+    """Keys in a row are told uniform by bounds, with no value put in order or sent; texts are those of exact distances."""
+    from tabulith.operators import fits
+
+    monkeypatch.setattr(selection, "CELLS", 16)
+    for name, value in {"CELLS": 16, "MOST_VALUES": 50, "FINER": 40, "MOST_SORTED": 300}.items():
+        monkeypatch.setattr(fits, name, value)
+    n = 20_000
+    keys = spark.range(n).select(F.col("id").alias("key"), (F.col("id") % 7).alias("few"), (F.col("id") / 4).cast("long").alias("four"))
+    with monkeypatch.context() as m:
+        m.setattr(fits, "_ordered", lambda *_: pytest.fail("values were put in order"))
+        got = {r["Column"]: r for r in tb.xray(keys, great_tables=False, expanded=True, normality_test="ks").collect()}
+    assert got["key"]["Uniformity_Test"] == got["four"]["Uniformity_Test"] == "UNIFORM (KS, p=1.000)"
+    assert got["few"]["Uniformity_Test"] == "NON-UNIFORM (KS, p=0.000)" and got["key"]["Normality_Test"] == "NON-NORMAL (Kolmogorov-Smirnov, p=0.000)"
+    r = np.random.default_rng(3)
+    columns = [*[r.uniform(size=3000) for _ in range(4)], r.normal(size=3000), r.normal(size=3000), np.r_[r.normal(size=2999), 1e6], r.integers(0, 900, 3000).astype(float), r.uniform(size=130)]
+    stats = [{"valid": len(x), "min": x.min(), "max": x.max(), "mean": x.mean(), "pop": x.std()} for x in columns]
+    frame = spark.createDataFrame([(i, float(v)) for i, x in enumerate(columns) for v in x], "i int, v double").repartition(4)
+    p = lambda i, d: distributions.kolmogorov(d, stats[i]["valid"])
+    found = fits.distances(selection.Grid(frame, stats, fits.laws_of(stats)), settled=lambda i, _, low, high: distributions.kolmogorov_settled(low, high, stats[i]["valid"]))
+    for i, (x, s) in enumerate(zip(columns, stats, strict=True)):
+        exact = {"uniform": plain_distance(x, lambda v: (v - s["min"]) / (s["max"] - s["min"])), "normal": plain_distance(x, np.vectorize(NormalDist(s["mean"], s["pop"]).cdf))}
+        for law, d in exact.items():
+            assert found[i][law] <= d + 1e-6 and p(i, found[i][law]) == pytest.approx(p(i, d), abs=6e-4) and (p(i, found[i][law]) > 0.05) == (p(i, d) > 0.05)
+            assert f"{p(i, found[i][law]):.3f}" == f"{p(i, d):.3f}"
+
+
+def test_histograms_and_outliers_from_cells(spark, monkeypatch):
+    """Only cells that an edge or a bound cuts are read again; values at edges, beside columns that aren't finite."""
+    monkeypatch.setattr(selection, "CELLS", 16)
+    r = np.random.default_rng(8)
+    n = 1200
+    columns = {"inf": np.r_[np.inf, r.normal(size=n - 1)], "edges": r.integers(0, 13, n).astype(float), "tails": r.standard_cauchy(n), "nan": np.r_[np.nan, r.uniform(size=n - 1)], "same": np.full(n, 4.0), "tenths": r.integers(0, 121, n) / 10}
+    frame = spark.createDataFrame([tuple(map(float, x)) for x in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns)).repartition(3)
+    read = []
+    inside = selection.Grid.inside
+    monkeypatch.setattr(selection.Grid, "inside", lambda self, cells: (read.append(cells), inside(self, cells))[1])
+    got = {x["Column"]: x for x in tb.xray(frame, great_tables=False).collect()}
+    assert read and all(c["low"] < c["high"] for c in read[-1])
+    for c, x in columns.items():
+        s = np.sort(x)
+        low, high = (s[selection.nearest_rank(p, n)] for p in (0.25, 0.75))
+        assert got[c]["N_Outliers"] == int((x < low - 1.5 * (high - low)).sum() + ((x > high + 1.5 * (high - low)) | np.isnan(x)).sum())
+        if np.isfinite(x).all() and c != "same":
+            edges = np.r_[[x.min() + (x.max() - x.min()) / 12 * i for i in range(12)], x.max()]
+            assert got[c]["Distribution_Plot"] == np.bincount(np.minimum(np.searchsorted(edges, x, "right") - 1, 11), minlength=12).tolist()
+    assert got["same"]["Distribution_Plot"] == [n]
+
+
 @pytest.mark.parametrize("most", [50_000, 30])
 def test_grid_ranks_and_deviations(spark, monkeypatch, most):
     monkeypatch.setattr(selection, "MOST_VALUES", most)

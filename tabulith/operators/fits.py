@@ -62,7 +62,7 @@ def distances(grid: Grid, laws: tuple[str, ...] = LAWS, settled: Callable[[int,
     best: dict[tuple[int, str], float] = {(i, law): 0.0 for i in live for law in laws}
     done: set[tuple[int, str]] = set()
     every = [c for i in live for c in grid.cells[i]]
-    level = grid.rows.withColumn("slot", F.col("i"))
+    level: DataFrame | None = None  # the grid's own
     before: dict[int, float] = dict.fromkeys(live, math.inf)
     bounded = settled is None
 
@@ -135,8 +135,9 @@ def _ends(grid: Grid, cells: DataFrame, laws: tuple[str, ...]) -> DataFrame:
     return cells.select("*", *[grid.extra[law](F.col(end)).alias(f"{name}_{law}") for law in laws for name, end in (("least", "low"), ("most", "high"))])
 
 
-def _inside(grid: Grid, level: DataFrame, cells: list[dict[str, Any]]) -> DataFrame:
+def _inside(grid: Grid, level: DataFrame | None, cells: list[dict[str, Any]]) -> DataFrame:
     """The rows of a level in some of its cells, `next` being the cell's place among them."""
+    level = grid.rows_of(cells).withColumn("slot", F.col("i")) if level is None else level
     table = rows_of(grid, [(c["slot"], c["cell"], k, c["low"], c["high"]) for k, c in enumerate(cells)])
     return level.join(F.broadcast(table), ["slot", "cell"])  # at most the cells of a grid
 
@@ -149,7 +150,7 @@ def _upto(order: str) -> Column:
     return F.sum("n").over(Window.partitionBy("next").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto")
 
 
-def _bounded(grid: Grid, level: DataFrame, cells: list[dict[str, Any]], laws: tuple[str, ...]) -> dict[int, dict[str, float]]:
+def _bounded(grid: Grid, level: DataFrame | None, cells: list[dict[str, Any]], laws: tuple[str, ...]) -> dict[int, dict[str, float]]:
     """By place, least and greatest bounds of the distance inside some cells, by finer cells that stay on the executors: per
     column about sqrt(n) / NARROW of them, however many rows they have."""
     many = [0] * len(grid.stats)
@@ -168,7 +169,7 @@ def _bounded(grid: Grid, level: DataFrame, cells: list[dict[str, Any]], laws: tu
     return {r["next"]: r.asDict() for r in each.groupBy("next").agg(*bounds).collect()}  # a row for each cell
 
 
-def _ordered(grid: Grid, level: DataFrame, cells: list[dict[str, Any]], laws: tuple[str, ...]) -> dict[int, dict[str, float]]:
+def _ordered(grid: Grid, level: DataFrame | None, cells: list[dict[str, Any]], laws: tuple[str, ...]) -> dict[int, dict[str, float]]:
     """By number, the greatest distance inside some cells, of which none has more rows than a task can put in order."""
     values = _inside(grid, level, cells).groupBy("next", "i", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = values.select("next", "i", "v", "n", _upto("v")).join(_starts(grid, cells), "next")

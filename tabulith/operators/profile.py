@@ -28,7 +28,7 @@ from ..functions.dtypes import included, is_float, is_integer, is_nested, is_num
 from ..functions.stats import correlation, excess_kurtosis, greatest, quoted, skew
 from . import fits, quality
 from .distinct import distinct_counts
-from .selection import Grid, by_number, cumulative, exact_ranks, long_form, nearest_rank, release, select_ranks, told_apart
+from .selection import Grid, by_number, cumulative, exact_ranks, long_form, nearest_rank, numbered_form, release, select_ranks, told_apart
 
 #: Rows up to which distinct values are counted exactly.
 EXACT_DISTINCT_ROWS = 300_000
@@ -394,7 +394,7 @@ def xray(
     if finite:
         mine = [stats[c] for c in finite]
         laws = fits.laws_of(mine, _laws(normality_test, uniformity_test)) if expanded else {}
-        grid = Grid(long_form(df, [quoted(c) for c in finite]), mine, laws)
+        grid = Grid(long_form(df, [quoted(c) for c in finite]), mine, laws, lambda numbers: numbered_form(df, {i: quoted(finite[i]) for i in numbers}))
         quantile = {(finite[i], r): v for (i, r), v in grid.ranks([sorted(set(wanted[c])) for c in finite]).items()}
     rest = [c for c in live if c not in finite]
     quantile |= select_ranks(df, {c: quoted(c) for c in rest}, valid, wanted)

@@ -48,6 +48,11 @@ def long_form(df: DataFrame, values: list[Column], *others: Column) -> DataFrame
     return df.select(*others, F.posexplode(F.array(*[v.cast("double") for v in values])).alias("i", "v"))
 
 
+def numbered_form(df: DataFrame, values: dict[int, Column]) -> DataFrame:
+    """(i, v) of expressions by their number, as in `long_form`."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in values.items()])))
+
+
 def by_number(values: list[float | None]) -> Column:
     """The value for number i."""
     return F.get(F.array(*[F.lit(v).cast("double") for v in values]), F.col("i"))
@@ -182,16 +187,17 @@ class Grid:
     sends some hundred rows for each column. Ranks, and bounds of much else, follow from it but for a few cells' values.
 
     rows: (i, v), a value and its column's number; stats: valid, min and max of each. `extra`: functions that give further
-    expressions of i and v, which are kept at the least and greatest v of each cell."""
+    expressions of i and v, which are kept at the least and greatest v of each cell. `read`: gives the rows of some numbers
+    only, so that columns without open cells aren't read again."""
 
-    def __init__(self, rows: DataFrame, stats: list[dict[str, Any]], extra: dict[str, Callable[[Column], Column]] | None = None):
+    def __init__(self, rows: DataFrame, stats: list[dict[str, Any]], extra: dict[str, Callable[[Column], Column]] | None = None, read: Callable[[list[int]], DataFrame] | None = None):
         extra = extra or {}
         self.stats, self.extra, self.count = stats, extra, max(16, min(CELLS, MOST_CELLS // max(1, len(stats))))
         low, high = (by_number([float(s[e] or 0.0) for s in stats]) for e in ("min", "max"))
         v = F.col("v")
         cell = F.when(low < high, F.least(F.floor((v - low) / (high - low) * self.count), F.lit(self.count - 1))).otherwise(0).cast("int")
-        self.plain = rows.where("v IS NOT NULL").select("i", "v")
-        self.rows = self.plain.select("i", "v", cell.alias("cell"))
+        self.plain, self.read, self.cell = rows.where("v IS NOT NULL").select("i", "v"), read, cell.alias("cell")
+        self.rows = self.plain.select("i", "v", self.cell)
         found = self.rows.groupBy("i", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         ends = [x(F.col(end)).alias(f"{e}_{n}") for n, x in extra.items() for e, end in (("least", "low"), ("most", "high"))]
         self.cells: list[list[dict[str, Any]]] = [[] for _ in stats]
@@ -204,12 +210,21 @@ class Grid:
                 c["below"] = below
                 below += c["n"]
 
+    def plain_of(self, cells: list[dict[str, Any]]) -> DataFrame:
+        """(i, v) of the columns that have these cells."""
+        return self.read(sorted({c["i"] for c in cells})).where("v IS NOT NULL") if self.read and cells else self.plain
+
+    def rows_of(self, cells: list[dict[str, Any]]) -> DataFrame:
+        """(i, v, cell) of the columns that have these cells."""
+        return self.plain_of(cells).select("i", "v", self.cell)
+
     def inside(self, wanted: list[dict[str, Any]]) -> DataFrame:
         """(i, v, f) of some cells: their rows, or one row that stands for all where a cell has one value."""
         spark = self.rows.sparkSession
         one = [(c["i"], c["low"], c["n"]) for c in wanted if c["low"] == c["high"]]
-        table = F.broadcast(spark.createDataFrame([(c["i"], c["cell"]) for c in wanted if c["low"] < c["high"]], "i int, cell int"))  # at most all cells
-        rows = self.rows.join(table, ["i", "cell"]).select("i", "v", F.lit(1).cast("long").alias("f"))
+        several = [c for c in wanted if c["low"] < c["high"]]
+        table = F.broadcast(spark.createDataFrame([(c["i"], c["cell"]) for c in several], "i int, cell int"))  # at most all cells
+        rows = self.rows_of(several).join(table, ["i", "cell"]).select("i", "v", F.lit(1).cast("long").alias("f"))
         return rows.unionByName(spark.createDataFrame(one, "i int, v double, f long")) if one else rows
 
     def values(self, wanted: list[dict[str, Any]]) -> dict[tuple[int, int], list[tuple[float, int]]] | None:
@@ -220,7 +235,7 @@ class Grid:
             return None
         if keys:
             table = F.broadcast(self.rows.sparkSession.createDataFrame(keys, "i int, cell int"))  # at most all cells
-            for r in self.rows.join(table, ["i", "cell"]).groupBy("i", "cell", "v").agg(F.count(F.lit(1)).alias("n")).collect():
+            for r in self.rows_of([c for c in wanted if c["low"] < c["high"]]).join(table, ["i", "cell"]).groupBy("i", "cell", "v").agg(F.count(F.lit(1)).alias("n")).collect():
                 known.setdefault((r["i"], r["cell"]), []).append((r["v"], r["n"]))
         return {k: sorted(x) for k, x in known.items()}
 
@@ -229,7 +244,7 @@ class Grid:
         at = {(i, r): next(c for c in self.cells[i] if c["below"] <= r < c["below"] + c["n"]) for i, wanted in enumerate(ranks) for r in wanted}
         values = self.values(list({id(c): c for c in at.values()}.values()))
         if values is None:
-            one = self.plain.withColumn("f", F.lit(1))
+            one = self.plain_of([c for c in at.values() if c["low"] < c["high"]]).withColumn("f", F.lit(1))
             start: dict[int, tuple] = {}
             for (i, r), c in at.items():
                 start.setdefault(id(c), (i, c["low"], c["high"], c["below"], c["n"], []))[5].append(r)
